@@ -96,13 +96,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     null or empty text is one empty line and stays empty. Rows alike in doc_id and text count as a document each and
     get the same result. Columns of ``docs`` named like the three new ones are replaced.
     """
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")))
-    row = [F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_twin")]
+    names = ("n_lines", "n_dropped", "kept")
+    docs = docs.select(F.struct(*(c for c in docs.columns if c not in names)).alias("own"), "doc_id", F.col("text").cast("string"))
+    row = [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("twin")]
     frequent = frequent_lines(docs.select("doc_id", "text"), min_docs)
-    placed = docs.select(*row, F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where("key != ''").select("_row", "_twin", "pos", *_hashes("key"))
-    hits = placed.join(frequent, ["h", "g"], "left_semi").groupBy("_row", "_twin").agg(F.collect_set("pos").alias("_gone"))
-    split = docs.select("*", *row).join(hits, ["_row", "_twin"], "left").withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    out = split.select(*docs.columns, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
-    return out
+    placed = docs.select(*row, F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where("key != ''").select("row", "twin", "pos", *_hashes("key"))
+    hits = placed.join(frequent, ["h", "g"], "left_semi").groupBy("row", "twin").agg(F.collect_set("pos").alias("gone"))
+    split = docs.select("own", "text", *row).join(hits, ["row", "twin"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    return split.select("own.*", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, capfilter, interp, lines, packing, quality_net, rules, simhash
+from tracemill.llm import bpe, capfilter, interp, licences, lines, packing, pii, quality_net, rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,12 +48,22 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interp.score(_read(spark, sf_dir, "documents"))
 
 
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans."""
+    return pii.digests(pii.private_spans(_read(spark, sf_dir, "documents")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_quality_classifier, op5_line_dedup, op6_quality_rules, op7_lm_scoring, op9_best_fit_packing)}
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document."""
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_quality_classifier, op5_line_dedup, op6_quality_rules, op7_lm_scoring, op8_private_data, op9_best_fit_packing, op10_licence_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": """

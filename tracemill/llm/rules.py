@@ -35,9 +35,8 @@ def base_columns(docs: DataFrame) -> DataFrame:
     windows are told by their hashes in order, neighbours in the sorted array being equal.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    docs = docs.select(*(c for c in docs.columns if c not in names))
-    own = docs.columns
-    df = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_w", words_of(F.col("text")))
+    df = docs.select(F.struct(*(c for c in docs.columns if c not in names)).alias("own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    df = df.withColumn("_w", words_of(F.col("_t")))
     df = df.withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     df = df.withColumn("_h", F.expr("case when size(_w) >= 3 then transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) end"))
     df = df.withColumn("_s", F.expr("case when size(array_distinct(_h)) < size(_h) then sort_array(transform(_h, (h, i) -> struct(h, i))) end"))
@@ -45,7 +44,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_p", F.expr(f"sort_array(transform({twice}, x -> x.i))"))
     repeat = "case when _p is null then 0 else aggregate(transform(_p, (p, k) -> least(3, coalesce(get(_p, k + 1) - p, 3))), 0, (a, x) -> a + x) end"
     df = df.select(
-        *own,
+        "own.*",
         F.size("_w").cast("long").alias("n_words"),
         F.expr("length(_t) - (" + " + ".join(f"(length(_t) - length(replace(_t, char({ord(c)}), '')))" for c in BLANKS) + ")").cast("long").alias("word_chars"),
         F.expr(_count_of(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -57,6 +56,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def _ngrams(df: DataFrame) -> DataFrame:
     """``df`` with _g: bucket numbers of runs of letters and digits, of other characters, and of two that follow each other."""
+    df = df.withColumn("text", F.col("text").cast("string"))
     df = df.withColumn("_k", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"), F.lit(0)))
     one = f"transform(_k, x -> cast(pmod(xxhash64(x), {BUCKETS}) as int))"
     two = f"case when size(_k) > 1 then zip_with(slice(_k, 1, size(_k) - 1), slice(_k, 2, size(_k) - 1), (x, y) -> cast(pmod(xxhash64(x, y), {BUCKETS}) as int)) else array() end"
@@ -82,9 +82,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """``docs`` with llr: the mean weight of a document's n-grams, 0 if it has none."""
-    df = _ngrams(docs.select(*(c for c in docs.columns if c != "llr"))).withColumn("_weights", weights.scalar())
+    own = F.struct(*(c for c in docs.columns if c != "llr")).alias("own")
+    df = _ngrams(docs.select(own, "text")).withColumn("_weights", weights.scalar())
     total = "aggregate(_g, 0D, (a, g) -> a + element_at(_weights, g + 1))"
-    return df.withColumn("llr", F.expr(f"case when size(_g) > 0 then {total} / size(_g) else 0D end")).drop("_g", "_weights")
+    return df.select("own.*", F.expr(f"case when size(_g) > 0 then {total} / size(_g) else 0D end").alias("llr"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
