@@ -1,0 +1,51 @@
+"""Digests, transcripts and conversion to another log format."""
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _listed(order: str, line: Column, fine: Column | None = None) -> Column:
+    row = F.struct(order, line.alias("_line"))
+    return F.transform(F.sort_array(F.collect_list(row if fine is None else F.when(fine, row))), lambda x: x["_line"])
+
+
+def prompt_text(blocks: Column) -> Column:
+    """Texts of an array<struct<type, text>> of blocks, and a mark for images."""
+    texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
+    mark = F.when(F.exists(blocks, lambda b: b["type"] == "image"), F.array(F.lit("[image attached]"))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(texts, mark), "\n")
+
+
+def prompt_digest(events: DataFrame) -> DataFrame:
+    """(session_key, n_prompts, markdown): the user's prompts of each session, quoted, in order."""
+    prompts = events.where((F.col("kind") == "user") & (F.trim("text") != ""))
+    quoted = F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
+    body = F.array_join(_listed("seq", quoted), "\n\n")
+    return prompts.groupBy("session_key").agg(F.count("*").alias("n_prompts"), body.alias("_b")).select("session_key", "n_prompts", F.concat(F.lit("## Session "), F.col("session_key").cast("string"), F.lit("\n\n"), "_b").alias("markdown"))
+
+
+def transcript(events: DataFrame, kinds: list[str]) -> DataFrame:
+    """(session_key, transcript): events of the kinds, each under its kind in capitals."""
+    shown = events.where(F.col("kind").isin(*kinds))
+    return shown.groupBy("session_key").agg(F.array_join(_listed("seq", F.concat(F.upper("kind"), F.lit(":\n"), "text")), "\n\n").alias("transcript"))
+
+
+def rollout_records(events: DataFrame, mirrors: bool = True) -> DataFrame:
+    """(session_key, line, record_type, role, text, encrypted) of events (session_key, seq, kind, text).
+
+    Every message is a record, instructions being a developer's; mirrors: user and assistant messages come again as events.
+    """
+    role = F.when(F.col("kind") == "instructions", "developer").otherwise(F.col("kind"))
+    base = events.select("session_key", "seq", F.lit(0).alias("_sub"), F.lit("message").alias("record_type"), role.alias("role"), "text")
+    if mirrors:
+        copies = events.where(F.col("kind").isin("user", "assistant")).select("session_key", "seq", F.lit(1).alias("_sub"), F.lit("event").alias("record_type"), F.col("kind").alias("role"), "text")
+        base = base.unionByName(copies)
+    line = F.row_number().over(Window.partitionBy("session_key").orderBy("seq", "_sub")) - 1
+    return base.withColumn("line", line).withColumn("encrypted", F.lit(False)).drop("seq", "_sub")
+
+
+def write_rollouts(records: DataFrame, path: str) -> None:
+    """One JSON line for each record (session_key, day, line, ts, record_type, payload VARIANT), in folders by day and session."""
+    value = F.to_json(F.struct(F.col("ts").alias("timestamp"), F.col("record_type").alias("type"), "payload"))
+    rows = records.select("day", "session_key", "line", value.alias("value")).repartition("day", "session_key").sortWithinPartitions("day", "session_key", "line")
+    rows.drop("line").write.partitionBy("day", "session_key").text(path)

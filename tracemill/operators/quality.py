@@ -1,0 +1,33 @@
+"""Checks of the event contract."""
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The kinds of events and the fields that each must have.
+REQUIRED = {
+    "user": ["text"], "assistant": ["text"], "tool": ["name"], "instructions": ["text"], "notice": ["label"], "thinking": [], "branch": [], "compaction": [],
+    "context": [], "status": [], "tokens": [], "patch": [], "web_search": [], "review_request": [], "review_decision": [], "pr_link": [], "raw": ["payload"],
+}
+
+
+def violations(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., path): one row for each field of an event that breaks the contract: its kind, or a required field that is null."""
+    rules: list[Column] = [F.when(~F.coalesce(F.col("kind").isin(*REQUIRED), F.lit(False)), "kind")]
+    for field in sorted({f for fields in REQUIRED.values() for f in fields}):
+        if field in events.columns:
+            kinds = [k for k, fields in REQUIRED.items() if field in fields]
+            rules.append(F.when(F.col("kind").isin(*kinds) & F.col(field).isNull(), field))
+    return events.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("path"))
+
+
+def summary_violations(summaries: DataFrame, required: list[str], key: str) -> DataFrame:
+    """(key, path): required fields of summaries that are null, and counts below zero."""
+    rules = [F.when(F.col(c).isNull(), c) for c in required] + [F.when(F.col(c) < 0, c) for c in required if c.startswith("n_")]
+    return summaries.select(key, F.explode(F.array_compact(F.array(*rules))).alias("path"))
+
+
+def no_violations(found: list[DataFrame]) -> bool:
+    """Whether none of the checks found anything."""
+    return reduce(lambda a, b: a and b, (df.isEmpty() for df in found), True)

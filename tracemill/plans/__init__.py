@@ -1 +1,6 @@
+"""All registered queries and their DuckDB twins."""
 
+from tracemill.plans import logs, sessions, streams
+from tracemill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "logs", "sessions", "streams"]

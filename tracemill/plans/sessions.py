@@ -1,0 +1,327 @@
+"""Queries over sessions: summaries, facets, order, unions, digests, conversion, quality."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.functions.text import short_title, strip_tags
+from tracemill.functions.values import model_family
+from tracemill.operators import aggregates, convert, facets, joins, quality, records, sets, windows
+from tracemill.plans.registry import FLAT, LOG, TURNS, log, query, table, turns
+
+_SHORT = "CASE WHEN length({0}) > 100 THEN substr({0}, 1, 100) || '…' ELSE {0} END"
+
+
+@query(f"""
+WITH {TURNS}, flat AS (SELECT *, {FLAT.format("text")} AS f FROM turns)
+SELECT session_key, count(*)::BIGINT AS n_records, count(*) FILTER (kind = 'user')::BIGINT AS n_user,
+       count(*) FILTER (kind = 'assistant')::BIGINT AS n_assistant, count(*) FILTER (kind = 'tool')::BIGINT AS n_tool, 0::BIGINT AS n_web,
+       min(seq)::BIGINT AS first_ts, max(seq)::BIGINT AS last_ts, NULL::VARCHAR AS model, NULL::VARCHAR AS cwd,
+       coalesce(arg_min({_SHORT.format("f")}, seq) FILTER (kind = 'user' AND text IS NOT NULL), '') AS title
+FROM flat GROUP BY session_key
+""")
+def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One summary row for each conversation."""
+    none = F.lit(None).cast("string")
+    return aggregates.session_summary(turns(spark, sf_dir).withColumns({"ts": F.col("seq"), "model": none, "cwd": none, "name": none}))
+
+
+@query(f"""
+WITH {LOG}
+SELECT user_id, count(*)::BIGINT AS n_all, count(*) FILTER (event_type = 'view')::BIGINT AS n_view, count(*) FILTER (event_type = 'click')::BIGINT AS n_click,
+       count(*) FILTER (event_type = 'purchase')::BIGINT AS n_purchase, count(*) FILTER (event_type = 'error')::BIGINT AS n_error,
+       count(*) FILTER (event_type = 'signup')::BIGINT AS n_signup
+FROM log GROUP BY user_id
+""")
+def summary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tallies of event types by user."""
+    return aggregates.tallies(log(spark, sf_dir), ["user_id"], F.col("event_type"), ["view", "click", "purchase", "error", "signup"])
+
+
+@query("""
+SELECT coalesce(lang, 'all') AS agent, count(*)::BIGINT AS n FROM documents
+WHERE n_chars >= 500 AND source IN ('src1', 'src2', 'src3', 'src4') GROUP BY ROLLUP (lang)
+""")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language under the other filters, and all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return aggregates.faceted_counts(docs, "lang", (F.col("n_chars") >= 500) & facets.in_set("source", ["src1", "src2", "src3", "src4"]))
+
+
+@query("""
+SELECT source AS value, 'Other' AS family, count(*)::BIGINT AS n FROM documents WHERE source IS NOT NULL GROUP BY source
+""")
+def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sources, with the model family that their names tell."""
+    docs = table(spark, sf_dir, "documents")
+    return aggregates.facet_values(docs, "source", model_family(F.col("source")))
+
+
+@query("""
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events
+WHERE ts::DATE BETWEEN (SELECT min(ts)::DATE + 3 FROM events) AND (SELECT min(ts)::DATE + 9 FROM events) GROUP BY ALL
+""")
+def date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one week, by local day and type."""
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min(F.to_date("ts")).alias("d")).scalar()
+    day = F.to_date("ts")
+    return events.where((day >= F.date_add(first, 3)) & (day <= F.date_add(first, 9))).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (
+  SELECT conv_id AS id, count(*) * 1000 + conv_id % 97 AS recency, conv_id % 3 <> 0 AS is_subagent,
+         CASE WHEN conv_id % 3 <> 0 THEN conv_id - conv_id % 3 END AS parent_id
+  FROM conversations GROUP BY conv_id
+),
+r AS (
+  SELECT s.id, s.recency, p.id IS NOT NULL AS nested, coalesce(p.recency, s.recency) AS top, coalesce(p.id, s.id) AS top_id
+  FROM s LEFT JOIN s p ON s.parent_id = p.id AND NOT p.is_subagent
+)
+SELECT id, nested, row_number() OVER (ORDER BY top DESC, top_id, nested, recency DESC, id)::BIGINT AS place FROM r
+""")
+def hierarchy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by recency, children right after their parents."""
+    counts = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"))
+    child = F.col("id") % 3 != 0
+    sessions = counts.select("id", (F.col("n") * 1000 + F.col("id") % 97).alias("recency"), child.alias("is_subagent"), F.when(child, F.col("id") - F.col("id") % 3).alias("parent_id"))
+    return facets.hierarchy(sessions).select("id", "nested", "place")
+
+
+@query("""
+SELECT conv_id - conv_id % 3 AS parent_file, count(DISTINCT conv_id)::BIGINT AS n_children FROM conversations
+WHERE conv_id % 3 <> 0 AND conv_id - conv_id % 3 IN (SELECT conv_id FROM conversations) GROUP BY 1
+""")
+def subagent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: children of each visible parent."""
+    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file")).distinct()
+    child = F.col("file") % 3 != 0
+    sessions = ids.select("file", child.alias("is_subagent"), F.when(child, F.col("file") - F.col("file") % 3).alias("parent_file"))
+    return aggregates.children_per_parent(sessions, sessions.where("not is_subagent"))
+
+
+@query("""
+WITH s AS (
+  SELECT doc_id, 0 AS r, source AS title, NULL AS lang FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 1, source || '/b', lang FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 2, source || '/c', upper(lang) FROM documents
+)
+SELECT doc_id, arg_min(title, r) AS title, arg_min(lang, r) FILTER (lang IS NOT NULL) AS lang FROM s GROUP BY doc_id
+""")
+def union_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources of documents, the first that has one wins; a language that it lacks comes from the next."""
+    docs = table(spark, sf_dir, "documents")
+    a = docs.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("title"), F.lit(None).cast("string").alias("lang"))
+    b = docs.where("doc_id % 3 = 0").select("doc_id", F.concat("source", F.lit("/b")).alias("title"), "lang")
+    c = docs.select("doc_id", F.concat("source", F.lit("/c")).alias("title"), F.upper("lang").alias("lang"))
+    return sets.union_by_precedence([a, b, c], "doc_id", ["lang"])
+
+
+@query("""
+SELECT source AS path FROM documents WHERE doc_id % 2 = 0 UNION SELECT source FROM documents UNION SELECT url FROM pages
+""")
+def distinct_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path that any source names."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    path = docs.select(F.col("source").alias("path"))
+    return sets.distinct_paths([docs.where("doc_id % 2 = 0").select(F.col("source").alias("path")), path, pages.select(F.col("url").alias("path"))], "path")
+
+
+@query("""
+WITH k AS (SELECT user_id, event_type, event_id, (props::JSON->>'$.k')::BIGINT AS k FROM events)
+SELECT user_id, event_type, k, min(event_id)::BIGINT AS event_id FROM k GROUP BY user_id, event_type, k
+""")
+def distinct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of events of a user and type with the same properties, the first."""
+    kept = sets.distinct_json(log(spark, sf_dir).withColumn("props", F.to_json(F.struct("k"))), ["user_id", "event_type"], "event_id", "props")
+    return kept.select("user_id", "event_type", "k", "event_id")
+
+
+@query("""
+WITH stored AS (SELECT doc_id, doc_id % 7 AS fp, length(text) AS n FROM documents WHERE doc_id % 5 <> 0),
+listed AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE doc_id % 7 END AS fp, length(text) + 1 AS n FROM documents WHERE doc_id % 11 <> 0)
+SELECT l.doc_id, l.fp, CASE WHEN s.fp = l.fp THEN s.n ELSE l.n END::BIGINT AS n FROM listed l LEFT JOIN stored s USING (doc_id)
+""")
+def search_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after a refresh."""
+    from tracemill.operators.search import refreshed
+
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 5 != 0").select("doc_id", (F.col("doc_id") % 7).alias("fp"), F.length("text").cast("long").alias("n"))
+    fp = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 + 1).otherwise(F.col("doc_id") % 7)
+    new = docs.where("doc_id % 11 != 0").select("doc_id", fp.alias("fp"), (F.length("text") + 1).cast("long").alias("n"))
+    return refreshed(old, new, "doc_id", "fp")
+
+
+@query("""
+WITH i AS (SELECT doc_id, doc_id % 7 AS fp FROM documents WHERE doc_id % 5 <> 0),
+l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE doc_id % 7 END AS fp FROM documents WHERE doc_id % 11 <> 0),
+b AS (SELECT l.doc_id AS a, i.doc_id AS b, l.fp = i.fp AS same FROM l FULL JOIN i USING (doc_id))
+SELECT count(a)::BIGINT AS total, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND same)::BIGINT AS indexed,
+       count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND NOT same)::BIGINT AS stale, count(*) FILTER (a IS NOT NULL AND b IS NULL)::BIGINT AS missing,
+       count(*) FILTER (a IS NULL)::BIGINT AS vanished,
+       CASE WHEN count(a) = count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND same) THEN 'ready' ELSE 'updating' END AS state
+FROM b
+""")
+def search_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far an index is."""
+    docs = table(spark, sf_dir, "documents")
+    fp = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 + 1).otherwise(F.col("doc_id") % 7)
+    listed = docs.where("doc_id % 11 != 0").select("doc_id", fp.alias("fp"))
+    return aggregates.index_status(listed, docs.where("doc_id % 5 != 0").select("doc_id", (F.col("doc_id") % 7).alias("fp")), "doc_id", "fp")
+
+
+@query(f"""
+WITH {TURNS}
+SELECT session_key, seq, row_number() OVER (PARTITION BY session_key ORDER BY seq)::BIGINT AS number, substr({FLAT.format("text")}, 1, 80) AS label
+FROM turns WHERE kind = 'user'
+""")
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered prompts of each conversation."""
+    return windows.outline(turns(spark, sf_dir), ["session_key"], ["seq"], "text", F.col("kind") == "user").select("session_key", "seq", F.col("number").cast("long"), "label")
+
+
+@query(f"""
+WITH {TURNS}
+SELECT session_key, count(*)::BIGINT AS n_prompts,
+       '## Session ' || session_key || chr(10) || chr(10) || string_agg('> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY seq) AS markdown
+FROM turns WHERE kind = 'user' AND trim(text) <> '' GROUP BY session_key
+""")
+def prompt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's prompts of each conversation as Markdown."""
+    return convert.prompt_digest(turns(spark, sf_dir))
+
+
+@query(f"""
+WITH {TURNS}
+SELECT count(DISTINCT session_key)::BIGINT AS n_sessions, count(*)::BIGINT AS n_prompts FROM turns WHERE kind = 'user'
+""")
+def digest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and prompts of the digest."""
+    return aggregates.digest_totals(turns(spark, sf_dir).where("kind = 'user'"))
+
+
+@query(f"""
+WITH {TURNS}
+SELECT session_key, string_agg(upper(kind) || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY seq) AS transcript FROM turns
+WHERE kind IN ('user', 'assistant') GROUP BY session_key
+""")
+def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts as plain text."""
+    return convert.transcript(turns(spark, sf_dir), ["user", "assistant"])
+
+
+@query(f"""
+WITH {TURNS}, rec AS (
+  SELECT session_key, seq, 0 AS sub, 'message' AS record_type, CASE kind WHEN 'instructions' THEN 'developer' ELSE kind END AS role, text, false AS encrypted FROM turns
+  UNION ALL SELECT session_key, seq, 1, 'event', 'user', text, false FROM turns WHERE kind = 'user'
+  UNION ALL SELECT session_key, seq, 1, 'event', 'assistant', text, false FROM turns WHERE kind = 'assistant'
+)
+SELECT session_key, (row_number() OVER (PARTITION BY session_key ORDER BY seq, sub) - 1)::BIGINT AS line, record_type, role, text FROM rec
+""")
+def rollout_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records of another log format, with mirrored event messages."""
+    return convert.rollout_records(turns(spark, sf_dir)).select("session_key", F.col("line").cast("long"), "record_type", "role", "text")
+
+
+@query(f"""
+WITH {TURNS}
+SELECT session_key, (count(*) + count(*) FILTER (kind IN ('user', 'assistant')))::BIGINT AS n_records, count(*)::BIGINT AS n_messages,
+       0::BIGINT AS n_reasoning, 0::BIGINT AS n_encrypted, 0::BIGINT AS n_unfinished FROM turns GROUP BY session_key
+""")
+def rollout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversion wrote, by session."""
+    return aggregates.conversion_report(convert.rollout_records(turns(spark, sf_dir)), ["session_key"])
+
+
+@query(f"""
+WITH {TURNS}, bad AS (
+  SELECT session_key, seq, CASE WHEN seq % 5 = 3 THEN 'bogus' ELSE kind END AS kind, CASE WHEN (session_key + seq) % 7 = 0 THEN NULL ELSE text END AS text FROM turns
+)
+SELECT session_key, seq, unnest(list_filter([CASE WHEN kind NOT IN ('user', 'assistant', 'instructions') THEN 'kind' END,
+  CASE WHEN kind IN ('user', 'assistant', 'instructions') AND text IS NULL THEN 'text' END], lambda x: x IS NOT NULL)) AS path
+FROM bad WHERE kind = 'bogus' OR text IS NULL
+""")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each violation of the event contract, in conversations with faults put in."""
+    kind = F.when(F.col("seq") % 5 == 3, "bogus").otherwise(F.col("kind"))
+    text = F.when((F.col("session_key") + F.col("seq")) % 7 == 0, None).otherwise(F.col("text"))
+    return quality.violations(turns(spark, sf_dir).withColumns({"kind": kind, "text": text}), ["session_key", "seq"]).select("session_key", "seq", "path")
+
+
+@query("""
+SELECT page_id, lower(regexp_extract(html, '^\\s*<([a-zA-Z0-9_-]+)', 1)) AS tag, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain FROM pages
+""")
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tag that a page begins with, and its text without tags."""
+    return table(spark, sf_dir, "pages").select("page_id", F.lower(records.leading_tag(F.col("html"))).alias("tag"), strip_tags(F.col("html")).alias("plain"))
+
+
+@query("""
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS path FROM pages)
+SELECT page_id, trim(path) AS path, count(*)::BIGINT AS n FROM p GROUP BY ALL
+""")
+def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that a text names, by a pattern."""
+    pages = table(spark, sf_dir, "pages")
+    paths = pages.select("page_id", F.explode(records.paths_named(F.col("html"), r'(?:href|src)="([^"]*)"')).alias("path"))
+    return paths.groupBy("page_id", "path").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH q AS (SELECT event_id, CASE WHEN event_type = 'view' THEN ['a' || ((props::JSON->>'$.k')), event_type] END AS queries, event_type AS query FROM events)
+SELECT event_id, unnest(coalesce(queries, [query])) AS query FROM q
+""")
+def web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: web queries, one a row, from a list or a single one."""
+    df = log(spark, sf_dir)
+    listed = F.when(F.col("event_type") == "view", F.array(F.concat(F.lit("a"), F.col("k").cast("string")), "event_type"))
+    return records.flat_queries(df.select("event_id", listed.alias("queries"), F.col("event_type").alias("query")), ["event_id"])
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS f FROM d)
+SELECT doc_id, CASE WHEN length(f) > 100 THEN substr(f, 1, 100) || '…' ELSE f END AS title FROM f
+""")
+def short_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a title of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", short_title(F.coalesce("text", F.lit(""))).alias("title"))
+
+
+@query("""
+SELECT doc_id, source FROM documents WHERE contains(trim(regexp_replace(lower(concat_ws(' ', source, lang, doc_id::VARCHAR)), '\\s+', ' ', 'g')), 'src1 en')
+""")
+def metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose metadata hold the query."""
+    from tracemill.operators.search import metadata_match as match
+
+    return match(table(spark, sf_dir, "documents"), ["source", "lang", "doc_id"], " SRC1  en").select("doc_id", "source")
+
+
+@query("""
+WITH c AS (SELECT doc_id, text, source FROM documents WHERE length(trim(text)) > 0),
+k AS (SELECT item_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 40) AS key FROM benchmark),
+f AS (SELECT key, min(item_id) AS item_id FROM k WHERE key <> '' GROUP BY key)
+SELECT c.doc_id, f.item_id AS call_item_id FROM c LEFT JOIN f ON substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 40) = f.key
+""")
+def prefix_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin like a benchmark passage, by the first 40 characters."""
+    docs, items = table(spark, sf_dir, "documents").where("length(trim(text)) > 0"), table(spark, sf_dir, "benchmark")
+    first = items.withColumn("_key", joins.prefix_key(F.col("text"), 40)).where("_key != ''").groupBy("_key").agg(F.min("item_id").alias("call_item_id"))
+    return docs.withColumn("_key", joins.prefix_key(F.col("text"), 40)).join(first, "_key", "left").select("doc_id", "call_item_id")
+
+
+@query("""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) SELECT doc_id, source FROM d WHERE n = 1
+""")
+def kept_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each text."""
+    return windows.keep_earliest(table(spark, sf_dir, "documents"), ["text"], ["doc_id"]).select("doc_id", "source")
+
+
+@query("""
+SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 20
+""")
+def largest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty longest documents of each language."""
+    return aggregates.ranked(table(spark, sf_dir, "documents"), ["lang"], [F.col("n_chars").desc(), F.col("doc_id")], 20).select("doc_id", "source", "n_chars")
