@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that search folds to plain ones, and those that it ignores.
 SINGLE_QUOTES = "‘’‚‛′‵ʼ"
@@ -16,7 +17,7 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

@@ -18,8 +18,8 @@ INPUT_KEYS = ("command", "cmd", "code", "query", "pattern", "path", "file_path",
 
 
 def tool_input_text(value: Column) -> Column:
-    """The searched inputs of a tool call's VARIANT, line by line."""
-    return F.array_join(F.array(*(F.try_variant_get(value, f"$.{k}", "string") for k in INPUT_KEYS)), "\n")
+    """The searched inputs of a tool call's VARIANT, line by line; null without any."""
+    return F.nullif(F.array_join(F.array(*(F.try_variant_get(value, f"$.{k}", "string") for k in INPUT_KEYS)), "\n"), F.lit(""))
 
 
 def event_text(events: DataFrame) -> DataFrame:

@@ -1 +1,42 @@
-"""Queries that run as streams."""
+"""Queries that run as streams over all that is there, and return the tables that they leave."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.plans.registry import ORACLE_SQL, query
+from tracemill.streaming.capture import changes
+from tracemill.streaming.summary import run_available, running_tallies
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one; in local mode, a temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{given.rstrip('/')}/{uuid.uuid4().hex}" if given else tempfile.mkdtemp(prefix="tracemill-stream-")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query(ORACLE_SQL["summary_events"])
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tallies of a stream of events, equal to those of one batch."""
+    folder = _folder(spark)
+    counted = running_tallies(_stream(spark, sf_dir), ["user_id"], "event_type", ["view", "click", "purchase", "error", "signup"])
+    return run_available(counted, f"{folder}/table", f"{folder}/checkpoint")
+
+
+@query(ORACLE_SQL["snapshot_classify"])
+def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of snapshots, classified with keyed state."""
+    folder, k = _folder(spark), F.get_json_object("props", "$.k").cast("long")
+    shots = _stream(spark, sf_dir).select(F.col("user_id").alias("path"), "event_id", F.floor(k / 40).alias("identity"), (k % 50).alias("size"), (k % 3 != 0).alias("prefix_same"))
+    out = changes(shots)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/table").select("path", "event_id", "change")
