@@ -17,11 +17,6 @@ THRESHOLD = -0.25
 SYMBOLS = "#*$%&|<>"
 
 
-def _count_of(characters: str):
-    """How many of these characters there are in the text."""
-    return " + ".join(f"(length(_t) - length(replace(_t, '{c}', '')))" for c in characters)
-
-
 def words_of(text):
     """Words between white space (blank, \\t to \\r); none for a null or blank text."""
     whole = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -46,8 +41,8 @@ def base_columns(docs: DataFrame) -> DataFrame:
     df = df.select(
         "own.*",
         F.size("_w").cast("long").alias("n_words"),
-        F.expr("length(_t) - (" + " + ".join(f"(length(_t) - length(replace(_t, char({ord(c)}), '')))" for c in BLANKS) + ")").cast("long").alias("word_chars"),
-        F.expr(_count_of(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.expr("aggregate(_w, 0L, (a, x) -> a + length(x))").alias("word_chars"),
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(repeat).cast("long").alias("n_repeat_words"),
     )
@@ -71,7 +66,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED)
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left")
-    grams = _ngrams(marked.select("text", F.col("_id").isNotNull().cast("long").alias("_in"))).select("_in", F.explode("_g").alias("bucket"))
+    # explode would first filter on the array's size, and so compute it twice
+    grams = _ngrams(marked.select("text", F.col("_id").isNotNull().cast("long").alias("_in"))).select("_in", F.explode_outer("_g").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("_in").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     # one row for each bucket, whatever the corpus: the last step sees so many rows and no more
