@@ -34,7 +34,7 @@ def test_normalize_random(spark):
     [
         (lambda: T.short_title(F.lit(" a  b\n" + "c" * 200), 10), "a b cccccc…"),
         (lambda: T.clip(F.lit("abcdef"), 4), "abc…"),
-        (lambda: T.short_path(F.lit("/home/me/work/repo")), "work/repo"),
+        (lambda: T.short_path(F.lit("/home/me/work/repo")), ".../work/repo"),
         (lambda: T.strip_tags(F.lit("<p>a <b>b</b></p> ")), "a b"),
         (lambda: T.slug(F.lit("Hello, World!")), "hello-world"),
         (lambda: T.slug(F.lit("!!!")), "session"),
@@ -48,7 +48,7 @@ def test_normalize_random(spark):
         (lambda: times.to_millis(F.lit("never")), None),
         (lambda: times.relative_age(F.lit(7300)), "2h ago"),
         (lambda: times.byte_size(F.lit(2048)), "2.0 KB"),
-        (lambda: values.short_model(F.lit("vendor/gpt-x-20250101")), "gpt-x"),
+        (lambda: values.short_model(F.lit("vendor/claude-x-20250101")), "x"),
         (lambda: values.model_family(F.lit("vendor/gpt-x")), "GPT"),
         (lambda: values.model_family(F.lit("what")), "Other"),
         (lambda: values.image_mime(F.lit("a/B.PNG")), "image/png"),
@@ -57,7 +57,7 @@ def test_normalize_random(spark):
         (lambda: values.provider_model(F.lit(""), F.lit("m")), "m"),
         (lambda: values.valid_key(F.lit("..")), False),
         (lambda: values.valid_generation(F.lit("g0001")), True),
-        (lambda: T.instruction_label(F.lit(" <environment_context>x")), "Environment"),
+        (lambda: T.instruction_label(F.lit("user"), F.lit(" <environment_context>x")), "Environment context"),
     ],
 )
 def test_scalars(spark, make, want):

@@ -22,8 +22,8 @@ def _says(kind, uuid, content, parent=None, **more):
 @pytest.fixture
 def tree(tmp_path):
     _write(tmp_path / "-workspace-example-project/s1.jsonl", [
-        _says("user", "u1", "Please list the files"), "", "{broken", '{"type":"progress","x":1}',
-        _says("assistant", "u2", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "I will."}, {"type": "tool_use", "id": "t1", "name": "bash", "input": {"command": "ls"}}], "u1", id="m1", model="m-one"),
+        _says("user", "u1", "Please list the files"), "", "{broken", '{"type":"api-request","x":1}',
+        _says("assistant", "u2", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "I will."}, {"type": "tool_use", "id": "t1", "name": "run_terminal_command_v2", "input": {"command": "ls"}}], "u1", id="m1", model="m-one"),
         _says("user", "u3", [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "a.txt"}], "is_error": False}], "u2"),
         _says("user", "u4", "<system-reminder>be brief</system-reminder>", "u3"), {"type": "strange", "uuid": "u5", "timestamp": "x"}, {"type": "pr-link", "prUrl": "javascript:1", "prRepository": "r"},
     ])
@@ -36,7 +36,7 @@ def test_tree_logs(spark, tree):
     assert {(r.session_key, r.parent_id, r.project) for r in raw.select("session_key", "parent_id", "project").distinct().collect()} == {("s1", None, "-workspace-example-project"), ("agent-9", "s1", "-workspace-example-project")}
     events = records.tree_events(raw).where("session_key = 's1'").collect()
     got = sorted((e.seq, e.kind, e.text, e.label) for e in events if e.kind != "tool")
-    assert got == [(0, "user", "Please list the files", None), (4, "assistant", "I will.", None), (4, "thinking", "hm", None), (6, "notice", "<system-reminder>be brief</system-reminder>", "System reminder"), (7, "raw", None, "strange"), (8, "pr_link", None, "r")]
+    assert got == [(0, "user", "Please list the files", None), (4, "assistant", "I will.", None), (4, "reasoning", "hm", None), (6, "notice", "<system-reminder>be brief</system-reminder>", "System reminder"), (7, "raw", None, "strange"), (8, "attachment", None, "pr-link")]
     call = next(e for e in events if e.kind == "tool")
     assert (call.name, call.result, call.is_error, call.call_id) == ("Bash", "a.txt", False, "t1")
     assert quality.violations(records.tree_events(raw), ["session_key", "seq"]).isEmpty()
@@ -50,7 +50,7 @@ def test_rollout_logs(spark, tmp_path):
     rows = [
         line("session_meta", id="x"), line("event_msg", type="user_message", message="Do  it"), line("response_item", type="message", role="user", content=[{"type": "input_text", "text": "Do it"}]),
         line("response_item", type="message", role="user", content=[{"type": "input_text", "text": "<environment_context>x</environment_context>"}]), line("response_item", type="reasoning", summary=[{"type": "summary_text", "text": "why"}], encrypted_content="zz"),
-        line("response_item", type="function_call", name="shell", arguments='{"cmd":"ls"}', call_id="c1"), line("response_item", type="function_call_output", call_id="c1", output='Output: {"output":"no","metadata":{"exit_code":2}}'),
+        line("response_item", type="function_call", name="run_terminal_command_v2", arguments='{"cmd":"ls"}', call_id="c1"), line("response_item", type="function_call_output", call_id="c1", output='Output: {"output":"no","metadata":{"exit_code":2}}'),
         line("response_item", type="new_thing"), line("event_msg", type="task_complete", turn_id="t"),
     ]
     _write(tmp_path / "live/2025/01/01" / name, rows)
@@ -58,7 +58,7 @@ def test_rollout_logs(spark, tmp_path):
     raw = jsonl.rollout_logs(spark, [str(tmp_path / "live"), str(tmp_path / "old")])
     assert raw.count() == len(rows)
     events = records.rollout_events(raw).collect()
-    assert sorted((e.kind, e.text or "", e.label or "") for e in events if e.kind not in ("tool",)) == [("instructions", "<environment_context>x</environment_context>", "Environment"), ("raw", "", "new_thing"), ("status", "", "task_complete"), ("thinking", "why", "encrypted"), ("user", "Do  it", "")]
+    assert sorted((e.kind, e.text or "", e.label or "") for e in events if e.kind not in ("tool",)) == [("instructions", "<environment_context>x</environment_context>", "Environment context"), ("raw", "", "new_thing"), ("reasoning", "why", "encrypted"), ("status", "", "task_complete"), ("user", "Do  it", "")]
     call = next(e for e in events if e.kind == "tool")
     assert (call.name, call.result, call.is_error) == ("Bash", "no", True)
 
@@ -82,7 +82,7 @@ def test_stores(spark, tmp_path):
     con.execute("CREATE TABLE part (id, message_id, session_id, data)")
     con.execute("INSERT INTO session VALUES ('s', NULL, '/w', 'New session - 1', '1', 1, 2)")
     con.execute("INSERT INTO message VALUES ('m1', 's', 5, '{\"role\":\"user\"}'), ('m2', 's', 6, '{\"role\":\"assistant\",\"providerID\":\"p\",\"modelID\":\"m\"}')")
-    con.executemany("INSERT INTO part VALUES (?, ?, 's', ?)", [("p1", "m1", '{"type":"text","text":"hi"}'), ("p2", "m1", '{"type":"text","text":"aux","synthetic":true}'), ("p3", "m2", '{"type":"tool","tool":"read","callID":"c","state":{"status":"error","input":{"path":"a"},"error":"gone"}}'), ("p4", "m2", '{"type":"step-start"}')])
+    con.executemany("INSERT INTO part VALUES (?, ?, 's', ?)", [("p1", "m1", '{"type":"text","text":"hi"}'), ("p2", "m1", '{"type":"text","text":"aux","synthetic":true}'), ("p3", "m2", '{"type":"tool","tool":"read_file_v2","callID":"c","state":{"status":"error","input":{"path":"a"},"error":"gone"}}'), ("p4", "m2", '{"type":"step-start"}')])
     con.commit()
     con.close()
     _, messages, parts = sqlite.three_tables(spark, str(tmp_path), "three.db")
@@ -91,7 +91,7 @@ def test_stores(spark, tmp_path):
     assert (events[2].name, events[2].result, events[2].is_error) == ("Read", "gone", True)
     con = sqlite3.connect(chat)
     con.execute("CREATE TABLE blobs (id TEXT, data BLOB)")
-    con.executemany("INSERT INTO blobs VALUES (?, ?)", [("a", b'{"role":"user","content":"<user_info>x"}'), ("b", b'\x02\x01{"role":"assistant","content":[{"type":"text","text":"yes"},{"type":"tool-call","toolCallId":"k","toolName":"grep","args":{"pattern":"z"}}]}'), ("c", b'{"role":"tool","content":[{"type":"tool-result","toolCallId":"k","result":"hit"}]}'), ("d", b"\x00\x01")])
+    con.executemany("INSERT INTO blobs VALUES (?, ?)", [("a", b'{"role":"user","content":"<user_info>x"}'), ("b", b'\x02\x01{"role":"assistant","content":[{"type":"text","text":"yes"},{"type":"tool-call","toolCallId":"k","toolName":"rg","args":{"pattern":"z"}}]}'), ("c", b'{"role":"tool","content":[{"type":"tool-result","toolCallId":"k","result":"hit"}]}'), ("d", b"\x00\x01")])
     con.commit()
     con.close()
     events = records.blob_events(sqlite.blob_messages(spark, str(tmp_path))).collect()

@@ -60,9 +60,9 @@ def clip(text: Column, most: int) -> Column:
 
 
 def short_path(path: Column) -> Column:
-    """F8: the last two parts of a path."""
+    """F8: a path of at most two parts, or its last two after an ellipsis."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.concat_ws("/", F.when(F.size(parts) > 2, F.slice(parts, -2, 2)).otherwise(parts))
+    return F.when(F.size(parts) <= 2, path).otherwise(F.concat(F.lit(".../"), F.concat_ws("/", F.slice(parts, -2, 2))))
 
 
 def decode_directory(name: Column) -> Column:
@@ -100,15 +100,13 @@ def call_id_parts(text: Column) -> tuple[Column, Column]:
     return F.split_part(text, F.lit("\n"), F.lit(1)), F.split_part(text, F.lit("\n"), F.lit(2))
 
 
-def instruction_label(text: Column) -> Column:
-    """what kind of instructions a text is, by how it begins."""
+def instruction_label(role: Column, text: Column) -> Column:
+    """what kind of instructions a text is, by how it begins, else by its role."""
     flat = F.ltrim(text)
     return (
-        F.when(F.startswith(flat, F.lit("<environment_context")), "Environment")
-        .when(F.startswith(flat, F.lit("<permissions")), "Permissions")
-        .when(F.startswith(flat, F.lit("<user_instructions")) | F.startswith(flat, F.lit("# AGENTS.md")), "User instructions")
-        .otherwise("Instructions")
-    )
+        F.when(F.startswith(flat, F.lit("<environment_context>")), "Environment context").when(F.startswith(flat, F.lit("<user_instructions>")), "User instructions (AGENTS.md)")
+        .when(role == "developer", "Developer instructions").when(role == "system", "System prompt").otherwise("Context")
+    )
 
 
 def error_text(name: Column, message: Column) -> Column:

@@ -5,22 +5,21 @@ from pyspark.sql import functions as F
 
 #: Image types by file extension, and by their first bytes.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "bmp": "image/bmp"}
-MAGIC = {"89504E47": "png", "FFD8FF": "jpeg", "47494638": "gif", "52494646": "webp"}
-#: How model names begin, by family.
-FAMILIES = {"claude": "Claude", "gpt": "GPT", "o1": "GPT", "o3": "GPT", "o4": "GPT", "codex": "GPT", "gemini": "Gemini", "grok": "Grok", "composer": "Composer"}
+MAGIC = {"89504E47": "png", "FFD8FF": "jpeg", "47494638": "gif", "52494646": "webp", "424D": "bmp"}
 
 
 def short_model(model: Column) -> Column:
-    """a model's name without its provider and without a date at its end."""
-    return F.regexp_replace(F.substring_index(model, "/", -1), "-20[0-9]{6}$", "")
+    """a model's name without its provider, its family's prefix, and a date or size at its end."""
+    name = F.regexp_replace(model, "^[^/]*/", "")
+    name = F.regexp_replace(F.regexp_replace(name, "^claude-", ""), "-[0-9]{8}$", "")
+    return F.coalesce(F.regexp_replace(F.regexp_replace(name, r"\[1m\]$", " (1M)"), "-codex$", ""), F.lit(""))
 
 
 def model_family(model: Column) -> Column:
-    """the family that a model's name begins with; Other for the rest."""
-    name, out = F.lower(short_model(model)), F.lit("Other")
-    for begin, family in reversed(FAMILIES.items()):
-        out = F.when(F.startswith(name, F.lit(begin)), family).otherwise(out)
-    return out
+    """Claude, GPT or Other, by how the bare name begins."""
+    name = F.lower(F.substring_index(F.coalesce(model, F.lit("")), "/", -1))
+    begins = lambda *x: name.rlike("^(" + "|".join(x) + ")")
+    return F.when(begins("claude"), "Claude").when(begins("gpt", "o1", "o3") | F.contains(name, F.lit("codex")), "GPT").otherwise("Other")
 
 
 def parsed(text: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: The kinds of events and the fields that each must have.
 REQUIRED = {
-    "user": ["text"], "assistant": ["text"], "tool": ["name"], "instructions": ["text"], "notice": ["label"], "thinking": [], "branch": [], "compaction": [],
-    "context": [], "status": [], "tokens": [], "patch": [], "web_search": [], "review_request": [], "review_decision": [], "pr_link": [], "raw": ["payload"],
+    "user": ["text"], "assistant": ["text"], "reasoning": ["text"], "tool": ["name"], "web_search": [], "web_call": [], "instructions": ["text"], "system": ["text"], "notice": ["label", "text"],
+    "attachment": ["label"], "guardian_request": ["payload"], "guardian_decision": [], "status": ["label"], "context": [], "tokens": ["payload"], "raw": ["label", "payload"], "branch": [],
 }
 
 

@@ -13,12 +13,28 @@ from tracemill.functions.text import clip, instruction_label, single_spaced
 from tracemill.functions.values import image_mime
 
 #: Record types that carry nothing to show.
-TREE_IGNORED = ("file-history-snapshot", "progress", "queue-operation", "ai-title", "custom-title", "agent-name", "last-prompt", "api-request", "api-request-blob", "api-request-shape")
+TREE_IGNORED = (
+    "atis-latch", "bridge-session", "cost-state", "file-history-delta", "mode", "queue-operation", "session-owner", "summary", "tools-used", "api-request", "api-request-blob",
+    "api-request-shape", "agent-name", "ai-title", "custom-title", "last-prompt", "permission-mode", "pr-link", "file-history-snapshot",
+)
+PART_IGNORED = ("agent", "snapshot", "step-start")
 ROLLOUT_IGNORED = ("session_meta", "world_state", "turn_context")
+EVENT_IGNORED = (
+    "agent_message_delta", "agent_reasoning_delta", "agent_reasoning_raw_content", "agent_reasoning_raw_content_delta", "agent_reasoning_section_break", "context_compacted",
+    "exec_command_begin", "exec_command_end", "exec_command_output_delta", "mcp_tool_call_begin", "mcp_tool_call_end", "patch_apply_begin", "patch_apply_end", "session_configured",
+    "thread_rolled_back", "thread_settings_applied", "turn_diff",
+)
 #: Tool names of one layout by their common name.
-TOOL_NAMES = {"run_terminal_cmd": "Bash", "shell": "Bash", "bash": "Bash", "read_file": "Read", "read": "Read", "edit_file": "Edit", "edit": "Edit", "write": "Write", "grep_search": "Grep", "grep": "Grep", "list_dir": "LS", "glob": "Glob", "web_search": "WebSearch", "webfetch": "WebFetch"}
+TOOL_NAMES = {
+    "run_terminal_command_v2": "Bash", "read_file_v2": "Read", "edit_file_v2": "Edit", "glob_file_search": "Glob", "ripgrep_raw_search": "Grep", "read_lints": "ReadLints",
+    "todo_write": "TodoWrite", "delete_file": "Delete", "await": "AwaitShell", "semantic_search_full": "SemanticSearch", "web_search": "WebSearch", "ReadFile": "Read",
+    "StrReplace": "Edit", "rg": "Grep", "Await": "AwaitShell", "ApplyPatch": "Edit",
+}
 #: Labels of injected texts by the tag that they begin with.
-NOTICE_LABELS = {"local-command-stdout": "Command output", "command-name": "Command", "bash-input": "Shell command", "bash-stdout": "Shell output", "system-reminder": "System reminder", "task-notification": "Task notification", "environment_context": "Environment", "user_instructions": "User instructions"}
+NOTICE_LABELS = {
+    "task-notification": "Background task", "command-name": "Slash command", "command-message": "Slash command", "command-args": "Slash command", "local-command-stdout": "Command output",
+    "local-command-stderr": "Command output", "local-command-caveat": "Command caveat", "system-reminder": "System reminder", "user-prompt-submit-hook": "Hook",
+}
 #: Inline images up to so many characters are kept.
 IMAGE_CHARS = 2_000_000
 EVENT_COLUMNS = ("session_key", "seq", "uuid", "parent_uuid", "kind", "ts", "label", "text", "model", "cwd", "call_id", "name", "input", "result", "is_error", "is_sidechain", "payload")
@@ -84,7 +100,7 @@ def tool_name(name: Column) -> Column:
     """The common name of a tool; its own if it has none."""
     out = name
     for own, common in TOOL_NAMES.items():
-        out = F.when(F.lower(name) == own, common).otherwise(out)
+        out = F.when(name == own, common).otherwise(out)
     return out
 
 
@@ -178,17 +194,17 @@ def tree_events(raw: DataFrame) -> DataFrame:
     replies = raw.where(kind == "assistant").withColumn("_text", text)
     model = {"model": at("message.model")}
     said = _shaped(replies.where("_text != ''"), kind=F.lit("assistant"), text=F.col("_text"), **model, **common)
-    thoughts = _shaped(_blocks(replies, "thinking"), kind=F.lit("thinking"), text=at("thinking", value="block"), **model, **common)
+    thoughts = _shaped(_blocks(replies, "thinking"), kind=F.lit("reasoning"), text=at("thinking", value="block"), **model, **common)
     calls = _blocks(replies, "tool_use").withColumn("call_id", at("id", value="block"))
     last = results.select("session_key", "seq", at("tool_use_id", value="block").alias("call_id"), result_text(F.try_variant_get("block", "$.content", "variant")).alias("_result"), F.coalesce(at("is_error", "boolean", "block"), F.lit(False)).alias("_error"))
     last = last.groupBy("session_key", "call_id").agg(F.max_by(F.struct("_result", "_error"), "seq").alias("_r"))
     paired = calls.join(last, ["session_key", "call_id"], "left")
     tools = _shaped(paired, kind=F.lit("tool"), call_id=F.col("call_id"), name=tool_name(at("name", value="block")), input=F.try_variant_get("block", "$.input", "variant"), result=F.col("_r._result"), is_error=F.col("_r._error"), **model, **common)
-    compact = _shaped(raw.where((kind == "system") & (at("subtype") == "compact_boundary")), kind=F.lit("compaction"), text=at("content"), payload=F.try_variant_get("value", "$.compactMetadata", "variant"), **common)
+    compact = _shaped(raw.where((kind == "system") & (at("subtype") == "compact_boundary")), kind=F.lit("system"), label=F.lit("compact_boundary"), text=at("content"), payload=F.try_variant_get("value", "$.compactMetadata", "variant"), **common)
     queued = F.coalesce(at("attachment.prompt"), content_text(F.try_variant_get("value", "$.attachment.prompt", "variant")))
     waiting = _shaped(raw.where((kind == "attachment") & (at("attachment.type") == "queued_command")), kind=F.lit("user"), text=queued, label=F.lit("Queued"), **common)
-    files = _shaped(raw.where((kind == "attachment") & (at("attachment.type") != "queued_command")), kind=F.lit("notice"), label=at("attachment.type"), text=F.coalesce(at("attachment.displayPath"), at("attachment.filename"), at("attachment.stdout"), at("attachment.content")), **common)
-    links = _shaped(raw.where(kind == "pr-link"), kind=F.lit("pr_link"), text=safe_link(at("prUrl")), label=at("prRepository"), **common)
+    files = _shaped(raw.where((kind == "attachment") & (at("attachment.type") != "queued_command")), kind=F.lit("attachment"), label=at("attachment.type"), text=F.coalesce(at("attachment.displayPath"), at("attachment.filename"), at("attachment.stdout"), at("attachment.content")), **common)
+    links = _shaped(raw.where(kind == "pr-link"), kind=F.lit("attachment"), text=safe_link(at("prUrl")), label=F.lit("pr-link"), name=at("prRepository"), **common)
     known = ("user", "assistant", "attachment", "pr-link", *TREE_IGNORED)
     rest = raw.where(~kind.isin(*known) & ~((kind == "system") & F.coalesce(at("subtype") == "compact_boundary", F.lit(False))))
     return _placed([prompts, notes, said, thoughts, tools, compact, waiting, files, links, _shaped(rest, kind=F.lit("raw"), label=kind, payload=F.col("value"), **common)])
@@ -214,10 +230,10 @@ def rollout_events(raw: DataFrame) -> DataFrame:
     every = events.unionByName(own).where("_text != ''")
     plain = F.col("_role").isin("user", "assistant") & ~((F.col("_role") == "user") & F.startswith(F.ltrim("_text"), F.lit("<")))
     spoken = _shaped(every.where(plain), kind=F.col("_role"), text=F.col("_text"), **common)
-    told = _shaped(every.where(~plain), kind=F.lit("instructions"), text=F.col("_text"), label=instruction_label(F.col("_text")), **common)
+    told = _shaped(every.where(~plain), kind=F.lit("instructions"), text=F.col("_text"), label=instruction_label(F.col("_role"), F.col("_text")), **common)
     thoughts = item.where(sub == "reasoning")
     summary = F.array_join(F.transform(F.try_variant_get("value", "$.payload.summary", "array<variant>"), lambda p: F.try_variant_get(p, "$.text", "string")), "\n\n")
-    reasoned = _shaped(thoughts, kind=F.lit("thinking"), text=summary, label=F.when(at("payload.encrypted_content").isNotNull(), "encrypted"), **common)
+    reasoned = _shaped(thoughts, kind=F.lit("reasoning"), text=summary, label=F.when(at("payload.encrypted_content").isNotNull(), "encrypted"), **common)
     calls = item.where(sub.isin("function_call", "custom_tool_call")).withColumn("call_id", at("payload.call_id"))
     outputs = item.where(sub.isin("function_call_output", "custom_tool_call_output")).select("session_key", "seq", at("payload.call_id").alias("call_id"), result_text(F.try_variant_get("value", "$.payload.output", "variant")).alias("_out"))
     outputs = outputs.groupBy("session_key", "call_id").agg(F.max_by("_out", "seq").alias("_out"))
@@ -226,13 +242,13 @@ def rollout_events(raw: DataFrame) -> DataFrame:
     given = F.coalesce(F.try_parse_json(at("payload.arguments")), F.to_variant_object(F.struct(F.coalesce(at("payload.input"), at("payload.arguments")).alias("raw"))))
     tools = _shaped(paired, kind=F.lit("tool"), call_id=F.col("call_id"), name=tool_name(at("payload.name")), input=given, result=text, is_error=failed, **common)
     searches = _shaped(item.where(sub == "web_search_call"), kind=F.lit("web_search"), text=F.coalesce(at("payload.action.query"), F.array_join(at("payload.action.queries", "array<string>"), "\n")), call_id=at("payload.call_id"), **common)
-    compact = _shaped(raw.where(kind == "compacted"), kind=F.lit("compaction"), text=at("payload.message"), payload=F.try_variant_get("value", "$.payload", "variant"), **common)
+    compact = _shaped(raw.where(kind == "compacted"), kind=F.lit("system"), label=F.lit("compact_boundary"), text=at("payload.message"), payload=F.try_variant_get("value", "$.payload", "variant"), **common)
     status = _shaped(raw.where((kind == "event_msg") & sub.isin("task_started", "task_complete", "turn_aborted")), kind=F.lit("status"), label=sub, payload=F.try_variant_get("value", "$.payload", "variant"), **common)
     tokens = _shaped(raw.where(((kind == "event_msg") & (sub == "token_count")) | (kind == "token_usage_record")), kind=F.lit("tokens"), payload=F.try_variant_get("value", "$.payload", "variant"), **common)
     context = _shaped(raw.where(kind == "turn_context"), kind=F.lit("context"), model=at("payload.model"), cwd=at("payload.cwd"), payload=F.try_variant_get("value", "$.payload", "variant"), **common)
     shown = ("user_message", "agent_message", "agent_reasoning", "item_completed", "task_started", "task_complete", "turn_aborted", "token_count", "web_search_end", "patch_apply_end")
     items = ("message", "reasoning", "function_call", "custom_tool_call", "function_call_output", "custom_tool_call_output", "web_search_call")
-    known = kind.isin(*ROLLOUT_IGNORED, "compacted", "token_usage_record") | ((kind == "event_msg") & sub.isin(*shown)) | ((kind == "response_item") & sub.isin(*items))
+    known = kind.isin(*ROLLOUT_IGNORED, "compacted", "token_usage_record") | ((kind == "event_msg") & sub.isin(*shown, *EVENT_IGNORED)) | ((kind == "response_item") & sub.isin(*items))
     rest = _shaped(raw.where(~F.coalesce(known, F.lit(False))), kind=F.lit("raw"), label=F.coalesce(sub, kind), payload=F.col("value"), **common)
     return _placed([spoken, told, reasoned, tools, searches, compact, status, tokens, context, rest])
 
@@ -240,8 +256,8 @@ def rollout_events(raw: DataFrame) -> DataFrame:
 def bubble_events(headers: DataFrame, bubbles: DataFrame) -> DataFrame:
     """Events of IDE bubbles (session_key, bubble_id, value), in the order of headers (session_key, seq, bubble_id)."""
     raw = headers.join(bubbles, ["session_key", "bubble_id"])
-    kind = F.when(at("type", "int") == 1, "user").when(F.try_variant_get("value", "$.toolFormerData", "variant").isNotNull(), "tool").when(at("thinking.text").isNotNull(), "thinking").otherwise("assistant")
-    text = F.when(kind == "thinking", at("thinking.text")).when(kind == "user", clean_prompt(at("text"))).otherwise(at("text"))
+    kind = F.when(at("type", "int") == 1, "user").when(F.try_variant_get("value", "$.toolFormerData", "variant").isNotNull(), "tool").when(at("thinking.text").isNotNull(), "reasoning").otherwise("assistant")
+    text = F.when(kind == "reasoning", at("thinking.text")).when(kind == "user", clean_prompt(at("text"))).otherwise(at("text"))
     given = F.try_parse_json(F.coalesce(at("toolFormerData.rawArgs"), at("toolFormerData.params")))
     return _shaped(raw, kind=kind, uuid=F.col("bubble_id"), text=text, ts=at("createdAt"), model=at("modelInfo.modelName"), call_id=at("toolFormerData.toolCallId"), name=tool_name(at("toolFormerData.name")), input=given, result=at("toolFormerData.result"), is_error=at("toolFormerData.status") == "error")
 
@@ -269,7 +285,7 @@ def blob_events(raw: DataFrame) -> DataFrame:
     calls = parts.where("_type = 'tool-call'").withColumn("call_id", at("toolCallId", value="block")).join(results, ["session_key", "call_id"], "left")
     return _placed([
         _shaped(users, kind=F.lit("user"), text=F.col("_text")), _shaped(raw.where((role == "assistant") & (F.col("_text") != "")), kind=F.lit("assistant"), text=F.col("_text"), model=at("providerOptions.cursor.modelName")),
-        _shaped(parts.where("_type = 'reasoning'"), kind=F.lit("thinking"), text=at("text", value="block")),
+        _shaped(parts.where("_type = 'reasoning'"), kind=F.lit("reasoning"), text=at("text", value="block")),
         _shaped(calls, kind=F.lit("tool"), call_id=F.col("call_id"), name=tool_name(at("toolName", value="block")), input=F.try_variant_get("block", "$.args", "variant"), result=F.col("_r.r"), is_error=F.coalesce("_r.e", F.lit(False))),
     ])
 
@@ -289,8 +305,8 @@ def part_events(messages: DataFrame, parts: DataFrame) -> DataFrame:
     tool = raw.where(kind == "tool")
     return _placed([
         _shaped(raw.where(kind == "text"), kind=spoken, label=label, text=at("text"), **common),
-        _shaped(raw.where(kind == "reasoning"), kind=F.lit("thinking"), text=at("text"), **common),
+        _shaped(raw.where(kind == "reasoning"), kind=F.lit("reasoning"), text=at("text"), **common),
         _shaped(tool, kind=F.lit("tool"), call_id=at("callID"), name=tool_name(at("tool")), input=F.try_variant_get("value", "$.state.input", "variant"), result=F.coalesce(at("state.output"), at("state.error")), is_error=at("state.status") == "error", **common),
-        _shaped(raw.where(kind == "compaction"), kind=F.lit("compaction"), **common),
-        _shaped(raw.where(~kind.isin("text", "reasoning", "tool", "compaction", "step-start", "step-finish", "snapshot")), kind=F.lit("raw"), label=kind, payload=F.col("value"), **common),
+        _shaped(raw.where(kind == "compaction"), kind=F.lit("system"), label=F.lit("compact_boundary"), text=F.lit(""), **common),
+        _shaped(raw.where(~kind.isin("text", "reasoning", "tool", "compaction", "step-finish", *PART_IGNORED)), kind=F.lit("raw"), label=kind, payload=F.col("value"), **common),
     ])

@@ -14,7 +14,7 @@ from tracemill.operators.sets import upsert
 #: What an occurrence counts in each tier, best first.
 WEIGHTS = {"custom": 10_000, "native": 5_000, "user": 50, "rest": 1}
 #: Tool inputs that are searched.
-INPUT_KEYS = ("command", "cmd", "code", "query", "pattern", "path", "file_path", "content", "old_string", "new_string", "prompt", "description", "url", "explanation", "text", "message", "skill", "args")
+INPUT_KEYS = ("cmd", "command", "file_path", "pattern", "query", "prompt", "description", "content", "url", "old_string", "new_string", "old_str", "new_str", "old_text", "new_text", "patch", "patch_text", "diff")
 
 
 def tool_input_text(value: Column) -> Column:

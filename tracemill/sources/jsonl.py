@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.windows import file_sequence
 
 #: How lines of bulky records begin that nothing shows.
-BULKY = ('{"type":"api-request-blob"', '{"type":"api-request"', '{"type":"file-history-snapshot"', '{"type":"progress"')
+BULKY = ('{"type":"api-request"', '{"type":"api-request-blob"')
 
 
 def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
