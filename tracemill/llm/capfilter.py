@@ -13,6 +13,7 @@ spanning forest. Filters that more than ``BLOCK`` vectors exceed are dealt out a
 
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +24,36 @@ from tracemill.llm.components import components
 from tracemill.llm.store import parts, stored
 
 BLOCK = 1024
-CODES, WORDS, THRESHOLD = 6, 80, 0.4
+#: Codes, codewords in a block of 32 dimensions or more, and the filters that a vector exceeds on average.
+CODES, WORDS, EXPECTED = 6, 80, 25
 _ROW = "label int, filter int, id long, size long, filters binary, vector binary"
 
 
+@lru_cache(32)
+def setting(dims: int) -> tuple[int, float]:
+    """Codewords in a block, and the threshold that ``EXPECTED`` of all directions' inner products with a unit vector reach."""
+    count = max(4, min(WORDS, WORDS * dims // 64))
+    share = min(0.5, EXPECTED / (CODES * count**2))
+    return count, min(0.95, NormalDist().inv_cdf(1 - share) / dims**0.5)
+
+
 @lru_cache(32)
 def _code(dims: int, n: int) -> tuple[np.ndarray, list[tuple[slice, np.ndarray]]]:
     """A rotation, and the slice and unit codewords of both blocks; the same on every machine."""
-    rng = np.random.default_rng([dims, n])
+    rng, count = np.random.default_rng([dims, n]), setting(dims)[0]
     rotation, half, blocks = np.linalg.qr(rng.standard_normal((dims, dims)))[0], (dims + 1) // 2, []
     for part in (slice(0, half), slice(half, dims)):
-        words = rng.standard_normal((WORDS, max(part.stop - part.start, 1)))
+        words = rng.standard_normal((count, max(part.stop - part.start, 1)))
         blocks.append((part, (words / np.linalg.norm(words, axis=1, keepdims=True))[:, : part.stop - part.start]))
     return rotation, blocks
 
 
-def decode(vectors: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every direction with an inner product of at least ``threshold`` with a unit vector.
+def decode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of every direction whose inner product with a unit vector reaches the threshold.
 
     The nearest direction of each code always counts, so that no vector is without a filter.
     """
-    rows, found = [], []
+    rows, found, (count, threshold) = [], [], setting(vectors.shape[1])
     for n in range(CODES):
         rotation, blocks = _code(vectors.shape[1], n)
         turned = vectors @ rotation
@@ -52,7 +62,7 @@ def decode(vectors: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarra
         row, first = np.nonzero(a >= (need - b.max(axis=1))[:, None])
         at, second = np.nonzero(a[row, first][:, None] + b[row] >= need[row][:, None])
         rows.append(row[at])
-        found.append(((n * WORDS + first[at]) * WORDS + second).astype(np.int32))
+        found.append(((n * count + first[at]) * count + second).astype(np.int32))
     return np.concatenate(rows), np.concatenate(found)
 
 
