@@ -31,8 +31,9 @@ CONTEXTS = 24
 #: Cells of the histogram that expectation-maximisation reads, per bucket and estimate: eighths of a power of two.
 STEPS = 8
 DEPTH = 40 * STEPS
-_END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for a text's end among its words; no UTF-8 text holds this byte.
+_END = b"\xff"
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -40,45 +41,59 @@ def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % 10
 
 
-def tokens(text: bytes, known: dict[bytes, int]) -> list[int]:
-    """64-bit hashes of the words, A-Z lower-cased. ``known`` keeps those met before, while they are few enough."""
-    words = text.lower().split()
-    try:
-        return [known[w] for w in words]
-    except KeyError:
-        if len(known) > 300_000:
-            known.clear()
-        for w in (w for w in words if w not in known):
-            known[w] = xxhash.xxh64_intdigest(w, 7) | 1
-        return [known[w] for w in words]
+class Lexicon(dict):
+    """A number for each word met, and the 64-bit hashes of words by number; odd, as keys of pairs are even."""
 
+    def __init__(self):
+        self.hashes = []
 
-def _pairs(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context, pair key, document) of every token; each document's words are followed by an end, its first context too."""
-    size = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    token = np.concatenate([x for w in words for x in (w, np.array([_END]))]) if words else np.zeros(0, np.uint64)
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[np.cumsum(size) - size] = _END
-    with np.errstate(over="ignore"):
-        key = (context * _PAIR) ^ (token * np.uint64(0xC2B2AE3D27D4EB4F))
-        key = (key ^ (key >> np.uint64(31))) * _PAIR
-    return token, context, key & ~np.uint64(1), np.repeat(np.arange(len(words)), size)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.hashes.append(xxhash.xxh64_intdigest(word, 7) | 1)
+        return number
 
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, pair key, document, whether the first) of every token: words, A-Z lower-cased, and an end after each text.
 
-def _read(part: list[bytes], known: dict) -> tuple:
-    return _pairs([np.array(tokens(t, known), dtype=np.uint64) for t in part])
+        A pair's first word is the token before; that of a text's first token is the end.
+        """
+        if len(self) > 150_000:
+            self.clear()
+            self.hashes = []
+        words = b"".join(t + b" \xff " for t in texts).lower().split()
+        token = np.array(self.hashes, dtype=np.uint64)[number] if len(number := np.array(list(map(self.__getitem__, words)), dtype=np.int64)) else np.zeros(0, np.uint64)
+        end = number == self[_END]
+        first = np.concatenate([[True], end[:-1]])[: len(end)]
+        with np.errstate(over="ignore"):
+            key = (np.roll(token, 1) * _PAIR) ^ (token * np.uint64(0xC2B2AE3D27D4EB4F))
+            key = (key ^ (key >> np.uint64(31))) * _PAIR
+        # 48 bits of a pair, at the top as in a word's hash
+        return token, key & np.uint64(0xFFFF_FFFF_FFFF_0000), np.cumsum(end) - end, first
 
 
-_BLOCK = "block string, fold int, cell int, asked binary, counted binary, docs binary"
+def _squeezed(values: np.ndarray, ordered: bool = False) -> bytes:
+    """64-bit numbers, their bytes place by place, compressed; of ordered ones their differences."""
+    values = values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64)
+    steps = np.diff(values, prepend=0) if ordered else values
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _restored(data: bytes, ordered: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    return np.cumsum(values) if ordered else values
+
+
+_ASK = "place string, cell int, block string, fold int, asked binary, counted binary, docs binary"
+_ANSWER = "block string, fold int, cell int, kept binary, held binary, docs binary"
 
 
 def _ask(cells: int, size: int):
     """Blocks of about ``size`` bytes of text, all of one kind of fold: what they ask of each cell, and their texts."""
 
-    def emit(name: str, fold: int, ids: list, texts: list[bytes], known: dict) -> Iterator[pa.RecordBatch]:
-        token, _, pair, _ = _read(texts, known)
-        key, n = np.unique(np.concatenate([token | np.uint64(1), pair]), return_counts=True)
+    def emit(name: str, fold: int, ids: list, texts: list[bytes], words: Lexicon) -> Iterator[pa.RecordBatch]:
+        token, pair, _, _ = words.read(texts)
+        key, n = np.unique(np.concatenate([token, pair]), return_counts=True)
         sink = pa.BufferOutputStream()
         table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary())})
         with pa.ipc.new_stream(sink, table.schema) as out:
@@ -86,16 +101,16 @@ def _ask(cells: int, size: int):
         packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
         cell = (key >> np.uint64(40)).astype(np.int64) * cells >> 24
         cut = np.searchsorted(cell, np.arange(cells + 1))
-        rows = np.nonzero(np.diff(cut))[0]
-        asked = [key[cut[c] : cut[c + 1]].tobytes() for c in rows]
-        counted = [n[cut[c] : cut[c + 1]].astype(np.uint32).tobytes() if fold != TEST else b"" for c in rows]
+        rows = np.nonzero(np.diff(cut))[0].tolist()
+        asked = [_squeezed(key[cut[c] : cut[c + 1]], ordered=True) for c in rows]
+        counted = [_squeezed(n[cut[c] : cut[c + 1]]) if fold != TEST else None for c in rows]
         yield pa.RecordBatch.from_arrays([
-            pa.array([name] * (len(rows) + 1)), pa.array([fold] * (len(rows) + 1), pa.int32()), pa.array([-1, *rows.tolist()], pa.int32()),
+            pa.array([name, *map(str, rows)]), pa.array([-1, *rows], pa.int32()), pa.array([name] * (len(rows) + 1)), pa.array([fold] * (len(rows) + 1), pa.int32()),
             pa.array([None, *asked], pa.binary()), pa.array([None, *counted], pa.binary()), pa.array([packed] + [None] * len(rows), pa.binary()),
-        ], ["block", "fold", "cell", "asked", "counted", "docs"])
+        ], [c.split()[0] for c in _ASK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        words = Lexicon()
         names = (f"{TaskContext.get().partitionId()}-{i}" for i in count())
         held = {fold: ([], [], 0) for fold in (TEST, HELD, KEPT)}
         for batch in batches:
@@ -105,52 +120,59 @@ def _ask(cells: int, size: int):
                 ids, texts, have = held[fold]
                 ids.append(doc_id)
                 texts.append(raw)
-                held[fold] = (ids, texts, have + len(raw))
-                if have + len(raw) >= size:
-                    yield from emit(next(names), fold, ids, texts, known)
+                held[fold] = (ids, texts, have + len(raw) + 8)
+                if held[fold][2] >= size:
+                    yield from emit(next(names), fold, ids, texts, words)
                     held[fold] = ([], [], 0)
         for fold, (ids, texts, _) in held.items():
             if ids:
-                yield from emit(next(names), fold, ids, texts, known)
+                yield from emit(next(names), fold, ids, texts, words)
 
     return run
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, without a batch's worth of Python objects."""
+    for batch in batches:
+        names, columns = batch.schema.names, batch.columns
+        for i in range(len(batch)):
+            yield {n: c[i].as_py() for n, c in zip(names, columns, strict=True)}
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per cell, whose rows are together: counts in the kept and in the held-out training documents, for each block's keys."""
+    """Per cell, whose rows are together: counts in the kept and in the held-out training documents, for each block's keys.
+
+    A cell's totals go under no block; a block's texts pass through.
+    """
+
+    def row(block, fold, cell, kept=None, held=None, docs=None) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((block, fold, cell, kept, held, docs), kinds, strict=True)], [c.split()[0] for c in _ANSWER.split(", ")])
 
     def closed(cell: int, rows: list[dict]):
-        asked = [np.frombuffer(r["asked"], dtype=np.uint64) for r in rows]
+        asked = [_restored(r["asked"], ordered=True).view(np.uint64) for r in rows]
         key, back = np.unique(np.concatenate(asked), return_inverse=True)
         sums = np.zeros((2, len(key)), dtype=np.int64)
-        at = 0
-        for r, own in zip(rows, asked, strict=True):
+        place = np.split(back, np.cumsum([len(x) for x in asked])[:-1])
+        for r, mine in zip(rows, place, strict=True):
             if r["fold"] != TEST:
-                sums[int(r["fold"] == HELD), back[at : at + len(own)]] += np.frombuffer(r["counted"], dtype=np.uint32)
-            at += len(own)
-        at = 0
-        for r, own in zip(rows, asked, strict=True):
-            mine = back[at : at + len(own)]
-            at += len(own)
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([r["block"]]), "fold": pa.array([r["fold"]], pa.int32()), "cell": pa.array([cell], pa.int32()),
-                "kept": pa.array([sums[0][mine].astype(np.uint32).tobytes()], pa.binary()), "held": pa.array([sums[1][mine].astype(np.uint32).tobytes()], pa.binary()),
-            })
+                sums[int(r["fold"] == HELD), mine] += _restored(r["counted"])
+        for r, mine in zip(rows, place, strict=True):
+            yield row(r["block"], r["fold"], cell, _squeezed(sums[0][mine]), _squeezed(sums[1][mine]))
         word = (key & np.uint64(1)) == 1
-        yield pa.RecordBatch.from_pydict({
-            "block": pa.array([None], pa.string()), "fold": pa.array([None], pa.int32()), "cell": pa.array([cell], pa.int32()),
-            "kept": pa.array([np.array([sums[0][word].sum(), sums[1][word].sum(), (sums[0][word] > 0).sum(), (sums[:, word].sum(axis=0) > 0).sum()], dtype=np.int64).tobytes()], pa.binary()),
-            "held": pa.array([None], pa.binary()),
-        })
+        totals = [sums[0][word].sum(), sums[1][word].sum(), (sums[0][word] > 0).sum(), (sums[:, word].sum(axis=0) > 0).sum()]
+        yield row(None, None, cell, np.array(totals, dtype=np.int64).tobytes())
 
     cell, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if rows and r["cell"] != cell:
-                yield from closed(cell, rows)
-                rows = []
-            cell = r["cell"]
-            rows.append(r)
+    for r in _rows(batches):
+        if r["docs"] is not None:
+            yield row(r["block"], r["fold"], -1, docs=r["docs"])
+            continue
+        if rows and r["cell"] != cell:
+            yield from closed(cell, rows)
+            rows = []
+        cell = r["cell"]
+        rows.append(r)
     if rows:
         yield from closed(cell, rows)
 
@@ -161,29 +183,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     A block's rows are together: its texts, and what the cells answered, by cell; so the answers are in order of the keys.
     """
 
-    def closed(rows: list[dict], known: dict):
-        docs = next(r["docs"] for r in rows if r["docs"] is not None)
-        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(docs)).read_all()
-        token, context, pair, doc = _read(table.column("text").to_pylist(), known)
-        token, context = token | np.uint64(1), context | np.uint64(1)
-        key = np.unique(np.concatenate([token, pair]))
-        answers = sorted({r["cell"]: r for r in rows if r["docs"] is None}.items())
-        counts = [np.frombuffer(b"".join(r[name] for _, r in answers), dtype=np.uint32).astype(np.int64) for name in ("kept", "held")]
-        places = [np.searchsorted(key, x) for x in (token, pair)]
-        at = np.minimum(np.searchsorted(key, context), len(key) - 1)
-        # the end is every document's token, so any context is among the keys
-        return rows[0]["fold"], table.column("doc_id"), [c[places[0]] for c in counts], [c[at] for c in counts], [c[places[1]] for c in counts], doc
-
-    name, rows, known = None, [], {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            if rows and r["block"] != name:
-                yield closed(rows, known)
-                rows = []
-            name = r["block"]
-            rows.append(r)
+    def closed(rows: list[dict], words: Lexicon):
+        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(next(r["docs"] for r in rows if r["docs"] is not None))).read_all()
+        token, pair, doc, first = words.read(table.column("text").to_pylist())
+        _, place = np.unique(np.concatenate([token, pair]), return_inverse=True)
+        own, pairs = place[: len(token)], place[len(token) :]
+        # the token before, and before a text's first the end, which is the last token of all
+        context = np.where(first, own[-1], np.roll(own, 1))
+        answers = sorted(((r["cell"], r) for r in rows if r["docs"] is None), key=lambda x: x[0])
+        counts = [np.concatenate([_restored(r[name]) for _, r in answers]) for name in ("kept", "held")]
+        return rows[0]["fold"], table.column("doc_id"), [c[own] for c in counts], [c[context] for c in counts], [c[pairs] for c in counts], doc
+
+    name, rows, words = None, [], Lexicon()
+    for r in _rows(batches):
+        if rows and r["block"] != name:
+            yield closed(rows, words)
+            rows = []
+        name = r["block"]
+        rows.append(r)
     if rows:
-        yield closed(rows, known)
+        yield closed(rows, words)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -223,7 +242,7 @@ def learn(cells: np.ndarray, uniform: float, rounds: int = 100) -> np.ndarray:
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, block_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = 6_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     The model learns from rows whose crc32(doc_id as text) mod 10 is not 0; a null doc_id is the text ``null``. Tokens
@@ -235,13 +254,11 @@ def score(docs: DataFrame, block_bytes: int = 8_000_000) -> DataFrame:
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << max(8, int(size // 4_000_000).bit_length())
-    blocks = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_ask(cells, block_bytes), _BLOCK), "lm_blocks")
-    asks = blocks.where("cell >= 0").select("cell", "block", "fold", "asked", "counted").repartition(n, "cell").sortWithinPartitions("cell")
-    answers = stored(asks.mapInArrow(_answer, "block string, fold int, cell int, kept binary, held binary"), "lm_answers")
+    asks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_ask(cells, block_bytes), _ASK)
+    answers = stored(asks.repartition(n, "place").sortWithinPartitions("cell").mapInArrow(_answer, _ANSWER), "lm_answers")
     totals = np.array([np.frombuffer(r[0], dtype=np.int64) for r in answers.where("block is null").select("kept").collect()] or [[0] * 4]).sum(axis=0)
     kept, every, types_kept, types = int(totals[0]), int(totals[0] + totals[1]), int(totals[2]), int(totals[3])
-    texts = blocks.where("cell = -1").select("block", "fold", F.lit(-1).alias("cell"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("binary").alias("held"), "docs")
-    parcels = answers.where("block is not null").withColumn("docs", F.lit(None).cast("binary")).unionByName(texts)
+    parcels = answers.where("block is not null")
 
     def together(fold=None) -> DataFrame:
         rows = parcels if fold is None else parcels.where(F.col("fold") == fold)
