@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "path" not in _own:
         _own["path"] = tempfile.mkdtemp(prefix="tracemill-")
