@@ -9,7 +9,7 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     """The session, with a checkpoint folder: the cluster's spark.checkpoint.dir, or in local mode one of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and not spark.sparkContext.master.startswith("local["):
+        if given is None and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="tracemill-checkpoints-"))
     return spark

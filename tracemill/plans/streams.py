@@ -14,7 +14,7 @@ from tracemill.streaming.summary import run_available, running_tallies
 def _folder(spark: SparkSession) -> str:
     """A new folder in the cluster's shared one; in local mode, a temporary one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.sparkContext.master.startswith("local["):
+    if not given and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{given.rstrip('/')}/{uuid.uuid4().hex}" if given else tempfile.mkdtemp(prefix="tracemill-stream-")
 
