@@ -129,6 +129,24 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *begin]), np.concatenate([none, *end])
 
 
+def nearest_forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, but of least total distance: what any smaller radius links, its edges link as well."""
+    n = len(prints)
+    left, best, via = np.arange(1, n), np.full(n, 1 << 14, dtype=np.int32), np.zeros(n, dtype=np.int64)
+    at, begin, end = 0, [], []
+    while len(left):
+        far = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int32)
+        closer = far < best[left]
+        best[left[closer]], via[left[closer]] = far[closer], at
+        i = int(best[left].argmin())
+        at = int(left[i])
+        if best[at] <= radius:
+            begin.append(via[at])
+            end.append(at)
+        left = np.delete(left, i)
+    return np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
+
+
 def _edge_rows(halves: int) -> str:
     return ", ".join(f"{x}{i} long" for x in "uv" for i in range(halves)) + ", block_a binary, block_b binary"
 
@@ -141,7 +159,7 @@ def _as_batch(u: np.ndarray, v: np.ndarray, blocks: list[tuple[bytes, bytes]]) -
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _meet(halves: int, radius: int):
+def _meet(halves: int, radius: int, tree):
     """Over rows in order of their key: forests of what meets under a key, and the block pairs of large keys."""
 
     def small(prints: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +167,10 @@ def _meet(halves: int, radius: int):
         two = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius]
         u, v = [prints[two]], [prints[two + 1]]
         for b, e in zip(begins[ends - begins > 2], ends[ends - begins > 2], strict=True):
-            i, j = forest(prints[b:e], radius)
+            # most keys bring strangers together: a look at all pairs of a few is cheaper than a walk
+            if e - b <= 32 and np.count_nonzero(np.bitwise_count(prints[b:e, None] ^ prints[None, b:e]).sum(axis=2) <= radius) == e - b:
+                continue
+            i, j = tree(prints[b:e], radius)
             u.append(prints[b:e][i])
             v.append(prints[b:e][j])
         return np.concatenate(u), np.concatenate(v)
@@ -160,7 +181,7 @@ def _meet(halves: int, radius: int):
         def closed():
             got = np.concatenate([none, *held])
             if len(got) <= BLOCK:
-                i, j = forest(got, radius)
+                i, j = tree(got, radius)
                 yield _as_batch(got[i], got[j], [])
             else:
                 cut = [got[i : i + BLOCK].tobytes() for i in range(0, len(got), BLOCK)]
@@ -192,7 +213,7 @@ def _meet(halves: int, radius: int):
     return run
 
 
-def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys) -> DataFrame:
+def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=forest) -> DataFrame:
     """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint)."""
     halves = bits // 64
     names = [f"p{i}" for i in range(halves)]
@@ -209,28 +230,58 @@ def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys) -> Data
         for batch in batches:
             for a, b in zip(batch.column("block_a").to_pylist(), batch.column("block_b").to_pylist(), strict=True):
                 both = np.frombuffer(a + b, dtype=np.uint64).reshape(-1, halves)
-                i, j = forest(both, radius)
+                i, j = tree(both, radius)
                 yield _as_batch(both[i], both[j], [])
 
     dealt = prints.select("fingerprint").distinct().mapInArrow(deal, ", ".join(f"{c} long" for c in ("key", *names)))
     n = parts(prints.sparkSession)
-    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, radius), _edge_rows(halves)), "met")
+    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, radius, tree), _edge_rows(halves)), "met")
     rest = met.where("block_a is not null").repartition(n).mapInArrow(solve, _edge_rows(halves))
     text = lambda side: F.concat(*(F.lpad(F.lower(F.hex(f"{side}{i}")), _HEX, "0") for i in reversed(range(halves))))
     return met.where("block_a is null").unionByName(rest).select(text("u").alias("u"), text("v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, keys=one_flip_keys) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(fingerprint, hashes array<long>) per row of ``docs`` (fingerprint, text): the distinct hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words, 42).astype("<u8")).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fingerprint", "hashes"])
+
+    return docs.select("fingerprint", F.col("text").cast("string")).mapInArrow(run, "fingerprint string, hashes array<long>")
+
+
+def similar(edges: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``edges`` (u, v) of fingerprints whose texts' shingle sets have at least this Jaccard similarity.
+
+    The row of the smallest doc_id stands for its fingerprint; of 128 bits alike, texts are alike.
+    """
+    nodes = edges.select(F.col("u").alias("fingerprint")).union(edges.select("v")).distinct()
+    chosen = prints.join(nodes, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("doc_id").alias("_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id").dropDuplicates(["fingerprint"])
+    sets = stored(shingle_sets(texts, words), "shingles")
+    one = edges.join(sets.select(F.col("fingerprint").alias("u"), F.col("hashes").alias("a")), "u")
+    both = one.join(sets.select(F.col("fingerprint").alias("v"), F.col("hashes").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, keys=one_flip_keys, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``: documents linked at ``radius`` or fewer bits, transitively.
 
     ``one_flip_keys`` find every pair up to 3 bits apart; ``two_segment_keys`` every pair up to 8 in the first
-    64 bits, and most above. component_id is the smallest doc_id of the component, null if all in it are null.
-    Null, empty and blank texts have fingerprint zero and link like any other; an empty table gives no rows;
-    repeated rows stay, each with its component.
+    64 bits, and most above. With a ``similarity``, the radius is that of candidates: under each key every fingerprint
+    meets its nearest ones, and pairs stay whose shingle sets are as similar. component_id is the smallest doc_id of the
+    component, null if all in it are null. Null, empty and blank texts have fingerprint zero and link like any other;
+    an empty table gives no rows; repeated rows stay, each with its component.
     """
     prints = stored(fingerprints(docs, words, bits), "fingerprints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    roots = components(links(prints, bits, radius, keys))
+    edges = links(prints, bits, radius, keys, forest if similarity is None else nearest_forest)
+    if similarity is not None:
+        edges = similar(stored(edges, "candidates"), prints, docs, words, similarity)
+    roots = components(edges)
     classes = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     classes = stored(classes, "classes")
     first = classes.groupBy("root").agg(F.min("first").alias("component_id"))
