@@ -162,3 +162,35 @@ def test_vectors(spark, monkeypatch):
     assert {i: got[i] for i in range(len(v))} == {i: (int(link[i].sum()), roots[i], roots[i] == i) for i in range(len(v))}
     assert all(got[i] == (0, i, True) for i in range(900, 906)) and got[906] == (1, 906, True) and got[907] == (1, 906, False)
     assert capfilter.near_duplicates(df.limit(0)).isEmpty()
+
+
+def _jaccard_edges(texts, words, least):
+    sets = [set(simhash.shingle_hashes(t, words, 42).tolist()) for t in texts]
+    return [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def _clusters(rng, clusters, variants, size):
+    """Texts of disjoint five-word lines: a set of shingles with some exchanged, so that pairs lie about 0.8."""
+    pool = iter(range(10**6))
+    texts = []
+    for _ in range(clusters):
+        base = [f"b{next(pool)}" for _ in range(size)]
+        for _ in range(variants):
+            changed = set(rng.sample(range(size), round(size * rng.uniform(0.045, 0.07))))
+            texts.append(" ".join(f"c{next(pool)}" if i in changed else w for i, w in enumerate(base)))
+    return texts
+
+
+def test_every_candidate_is_compared(spark, monkeypatch):
+    # one-word shingles; all meet under one key, so that recall is that of the comparison alone
+    one_key = lambda low: (np.arange(len(low)), np.zeros(len(low), dtype=np.uint64))
+    texts = _clusters(random.Random(21), 3, 40, 200)
+    prints = [simhash.fingerprint(t, 1, 128) for t in texts]
+    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True))
+    edges = [(i, j) for i, j in _jaccard_edges(texts, 1, 0.8) if far(i, j) <= 30]
+    assert len(edges) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4096, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 1, 128, 30, one_key, 0.8).collect()}
+        assert [got[i] for i in range(len(texts))] == _roots(len(texts), edges)

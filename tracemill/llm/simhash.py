@@ -147,6 +147,21 @@ def nearest_forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
     return np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
 
 
+def apart(a: np.ndarray, b: np.ndarray | None, halves: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of ``a`` and ``b`` (without ``b``, within ``a``) at ``radius`` or fewer bits that differ in their second half, the label.
+
+    A piece is at most 500,000 comparisons, so that no piece's pairs are many.
+    """
+    other, width = a if b is None else b, a.shape[1] // 2
+    take = max(1, 500_000 // max(1, len(other)))
+    for at in range(0, len(a), take):
+        part = a[at : at + take]
+        near = np.bitwise_count(part[:, None, :halves] ^ other[None, :, :halves]).sum(axis=2, dtype=np.int16) <= radius
+        i, j = np.nonzero(near & (part[:, None, width:] != other[None, :, width:]).any(axis=2))
+        some = slice(None) if b is not None else i + at < j
+        yield part[i[some], :width], other[j[some], :width]
+
+
 def _edge_rows(halves: int) -> str:
     return ", ".join(f"{x}{i} long" for x in "uv" for i in range(halves)) + ", block_a binary, block_b binary"
 
@@ -159,41 +174,43 @@ def _as_batch(u: np.ndarray, v: np.ndarray, blocks: list[tuple[bytes, bytes]]) -
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _meet(halves: int, radius: int, tree):
-    """Over rows in order of their key: forests of what meets under a key, and the block pairs of large keys."""
+def _meet(halves: int, width: int, columns: int, radius: int, walk):
+    """Over rows in order of their key: what ``walk`` links of those that meet under a key, and the block pairs of large keys."""
 
     def small(prints: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = begins[ends - begins == 2]
-        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius]
-        u, v = [prints[two]], [prints[two + 1]]
+        two = two[np.bitwise_count(prints[two, :halves] ^ prints[two + 1, :halves]).sum(axis=1) <= radius]
+        if columns > width:
+            two = two[(prints[two, width:] != prints[two + 1, width:]).any(axis=1)]
+        u, v = [prints[two, :width]], [prints[two + 1, :width]]
         for b, e in zip(begins[ends - begins > 2], ends[ends - begins > 2], strict=True):
             # most keys bring strangers together: a look at all pairs of a few is cheaper than a walk
-            if e - b <= 32 and np.count_nonzero(np.bitwise_count(prints[b:e, None] ^ prints[None, b:e]).sum(axis=2) <= radius) == e - b:
+            if e - b <= 32 and np.count_nonzero(np.bitwise_count(prints[b:e, None, :halves] ^ prints[None, b:e, :halves]).sum(axis=2) <= radius) == e - b:
                 continue
-            i, j = tree(prints[b:e], radius)
-            u.append(prints[b:e][i])
-            v.append(prints[b:e][j])
+            for x, y in walk(prints[b:e], None):
+                u.append(x)
+                v.append(y)
         return np.concatenate(u), np.concatenate(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, none = None, [], np.zeros((0, halves), dtype=np.uint64)
+        key, held, none = None, [], np.zeros((0, columns), dtype=np.uint64)
 
         def closed():
             got = np.concatenate([none, *held])
             if len(got) <= BLOCK:
-                i, j = tree(got, radius)
-                yield _as_batch(got[i], got[j], [])
+                for u, v in walk(got, None):
+                    yield _as_batch(u, v, [])
             else:
                 cut = [got[i : i + BLOCK].tobytes() for i in range(0, len(got), BLOCK)]
                 for i in range(len(cut)):
                     for j in range(i, len(cut)):
-                        yield _as_batch(none, none, [(cut[i], cut[j] if j > i else b"")])
+                        yield _as_batch(none[:, :width], none[:, :width], [(cut[i], cut[j] if j > i else b"")])
 
         for batch in batches:
             if not len(batch):
                 continue
             keys = batch.column(0).to_numpy()
-            prints = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(halves)], axis=1)
+            prints = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(columns)], axis=1)
             begins = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
             ends = np.append(begins[1:], len(keys))
             if key is not None and keys[0] != key:
@@ -214,30 +231,47 @@ def _meet(halves: int, radius: int, tree):
 
 
 def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=forest) -> DataFrame:
-    """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint)."""
+    """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint).
+
+    With a column root in ``prints``, instead all pairs under a key whose roots differ.
+    """
     halves = bits // 64
-    names = [f"p{i}" for i in range(halves)]
+    width = halves
+
+    own = [c for c in ("fingerprint", "root") if c in prints.columns]
+    columns = width * len(own)
+    names = [f"p{i}" for i in range(columns)]
+
+    def walk(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(own) > 1:
+            yield from apart(a, b, halves, radius)
+        else:
+            both = a if b is None else np.concatenate([a, b])
+            i, j = tree(both[:, :halves], radius)
+            yield both[i], both[j]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
-                part = [int(x, 16) for x in batch.column(0).slice(at, 2000).to_pylist()]
-                columns = [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(halves)]
-                row, key = keys(columns[0])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(c[row].view(np.int64)) for c in columns)], ["key", *names])
+                parts_ = []
+                for c in range(len(own)):
+                    part = [int(x, 16) for x in batch.column(c).slice(at, 2000).to_pylist()]
+                    parts_ += [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(width)]
+                row, key = keys(parts_[0])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(c[row].view(np.int64)) for c in parts_)], ["key", *names])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column("block_a").to_pylist(), batch.column("block_b").to_pylist(), strict=True):
-                both = np.frombuffer(a + b, dtype=np.uint64).reshape(-1, halves)
-                i, j = tree(both, radius)
-                yield _as_batch(both[i], both[j], [])
+                left, right = (np.frombuffer(x, dtype=np.uint64).reshape(-1, columns) for x in (a, b))
+                for u, v in walk(left, right if len(right) else None):
+                    yield _as_batch(u, v, [])
 
-    dealt = prints.select("fingerprint").distinct().mapInArrow(deal, ", ".join(f"{c} long" for c in ("key", *names)))
+    dealt = prints.select(*own).distinct().mapInArrow(deal, ", ".join(f"{c} long" for c in ("key", *names)))
     n = parts(prints.sparkSession)
-    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, radius, tree), _edge_rows(halves)), "met")
-    rest = met.where("block_a is not null").repartition(n).mapInArrow(solve, _edge_rows(halves))
-    text = lambda side: F.concat(*(F.lpad(F.lower(F.hex(f"{side}{i}")), _HEX, "0") for i in reversed(range(halves))))
+    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, width, columns, radius, walk), _edge_rows(width)), "met")
+    rest = met.where("block_a is not null").repartition(n).mapInArrow(solve, _edge_rows(width))
+    text = lambda side: F.concat(*(F.lpad(F.lower(F.hex(f"{side}{i}")), _HEX, "0") for i in reversed(range(width))))
     return met.where("block_a is null").unionByName(rest).select(text("u").alias("u"), text("v").alias("v")).distinct()
 
 
@@ -252,36 +286,60 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("fingerprint", F.col("text").cast("string")).mapInArrow(run, "fingerprint string, hashes array<long>")
 
 
-def similar(edges: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``edges`` (u, v) of fingerprints whose texts' shingle sets have at least this Jaccard similarity.
-
-    The row of the smallest doc_id stands for its fingerprint; of 128 bits alike, texts are alike.
-    """
+def sets_of(edges: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(fingerprint, hashes) of the values in ``edges`` (u, v); the row of the smallest doc_id stands for its fingerprint."""
     nodes = edges.select(F.col("u").alias("fingerprint")).union(edges.select("v")).distinct()
     chosen = prints.join(nodes, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("doc_id").alias("_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id").dropDuplicates(["fingerprint"])
-    sets = stored(shingle_sets(texts, words), "shingles")
+    return shingle_sets(texts, words)
+
+
+def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``edges`` (u, v) of fingerprints whose ``sets`` (fingerprint, hashes) have at least this Jaccard similarity."""
     one = edges.join(sets.select(F.col("fingerprint").alias("u"), F.col("hashes").alias("a")), "u")
     both = one.join(sets.select(F.col("fingerprint").alias("v"), F.col("hashes").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def similar_roots(prints: DataFrame, docs: DataFrame, words: int, bits: int, radius: int, keys, similarity: float) -> DataFrame:
+    """(node, root) of fingerprints linked by pairs that meet under a key, are within ``radius`` and as similar.
+
+    A forest per key is verified first and joins most. What it leaves apart, though candidates connect it, is paired
+    fully: two values under a key stay apart only if their own pair has been compared, or lies beyond the radius.
+    """
+    edges = stored(links(prints, bits, radius, keys, nearest_forest), "candidates")
+    sets = stored(sets_of(edges, prints, docs, words), "shingles")
+    sure = stored(similar(edges, sets, similarity), "similar")
+    roots = stored(components(sure), "roots")
+    known = components(edges).withColumnRenamed("root", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = stored(known, "wholes")
+    torn = known.groupBy("whole").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("whole")
+    left = stored(known.join(torn, "whole", "left_semi").select(F.col("node").alias("fingerprint"), "root"), "apart")
+    if left.isEmpty():
+        return roots
+    pairs = links(left, bits, radius, keys)
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    tried = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    more = stored(similar(pairs.join(tried, ["u", "v"], "left_anti"), sets, similarity), "similar")
+    return roots if more.isEmpty() else components(sure.unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, keys=one_flip_keys, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``: documents linked at ``radius`` or fewer bits, transitively.
 
     ``one_flip_keys`` find every pair up to 3 bits apart; ``two_segment_keys`` every pair up to 8 in the first
-    64 bits, and most above. With a ``similarity``, the radius is that of candidates: under each key every fingerprint
-    meets its nearest ones, and pairs stay whose shingle sets are as similar. component_id is the smallest doc_id of the
+    64 bits, and most above. With a ``similarity``, the radius is that of candidates: of the pairs that meet under
+    a key, those link whose shingle sets are as similar (``similar_roots``). component_id is the smallest doc_id of the
     component, null if all in it are null. Null, empty and blank texts have fingerprint zero and link like any other;
     an empty table gives no rows; repeated rows stay, each with its component.
     """
     prints = stored(fingerprints(docs, words, bits), "fingerprints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    edges = links(prints, bits, radius, keys, forest if similarity is None else nearest_forest)
-    if similarity is not None:
-        edges = similar(stored(edges, "candidates"), prints, docs, words, similarity)
-    roots = components(edges)
+    if similarity is None:
+        roots = components(links(prints, bits, radius, keys))
+    else:
+        roots = similar_roots(prints, docs, words, bits, radius, keys, similarity)
     classes = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     classes = stored(classes, "classes")
     first = classes.groupBy("root").agg(F.min("first").alias("component_id"))
