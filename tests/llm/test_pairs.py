@@ -194,3 +194,19 @@ def test_every_candidate_is_compared(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 1, 128, 30, one_key, 0.8).collect()}
         assert [got[i] for i in range(len(texts))] == _roots(len(texts), edges)
+
+
+def test_similarity_is_over_sets(spark):
+    line = " ".join(f"z{i}" for i in range(12))
+    copies = [x for n in range(20) for x in [" ".join(f"q{n}_{i}" for i in range(196)) + f"\n{line}"] for x in (x, x + f"\n{line}" * 9)]
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 128, 30, simhash.two_segment_keys, 0.8).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(20)) >= 19 and all(got[2 * i] == 2 * i for i in range(20))
+
+
+def test_one_fingerprint_is_compared():
+    # repeats of one shingle no longer decide the bits, and other texts of the same bits are another value
+    a, b = "hot " * 500 + " ".join(f"a{i}" for i in range(50)), "hot " * 500 + " ".join(f"b{i}" for i in range(50))
+    assert simhash.fingerprint(a, 1, 128) == simhash.fingerprint(b, 1, 128)
+    assert simhash.fingerprint(a, 1, 128, True) != simhash.fingerprint(b, 1, 128, True)
+    assert simhash.fingerprint(a, 1, 128, True) == simhash.fingerprint(a + " hot", 1, 128, True)

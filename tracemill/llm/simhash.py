@@ -5,7 +5,8 @@ keys that survive bit errors. By the pigeonhole principle the errors of a linked
 with few of them, so that the pair meets under a key of that group. Distinct fingerprints are dealt by key, and
 those that meet are verified on all bits.
 
-Documents of one fingerprint are one class from the start. Fingerprints that meet under a key are not paired
+Documents of one fingerprint are one class from the start; where similarity decides, those of one set of shingles are,
+and the fingerprint is over distinct shingles. Fingerprints that meet under a key are not paired
 with each other: a walk over them gives a spanning forest, which links what all pairs would link. A key under
 which more than ``BLOCK`` fingerprints meet is dealt out again as pairs of blocks.
 """
@@ -37,30 +38,42 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in shingles]), dtype=">u8")
 
 
-def fingerprint(text: str | None, words: int, bits: int) -> list[int]:
-    """64-bit halves of the SimHash: a bit is 1 if set in over half of the shingles' hashes."""
-    halves = []
+def set_hash(hashes: np.ndarray) -> int:
+    """XXH64 of a sorted array of distinct shingle hashes."""
+    return xxhash.xxh64_intdigest(hashes.astype(">u8").tobytes(), 42)
+
+
+def fingerprint(text: str | None, words: int, bits: int, distinct: bool = False) -> list[int]:
+    """64-bit halves of the SimHash: a bit is 1 if set in over half of the shingles' hashes.
+
+    ``distinct`` counts each shingle once, and adds a half that is a hash of the set of shingles.
+    """
+    halves, content = [], []
     for seed in range(42, 42 + bits // 64):
         h, count = shingle_hashes(text, words, seed), np.zeros(64, dtype=np.int64)
+        if distinct:
+            h = np.unique(h)
+            content = content or [set_hash(h)]
         for i in range(0, len(h), 65536):
             bytes_ = h[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
             count += np.unpackbits(bytes_, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         halves.append(int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0]))
-    return halves
+    return halves + content
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
     """(doc_id, fingerprint) per row of ``docs``; hex digits, the last half first.
 
     A null or empty text, or one of white space, has fingerprint zero. Repeated rows stay; other columns are not read.
+    With ``distinct``, 16 digits that hash the set of shingles come before the fingerprint.
     """
-    digits = _HEX * bits // 64
+    digits = _HEX * (bits // 64 + distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = []
             for text in batch.column(1):
-                low, *high = fingerprint(text.as_py(), words, bits)
+                low, *high = fingerprint(text.as_py(), words, bits, distinct)
                 values.append(f"{sum(x << 64 * i for i, x in enumerate([low, *high])):0{digits}x}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string())], ["doc_id", "fingerprint"])
 
@@ -230,13 +243,14 @@ def _meet(halves: int, width: int, columns: int, radius: int, walk):
     return run
 
 
-def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=forest) -> DataFrame:
+def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=forest, more: int = 0) -> DataFrame:
     """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint).
 
-    With a column root in ``prints``, instead all pairs under a key whose roots differ.
+    With a column root in ``prints``, instead all pairs under a key whose roots differ. ``more`` halves before
+    the ``bits`` tell values apart, but count for no distance.
     """
     halves = bits // 64
-    width = halves
+    width = halves + more
 
     own = [c for c in ("fingerprint", "root") if c in prints.columns]
     columns = width * len(own)
@@ -276,22 +290,30 @@ def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=fo
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(fingerprint, hashes array<long>) per row of ``docs`` (fingerprint, text): the distinct hashes of its shingles."""
+    """(fingerprint, hashes array<long>) per row of ``docs`` (fingerprint, text): the distinct hashes of its shingles.
+
+    Rows whose fingerprint begins with the hash of another set are left out: rows of one doc_id may differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words, 42).astype("<u8")).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fingerprint", "hashes"])
+            names, sets = [], []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.unique(shingle_hashes(t.as_py(), words, 42).astype("<u8"))
+                if int(name[:_HEX], 16) == set_hash(h):
+                    names.append(name)
+                    sets.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sets, pa.list_(pa.int64()))], ["fingerprint", "hashes"])
 
     return docs.select("fingerprint", F.col("text").cast("string")).mapInArrow(run, "fingerprint string, hashes array<long>")
 
 
 def sets_of(edges: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(fingerprint, hashes) of the values in ``edges`` (u, v); the row of the smallest doc_id stands for its fingerprint."""
+    """(fingerprint, hashes) of the values in ``edges`` (u, v); a row of the smallest doc_id stands for its value."""
     nodes = edges.select(F.col("u").alias("fingerprint")).union(edges.select("v")).distinct()
     chosen = prints.join(nodes, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("doc_id").alias("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id").dropDuplicates(["fingerprint"])
-    return shingle_sets(texts, words)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id")
+    return shingle_sets(texts, words).dropDuplicates(["fingerprint"])
 
 
 def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -303,12 +325,12 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_roots(prints: DataFrame, docs: DataFrame, words: int, bits: int, radius: int, keys, similarity: float) -> DataFrame:
-    """(node, root) of fingerprints linked by pairs that meet under a key, are within ``radius`` and as similar.
+    """(node, root) of sets of shingles, by ``fingerprints`` with ``distinct``, linked by pairs that meet under a key, are within ``radius`` and as similar.
 
     A forest per key is verified first and joins most. What it leaves apart, though candidates connect it, is paired
     fully: two values under a key stay apart only if their own pair has been compared, or lies beyond the radius.
     """
-    edges = stored(links(prints, bits, radius, keys, nearest_forest), "candidates")
+    edges = stored(links(prints, bits, radius, keys, nearest_forest, 1), "candidates")
     sets = stored(sets_of(edges, prints, docs, words), "shingles")
     sure = stored(similar(edges, sets, similarity), "similar")
     roots = stored(components(sure), "roots")
@@ -318,7 +340,7 @@ def similar_roots(prints: DataFrame, docs: DataFrame, words: int, bits: int, rad
     left = stored(known.join(torn, "whole", "left_semi").select(F.col("node").alias("fingerprint"), "root"), "apart")
     if left.isEmpty():
         return roots
-    pairs = links(left, bits, radius, keys)
+    pairs = links(left, bits, radius, keys, more=1)
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     tried = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     more = stored(similar(pairs.join(tried, ["u", "v"], "left_anti"), sets, similarity), "similar")
@@ -330,11 +352,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
 
     ``one_flip_keys`` find every pair up to 3 bits apart; ``two_segment_keys`` every pair up to 8 in the first
     64 bits, and most above. With a ``similarity``, the radius is that of candidates: of the pairs that meet under
-    a key, those link whose shingle sets are as similar (``similar_roots``). component_id is the smallest doc_id of the
+    a key, those link whose shingle sets are as similar (``similar_roots``); fingerprints are then
+    over distinct shingles, and texts of one fingerprint are compared like others. component_id is the smallest doc_id of the
     component, null if all in it are null. Null, empty and blank texts have fingerprint zero and link like any other;
     an empty table gives no rows; repeated rows stay, each with its component.
     """
-    prints = stored(fingerprints(docs, words, bits), "fingerprints")
+    prints = stored(fingerprints(docs, words, bits, similarity is not None), "fingerprints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     if similarity is None:
         roots = components(links(prints, bits, radius, keys))
@@ -344,4 +367,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
     classes = stored(classes, "classes")
     first = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(first, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    digits = F.substring("fingerprint", -_HEX * bits // 64, _HEX * bits // 64)
+    return prints.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
