@@ -183,6 +183,18 @@ def test_contexts_find_the_unseen(spark):
     assert texts[0].text == "Reach 0 under phone: [PHONE] or so" and texts[20].text == "Again under phone: [PHONE] or so" and texts[21].text == clean[0] and texts[21].spans == 1
 
 
+def test_contexts_find_other_shapes(spark):
+    hidden = ["030 123 4567", "(0377) 555 0271", "john.doe99", "ABC/def12", "jane.doe", "QxRtYuWz"]
+    seeds = [f"Reach {n} under phone: +1 (377) 555-02{n:02d} or so" for n in range(20)]
+    df = _docs(spark, seeds + [f"Again under phone: {v} or so" for v in hidden] + ["Nothing 030 123 4567 to john.doe"])
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert [got[20 + i] for i in range(len(hidden))] == ["Again under phone: [PHONE] or so"] * len(hidden)
+    assert got[20 + len(hidden)] == "Nothing 030 123 4567 to john.doe"
+    # strangers without number do not follow from a few known values
+    many = _docs(spark, seeds + [f"Again under phone: x{i}y{i} or so" for i in range(1000, 1100)])
+    assert not any("[PHONE]" in r.text for r in pii.redact(many).where("doc_id >= 20").collect())
+
+
 def test_licences(spark):
     rng = random.Random(7)
     lines_ = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit": "This tool: Released under the MIT License.", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0."}

@@ -2,7 +2,7 @@
 
 Regular expressions find seed entities. The words before a seed are lexical patterns that it induces; patterns and the
 values found beside them form a graph. Rounds of joins score it: a pattern by the share of its values that are known
-entities of a kind, a value by the patterns that it stands beside. Patterns of high confidence then name identifiers
+entities of a kind, unknown ones counting little, a value by the patterns that it stands beside. Patterns of high confidence then name identifiers
 that no expression knows.
 """
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tracemill.llm.store import dropped, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: A pattern needs so many known values, and such a share of them, to name new ones.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: A pattern needs so many known values, and such a share of a kind, to name new ones; a value yet unknown counts as
+#: so much of one of another kind, so that a context of countless strangers names none.
+SUPPORT, CONFIDENCE, ROUNDS, UNKNOWN = 5, 0.8, 3, 0.1
 #: Characters before a value that are looked at for its context.
 REACH = 48
 
@@ -35,7 +36,14 @@ _FOUND = {
     ),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains(_t, '+')", f"length({_DIGITS}) between 8 and 15"),
     "secret": (r"(?<=[\x22'])[0-9A-Fa-f]{32,}+(?=[\x22'])", r"_t rlike '[0-9A-Fa-f]{32}'", "v rlike '[0-9]' and v rlike '[A-Fa-f]'"),
-    "other": (r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9_.+/=-]{4,}+", "_t rlike '[0-9]'", "true"),
+    # groups of 6 to 20 digits with blanks, brackets, dots or dashes between, or a whole token of five characters or
+    # more with a digit, a sign between letters, or a capital after a small letter
+    "other": (
+        r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.+/@-])(?:(?=\(?[0-9](?:[\x20().-]{0,3}[0-9]){5,19}+(?![\x20().-]{0,3}[0-9]))\(?[0-9]++(?:[\x20().-]{1,3}[0-9]++)++(?![A-Za-z0-9_/@+])"
+        r"|(?=[A-Za-z_.+/@-]*+[0-9]|[A-Za-z_]++[.+/@-]++[A-Za-z]|[A-Za-z_]*?[a-z][A-Z])[A-Za-z0-9_][A-Za-z0-9_.+/@-]{3,}[A-Za-z0-9_]={0,2})",
+        "_t rlike '[0-9]|[A-Za-z_][.+/@-]+[A-Za-z]|[a-z][A-Z]'",
+        "true",
+    ),
 }
 
 
@@ -69,7 +77,7 @@ def _context() -> str:
 def found(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) without the text, with _row and _twin (a hash of the row), spans (seeds) and others.
 
-    others: identifier-like pieces with a digit that overlap no seed. Both have their patterns; spans come by kind as
+    others: identifier-like tokens and groups of digits that overlap no seed. Both have their patterns; spans come by kind as
     in ``KINDS``, then by start.
     """
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"), F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_twin"))
@@ -85,7 +93,8 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
     """(pattern, kind, confidence) of the graph of ``found``'s values and patterns, after ``ROUNDS`` rounds.
 
     A value is one node however often it occurs. Seeds are believed with 1, other values with the chance that
-    not all patterns beside them err; a pattern's confidence in a kind is the mean belief of its values in it.
+    not all patterns beside them err; a pattern's confidence in a kind is the belief in it among its values' beliefs,
+    ``UNKNOWN`` being that in other kinds of values with none.
     """
     values = seen.select(F.explode(F.concat("spans", "others")).alias("s")).select(F.col("s.value").alias("value"), F.when(F.col("s.kind") != "other", F.col("s.kind")).alias("kind"), F.explode("s.patterns").alias("pattern"))
     edges = stored(values.groupBy("value", "pattern").agg(F.min("kind").alias("kind")), "pii_edges")
@@ -98,7 +107,9 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
         if belief is not None:
             own = belief.select("value", F.col("kind").alias("guess"), F.col("belief").alias("chance"))
             held = held.join(own, "value", "left").withColumn("belief", F.coalesce("belief", "chance")).withColumn("kind", F.coalesce("kind", "guess"))
-        scores = held.where("belief is not null").groupBy("pattern", "kind").agg((F.sum("belief") / F.max("n")).alias("confidence"), F.sum("belief").alias("support"))
+        by_kind = held.where("belief is not null").groupBy("pattern", "kind").agg(F.sum("belief").alias("support"), F.count("*").alias("known"), F.max("n").alias("n"))
+        whole = by_kind.groupBy("pattern").agg((F.sum("support") + UNKNOWN * (F.max("n") - F.sum("known"))).alias("whole"))
+        scores = by_kind.join(whole, "pattern").select("pattern", "kind", (F.col("support") / F.col("whole")).alias("confidence"), "support")
         scores = stored(scores.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)), "pii_patterns")
         chance = edges_kept.where("kind is null").drop("kind").join(scores, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.least("confidence", F.lit(1.0)))))).alias("belief"))
         best = chance.groupBy("value").agg(F.max(F.struct("belief", "kind")).alias("b"))
