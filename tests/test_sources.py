@@ -1,6 +1,7 @@
 """Logs and stores of our own making, read and normalized."""
 
 import json
+import random
 import sqlite3
 
 import pytest
@@ -148,3 +149,28 @@ def test_tail(spark, tmp_path):
     finally:
         query.stop()
     assert [r.value for r in spark.read.parquet(str(out)).collect()] == ["gone"]
+
+
+def test_captures_are_ordered_over_frames(spark, tmp_path):
+    from tracemill.streaming import capture
+
+    rng = random.Random(8)
+    shots = [(i % 3 % 2, i, rng.randint(0, 1), rng.randint(0, 3), rng.random() < 0.7) for i in range(400)]
+    schema = "path long, event_id long, identity long, size long, prefix_same boolean"
+    mixed = rng.sample(shots, len(shots))
+    for i in range(4):
+        spark.createDataFrame(mixed[i::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    wanted, last = set(), {}
+    for path, event_id, identity, size, same in shots:
+        old = last.get(path)
+        change = capture.change_of(old, identity, size, same)
+        last[path] = (identity, size, (old[2] if old else 0) + (change in ("truncated", "rewritten", "replaced", "started")))
+        wanted.add((path, event_id, change, last[path][2]))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = capture.changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("path", "event_id", "change", "generation").collect()} == wanted

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "identity long, size long, generation long"
+#: Rows of a frame that is given back.
+FRAME = 10_000
 EVENTS = "path long, event_id long, change string, generation long"
 
 
@@ -26,9 +28,11 @@ def change_of(old: tuple | None, identity: int, size: int, same: bool) -> str:
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     old = state.get if state.exists else None
     generation = old[2] if old else 0
-    for batch in batches:
+    # a path's rows of a micro-batch come in several frames, in any order: the order is over all of them
+    whole = pd.concat(list(batches), ignore_index=True).sort_values("event_id")
+    for at in range(0, len(whole), FRAME):
         rows = []
-        for r in batch.sort_values("event_id").itertuples(index=False):
+        for r in whole.iloc[at : at + FRAME].itertuples(index=False):
             change = change_of(old, r.identity, r.size, r.prefix_same)
             generation += change in ("truncated", "rewritten", "replaced", "started")
             old = (r.identity, r.size, generation)
@@ -42,5 +46,6 @@ def changes(snapshots: DataFrame) -> DataFrame:
     """(path, event_id, change, generation) of a stream of snapshots (path, event_id, identity, size, prefix_same).
 
     Each path's last state is kept between batches; snapshots of a path are taken in order of event_id within a batch.
+    A path's snapshots of one batch are held in memory by the task that steps through them.
     """
     return snapshots.groupBy("path").applyInPandasWithState(_step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
