@@ -16,6 +16,9 @@ from tracemill.llm import bpe, packing
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 SIGNS = ["'", "s", "t", "re", "ve", "ll", "m", "d", " ", "  ", "\n", "\t", " ", "　", "1", "²", "é", "ß", "日本", "!", "?", "<|endoftext|>", "''", " '", "\U0001f600", "\x85", "\x1c", "​", "́", "x" * 30]
+#: A word over two letters and its complement: they collide under any polynomial hash modulo 2^64.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(8192))
+COLLIDING = [t for n in (1024, 2048, 8192) for w in (THUE[:n],) for t in (w, w.translate(str.maketrans("ab", "ba")), f"{w} {w.translate(str.maketrans('ab', 'ba'))}")]
 SCHEMA = "doc_id long, text string, ids string, piece int, offset int"
 
 
@@ -27,7 +30,7 @@ def exact():
 
 def _texts():
     rng = random.Random(8)
-    return ["".join(rng.choices(SIGNS, k=rng.randint(0, 40))) for _ in range(800)] + ["", None, "a" * 3000, " " * 700, "word " * 20000, "\n" * 50 + "x"]
+    return ["".join(rng.choices(SIGNS, k=rng.randint(0, 40))) for _ in range(800)] + ["", None, "a" * 3000, " " * 700, "word " * 20000, "\n" * 50 + "x", "a <|endoftext|> b", *COLLIDING]
 
 
 def test_encode_as_the_library(spark, exact):
@@ -55,6 +58,25 @@ def test_forgetting_words(exact):
     assert out == [exact.encode_ordinary(t) for t in texts]
 
 
+def test_colliding_keys_are_told_apart():
+    from tracemill.llm.pretoken import Words, keys, points_of
+
+    points, bounds = points_of(COLLIDING[:2])
+    assert len(set(keys(points, bounds[:-1], bounds[1:]).tolist())) == 1
+    for first, second in ((0, 1), (1, 0)):
+        words = Words(bpe.encoder(RANKS).encode)
+        for i in (first, second):
+            ids, _ = words.tokens([COLLIDING[i]])
+            assert bpe.encoder(RANKS).decode(ids).decode() == COLLIDING[i]
+
+
+def test_plan_fills_exactly_where_sums_allow():
+    sums = packing.Sums(np.bincount([700, 600, 300, 300, 200, 50], minlength=1001))
+    assert sums.complement(300) == (300,) and sums.complement(900) == (700, 200) and sums.complement(950) == (700, 200, 50) and sums.complement(999) == () and sums.complement(850) == (600, 200, 50)
+    sums.have[200] = 0
+    assert sums.complement(900) == (600, 300) and sums.complement(650) == (600, 50) and sums.complement(600) == (600,)
+
+
 def test_plan_uses_all():
     rng = np.random.default_rng(1)
     for most, n in ((10, 40), (64, 500), (2048, 4000)):
@@ -82,7 +104,6 @@ def test_pack(spark):
     rows = packing.pack(df, P.path("byte_bpe_50k.json"), 256, with_ids=True)
     got = rows.collect()
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     by, places = defaultdict(list), defaultdict(list)
     for r in got:
         by[r.doc_id].append(r)

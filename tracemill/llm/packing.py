@@ -18,19 +18,38 @@ from tracemill.llm.pretoken import Words, portions
 from tracemill.llm.store import stored
 
 _TOKENIZERS: dict = {}
-#: Pieces of one length are ranked in so many groups, so that a common length isn't one task's.
-SALTS = 64
+#: Pieces of one length are ranked in groups of about so many, so that a common length isn't one task's.
+GROUP = 100_000
 
 
-def _encode(path: str):
-    """Encodes pre-tokens by the ``tokenizers`` library; the file is read once in each Python worker."""
+def _tokenizer(path: str):
+    """The ``tokenizers`` library's tokenizer of a file, which each Python worker reads once."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True
-    return lambda words: [x.ids for x in _TOKENIZERS[path].encode_batch_fast(words, add_special_tokens=False)]
+    return _TOKENIZERS[path]
+
+
+class Tokens:
+    """Token ids of texts as the library's ``encode`` with add_special_tokens=False gives them.
+
+    A text without any of the tokenizer's added tokens is cut into pre-tokens, of which each distinct one is encoded
+    once. A text that holds the string of one, such as ``<|endoftext|>``, which the library takes out before it cuts,
+    goes to the library whole.
+    """
+
+    def __init__(self, path: str):
+        self.library = _tokenizer(path)
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.words = Words(lambda words: [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)])
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        whole = {i: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        ids, bounds = self.words.tokens(["" if i in whole else t for i, t in enumerate(texts)])
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            yield whole[i] if i in whole else ids[a:b]
 
 
 def spans(length: int, most: int) -> list[tuple[int, int]]:
@@ -49,14 +68,13 @@ def pieces(docs: DataFrame, path: str, most: int, end: int = 0, with_ids: bool =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(_encode(path))
+        tokens = Tokens(path)
         for batch in batches:
             row = 0
             for part in portions([x or "" for x in batch.column(1).to_pylist()]):
-                ids, bounds = words.tokens(part)
                 rows, columns = [], [[] for _ in kinds]
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = np.append(ids[a:b], end).astype("<u4")
+                for ids in tokens(part):
+                    own = np.append(ids, end).astype("<u4")
                     for n, (start, length) in enumerate(spans(len(own), most)):
                         now = own[start : start + length]
                         rows.append(row)
@@ -68,43 +86,75 @@ def pieces(docs: DataFrame, path: str, most: int, end: int = 0, with_ids: bool =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+class Sums:
+    """Index of the sums of one, two and three lengths, by sum; ``have`` counts the pieces of each length.
+
+    Pairs lie under their sum by the longer length downwards; a triple lies under its sum as its longest length and the
+    sum of the other two. The index has at most ``most`` times ``most`` entries of each kind, whatever the pieces.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, most = have, len(have) - 1
+        there = np.nonzero(have[:most])[0]
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, np.ndarray] = {}
+        for total in range(2, most):
+            x = there[(2 * there >= total) & (there < total)][::-1]
+            if len(x := x[have[total - x] > 0]):
+                self.pairs[total] = x
+        paired = np.zeros(most + 1, dtype=bool)
+        paired[list(self.pairs)] = True
+        for total in range(3, most):
+            x = there[(3 * there >= total) & (there < total - 1)][::-1]
+            if len(x := x[paired[total - x]]):
+                self.triples[total] = x
+
+    def _pair(self, total: int) -> tuple[int, ...]:
+        x = self.pairs.get(total)
+        if x is None:
+            return ()
+        fit = (self.have[x] > 0) & (self.have[total - x] > 0) & ((2 * x != total) | (self.have[x] > 1))
+        at = int(fit.argmax())
+        if not fit[at]:
+            if not (self.have[x] > 0).any():
+                del self.pairs[total]
+            return ()
+        return int(x[at]), total - int(x[at])
+
+    def complement(self, gap: int) -> tuple[int, ...]:
+        """One, two or three lengths that are there and sum to ``gap``, the longest first; none without."""
+        if self.have[gap]:
+            return (gap,)
+        if found := self._pair(gap):
+            return found
+        for x in self.triples.get(gap, ()):
+            if self.have[x]:
+                self.have[x] -= 1
+                rest = self._pair(gap - int(x))
+                self.have[x] += 1
+                if rest:
+                    return (int(x), *rest)
+        return ()
+
+
 def plan(counts: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, times): sequences that use up ``counts`` of pieces by length.
 
     From the longest length on, the gap beside it is filled exactly by one, two or three available lengths whose
-    sum it is, as often as all of them are there. What finds no exact complement goes, longest first, to the open
-    sequence that it leaves the smallest gap in. Open sequences alike are kept together with their number.
+    sum it is (``Sums``), as often as all of them are there. What finds no exact complement goes, longest first, to the
+    open sequence that it leaves the smallest gap in. Open sequences alike are kept together with their number.
     """
     have, out = np.zeros(most + 1, dtype=np.int64), []
     for length, n in counts.items():
         have[length] += n
-
-    def pair(gap: int) -> tuple[int, ...]:
-        if gap < 2:
-            return ()
-        x = np.arange(gap - 1, (gap - 1) // 2, -1)
-        fit = (have[x] > 0) & (have[gap - x] > 0) & ((2 * x != gap) | (have[x] > 1))
-        at = int(fit.argmax())
-        return (int(x[at]), gap - int(x[at])) if fit[at] else ()
-
-    def triple(gap: int) -> tuple[int, ...]:
-        for x in np.nonzero(have[: max(gap - 1, 0)])[0][::-1]:
-            have[x] -= 1
-            rest = pair(gap - int(x)) if have[x] >= 0 else ()
-            have[x] += 1
-            if rest:
-                return (int(x), *rest)
-        return ()
-
     if have[most]:
         out.append(((most,), int(have[most])))
         have[most] = 0
-    left: dict[int, int] = {}
+    sums, left = Sums(have), {}
     for length in range(most - 1, 0, -1):
         while have[length]:
             have[length] -= 1
-            gap = most - length
-            fill = (gap,) if have[gap] else pair(gap) or triple(gap)
+            fill = sums.complement(most - length)
             have[length] += 1
             if not fill:
                 left[length] = int(have[length])
@@ -149,19 +199,20 @@ def places(recipes: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def place(cut: DataFrame, most: int) -> DataFrame:
     """``cut`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset; at most ``most`` tokens in a sequence.
 
-    What reaches the driver is one number for each length. The places that are broadcast are as many as the plan's
-    steps, which depend on ``most`` and not on the rows.
+    What reaches the driver is one number for each length. The plan's places, which are broadcast, depend on ``most``
+    and not on the rows: at most one step for each length and entry of its sums. Pieces of a length are ranked
+    in groups of about ``GROUP``; of the groups' sizes, one row for so many pieces, the join's way is Spark's choice.
     """
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = places(plan(counts, most))
-    to = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "at_length long, lo long, hi long, sequence long, offset long")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    to = spark.createDataFrame(places(plan(counts, most)), "at_length long, lo long, hi long, sequence long, offset long")
+    salts = spark.createDataFrame([(length, -(-n // GROUP)) for length, n in counts.items()], "l long, salts long")
+    salted = cut.join(F.broadcast(salts), F.col("length") == F.col("l")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("l", "salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("own", own).join(F.broadcast(sizes), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("before") + F.col("own"))
+    ranked = salted.withColumn("own", own).join(sizes, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("before") + F.col("own"))
     found = ranked.join(F.broadcast(to), (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return found.select(*cut.columns, (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
@@ -169,8 +220,8 @@ def place(cut: DataFrame, most: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """Every row's pieces with sequence_id and offset: all documents in as few sequences of ``most`` tokens as found.
 
-    A document is its ids by the tokenizer file at ``path`` and then ``end``; null and empty texts are that one
-    token. Offsets within a sequence are gapless from 0. Repeated rows are packed each; an empty table gives no rows.
+    A document is its ids by the tokenizer file at ``path``, as ``Tokens`` gives them, and then ``end``; null and empty
+    texts are that one token. Offsets within a sequence are gapless from 0. Repeated rows are packed each; an empty table gives no rows.
     with_ids: each piece also carries its ids, see ``sequences``.
     """
     return place(stored(pieces(docs, path, most, end, with_ids), "pieces"), most)

@@ -76,7 +76,7 @@ def cut(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def keys(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each span of code points, by its characters and length."""
+    """A 64-bit key of each span of code points, by its characters and length. Spans of one key may differ."""
     size = 1 << max(16, int(len(points)).bit_length())
     powers, inverse = _powers(size)
     with np.errstate(over="ignore"):
@@ -88,51 +88,79 @@ def keys(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
         return out * _MIX + (ends - begins).astype(np.uint64)
 
 
+def _gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all items of spans, one span after the other."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+
+
+def same_spans(a: np.ndarray, a_begin: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_begin: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Of spans of ``a`` and ``b`` in pairs, which are alike in length and in every code point."""
+    same = a_size == b_size
+    begin, size = a_begin[same], a_size[same]
+    differ = a[_gathered(begin, size)] != b[_gathered(b_begin[same], size)]
+    count = np.concatenate([[0], np.cumsum(differ)])
+    stop = np.cumsum(size)
+    same[same] = count[stop] == count[stop - size]
+    return same
+
+
 class Words:
     """Tokens of pre-tokens already met, kept while they are few enough, and those of whole texts.
 
-    encode: token ids of each of a list of pre-tokens.
+    A key finds a pre-token's tokens, and its code points prove them: where those differ, as keys of a hash may
+    collide, the pre-token is encoded by itself. encode: token ids of each of a list of pre-tokens.
     """
 
-    def __init__(self, encode, most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 400_000, characters: int = 8_000_000):
+        self.encode, self.most, self.characters = encode, most, characters
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        none = np.zeros(0, np.int64)
+        self.key, self.begin, self.size, self.ids = np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint32)
+        self.point_begin, self.point_size, self.points = none, none, np.zeros(0, np.uint32)
 
-    def _learn(self, key: np.ndarray, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end, and how many each has."""
         ids = self.encode(words)
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate([np.asarray(x, dtype=np.uint16) for x in ids]) if ids else np.zeros(0, np.uint16)
-        begin = len(self.ids) + np.cumsum(size) - size
-        every = np.concatenate([self.key, key])
-        order = np.argsort(every, kind="stable")
-        self.key, self.begin, self.size = every[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, flat])
+        return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, dtype=np.uint32) for x in ids)]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _learn(self, key: np.ndarray, words: list[str]) -> None:
+        flat, size = self._encoded(words)
+        points, bounds = points_of(words)
+        order = np.argsort(np.concatenate([self.key, key]), kind="stable")
+        merged = lambda old, new: np.concatenate([old, new])[order]
+        self.begin, self.size = merged(self.begin, len(self.ids) + np.cumsum(size) - size), merged(self.size, size)
+        self.point_begin, self.point_size = merged(self.point_begin, len(self.points) + bounds[:-1]), merged(self.point_size, np.diff(bounds))
+        self.key, self.ids, self.points = merged(self.key, key), np.concatenate([self.ids, flat]), np.concatenate([self.points, points])
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's begin, with the end."""
         points, bounds = points_of(texts)
         begins = cut(points, bounds)
         if not len(begins):
-            return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(begins[1:], len(points))
         key, place, back = np.unique(keys(points, begins, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.key, key)
         new = (self.key[np.minimum(at, max(len(self.key) - 1, 0))] != key) if len(self.key) else np.ones(len(key), bool)
+        whole = "".join(texts)
         if new.any():
-            if len(self.key) + new.sum() > self.most and len(self.key):
+            if len(self.key) and (len(self.key) + new.sum() > self.most or len(self.points) > self.characters):
                 self._clear()
                 new[:] = True
-            whole = "".join(texts)
             self._learn(key[new], [whole[begins[i] : ends[i]] for i in place[new]])
             at = np.searchsorted(self.key, key)
-        size, begin = self.size[at][back], self.begin[at][back]
-        stop = np.cumsum(size)
-        out = self.ids[np.arange(stop[-1]) + np.repeat(begin - (stop - size), size)]
+        own = at[back]
+        size, begin, ids = self.size[own], self.begin[own], self.ids
+        other = np.nonzero(~same_spans(points, begins, ends - begins, self.points, self.point_begin[own], self.point_size[own]))[0]
+        if len(other):
+            more, sizes = self._encoded([whole[begins[i] : ends[i]] for i in other])
+            size[other], begin[other] = sizes, len(ids) + np.cumsum(sizes) - sizes
+            ids = np.concatenate([ids, more])
         # the number of pre-tokens before each text gives its place among the ids
-        return out, np.concatenate([[0], stop])[np.searchsorted(begins, bounds)]
+        return ids[_gathered(begin, size)], np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begins, bounds)]
 
 
 def portions(texts: list[str], most: int = 1_000_000):
