@@ -53,11 +53,38 @@ def test_lines_of_repeated_rows(spark):
     assert {(r.n_dropped, r.kept) for r in lines.drop_frequent_lines(df).collect()} == {(2, "")}
 
 
-def test_runs_are_levelled(spark):
-    runs = lines.LineRuns(spark, min_docs=4, fanout=2)
+def test_runs_are_levelled_and_outlive_a_session(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
     for n in range(5):
+        runs = lines.LineRuns(spark, path, min_docs=4, fanout=2)  # opened anew for each batch
         runs.add(spark.createDataFrame([(1, 0, 1), (2, 0, 3 if n == 0 else 1), (10 + n, 0, 1)], "h long, g long, n long"))
+        runs.close()
+    runs = lines.LineRuns(spark, path, min_docs=4, fanout=2)
     assert sorted(r.h for r in runs.frequent().collect()) == [1, 2] and [len(x) for x in runs.levels] == [1, 0, 1]
+    # a decided key is no longer counted: the last batch left its run without key 2
+    last = runs._run(runs.levels[0][0])
+    assert sorted(r.h for r in last.collect()) == [14]
+    with pytest.raises(ValueError, match="min_docs=4"):
+        lines.LineRuns(spark, path, min_docs=5)
+    plan = runs._merged(runs.levels[0] + runs.levels[2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
+
+
+def test_batches_in_two_calls_equal_one(spark, tmp_path):
+    rng = random.Random(11)
+    texts = ["\n".join(rng.choices([f"line {i}" for i in range(40)], k=12)) for _ in range(60)]
+    halves = [_docs(spark, texts[:25]), _docs(spark, texts[25:], 25)]
+    two = lines.LineRuns(spark, f"file://{tmp_path}/two", min_docs=16)
+    for half in halves:
+        two.add_documents(half)
+    one = lines.LineRuns(spark, f"file://{tmp_path}/one", min_docs=16)
+    one.add_documents(halves[0].union(halves[1]))
+    got = [sorted(map(tuple, x.frequent().collect())) for x in (two, one)]
+    count = Counter(x for t in texts for x in set(t.split("\n")))
+    assert got[0] == got[1] and len(got[0]) == sum(n >= 16 for n in count.values()) > 0
+    two.close()
+    one.close()
 
 
 def test_rule_counts(spark):

@@ -1,11 +1,13 @@
 """Line dedup by levelled sorted runs of line hashes (operator 5), in DataFrame operations only."""
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.store import dropped, parts, stored
+from tracemill.llm.store import deleted, new_folder, parts, stored
 
 #: What is stripped from a line's ends and what separates words.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,62 +31,110 @@ def _hashes(key) -> list:
 
 
 class LineRuns:
-    """Counts of documents by line hash, in sorted runs on levels; a level of ``fanout`` runs is merged into the next.
+    """Counts of documents by line hash, in sorted runs on levels, in a folder that outlives the session.
 
-    A key that a merge finds in ``min_docs`` documents or more moves to the sealed runs. Every new batch is
-    anti-joined with those, as they are decided, and what is left of it becomes a run of its own.
+    A run is a table in buckets of (h, g), each sorted, so that runs meet by merge joins without a shuffle. A new batch is
+    merge-anti-joined with what the runs already hold ``min_docs`` times or more, since such a key is decided, and what is
+    left becomes a run of its own. A level of ``fanout`` runs is merged into one of the next level.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.sealed: list[DataFrame] = []
-
-    def _sorted(self, counts: DataFrame, name: str) -> DataFrame:
-        return stored(counts.repartition(parts(self.spark), "h", "g").sortWithinPartitions("h", "g"), name)
+    def __init__(self, spark: SparkSession, path: str, min_docs: int, fanout: int = 2):
+        self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
+        self.buckets, self.levels, self.version, self._tables = parts(spark), [[]], 0, {}
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [int(x.getPath().getName()[9:]) for x in fs.listStatus(files) if x.getPath().getName().startswith("manifest-")] if fs.exists(files) else []
+        if found:
+            self.version = max(found)
+            state = json.loads(spark.read.text(f"{path}/manifest-{self.version}").first()[0])
+            self.buckets, self.levels = state["buckets"], state["levels"]
+            if state["min_docs"] != min_docs:
+                raise ValueError(f"the runs at {path} are of min_docs={state['min_docs']}")
+
+    def _write(self, counts: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        table = f"tracemill_{name[4:]}"
+        counts.repartition(self.buckets, "h", "g").write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
+        self._tables[name] = table
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        """(h, g, n) of a run."""
+        if name not in self._tables:
+            self._tables[name] = f"tracemill_{name[4:]}"
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._tables[name]} (h BIGINT, g BIGINT, n BIGINT) USING parquet CLUSTERED BY (h, g) SORTED BY (h, g) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self._tables[name])
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs' keys with the sum of their counts, by full merge joins."""
+
+        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+            both = a.join(b.withColumnRenamed("n", "m").hint("merge"), ["h", "g"], "full")
+            return both.select("h", "g", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+        return reduce(merge, map(self._run, names))
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(name, f'tracemill_{name[4:]}')}")
+            deleted(self.spark, f"{self.path}/{name}")
+
+    def _commit(self, old: list[str]) -> None:
+        """Writes which runs count; only then do merged ones go, so that a driver lost between leaves a whole state."""
+        self.version += 1
+        state = json.dumps({"buckets": self.buckets, "min_docs": self.min_docs, "levels": self.levels})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
+        self._forget(old)
+        deleted(self.spark, f"{self.path}/manifest-{self.version - 1}")
 
     def add(self, counts: DataFrame) -> None:
-        """Takes the counts (h, g, n) of a batch of documents."""
-        for run in self.sealed:
-            counts = counts.join(run, ["h", "g"], "left_anti")
-        self.levels[0].append(self._sorted(counts, "run"))
-        level = 0
+        """Takes the counts (h, g, n) of a batch of documents, each key once."""
+        for name in (n for level in self.levels for n in level):
+            sealed = self._run(name).where(F.col("n") >= self.min_docs).select("h", "g")
+            counts = counts.join(sealed.hint("merge"), ["h", "g"], "left_anti")
+        self.levels[0].append(self._write(counts))
+        level, old = 0, []
         while len(self.levels[level]) >= self.fanout:
-            merged = stored(self._merged(self.levels[level]), "merge")
-            self.sealed.append(self._sorted(merged.where(F.col("n") >= self.min_docs).select("h", "g"), "sealed"))
-            run = self._sorted(merged.where(F.col("n") < self.min_docs), "run")
-            dropped(merged, *self.levels[level])
+            names = self.levels[level]
+            merged = self._write(self._merged(names))
+            old += names
             self.levels[level] = []
             level += 1
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(run)
+            self.levels[level].append(merged)
+        self._commit(old)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("h", "g").agg(F.sum("n").alias("n"))
+    def add_documents(self, docs: DataFrame) -> None:
+        """Takes a batch of documents (text): counts in how many each non-empty line key is, and adds those counts."""
+        keys = docs.select(F.explode(F.array_distinct(line_keys(F.col("text").cast("string")))).alias("key")).where("key != ''")
+        self.add(keys.select(*_hashes("key")).groupBy("h", "g").agg(F.count("*").alias("n")))
 
     def frequent(self) -> DataFrame:
-        """(h, g) of every key in ``min_docs`` documents or more so far, each once."""
-        runs = [run for level in self.levels for run in level]
-        found = [run.select("h", "g") for run in self.sealed]
-        if runs:
-            found.append(self._merged(runs).where(F.col("n") >= self.min_docs).select("h", "g"))
-        return stored(reduce(DataFrame.unionByName, found).distinct(), "frequent")
+        """(h, g) of every key in ``min_docs`` documents or more so far, each once; stored."""
+        names = [name for level in self.levels for name in level]
+        return stored(self._merged(names).where(F.col("n") >= self.min_docs).select("h", "g"), "frequent")
+
+    def close(self) -> None:
+        """Takes the runs out of the session's catalog; the files stay."""
+        for table in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables = {}
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, batches: int = 4) -> DataFrame:
     """(h, g): hashes of the non-empty line keys found in at least ``min_docs`` rows of ``docs``.
 
-    The documents come in batches by a hash of the row; one scan counts the lines of all.
+    The documents come in batches by a hash of their doc_id, one after the other, as a growing corpus would.
     """
-    keys = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key")).where("key != ''")
-    counts = stored(keys.select("batch", *_hashes("key")).groupBy("batch", "h", "g").agg(F.count("*").alias("n")), "lines")
-    runs = LineRuns(docs.sparkSession, min_docs)
+    spark = docs.sparkSession
+    path = new_folder(spark, "line_runs")
+    runs = LineRuns(spark, path, min_docs)
     for batch in range(batches):
-        runs.add(counts.where(F.col("batch") == batch).select("h", "g", "n"))
+        runs.add_documents(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch))
     out = runs.frequent()
-    dropped(counts, *runs.sealed, *(run for level in runs.levels for run in level))
+    runs.close()
+    deleted(spark, path)
     return out
 
 
@@ -97,7 +147,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     get the same result. Columns of ``docs`` named like the three new ones are replaced.
     """
     names = ("n_lines", "n_dropped", "kept")
-    docs = docs.select(F.struct(*(c for c in docs.columns if c not in names)).alias("own"), "doc_id", F.col("text").cast("string"))
+    others = [c for c in docs.columns if c not in (*names, "text")]
+    docs = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("own"), "doc_id", F.col("text").cast("string"))
     row = [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("twin")]
     frequent = frequent_lines(docs.select("doc_id", "text"), min_docs)
     placed = docs.select(*row, F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where("key != ''").select("row", "twin", "pos", *_hashes("key"))
@@ -105,4 +156,4 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     split = docs.select("own", "text", *row).join(hits, ["row", "twin"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    return split.select("own.*", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    return split.select(*(F.col("text" if c == "text" else f"own.`{c}`").alias(c) for c in (*others, "text")), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))

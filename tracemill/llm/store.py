@@ -4,6 +4,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,52 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own['path']}"
 
 
+#: Folders that this process has written and not deleted yet, in order.
+_written: list[str] = []
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared one."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder; what is written there goes with ``scratch`` or at the end of the process."""
+    if not _written:
+        atexit.register(_leave)
+    _written.append(f"{shared_folder(spark)}/tracemill/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _leave() -> None:
+    """Deletes what is left, while the JVM still answers."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            deleted(spark, *_written)
+    except Exception:  # the process ends: what can't be deleted now is left to the folder's owner
+        _written.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within it, tables may be stored; at its end all are deleted but those handed to the function that it yields."""
+    before, kept = set(_written), []
+    yield kept.append
+    deleted(spark, *(p for p in list(_written) if p not in before and p not in {df._tracemill_path for df in kept}))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again: later stages, and retries after a lost executor, start there.
 
-    The files stay in the shared folder until ``dropped`` is called or the cluster empties that folder.
+    The files stay in the shared folder until ``dropped`` is called, a ``scratch`` ends, or the process does.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tracemill_path = path
@@ -39,9 +79,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tracemill_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(df.sparkSession, df._tracemill_path)
 
 
 def parts(spark: SparkSession) -> int:
