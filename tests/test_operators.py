@@ -113,8 +113,8 @@ def test_joins_of_small_tables(spark):
     moved = joins.moved_to(sql("SELECT 7 AS ino, '/a' AS path"), sql("SELECT 7 AS ino, '/b' AS path"), ["ino"]).first()
     assert tuple(moved) == ("/a", "/b")
     assert sets.current_version(sql("SELECT '1' AS version UNION ALL SELECT '2'"), "2").count() == 1
-    late = capture.deletions(sql("SELECT explode(array(10, 20, 30)) AS t"), sql("SELECT '/a' AS path, 10 AS last_seen UNION ALL SELECT '/b', 20"))
-    assert [tuple(r) for r in late.collect()] == [("/a", 10, 30)]
+    late = capture.deletions(sql("SELECT 's' AS source, explode(array(10, 20, 30)) AS t"), sql("SELECT 's' AS source, '/a' AS path, 10 AS last_seen UNION ALL SELECT 's', '/b', 20"), ["source"])
+    assert [tuple(r) for r in late.collect()] == [("s", "/a", 10, 30)]
     marks = aggregates.capture_status(sql("SELECT 's' AS source, array('x') AS flags, 'active' AS status UNION ALL SELECT 's', array(), 'deleted'")).first()
     assert tuple(marks) == ("s", 2, 1, 1)
 
@@ -122,7 +122,52 @@ def test_joins_of_small_tables(spark):
 def test_record_columns(spark):
     row = spark.sql("""SELECT parse_json('{"command":"ls  -l"}') AS v""").select(
         records.clean_prompt(F.lit("<timestamp>x</timestamp><user_query>\nask me\n</user_query>")), records.nested_calls(F.lit("tools.a(1) // tools.b()\n'tools.c()' tools.d ()")),
-        records.paths_named(F.lit("*** Add File: a.txt\n*** Move to:  b.txt ")), F.to_json(records.review_decision(F.lit('say decision: {"ok":true} thanks'))), records.image_class(F.lit("data:image/png;base64,xx")),
-        records.safe_link(F.lit("javascript:x")), records.encrypted(F.parse_json(F.lit('[{"type":"reasoning.encrypted"}]'))), records.tool_label(F.lit("Bash"), "v"),
+        records.paths_named(F.lit("*** Add File: a.txt\n*** Move to:  b.txt ")), F.to_json(records.review_request(F.lit('say Planned action JSON: {"ok":true} thanks'))), records.image_class(F.lit("data:image/png;base64,xx")),
+        records.safe_link(F.lit("javascript:x")), records.encrypted(F.parse_json(F.lit('[{"type":"reasoning.encrypted"}]'))), records.tool_label(F.lit("shell"), F.parse_json(F.lit('{"cmd":"ls  -l"}'))),
     )
-    assert tuple(row.first()) == ("ask me", ["a", "d"], ["a.txt", "b.txt"], '{"ok":true}', "inline", None, True, "Bash ls -l")
+    assert tuple(row.first()) == ("ask me", ["a", "d"], ["a.txt", "b.txt"], '{"ok":true}', "inline", None, True, "ls  -l")
+
+
+def test_more_record_columns(spark):
+    value = lambda x: F.parse_json(F.lit(x))
+    row = spark.range(1).select(
+        F.to_json(records.tool_input(F.lit("edit"), value('{"filePath":"a","oldString":"b","x":1}'))), F.to_json(records.tool_input(F.lit("Read"), value('{"path":"a","file_path":"b"}'))),
+        F.to_json(records.tool_input(F.lit("other"), value('{"filePath":"a"}'))), F.to_json(records.tool_input(F.lit("Read"), value('"text"'))),
+        records.tool_label(F.lit("apply_patch"), value('"*** Add File: a.txt\\n*** Move to: b"')), records.tool_label(F.lit("exec"), value('{"calls":[{"name":"a"},{"name":"b"}]}')), records.tool_label(F.lit("x"), value('{"k":"one\\ntwo"}')),
+        records.readable_text(value('{"message":{"content":[{"type":"text","text":"a  b"},{"type":"tool_use","name":"Bash","input":{"command":"ls"}},{"type":"tool_result","content":[{"type":"text","text":"out"}]},{"type":"thinking","thinking":"hm"}]}}')),
+        records.readable_text(value('{"payload":{"name":"exec","content":[],"arguments":"run it"}}')), records.readable_text(value('{"content":"plain"}')), records.readable_text(value("[]")), F.to_json(records.review_decision(F.lit('{"outcome":"deny"}'))), records.review_decision(F.lit("no")).isNull(),
+    )
+    assert tuple(row.first()) == (
+        '{"file_path":"a","old_string":"b","x":1}', '{"file_path":"b"}', '{"filePath":"a"}', '"text"', "a.txt, b", "a · b", "k: one", "a b [Bash] ls [result] out (thinking) hm",
+        "[exec] run it", "plain", "", '{"outcome":"deny"}', True,
+    )
+
+
+def test_containment(spark):
+    wholes = ["one two three four five six seven eight nine", "alpha beta gamma", "x y"]
+    texts = ["wo three four five six seven eigh", "two three nine four five six seven", "beta", "pha beta gam", "y", "three four five six seven", "zz", "beta"]
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "s int, k int, t string")
+    right = spark.createDataFrame([(1, i, w) for i, w in enumerate(wholes)], "s int, whole_key int, w string")
+    want = {(i, j) for i, t in enumerate(texts) for j, w in enumerate(wholes) if t in w}
+    for by in (["s"], []):
+        assert {tuple(r) for r in joins.containing(left, right, by, "k", "t", "w").collect()} == want
+    none = right.where("whole_key = 99")
+    assert sorted(r.k for r in joins.uncontained(left, none, ["s"], "k", "t", "w").collect()) == [0, 1, 3, 4, 6]
+
+
+def test_sources_break_alone(spark, tmp_path):
+    fine, odd = str(tmp_path / "fine"), str(tmp_path / "odd")
+    spark.range(3).write.parquet(fine)
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd/x.parquet").write_text("no parquet")
+    keep = lambda df, name: spark.createDataFrame(df.collect(), df.schema)
+    got, broken = sets.union_available({"a": lambda: spark.read.parquet(fine), "b": lambda: spark.read.parquet(str(tmp_path / "none")), "c": lambda: spark.read.schema("id long").parquet(odd)}, keep)
+    assert got.count() == 3 and sorted(broken) == ["b", "c"]
+
+
+def test_chains_are_reconciled(spark):
+    links = [(1, i, 10 * i, f"h{i}") for i in range(1, 5)] + [(2, 1, 5, "z1"), (2, 2, 9, "z2")]
+    actual = spark.createDataFrame(links, "g int, link int, end long, head string")
+    recorded = spark.createDataFrame([*links[:2], (2, 1, 5, "other")], "g int, link int, end long, head string")
+    got = sorted((r.g, r.link, r.added) for r in capture.reconciled(recorded, actual, "g").collect())
+    assert got == [(1, 1, False), (1, 2, False), (1, 3, True), (1, 4, True), (2, 1, False)]

@@ -1,6 +1,7 @@
 """Logs and stores of our own making, read and normalized."""
 
 import json
+import os
 import random
 import sqlite3
 
@@ -23,8 +24,9 @@ def _says(kind, uuid, content, parent=None, **more):
 @pytest.fixture
 def tree(tmp_path):
     _write(tmp_path / "-workspace-example-project/s1.jsonl", [
-        _says("user", "u1", "Please list the files"), "", "{broken", '{"type":"api-request","x":1}',
-        _says("assistant", "u2", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "I will."}, {"type": "tool_use", "id": "t1", "name": "run_terminal_command_v2", "input": {"command": "ls"}}], "u1", id="m1", model="m-one"),
+        _says("user", "u1", "Please list the files"), "", "{broken", '{"type":"api-request","x":1}', '{"type":"api-request-blob","hash":"h","message":{"role":"user","content":"x"}}',
+        '{"type":"api-request-blob","hash":"h","message":{"role":"system","content":"# Environment\\ncwd: /w"}}', '{"type":"api-request-shape","timestamp":"t0","shape":{"system":"Be good","tools":[{"name":"Bash"}]}}',
+        _says("assistant", "u2", [{"type": "thinking", "thinking": "hm"}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}, {"type": "text", "text": "I will."}, {"type": "tool_use", "id": "t2", "name": "Bash", "input": {"command": "pwd"}}], "u1", id="m1", model="m-one"),
         _says("user", "u3", [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "a.txt"}], "is_error": False}], "u2"),
         _says("user", "u4", "<system-reminder>be brief</system-reminder>", "u3"), {"type": "strange", "uuid": "u5", "timestamp": "x"}, {"type": "pr-link", "prUrl": "javascript:1", "prRepository": "r"},
     ])
@@ -35,9 +37,13 @@ def tree(tmp_path):
 def test_tree_logs(spark, tree):
     raw = jsonl.tree_logs(spark, tree)
     assert {(r.session_key, r.parent_id, r.project) for r in raw.select("session_key", "parent_id", "project").distinct().collect()} == {("s1", None, "-workspace-example-project"), ("agent-9", "s1", "-workspace-example-project")}
-    events = records.tree_events(raw).where("session_key = 's1'").collect()
-    got = sorted((e.seq, e.kind, e.text, e.label) for e in events if e.kind != "tool")
-    assert got == [(0, "user", "Please list the files", None), (4, "assistant", "I will.", None), (4, "reasoning", "hm", None), (6, "notice", "<system-reminder>be brief</system-reminder>", "System reminder"), (7, "raw", None, "strange"), (8, "attachment", None, "pr-link")]
+    events = records.tree_events(raw).where("session_key = 's1'").orderBy("seq", "block").collect()
+    got = [(e.seq, e.block, e.kind, e.text, e.label) for e in events]
+    assert got == [
+        (-1, 0, "instructions", "Be good\n\n— Tools (1): Bash", "System prompt"), (-1, 1, "instructions", "# Environment\ncwd: /w", "Environment"), (0, 0, "user", "Please list the files", None),
+        (3, 0, "reasoning", "hm", None), (3, 1, "tool", None, None), (3, 2, "assistant", "I will.", None), (3, 3, "tool", None, None),
+        (5, 0, "notice", "<system-reminder>be brief</system-reminder>", "System reminder"), (6, 0, "raw", None, "strange"), (7, 0, "attachment", None, "pr-link"),
+    ]
     call = next(e for e in events if e.kind == "tool")
     assert (call.name, call.result, call.is_error, call.call_id) == ("Bash", "a.txt", False, "t1")
     assert quality.violations(records.tree_events(raw), ["session_key", "seq"]).isEmpty()
@@ -51,7 +57,7 @@ def test_rollout_logs(spark, tmp_path):
     rows = [
         line("session_meta", id="x"), line("event_msg", type="user_message", message="Do  it"), line("response_item", type="message", role="user", content=[{"type": "input_text", "text": "Do it"}]),
         line("response_item", type="message", role="user", content=[{"type": "input_text", "text": "<environment_context>x</environment_context>"}]), line("response_item", type="reasoning", summary=[{"type": "summary_text", "text": "why"}], encrypted_content="zz"),
-        line("response_item", type="function_call", name="run_terminal_command_v2", arguments='{"cmd":"ls"}', call_id="c1"), line("response_item", type="function_call_output", call_id="c1", output='Output: {"output":"no","metadata":{"exit_code":2}}'),
+        line("response_item", type="function_call", name="exec", arguments='{"cmd":"ls"}', call_id="c1"), line("response_item", type="function_call_output", call_id="c1", output='Output: {"output":"no","metadata":{"exit_code":2}}'),
         line("response_item", type="new_thing"), line("event_msg", type="task_complete", turn_id="t"),
     ]
     _write(tmp_path / "live/2025/01/01" / name, rows)
@@ -59,9 +65,9 @@ def test_rollout_logs(spark, tmp_path):
     raw = jsonl.rollout_logs(spark, [str(tmp_path / "live"), str(tmp_path / "old")])
     assert raw.count() == len(rows)
     events = records.rollout_events(raw).collect()
-    assert sorted((e.kind, e.text or "", e.label or "") for e in events if e.kind not in ("tool",)) == [("instructions", "<environment_context>x</environment_context>", "Environment context"), ("raw", "", "new_thing"), ("reasoning", "why", "encrypted"), ("status", "", "task_complete"), ("user", "Do  it", "")]
+    assert sorted((e.kind, e.text or "", e.label or "") for e in events if e.kind not in ("tool",)) == [("instructions", "<environment_context>x</environment_context>", "Environment context"), ("raw", "", "response_item/new_thing"), ("reasoning", "why", "encrypted"), ("status", "", "complete"), ("user", "Do  it", "")]
     call = next(e for e in events if e.kind == "tool")
-    assert (call.name, call.result, call.is_error) == ("Bash", "no", True)
+    assert (call.name, call.result, call.is_error, call.label) == ("exec", "no", True, "orchestration code")
 
 
 def test_stores(spark, tmp_path):
@@ -83,13 +89,13 @@ def test_stores(spark, tmp_path):
     con.execute("CREATE TABLE part (id, message_id, session_id, data)")
     con.execute("INSERT INTO session VALUES ('s', NULL, '/w', 'New session - 1', '1', 1, 2)")
     con.execute("INSERT INTO message VALUES ('m1', 's', 5, '{\"role\":\"user\"}'), ('m2', 's', 6, '{\"role\":\"assistant\",\"providerID\":\"p\",\"modelID\":\"m\"}')")
-    con.executemany("INSERT INTO part VALUES (?, ?, 's', ?)", [("p1", "m1", '{"type":"text","text":"hi"}'), ("p2", "m1", '{"type":"text","text":"aux","synthetic":true}'), ("p3", "m2", '{"type":"tool","tool":"read_file_v2","callID":"c","state":{"status":"error","input":{"path":"a"},"error":"gone"}}'), ("p4", "m2", '{"type":"step-start"}')])
+    con.executemany("INSERT INTO part VALUES (?, ?, 's', ?)", [("p1", "m1", '{"type":"text","text":"hi"}'), ("p2", "m1", '{"type":"text","text":"aux","synthetic":true}'), ("p3", "m2", '{"type":"tool","tool":"read","callID":"c","state":{"status":"error","input":{"filePath":"a"},"error":"gone"}}'), ("p4", "m2", '{"type":"step-start"}')])
     con.commit()
     con.close()
     _, messages, parts = sqlite.three_tables(spark, str(tmp_path), "three.db")
-    events = records.part_events(messages, parts).orderBy("seq").collect()
-    assert [(e.kind, e.text, e.label, e.model) for e in events] == [("user", "hi", None, ""), ("notice", "aux", "Injected", ""), ("tool", None, None, "p/m")]
-    assert (events[2].name, events[2].result, events[2].is_error) == ("Read", "gone", True)
+    events = records.part_events(messages, parts).withColumn("input", F.to_json("input")).orderBy("seq", "block").collect()
+    assert [(e.kind, e.text, e.label, e.model) for e in events] == [("user", "hi", None, None), ("notice", "aux", "Injected", None), ("tool", None, None, "p/m")]
+    assert (events[2].name, events[2].input, events[2].result, events[2].is_error) == ("read", '{"file_path":"a"}', "gone", True)
     con = sqlite3.connect(chat)
     con.execute("CREATE TABLE blobs (id TEXT, data BLOB)")
     con.executemany("INSERT INTO blobs VALUES (?, ?)", [("a", b'{"role":"user","content":"<user_info>x"}'), ("b", b'\x02\x01{"role":"assistant","content":[{"type":"text","text":"yes"},{"type":"tool-call","toolCallId":"k","toolName":"rg","args":{"pattern":"z"}}]}'), ("c", b'{"role":"tool","content":[{"type":"tool-result","toolCallId":"k","result":"hit"}]}'), ("d", b"\x00\x01")])
@@ -130,6 +136,7 @@ def test_write_rollouts(spark, tmp_path):
 def test_tail(spark, tmp_path):
     file = tmp_path / "log.jsonl"
     file.write_text("one\ntwo\nhal")
+    os.utime(file, ns=(1, 1))
     reader = tail.TailReader(str(tmp_path / "*.jsonl"))
     first = reader.latestOffset()
     lines = lambda a, b: [x[2:] for p in reader.partitions(a, b) for x in reader.read(p)]
@@ -156,7 +163,8 @@ def test_captures_are_ordered_over_frames(spark, tmp_path):
 
     rng = random.Random(8)
     shots = [(i % 3 % 2, i, rng.randint(0, 1), rng.randint(0, 3), rng.random() < 0.7) for i in range(400)]
-    schema = "path long, event_id long, identity long, size long, prefix_same boolean"
+    shots = [(str(p), *rest) for p, *rest in shots]
+    schema = "path string, event_id long, identity long, size long, prefix_same boolean"
     mixed = rng.sample(shots, len(shots))
     for i in range(4):
         spark.createDataFrame(mixed[i::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

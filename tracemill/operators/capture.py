@@ -1,9 +1,12 @@
 """Audit of append-only files: line diffs, change classes, gaps, hash chains, comparison."""
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.values import chain_step
 from tracemill.operators.sets import surplus
 
 
@@ -58,11 +61,27 @@ def classify_snapshots(snapshots: DataFrame, path: str, order: list[str]) -> Dat
     return snapshots.withColumn("change", change_class(before, {c: F.col(c) for c in ("identity", "size", "prefix_same")}))
 
 
-def deletions(polls: DataFrame, files: DataFrame) -> DataFrame:
-    """T4: files (path, last_seen) not seen for one whole poll after the first that missed them; polls (t) as they ran."""
-    window = Window.partitionBy("path").orderBy("t")
-    missed = files.join(polls, polls["t"] > files["last_seen"]).withColumn("_n", F.row_number().over(window))
-    return missed.where("_n = 2").select("path", "last_seen", F.col("t").alias("deleted_at"))
+def deletions(polls: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
+    """T4: files (by..., path, last_seen) missing for one whole poll after the first that missed them, with deleted_at.
+
+    polls (by..., t) as they ran, for each source; a file was last seen by the poll at last_seen. So the polls are
+    numbered once, and the second after it is found by its number.
+    """
+    numbered = polls.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("t")))
+    seen = files.join(numbered.select(*by, F.col("t").alias("last_seen"), (F.col("_n") + 2).alias("_n")), [*by, "last_seen"])
+    return seen.join(numbered.select(*by, "_n", F.col("t").alias("deleted_at")), [*by, "_n"]).select(*by, "path", "last_seen", "deleted_at")
+
+
+def reconciled(recorded: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Recorded links (key, link, end, head) of a chain, and after them those of the bytes that lie beyond its last one.
+
+    actual: ``chain_links`` over all bytes there are. Links are added only where the last recorded one is among the
+    actual ones; a chain that differs is left as it is, for ``verify_chain`` to tell.
+    """
+    last = recorded.groupBy(key).agg(F.max_by(F.struct("link", "end", "head"), "link").alias("_l"))
+    sound = last.join(actual.select(key, F.col("link").alias("_k"), F.col("end").alias("_e"), F.col("head").alias("_h")), key).where("_l.link = _k and _l.end = _e and _l.head = _h").select(key, "_k")
+    more = actual.join(sound, key).where("link > _k").select(key, "link", "end", "head", F.lit(True).alias("added"))
+    return recorded.select(key, "link", "end", "head", F.lit(False).alias("added")).unionByName(more)
 
 
 def downtime_gaps(beats: DataFrame, by: list[str], t: str, order: list[str], most: Column) -> DataFrame:
@@ -83,18 +102,26 @@ def access_changes(polls: DataFrame, by: list[str], order: list[str], ok: str) -
 def chain_links(chunks: DataFrame, key: str, order: str, data: str, seed: Column) -> DataFrame:
     """(key, link from 1, end, head): the hash chain over a generation's chunks, each head over all bytes before it.
 
-    A chain is a fold over one generation in order, whatever runs it; generations spread over tasks.
+    A chain is sequential, so each sorted partition is scanned once, a batch at a time, holding one head; generations spread
+    over tasks. seed is an expression over the key.
     """
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, data))), lambda x: x[data].cast("binary"))
-    zero = F.struct(seed.alias("head"), F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<end:bigint,head:string>>").alias("links"))
-
-    def step(a: Column, chunk: Column) -> Column:
-        head, end = chain_step(a["head"], chunk), (a["end"] + F.octet_length(chunk)).cast("long")
-        return F.struct(head.alias("head"), end.alias("end"), F.concat(a["links"], F.array(F.struct(end.alias("end"), head.alias("head")))).alias("links"))
-
-    listed_by_key = chunks.groupBy(key).agg(listed.alias("_chunks"))
-    folded = listed_by_key.select(key, F.aggregate("_chunks", zero, step, lambda a: a["links"]).alias("_links"))
-    return folded.select(key, F.posexplode("_links").alias("_at", "_link")).select(key, (F.col("_at") + 1).alias("link"), "_link.end", "_link.head")
+    kind = dict(chunks.dtypes)[key]
+    rows = chunks.select(key, order, F.col(data).cast("binary").alias("_data"), seed.alias("_seed"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, end, link = None, b"", 0, 0
+        for batch in batches:
+            out = [[], [], [], []]
+            for k, chunk, first in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if k != now or not link:
+                    now, head, end, link = k, bytes.fromhex(first.as_py()), 0, 0
+                chunk = chunk.as_py() or b""
+                head, end, link = hashlib.sha256(head + chunk).digest(), end + len(chunk), link + 1
+                for column, x in zip(out, (k, link, end, head.hex()), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], [key, "link", "end", "head"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(scan, f"`{key}` {kind}, link int, end long, head string")
 
 
 def verify_chain(recorded: DataFrame, actual: DataFrame, sizes: DataFrame, key: str) -> DataFrame:

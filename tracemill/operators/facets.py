@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.checkpoints import with_checkpoints
+
 #: What a hit that only metadata gave counts.
 METADATA_SCORE = 0.5
 
@@ -50,10 +52,13 @@ def hierarchy(sessions: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` with the row's number, from 1, in a total order, without one task holding all rows."""
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(*order)
-    counted = spread.withColumn("_local", F.row_number().over(local))
+    """``df`` with the row's number, from 1, in a total order, without one task holding all rows.
+
+    The ranges are written once, as both their sizes and their rows are read.
+    """
+    with_checkpoints(df.sparkSession)
+    counted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counted = counted.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = counted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counted.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
@@ -67,3 +72,14 @@ def by_relevance(hits: DataFrame) -> DataFrame:
 def by_relevance_and_age(sessions: DataFrame) -> DataFrame:
     """Hits by score, those of metadata alone at a half, then the newest."""
     return sessions.orderBy(F.coalesce("score", F.lit(METADATA_SCORE)).desc(), F.col("mtime").desc())
+
+
+def work_order(pending: DataFrame, mtime: str, key: str, size: int) -> DataFrame:
+    """Sessions to index, the newest first, with their batch from 0 of ``size`` each."""
+    placed = numbered(pending, [F.col(mtime).desc(), F.col(key)], "_n")
+    return placed.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
+
+
+def export_order(sessions: DataFrame, created: str, key: str) -> DataFrame:
+    """Sessions with place, from 1, by the time of their creation, those without one first."""
+    return numbered(sessions, [F.coalesce(created, F.lit(0)), F.col(key)], "place")

@@ -65,14 +65,58 @@ def orphans(messages: DataFrame, headers: DataFrame, keys: list[str]) -> DataFra
     return messages.join(headers, keys, "left_anti")
 
 
-def uncontained(texts: DataFrame, kept: DataFrame, by: list[str], text: str, whole: str) -> DataFrame:
-    """Texts that no kept text of the same ``by`` contains."""
-    held = kept.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col(whole).alias("_whole"))
-    same = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(by)]
-    condition = F.contains(F.col("_whole"), F.col(text))
-    for c in same:
-        condition = c & condition
-    return texts.join(held, condition, "left_anti")
+#: Words of an anchor window.
+ANCHOR = 5
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _windows(words: Column, size: int) -> Column:
+    """Hashes of each run of so many words."""
+    spots = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")))
+
+
+def containing(texts: DataFrame, wholes: DataFrame, by: list[str], key: str, text: str, whole: str, size: int = ANCHOR) -> DataFrame:
+    """(key, whole_key) of texts (by..., key, text) and wholes (by..., whole_key, whole) that contain them, within ``by``.
+
+    A whole that contains a text has all its words but the first and last, which may be cut, in a row. So an anchor, a
+    window of ``size`` of them, the one of the smallest hash, meets the windows of the wholes by an equi join; each
+    meeting is verified. A text with fewer words has its longest inner word as anchor. One without an inner word is
+    compared with every whole of its ``by``: of such texts there should be few, as each reads all of them.
+    """
+    inner = F.slice(_words(F.col(text)), 2, F.greatest(F.size(_words(F.col(text))) - 2, F.lit(0)))
+    own = texts.where(F.coalesce(F.col(text), F.lit("")) != "").select(*by, key, text, inner.alias("_in"))
+    longest = F.element_at(F.array_sort(F.transform("_in", lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
+    anchors = own.select(*by, key, text, F.when(F.size("_in") >= size, F.array_min(_windows(F.col("_in"), size))).when(F.size("_in") > 0, F.xxhash64(longest)).alias("_a"), (F.size("_in") >= size).alias("_long"))
+    held = wholes.where(F.col(whole).isNotNull()).select(*by, "whole_key", whole)
+    words = _words(F.col(whole))
+    spots = held.select(*by, "whole_key", F.explode(F.array_distinct(F.concat(_windows(words, size), F.transform(words, lambda w: F.xxhash64(w))))).alias("_a"))
+    met = spots.join(anchors.where("_a is not null").select(*by, key, "_a"), [*by, "_a"]).select(*by, key, "whole_key").distinct()
+    near = met.join(own.drop("_in"), [*by, key]).join(held, [*by, "whole_key"]).where(F.contains(F.col(whole), F.col(text))).select(key, "whole_key")
+    short = anchors.where("_a is null").select(*by, key, text)
+    listed = short.join(held, by) if by else short.join(held, F.contains(F.col(whole), F.col(text)))
+    return near.union(listed.where(F.contains(F.col(whole), F.col(text))).select(key, "whole_key"))
+
+
+def uncontained(texts: DataFrame, kept: DataFrame, by: list[str], key: str, text: str, whole: str) -> DataFrame:
+    """Texts that no kept text (by..., whole_key, whole) of the same ``by`` contains, nor another of the texts.
+
+    Of texts alike the one of the smallest key stays.
+    """
+    inside = containing(texts, kept, by, key, text, whole).select(key)
+    others = containing(texts, texts.select(*by, F.col(key).alias("whole_key"), F.col(text).alias("_own")), by, key, text, "_own").where(F.col(key) != F.col("whole_key"))
+    size = texts.select(F.col(key).alias("_k"), F.length(text).alias("_n"))
+    nested = others.join(size.withColumnsRenamed({"_k": key, "_n": "_a"}), key).join(size.withColumnsRenamed({"_k": "whole_key", "_n": "_b"}), "whole_key").where((F.col("_a") < F.col("_b")) | (F.col("whole_key") < F.col(key))).select(key)
+    return texts.join(inside.union(nested).distinct(), key, "left_anti")
+
+
+def hits_of_titles(titles: DataFrame, contents: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Titles and content matches by file, rows of either side alone included; those with no count above zero are left out."""
+    both = titles.join(contents, key, "full").na.fill(0, counts)
+    return both.where(F.greatest(*(F.col(c) for c in counts)) > 0) if len(counts) > 1 else both.where(F.col(counts[0]) > 0)
 
 
 def placed_between_anchors(orphans_: DataFrame, headers: DataFrame, by: list[str]) -> DataFrame:
@@ -122,10 +166,10 @@ def first_stamp(rows: DataFrame, headers: DataFrame, keys: list[str], stamp: str
     return rows.join(first, keys, "left")
 
 
-def by_parent_record(rows: DataFrame, details: DataFrame, parent: str, columns: list[str]) -> DataFrame:
-    """Rows with columns of the detail record that names them as parent, the first if several."""
-    first = details.groupBy(F.col(parent).alias("_parent")).agg(*(F.first(c).alias(c) for c in columns))
-    return rows.join(first, F.col("uuid") == F.col("_parent"), "left").drop("_parent")
+def by_parent_record(rows: DataFrame, details: DataFrame, parent: str, columns: list[str], order: str = "seq", key: str = "uuid") -> DataFrame:
+    """Rows with columns of the detail record that names their ``key`` as parent, the first by ``order`` if several."""
+    first = details.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("_parent")).agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    return rows.join(first, F.col(key) == F.col("_parent"), "left").select(*(c for c in rows.columns if c not in columns), *(F.col(f"_first.{c}").alias(c) for c in columns))
 
 
 def unrepeated(copies: DataFrame, prompts: DataFrame, by: list[str], text: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Unions, precedence, multiset differences, upserts."""
 
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,21 @@ def union_all(sources: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
+def union_available(loaders: dict[str, Callable[[], DataFrame]], keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of all sources that can be read, with their name as ``origin``; and, by name, what was wrong with the others.
+
+    ``keep`` writes a source's rows and reads them again, so that a source which only breaks while it is read is told
+    apart from the rest as well.
+    """
+    found, broken = [], {}
+    for name, load in loaders.items():
+        try:
+            found.append(keep(load(), name).withColumn("origin", F.lit(name)))
+        except (PySparkException, Py4JJavaError, OSError) as e:
+            broken[name] = str(e).splitlines()[0][:300]
+    return (union_all(found) if found else None), broken
+
+
 def union_by_precedence(sources: list[DataFrame], key: str, side: list[str]) -> DataFrame:
     """One row per key, of the first source that has it; ``side`` fields that it lacks come from the next that has them.
 

@@ -1,13 +1,16 @@
 """Conversation trees: groups of records and folding of abandoned branches.
 
 Trees are edges (session, node, parent, first_idx). Ancestors are found by pointer jumping, so a chain of n nodes takes
-log2(n) joins; the rounds are cut off by a limit, as broken logs may hold cycles.
+log2(n) joins; as broken logs may hold cycles, there are never more rounds than the number of edges needs.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUNDS = 24
+
+def _rounds(edges: DataFrame) -> range:
+    """Rounds that the longest chain of so many edges takes, with one to see that all is done."""
+    return range(edges.count().bit_length() + 2)
 
 
 def turn_groups(records: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def jumped(edges: DataFrame) -> DataFrame:
     """(session, node, root): the last ancestor reached from each node of edges (session, node, parent); itself without a parent."""
     known = edges.select("session", F.col("node").alias("parent")).distinct().withColumn("_k", F.lit(True))
     now = edges.join(known, ["session", "parent"], "left").select("session", "node", F.when(F.col("_k"), F.col("parent")).otherwise(F.col("node")).alias("root"))
-    for _ in range(ROUNDS):
+    for _ in _rounds(edges):
         far = now.select("session", F.col("node").alias("root"), F.col("root").alias("_far"))
         new = now.join(far, ["session", "root"]).select("session", "node", F.col("_far").alias("root"), (F.col("_far") != F.col("root")).alias("_moved")).checkpoint()
         now = new.drop("_moved")
@@ -51,7 +54,7 @@ def fold(edges: DataFrame, tips: DataFrame) -> DataFrame:
     active = edges.join(tips, "session").where("node = tip").select("session", "node")
     up = edges.select("session", "node", "parent").where("parent is not null")
     seen = -1
-    for _ in range(ROUNDS):
+    for _ in _rounds(edges):
         more = active.join(up, ["session", "node"]).select("session", F.col("parent").alias("node"))
         active = active.union(more).distinct().checkpoint()
         count = active.count()

@@ -150,16 +150,13 @@ def asof_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT b.item_id FROM benchmark b WHERE b.item_id % 3 <> 0
-  AND NOT EXISTS (SELECT 1 FROM documents d WHERE left(d.lang, 1) = (CASE b.item_id % 4 WHEN 0 THEN 'e' WHEN 1 THEN 'f' WHEN 2 THEN 'd' ELSE 'x' END) AND contains(d.text, b.text))
+SELECT b.item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))
+  AND NOT EXISTS (SELECT 1 FROM benchmark o WHERE o.item_id <> b.item_id AND contains(o.text, b.text) AND (length(o.text) > length(b.text) OR o.item_id < b.item_id))
 """)
 def orphan_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that no header names, and that no document of their letter contains."""
+    """Passages that no document and no other passage contains."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    code = F.col("item_id") % 4
-    letter = F.when(code == 0, "e").when(code == 1, "f").when(code == 2, "d").otherwise("x")
-    free = joins.orphans(items.withColumn("letter", letter), items.where("item_id % 3 = 0").select("item_id"), ["item_id"])
-    return joins.uncontained(free, docs.select(F.substring("lang", 1, 1).alias("letter"), F.col("text").alias("whole")), ["letter"], "text", "whole").select("item_id")
+    return joins.uncontained(items, docs.select(F.col("doc_id").alias("whole_key"), F.col("text").alias("whole")), [], "item_id", "text", "whole").select("item_id")
 
 
 @query(f"""

@@ -36,7 +36,7 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of snapshots, classified with keyed state."""
     folder, k = _folder(spark), F.get_json_object("props", "$.k").cast("long")
-    shots = _stream(spark, sf_dir).select(F.col("user_id").alias("path"), "event_id", F.floor(k / 40).alias("identity"), (k % 50).alias("size"), (k % 3 != 0).alias("prefix_same"))
+    shots = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), "event_id", F.floor(k / 40).alias("identity"), (k % 50).alias("size"), (k % 3 != 0).alias("prefix_same"))
     out = changes(shots)
     out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/table").select("path", "event_id", "change")
+    return spark.read.schema(out.schema).parquet(f"{folder}/table").select(F.col("path").cast("long").alias("path"), "event_id", "change")

@@ -3,10 +3,13 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.sets import distinct_paths
 from tracemill.operators.windows import file_sequence
 
-#: How lines of bulky records begin that nothing shows.
-BULKY = ('{"type":"api-request"', '{"type":"api-request-blob"')
+# How the lines of bulky records begin that nothing shows. Of logged messages only those whose own role
+# is known not to be the system's may go: a line of any other layout is parsed.
+REQUEST = '{"type":"api-request"'
+OTHER_BLOB = r'^\{"type":"api-request-blob"(?:,"\w+":"[^"\\]*")*,"message":\{"role":"(?:user|assistant|tool)"[,}]'
 
 
 def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
@@ -15,24 +18,25 @@ def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFra
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("position"), "value")
 
 
-def not_bulky(value: Column = None) -> Column:
+def not_bulky(value: Column | str = "value") -> Column:
     """Lines to parse; put before the parse, so that the others are never parsed."""
-    value = F.col("value") if value is None else value
-    out = F.trim(value) != ""
-    for begin in BULKY:
-        out = out & ~F.startswith(value, F.lit(begin))
-    return out
+    value = F.col(value) if isinstance(value, str) else value
+    return (F.trim(value) != "") & ~F.startswith(value, F.lit(REQUEST)) & ~value.rlike(OTHER_BLOB)
 
 
 def raw_records(lines: DataFrame) -> DataFrame:
-    """(file, seq, value VARIANT); blank, bulky and broken lines are dropped, and the rest keep their line numbers."""
-    numbered = file_sequence(lines).where(not_bulky())
-    return numbered.select("file", "seq", F.try_parse_json("value").alias("value")).where("value is not null")
+    """(file, seq, value VARIANT): the records of each file numbered from 0; blank, bulky and broken lines don't count."""
+    parsed = lines.where(not_bulky()).withColumn("value", F.try_parse_json("value")).where("value is not null")
+    return file_sequence(parsed).select("file", "seq", "value")
 
 
 def tree_logs(spark: SparkSession, root: str) -> DataFrame:
     """Raw records of ``<root>/<project>/<session>.jsonl`` and of its ``subagents``, with session_key, project and parent_id."""
-    records = raw_records(read_lines(spark, root))
+    return tree_records(raw_records(read_lines(spark, root)))
+
+
+def tree_records(records: DataFrame) -> DataFrame:
+    """Records (file, ...) with what their path tells: session_key, project, parent_id and is_subagent."""
     sub = F.regexp_extract("file", r"/([^/]+)/([^/]+)/subagents/([^/]+)\.jsonl$", 2)
     project = F.coalesce(F.nullif(F.regexp_extract("file", r"/([^/]+)/[^/]+/subagents/[^/]+$", 1), F.lit("")), F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1))
     key = F.regexp_extract("file", r"/([^/]+)\.jsonl$", 1)
@@ -45,12 +49,24 @@ def rollout_logs(spark: SparkSession, roots: list[str]) -> DataFrame:
     for root in roots:
         own = raw_records(read_lines(spark, root, "rollout-*.jsonl")).withColumn("_root", F.lit(roots.index(root)))
         records = own if records is None else records.unionByName(own)
-    key = F.regexp_extract("file", r"([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1)
-    keyed = records.withColumn("session_key", F.when(key != "", key).otherwise(F.regexp_extract("file", r"/([^/]+)\.jsonl$", 1)))
+    keyed = records.withColumn("session_key", rollout_key(F.col("file")))
     first = keyed.groupBy("session_key").agg(F.min("_root").alias("_first"))
     return keyed.join(first, "session_key").where("_root = _first").drop("_root", "_first")
 
 
+def rollout_key(path: Column) -> Column:
+    """The thread id at the end of a rollout's file name; without one the name."""
+    key = F.regexp_extract(path, r"([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1)
+    return F.when(key != "", key).otherwise(F.regexp_extract(path, r"([^/]+)\.jsonl$", 1))
+
+
+def rollout_paths(live: DataFrame, archived: DataFrame, named: DataFrame) -> DataFrame:
+    """(path, session_key, archived) of rollouts below both roots or named by a thread table, each path once."""
+    every = distinct_paths([live, archived, named], "path")
+    old = archived.select("path", F.lit(True).alias("archived")).distinct()
+    return every.join(old, "path", "left").select("path", rollout_key(F.col("path")).alias("session_key"), F.coalesce("archived", F.lit(False)).alias("archived"))
+
+
 def export_logs(spark: SparkSession, root: str) -> DataFrame:
     """Raw records of ``<project>/agent-transcripts/<id>/<id>.jsonl``."""
     records = raw_records(read_lines(spark, root)).where(F.col("file").contains("/agent-transcripts/"))
@@ -59,7 +75,11 @@ def export_logs(spark: SparkSession, root: str) -> DataFrame:
 
 def custom_names(spark: SparkSession, path: str) -> DataFrame:
     """(key, name) of a JSON object of names; values that are no text, or blank, are dropped."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    return named_entries(spark.read.option("wholetext", "true").text(path))
+
+
+def named_entries(whole: DataFrame) -> DataFrame:
+    """The entries of JSON objects (value)."""
     entries = F.explode(F.map_entries(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")))
     rows = whole.select(entries.alias("e")).select("e.key", F.col("e.value").alias("v"))
     text = rows.where(F.schema_of_variant("v") == "STRING").select("key", F.trim(F.try_variant_get("v", "$", "string")).alias("name"))

@@ -1,4 +1,4 @@
-"""Rows of many SQLite stores (S6-S8, S10): each store is a file that Spark reads, and a task opens it in memory."""
+"""Rows of many SQLite stores (S6-S8, S10): a task opens each store in place, or in memory where only Spark can read it."""
 
 import sqlite3
 from collections.abc import Iterator
@@ -12,25 +12,36 @@ def query_stores(spark: SparkSession, path: str, sql: str, schema: str, glob: st
     """Rows of a SELECT over every store below a path, with the store's path as ``store``; schema is that of the SELECT.
 
     Filters and projections belong in the statement: they then run inside each store. Stores that lack the table give
-    no rows. One task reads a store; many stores spread over tasks.
+    no rows. One task reads a store; many stores spread over tasks. On a file system that all machines mount, stores are
+    opened where they are, whatever their size; from any other, a store comes as one value, so 2 GB at most.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     names = [c.strip().split()[0] for c in schema.split(",")]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    in_place = where.getScheme() == "file"
+
+    def rows_of(store: str, content: bytes | None) -> Iterator[pd.DataFrame]:
+        if content is None:
+            con = sqlite3.connect(f"file:{store.removeprefix('file:')}?mode=ro", uri=True)
+        else:
+            con = sqlite3.connect(":memory:")
+            con.deserialize(content)
+        try:
+            cursor = con.execute(sql)
+            while rows := cursor.fetchmany(5000):
+                yield pd.DataFrame(rows, columns=names).assign(store=store)[["store", *names]]
+        except sqlite3.OperationalError as e:
+            if "no such table" not in str(e):
+                raise
+        finally:
+            con.close()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for store, content in zip(batch["path"], batch["content"], strict=True):
-                con = sqlite3.connect(":memory:")
-                con.deserialize(bytes(content))
-                try:
-                    cursor = con.execute(sql)
-                except sqlite3.OperationalError:
-                    continue
-                while rows := cursor.fetchmany(5000):
-                    yield pd.DataFrame(rows, columns=names).assign(store=store)[["store", *names]]
-                con.close()
-
-    return files.select("path", "content").mapInPandas(run, f"store string, {schema}")
+            for row in batch.itertuples(index=False):
+                yield from rows_of(row.path, None if in_place else bytes(row.content))
+
+    return files.select("path" if in_place else F.struct("path", "content").alias("f")).select(*(["path"] if in_place else ["f.*"])).mapInPandas(run, f"store string, {schema}")
 
 
 def kv_rows(spark: SparkSession, path: str, prefix: str, glob: str = "*.vscdb", table: str = "cursorDiskKV") -> DataFrame:

@@ -24,7 +24,13 @@ def _state(path: str) -> dict:
             file.seek(begin)
             found = file.read(at - begin).rfind(b"\n")
             end, at = (begin + found + 1, 0) if found >= 0 else (0, begin)
-    return {"end": end, "head": hashlib.sha256(head).hexdigest(), "n": len(head)}
+    return {"end": end, "head": hashlib.sha256(head).hexdigest(), "n": len(head), "stamp": _stamp(path)}
+
+
+def _stamp(path: str) -> list[int]:
+    """What changes when a file does (F25): its size, time and identity."""
+    now = os.stat(path)
+    return [now.st_size, now.st_mtime_ns, now.st_ino]
 
 
 def _same_head(path: str, before: dict) -> bool:
@@ -44,18 +50,23 @@ class TailReader(DataSourceStreamReader):
     """Offsets are, by path, the end of what is read. A file that has shrunk or begins otherwise is read anew, marked as reset."""
 
     def __init__(self, pattern: str):
-        self.pattern = pattern
+        self.pattern, self.known = pattern, {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps({p: _state(p) for p in sorted(glob.glob(self.pattern, recursive=True)) if os.path.isfile(p)})}
+        """Files are listed each time; only those whose stamp has changed are opened."""
+        paths = [p for p in sorted(glob.glob(self.pattern, recursive=True)) if os.path.isfile(p)]
+        self.known = {p: self.known[p] if p in self.known and self.known[p]["stamp"] == _stamp(p) else _state(p) for p in paths}
+        return {"files": json.dumps(self.known)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, now, spans = json.loads(start["files"]), json.loads(end["files"]), []
         for path, state in now.items():
             old = before.get(path)
+            if old and old.get("stamp") == state["stamp"]:
+                continue
             reset = bool(old) and (state["end"] < old["end"] or not _same_head(path, old))
             begin = 0 if reset or not old else old["end"]
             if state["end"] > begin:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 STATE = "identity long, size long, generation long"
 #: Rows of a frame that is given back.
 FRAME = 10_000
-EVENTS = "path long, event_id long, change string, generation long"
+EVENTS = "path string, event_id long, change string, generation long"
 
 
 def change_of(old: tuple | None, identity: int, size: int, same: bool) -> str:
