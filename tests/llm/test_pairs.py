@@ -86,8 +86,11 @@ def test_fingerprint_by_bits():
     assert simhash.fingerprint("a B\tc d E", 3, 64)[0] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 3)
 
 
-def test_blocks_of_one_key(spark, monkeypatch):
+@pytest.mark.parametrize("salted", [False, True])
+def test_blocks_of_one_key(spark, monkeypatch, salted):
     monkeypatch.setattr(simhash, "BLOCK", 8)
+    if salted:
+        monkeypatch.setattr(simhash, "SAMPLED", 1)
     rng = random.Random(9)
     core = rng.getrandbits(64)
     prints = sorted({core ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)})
@@ -147,8 +150,45 @@ def _vectors():
     return np.concatenate([base, near, hub, base[:20], 3 * base[20:30]]).astype(np.float32)
 
 
-def test_vectors(spark, monkeypatch):
+def test_one_key_over_many_blocks(spark, monkeypatch):
+    """No task of a hot key holds more than a block, or more than two in a pair, however many meet."""
+    one_key = lambda low: (np.arange(len(low)), np.zeros(len(low), dtype=np.uint64))
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng, most = random.Random(13), {}
+    for n in (200, 800):
+        prints = [rng.getrandbits(64) for _ in range(n)]
+        prints += [x ^ (1 << rng.randrange(64)) for x in prints[:50]]
+        df = spark.createDataFrame([(f"{x:016x}",) for x in set(prints)], "fingerprint string")
+        salts = simhash.hot_keys(df, ["fingerprint"], 1, one_key)
+        assert salts and max(salts.values()) <= -(-len(prints) // 16)
+        held = df.mapInArrow(simhash._deal(["fingerprint"], 1, one_key, salts), "key long, salt long, p0 long").groupBy("key", "salt").count()
+        most[n] = held.agg(F.max("count")).first()[0]
+        got = {(int(r.u, 16), int(r.v, 16)) for r in simhash.links(df, 64, 1, one_key).collect()}
+        assert all((a, b) in got or (b, a) in got for a, b in zip(prints[:50], prints[n:], strict=True) if a != b)
+    assert most[800] < 3 * most[200]
+
+
+def test_directions_follow_the_label():
+    assert capfilter.words_for(100_000) == capfilter.WORDS and capfilter.words_for(10**9) > 2000
+    rng = np.random.default_rng(14)
+    for dims, words in ((16, 80), (64, 80), (64, 640), (384, 80), (768, 300)):
+        x = rng.standard_normal((300, dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = rng.standard_normal(x.shape)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)  # pairs at exactly 0.98
+        sets = []
+        for v in (x, y):
+            row, found = capfilter.decode(v, words)
+            sets.append([set(found[row == i].tolist()) for i in range(len(v))])
+        assert sum(bool(a & b) for a, b in zip(*sets, strict=True)) >= 0.985 * len(x), (dims, words)
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_vectors(spark, monkeypatch, salted):
     monkeypatch.setattr(capfilter, "BLOCK", 16)
+    if salted:
+        monkeypatch.setattr(capfilter, "SAMPLED", 1)
     v = _vectors()
     label = np.where(np.arange(len(v)) >= 300, 1, np.arange(len(v)) % 150 % 2)
     odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, v[0].tolist(), None), (904, [], 1), (905, [1.0, None], 1), (906, [1.0, 2.0], 1), (907, [2.0, 4.0], 1)]

@@ -8,11 +8,15 @@ by filter and are verified by their cosine in double precision.
 
 Exact copies collapse to one class first. Under a filter no pairs are written: a block of vectors yields, for each,
 the number of its links (a link counts under the smallest filter that both have, so once in all) and the edges of a
-spanning forest. Filters that more than ``BLOCK`` vectors exceed are dealt out again as pairs of blocks.
+spanning forest. Under a filter no task holds more than ``BLOCK`` vectors: where more meet they become numbered blocks,
+and pairs of block numbers, joined with the blocks, are solved by tasks of their own. Filters that a sample shows to be
+hot are salted before they meet. There are the more directions the larger the largest label is, so that buckets keep
+their size.
 """
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 from statistics import NormalDist
 
 import numpy as np
@@ -24,40 +28,48 @@ from tracemill.llm.components import components
 from tracemill.llm.store import parts, stored
 
 BLOCK = 1024
-#: Codes, codewords in a block of 32 dimensions or more, and the filters that a vector exceeds on average.
+#: Codes, codewords in a block of 32 dimensions or more at least, and the filters that a vector exceeds on average.
 CODES, WORDS, EXPECTED = 6, 80, 25
-_ROW = "label int, filter int, id long, size long, filters binary, vector binary"
+#: One in so many vectors is looked at for hot filters; the hottest so many are salted. Others may be hot and still give
+#: whole results: their blocks are then cut by one task.
+SAMPLED, HOT = 16, 10_000
+_ROW = "label int, filter int, salt int, id long, size long, filters binary, vector binary"
+
+
+def words_for(largest: int) -> int:
+    """Codewords in a block, so that of so many vectors about ``BLOCK`` at most exceed a direction on average."""
+    return max(WORDS, ceil((largest * EXPECTED / (CODES * BLOCK)) ** 0.5))
 
 
 @lru_cache(32)
-def setting(dims: int) -> tuple[int, float]:
+def setting(dims: int, words: int = WORDS) -> tuple[int, float]:
     """Codewords in a block, and the threshold that ``EXPECTED`` of all directions' inner products with a unit vector reach."""
-    count = max(4, min(WORDS, WORDS * dims // 64))
+    count = max(4, min(words, words * dims // 64))
     share = min(0.5, EXPECTED / (CODES * count**2))
     return count, min(0.95, NormalDist().inv_cdf(1 - share) / dims**0.5)
 
 
 @lru_cache(32)
-def _code(dims: int, n: int) -> tuple[np.ndarray, list[tuple[slice, np.ndarray]]]:
+def _code(dims: int, n: int, words: int) -> tuple[np.ndarray, list[tuple[slice, np.ndarray]]]:
     """A rotation, and the slice and unit codewords of both blocks; the same on every machine."""
-    rng, count = np.random.default_rng([dims, n]), setting(dims)[0]
+    rng, count = np.random.default_rng([dims, n]), setting(dims, words)[0]
     rotation, half, blocks = np.linalg.qr(rng.standard_normal((dims, dims)))[0], (dims + 1) // 2, []
     for part in (slice(0, half), slice(half, dims)):
-        words = rng.standard_normal((count, max(part.stop - part.start, 1)))
-        blocks.append((part, (words / np.linalg.norm(words, axis=1, keepdims=True))[:, : part.stop - part.start]))
+        code = rng.standard_normal((count, max(part.stop - part.start, 1)))
+        blocks.append((part, (code / np.linalg.norm(code, axis=1, keepdims=True))[:, : part.stop - part.start]))
     return rotation, blocks
 
 
-def decode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decode(vectors: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every direction whose inner product with a unit vector reaches the threshold.
 
     The nearest direction of each code always counts, so that no vector is without a filter.
     """
-    rows, found, (count, threshold) = [], [], setting(vectors.shape[1])
+    rows, found, (count, threshold) = [], [], setting(vectors.shape[1], words)
     for n in range(CODES):
-        rotation, blocks = _code(vectors.shape[1], n)
+        rotation, blocks = _code(vectors.shape[1], n, words)
         turned = vectors @ rotation
-        a, b = (turned[:, part] @ words.T / np.sqrt(2) for part, words in blocks)
+        a, b = (turned[:, part] @ code.T / np.sqrt(2) for part, code in blocks)
         need = np.minimum(threshold, a.max(axis=1) + b.max(axis=1) - 1e-12)
         row, first = np.nonzero(a >= (need - b.max(axis=1))[:, None])
         at, second = np.nonzero(a[row, first][:, None] + b[row] >= need[row][:, None])
@@ -92,20 +104,20 @@ def _block(filter_: int, ids: np.ndarray, sizes: np.ndarray, filters: list[np.nd
     return first @ sizes, ids[edge[0]], ids[edge[1]]
 
 
-def _result(ids=(), links=(), u=(), v=(), blocks=()) -> pa.RecordBatch:
-    n, m, k = len(ids), len(u), len(blocks)
+def _result(ids=(), links=(), u=(), v=(), block=None) -> pa.RecordBatch:
+    n, m, k = len(ids), len(u), int(block is not None)
     column = lambda a, b, c, kind: pa.array([*a, *b, *c], kind)
     no = lambda x: [None] * x
+    last = lambda i: [block[i]] if block else []
     return pa.RecordBatch.from_pydict({
         "id": column(ids, no(m), no(k), pa.int64()), "links": column(links, no(m), no(k), pa.int64()),
         "u": column(no(n), u, no(k), pa.int64()), "v": column(no(n), v, no(k), pa.int64()),
-        "filter": column(no(n), no(m), [b[0] for b in blocks], pa.int32()),
-        "block_a": column(no(n), no(m), [b[1] for b in blocks], pa.binary()), "block_b": column(no(n), no(m), [b[2] for b in blocks], pa.binary()),
+        "label": column(no(n), no(m), last(0), pa.int32()), "filter": column(no(n), no(m), last(1), pa.int32()),
+        "number": column(no(n), no(m), last(2), pa.int64()), "block": column(no(n), no(m), last(3), pa.binary()),
     })
 
 
-_RESULT = "id long, links long, u long, v long, filter int, block_a binary, block_b binary"
-_ARROW = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("filters", pa.binary()), ("vector", pa.binary())])
+_RESULT = "id long, links long, u long, v long, label int, filter int, number long, block binary"
 
 
 def _solve(filter_: int, a: pa.Table, b: pa.Table | None, cosine: float) -> Iterator[pa.RecordBatch]:
@@ -163,10 +175,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _meetings(classes: DataFrame, cosine: float) -> DataFrame:
-    """Counts of links by id, and forest edges (u, v), of classes (id, size, embedding, label)."""
+def _deal(words: int, salts: dict[tuple[int, int], int]):
+    """A row for each direction that a vector exceeds, with all its directions; salted where the direction is hot."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
@@ -176,54 +188,94 @@ def _meetings(classes: DataFrame, cosine: float) -> DataFrame:
                     rows = np.nonzero(length == n)[0]
                     own = np.stack([raw[i] for i in rows])
                     own /= np.abs(own).max(axis=1, keepdims=True)
-                    row, filter_ = decode(own / np.linalg.norm(own, axis=1, keepdims=True))
+                    row, filter_ = decode(own / np.linalg.norm(own, axis=1, keepdims=True), words)
                     order = np.lexsort((filter_, row))
                     row, filter_ = row[order], filter_[order]
                     lists = [x.tobytes() for x in np.split(filter_, np.nonzero(np.diff(row))[0] + 1)]
                     take = pa.array(rows[row])
+                    labels, ids = part.column("label").take(take), part.column("id").take(take)
+                    salt = np.zeros(len(row), dtype=np.int32)
+                    if salts:
+                        share = np.array([salts.get(x, 0) for x in zip(labels.to_pylist(), filter_.tolist(), strict=True)], dtype=np.int64)
+                        salt = np.where(share > 0, (ids.to_numpy() >> 20) % np.maximum(share, 1) + 1, 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        part.column("label").take(take), pa.array(filter_, pa.int32()), part.column("id").take(take), part.column("size").take(take),
+                        labels, pa.array(filter_, pa.int32()), pa.array(salt), ids, part.column("size").take(take),
                         pa.array([lists[i] for i in row], pa.binary()), pa.array([own[i].tobytes() for i in row], pa.binary()),
-                    ], ["label", "filter", "id", "size", "filters", "vector"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def closed():
-            cut = [x for t in held for x in ([t.slice(i, BLOCK) for i in range(0, len(t), BLOCK)])]
-            whole = pa.concat_tables(cut)
-            if len(whole) <= BLOCK:
-                if len(whole) > 1:
-                    yield from _solve(key[1], whole, None, cosine)
-                return
-            cut = [_packed(whole.slice(i, BLOCK).combine_chunks()) for i in range(0, len(whole), BLOCK)]
-            for i in range(len(cut)):
-                for j in range(i, len(cut)):
-                    yield _result(blocks=[(key[1], cut[i], cut[j] if j > i else None)])
+                    ], ["label", "filter", "salt", "id", "size", "filters", "vector"])
+
+    return run
+
+
+def _meet(cosine: float):
+    """Over rows in order of label, filter and salt: what vectors that meet link, or blocks of a filter that many or salted ones exceed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows, number = None, [], 0, 0
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, number
+            if rows > BLOCK or last and rows:
+                whole = pa.concat_tables(held)
+                at = 0
+                while len(whole) - at > BLOCK or last and at < len(whole):
+                    yield _result(block=(now[0], now[1], (now[2] << 32) + number, _packed(whole.slice(at, BLOCK).combine_chunks())))
+                    at, number = at + BLOCK, number + 1
+                held = [whole.slice(at).combine_chunks()] if at < len(whole) else []
+                rows = max(len(whole) - at, 0)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if number or now[2]:
+                yield from cut(True)
+            elif rows > 1:
+                yield from _solve(now[1], pa.concat_tables(held), None, cosine)
 
         for batch in batches:
             if not len(batch):
                 continue
-            labels, filters = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = [batch.column(i).to_numpy() for i in range(3)]
             rest = pa.Table.from_batches([batch]).select(["id", "size", "filters", "vector"])
-            begins = np.concatenate([[0], np.nonzero((labels[1:] != labels[:-1]) | (filters[1:] != filters[:-1]))[0] + 1])
-            for b, e in zip(begins, np.append(begins[1:], len(labels)), strict=True):
-                now = (int(labels[b]), int(filters[b]))
-                if key is not None and now != key:
-                    yield from closed()
-                    held = []
-                key = now
+            begins = np.concatenate([[0], np.nonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))[0] + 1])
+            for b, e in zip(begins, np.append(begins[1:], len(batch)), strict=True):
+                own = tuple(int(k[b]) for k in keys)
+                if own != now:
+                    if now is not None:
+                        yield from closed()
+                    now, held, rows, number = own, [], 0, 0
                 held.append(rest.slice(b, e - b))
-        if held:
+                rows += e - b
+                yield from cut(False)
+        if now is not None:
             yield from closed()
 
+    return run
+
+
+def hot_filters(classes: DataFrame, words: int) -> dict[tuple[int, int], int]:
+    """How many salts each of the hottest filters of a label gets: about one for every four blocks that a sample lets expect."""
+    some = classes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("id", "size", "embedding", "label").mapInArrow(_deal(words, {}), _ROW)
+    most = some.groupBy("label", "filter").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > 4 * BLOCK).orderBy(F.desc("n"), "label", "filter").limit(HOT)
+    return {(r["label"], r["filter"]): -(-r["n"] * SAMPLED // (4 * BLOCK)) for r in most.collect()}
+
+
+def _meetings(classes: DataFrame, cosine: float) -> DataFrame:
+    """Counts of links by id, and forest edges (u, v), of classes (id, size, embedding, label)."""
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for filter_, a, b in zip(*(batch.column(c).to_pylist() for c in ("filter", "block_a", "block_b")), strict=True):
-                yield from _solve(filter_, _opened(a), _opened(b) if b else None, cosine)
+            for filter_, a, b in zip(*(batch.column(c) for c in ("filter", "block_a", "block_b")), strict=True):
+                yield from _solve(filter_.as_py(), _opened(a.as_py()), _opened(b.as_py()) if b.is_valid else None, cosine)
 
     n = parts(classes.sparkSession)
-    dealt = classes.select("id", "size", "embedding", "label").mapInArrow(deal, _ROW)
-    met = stored(dealt.repartition(n, "label", "filter").sortWithinPartitions("label", "filter").mapInArrow(meet, _RESULT), "cap_met")
-    more = met.where("filter is not null").repartition(n).mapInArrow(solve, _RESULT)
-    return met.where("filter is null").unionByName(more).groupBy("id", "u", "v").agg(F.sum("links").alias("links"))
+    words = words_for(classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    dealt = classes.select("id", "size", "embedding", "label").mapInArrow(_deal(words, hot_filters(classes, words)), _ROW)
+    order = ["label", "filter", "salt"]
+    met = stored(dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_meet(cosine), _RESULT), "cap_met")
+    blocks = met.where("block is not null").select("label", "filter", "number", "block")
+    numbers = blocks.select("label", "filter", "number")
+    pairs = numbers.join(numbers.withColumnRenamed("number", "other"), ["label", "filter"]).where("number <= other")
+    first = pairs.join(blocks.withColumnRenamed("block", "block_a"), ["label", "filter", "number"])
+    second = blocks.select("label", "filter", F.col("number").alias("other"), F.col("block").alias("block_b"))
+    key = ["label", "filter", "number", "other"]
+    both = first.where("number = other").select(*key, "block_a", F.lit(None).cast("binary").alias("block_b")).unionByName(first.where("number < other").join(second, ["label", "filter", "other"]).select(*key, "block_a", "block_b"))
+    more = both.repartition(n, *key).mapInArrow(solve, _RESULT)
+    return met.where("block is null").unionByName(more).groupBy("id", "u", "v").agg(F.sum("links").alias("links"))

@@ -7,8 +7,9 @@ those that meet are verified on all bits.
 
 Documents of one fingerprint are one class from the start; where similarity decides, those of one set of shingles are,
 and the fingerprint is over distinct shingles. Fingerprints that meet under a key are not paired
-with each other: a walk over them gives a spanning forest, which links what all pairs would link. A key under
-which more than ``BLOCK`` fingerprints meet is dealt out again as pairs of blocks.
+with each other: a walk over them gives a spanning forest, which links what all pairs would link. Under a key no task
+holds more than ``BLOCK`` fingerprints: where more meet they become numbered blocks, and pairs of block numbers, joined
+with the blocks, are walked by tasks of their own. Keys that a sample shows to be hot are salted before they meet.
 """
 
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from tracemill.llm.components import components
 from tracemill.llm.store import parts, stored
 
 BLOCK = 4096
+#: One in so many fingerprints is looked at for hot keys; the hottest so many are salted. Others may be hot and still
+#: give whole results: their blocks are then cut by one task.
+SAMPLED, HOT = 64, 10_000
 _HEX = 16
 
 
@@ -176,19 +180,26 @@ def apart(a: np.ndarray, b: np.ndarray | None, halves: int, radius: int) -> Iter
 
 
 def _edge_rows(halves: int) -> str:
-    return ", ".join(f"{x}{i} long" for x in "uv" for i in range(halves)) + ", block_a binary, block_b binary"
+    return ", ".join(f"{x}{i} long" for x in "uv" for i in range(halves)) + ", key long, number long, block binary"
 
 
-def _as_batch(u: np.ndarray, v: np.ndarray, blocks: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _as_batch(u: np.ndarray, v: np.ndarray, block: tuple | None = None) -> pa.RecordBatch:
+    """Edges, and after them a block (key, number, its rows) if there is one."""
     halves, n = u.shape[1], len(u)
-    columns = {f"{name}{i}": pa.array(np.concatenate([x[:, i].view(np.int64), np.zeros(len(blocks), np.int64)])) for name, x in (("u", u), ("v", v)) for i in range(halves)}
-    for i, name in enumerate(("block_a", "block_b")):
-        columns[name] = pa.array([None] * n + [b[i] for b in blocks], pa.binary())
+    more = np.zeros(int(block is not None), np.int64)
+    columns = {f"{name}{i}": pa.array(np.concatenate([x[:, i].view(np.int64), more])) for name, x in (("u", u), ("v", v)) for i in range(halves)}
+    for i, (name, kind) in enumerate((("key", pa.int64()), ("number", pa.int64()), ("block", pa.binary()))):
+        columns[name] = pa.array([None] * n + ([block[i]] if block else []), kind)
     return pa.RecordBatch.from_pydict(columns)
 
 
 def _meet(halves: int, width: int, columns: int, radius: int, walk):
-    """Over rows in order of their key: what ``walk`` links of those that meet under a key, and the block pairs of large keys."""
+    """Over rows (key, salt, values) in order: what ``walk`` links of those that meet under a key, or blocks of the key.
+
+    A key that is salted (its salt is above 0) or has more than ``BLOCK`` rows gives blocks, numbered within the key.
+    """
+    none = np.zeros((0, columns), dtype=np.uint64)
+    no_edge = none[:, :width]
 
     def small(prints: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = begins[ends - begins == 2]
@@ -206,43 +217,81 @@ def _meet(halves: int, width: int, columns: int, radius: int, walk):
         return np.concatenate(u), np.concatenate(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, none = None, [], np.zeros((0, columns), dtype=np.uint64)
-
-        def closed():
-            got = np.concatenate([none, *held])
-            if len(got) <= BLOCK:
-                for u, v in walk(got, None):
-                    yield _as_batch(u, v, [])
+        now, held, number = None, none, 0
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            """Blocks of what is held under the key, till less than a block is left; the last one whatever its size."""
+            nonlocal held, number
+            while len(held) > BLOCK or last and len(held):
+                yield _as_batch(no_edge, no_edge, (now[0], (now[1] << 32) + number, held[:BLOCK].tobytes()))
+                held, number = held[BLOCK:], number + 1
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if number or now[1]:
+                yield from cut(True)
             else:
-                cut = [got[i : i + BLOCK].tobytes() for i in range(0, len(got), BLOCK)]
-                for i in range(len(cut)):
-                    for j in range(i, len(cut)):
-                        yield _as_batch(none[:, :width], none[:, :width], [(cut[i], cut[j] if j > i else b"")])
+                for u, v in walk(held, None):
+                    yield _as_batch(u, v)
 
         for batch in batches:
             if not len(batch):
                 continue
-            keys = batch.column(0).to_numpy()
-            prints = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(columns)], axis=1)
-            begins = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
+            keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = np.stack([batch.column(2 + i).to_numpy().view(np.uint64) for i in range(columns)], axis=1)
+            begins = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]))[0] + 1])
             ends = np.append(begins[1:], len(keys))
-            if key is not None and keys[0] != key:
-                yield from closed()
-                held = []
-            if len(begins) > 1:
-                if keys[0] == key:
-                    held.append(prints[: ends[0]])
-                    yield from closed()
-                    held, begins, ends = [], begins[1:], ends[1:]
-                yield _as_batch(*small(prints, begins[:-1], ends[:-1]), [])
-            key = keys[-1]
-            held.append(prints[begins[-1] :])
-        if held:
+            whole = np.ones(len(begins), dtype=bool)  # unsalted keys that lie within this batch
+            whole[[0, -1]] = False
+            whole &= (salts[begins] == 0) & (ends - begins <= BLOCK)
+            yield _as_batch(*small(prints, begins[whole], ends[whole]))
+            for b, e in zip(begins[~whole], ends[~whole], strict=True):
+                own = (int(keys[b]), int(salts[b]))
+                if own != now:
+                    if now is not None:
+                        yield from closed()
+                    now, held, number = own, none, 0
+                held = np.concatenate([held, prints[b:e]])
+                yield from cut(False)
+        if now is not None:
             yield from closed()
 
     return run
 
 
+def _deal(own: list[str], width: int, keys, salts: dict[int, int] | None = None):
+    """Rows (key, salt, values) of values in hex digits, a row for each of their keys."""
+    hot = np.array(sorted(salts or {}), dtype=np.int64)
+    shares = np.array([(salts or {})[k] for k in hot.tolist()], dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                parts_ = []
+                for c in range(len(own)):
+                    part = [int(x, 16) for x in batch.column(c).slice(at, 2000).to_pylist()]
+                    parts_ += [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(width)]
+                row, key = keys(parts_[0])
+                key, salt = key.view(np.int64), np.zeros(len(key), dtype=np.int64)
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                    found = np.nonzero(hot[place] == key)[0]
+                    with np.errstate(over="ignore"):
+                        mixed = sum(p * np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i, p in enumerate(parts_))[row[found]]
+                    salt[found] = ((mixed >> np.uint64(33)) % shares[place[found]]).astype(np.int64) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), *(pa.array(c[row].view(np.int64)) for c in parts_)], ["key", "salt", *(f"p{i}" for i in range(len(parts_)))])
+
+    return run
+
+
+def hot_keys(prints: DataFrame, own: list[str], width: int, keys) -> dict[int, int]:
+    """How many salts each of the hottest keys gets: about one for every four blocks of values that a sample lets expect."""
+    schema = ", ".join(f"{c} long" for c in ("key", "salt", *(f"p{i}" for i in range(width * len(own)))))
+    some = prints.where(F.pmod(F.xxhash64("fingerprint"), F.lit(SAMPLED)) == 0).mapInArrow(_deal(own, width, keys), schema)
+    most = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > 4 * BLOCK).orderBy(F.desc("n"), "key").limit(HOT)
+    return {r["key"]: -(-r["n"] * SAMPLED // (4 * BLOCK)) for r in most.collect()}
+
+
 def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=forest, more: int = 0) -> DataFrame:
     """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint).
 
@@ -262,31 +311,30 @@ def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=fo
         else:
             both = a if b is None else np.concatenate([a, b])
             i, j = tree(both[:, :halves], radius)
-            yield both[i], both[j]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                parts_ = []
-                for c in range(len(own)):
-                    part = [int(x, 16) for x in batch.column(c).slice(at, 2000).to_pylist()]
-                    parts_ += [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(width)]
-                row, key = keys(parts_[0])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(c[row].view(np.int64)) for c in parts_)], ["key", *names])
+            yield both[i, :width], both[j, :width]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column("block_a").to_pylist(), batch.column("block_b").to_pylist(), strict=True):
-                left, right = (np.frombuffer(x, dtype=np.uint64).reshape(-1, columns) for x in (a, b))
-                for u, v in walk(left, right if len(right) else None):
-                    yield _as_batch(u, v, [])
+            for a, b in zip(batch.column("block_a"), batch.column("block_b"), strict=True):
+                left, right = (np.frombuffer(x.as_py(), dtype=np.uint64).reshape(-1, columns) if x.is_valid else None for x in (a, b))
+                for u, v in walk(left, right):
+                    yield _as_batch(u, v)
 
-    dealt = prints.select(*own).distinct().mapInArrow(deal, ", ".join(f"{c} long" for c in ("key", *names)))
+    values = prints.select(*own).distinct()
+    dealt = values.mapInArrow(_deal(own, width, keys, hot_keys(values, own, width, keys)), ", ".join(f"{c} long" for c in ("key", "salt", *names)))
     n = parts(prints.sparkSession)
-    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, width, columns, radius, walk), _edge_rows(width)), "met")
-    rest = met.where("block_a is not null").repartition(n).mapInArrow(solve, _edge_rows(width))
+    order = ["key", "salt"]
+    met = stored(dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_meet(halves, width, columns, radius, walk), _edge_rows(width)), "met")
+    blocks = met.where("block is not null").select("key", "number", "block")
+    numbers = blocks.select("key", "number")
+    pairs = numbers.join(numbers.withColumnRenamed("number", "other"), "key").where("number <= other")
+    first = pairs.join(blocks.withColumnRenamed("block", "block_a"), ["key", "number"])
+    # a block's pair with itself needs it once
+    second = blocks.select("key", F.col("number").alias("other"), F.col("block").alias("block_b"))
+    both = first.where("number = other").select("key", "number", "other", "block_a", F.lit(None).cast("binary").alias("block_b")).unionByName(first.where("number < other").join(second, ["key", "other"]).select("key", "number", "other", "block_a", "block_b"))
+    rest = both.repartition(n, "key", "number", "other").mapInArrow(solve, _edge_rows(width))
     text = lambda side: F.concat(*(F.lpad(F.lower(F.hex(f"{side}{i}")), _HEX, "0") for i in reversed(range(width))))
-    return met.where("block_a is null").unionByName(rest).select(text("u").alias("u"), text("v").alias("v")).distinct()
+    return met.where("block is null").unionByName(rest).select(text("u").alias("u"), text("v").alias("v")).distinct()
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
