@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import convert, quality, records, search
 from tracemill.sources import jsonl, sqlite, store, tail
+from tracemill.sources.sqlite import Stores
 
 
 def _write(path, rows):
@@ -81,7 +82,7 @@ def test_stores(spark, tmp_path):
     ])
     con.commit()
     con.close()
-    events = records.bubble_events(*sqlite.ide_store(spark, str(tmp_path))).orderBy("seq").collect()
+    events = records.bubble_events(*sqlite.ide_store(Stores.below(spark, str(tmp_path), "*.vscdb"))).orderBy("seq").collect()
     assert [(e.seq, e.kind, e.text) for e in events] == [(0, "user", "ask"), (1, "assistant", "reply")]
     con = sqlite3.connect(three)
     con.execute("CREATE TABLE session (id, parent_id, directory, title, version, time_created, time_updated)")
@@ -92,7 +93,7 @@ def test_stores(spark, tmp_path):
     con.executemany("INSERT INTO part VALUES (?, ?, 's', ?)", [("p1", "m1", '{"type":"text","text":"hi"}'), ("p2", "m1", '{"type":"text","text":"aux","synthetic":true}'), ("p3", "m2", '{"type":"tool","tool":"read","callID":"c","state":{"status":"error","input":{"filePath":"a"},"error":"gone"}}'), ("p4", "m2", '{"type":"step-start"}')])
     con.commit()
     con.close()
-    _, messages, parts = sqlite.three_tables(spark, str(tmp_path), "three.db")
+    _, messages, parts = sqlite.three_tables(Stores.below(spark, str(tmp_path), "three.db"))
     events = records.part_events(messages, parts).withColumn("input", F.to_json("input")).orderBy("seq", "block").collect()
     assert [(e.kind, e.text, e.label, e.model) for e in events] == [("user", "hi", None, None), ("notice", "aux", "Injected", None), ("tool", None, None, "p/m")]
     assert (events[2].name, events[2].input, events[2].result, events[2].is_error) == ("read", '{"file_path":"a"}', "gone", True)
@@ -101,7 +102,7 @@ def test_stores(spark, tmp_path):
     con.executemany("INSERT INTO blobs VALUES (?, ?)", [("a", b'{"role":"user","content":"<user_info>x"}'), ("b", b'\x02\x01{"role":"assistant","content":[{"type":"text","text":"yes"},{"type":"tool-call","toolCallId":"k","toolName":"rg","args":{"pattern":"z"}}]}'), ("c", b'{"role":"tool","content":[{"type":"tool-result","toolCallId":"k","result":"hit"}]}'), ("d", b"\x00\x01")])
     con.commit()
     con.close()
-    events = records.blob_events(sqlite.blob_messages(spark, str(tmp_path))).collect()
+    events = records.blob_events(sqlite.blob_messages(Stores.below(spark, str(tmp_path), "store.db"))).collect()
     assert sorted((e.kind, e.text or "", e.name or "", e.result or "") for e in events) == [("assistant", "yes", "", ""), ("tool", "", "Grep", "hit")]
 
 

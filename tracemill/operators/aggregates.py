@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import short_title
+from tracemill.functions.text import short_title, single_spaced
+from tracemill.operators.joins import overridden
+from tracemill.operators.records import at, content_text, effective_title, notice_label, rollout_messages, rollout_meta
 
 #: Kinds of web tools.
 WEB_TOOLS = ("web_search", "web_fetch", "webfetch", "websearch")
@@ -25,6 +27,60 @@ def session_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def tree_summary(raw: DataFrame) -> DataFrame:
+    """One row for each project-tree log of raw records (session_key, seq, value, is_subagent): counts, the latest place and titles.
+
+    Users' own texts and queued prompts count, notices don't; a side chain's count in a sub-agent's log only.
+    """
+    kind, text = at("type"), content_text(F.try_variant_get("value", "$.message.content", "variant"))
+    side, meta = (F.coalesce(at(c, "boolean"), F.lit(False)) for c in ("isSidechain", "isMeta"))
+    own = F.coalesce(text, F.lit("")) != ""
+    asked = (kind == "user") & ~meta & own & notice_label(text).isNull() & (~side | F.col("is_subagent"))
+    prompt = content_text(F.try_variant_get("value", "$.attachment.prompt", "variant"))
+    queued = (kind == "attachment") & (at("attachment.type") == "queued_command") & (F.coalesce(prompt, F.lit("")) != "") & notice_label(prompt).isNull() & ~side
+    calls = F.size(F.filter(F.try_variant_get("value", "$.message.content", "array<variant>"), lambda b: F.try_variant_get(b, "$.type", "string") == "tool_use"))
+    shown = short_title(F.regexp_replace(text, "<[^>]+>", " "))
+    first = F.when((kind == "user") & ~meta & ~side & own & notice_label(text).isNull() & (shown != ""), shown)
+    # cheap columns first, so that a record's content does not travel
+    rows = raw.select(
+        "session_key", "seq", at("timestamp").alias("ts"), F.coalesce(asked | queued, F.lit(False)).alias("user"), (kind == "assistant").alias("reply"), F.when(kind == "assistant", F.coalesce(calls, F.lit(0))).alias("calls"),
+        F.when(kind == "assistant", at("message.model")).alias("model"), at("cwd").alias("cwd"), at("gitBranch").alias("git_branch"), at("version").alias("version"), first.alias("first"),
+        F.when(kind == "ai-title", at("aiTitle")).alias("ai_title"), F.when(kind == "custom-title", at("customTitle")).alias("claude_title"), F.when(kind == "agent-name", at("agentName")).alias("agent_name"),
+    )
+    when = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("seq"))
+    last = lambda c: F.coalesce(F.max_by(c, when(c)), F.lit("")).alias(c)
+    out = rows.groupBy("session_key").agg(
+        F.count("*").alias("n_records"), F.count_if("user").alias("n_user"), F.count_if("reply").alias("n_assistant"), F.coalesce(F.sum("calls"), F.lit(0)).alias("n_tool"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.min("model"), F.lit("")).alias("model"), *map(last, ("cwd", "git_branch", "version", "ai_title", "claude_title", "agent_name")), F.min_by("first", when("first")).alias("_first"),
+    )
+    return out.withColumn("title", effective_title(F.col("claude_title"), F.col("_first"), F.col("ai_title"), F.lit("(untitled session)"))).drop("_first")
+
+
+def rollout_summary(raw: DataFrame, threads: DataFrame) -> DataFrame:
+    """One row for each rollout of raw records: counts, the first session record's fields, the thread's row over them.
+
+    A message that is there both as a mirror and as an envelope counts once (``multiset_count``). threads: session_key and any
+    of ai_title, cwd.
+    """
+    kind, sub = at("type"), at("payload.type")
+    is_item, is_event = kind == "response_item", kind == "event_msg"
+    rows = raw.select(
+        "session_key", "seq", at("timestamp").alias("ts"), (is_item & sub.isin("function_call", "custom_tool_call")).alias("tool"), ((is_item & (sub == "reasoning")) | (is_event & (sub == "agent_reasoning"))).alias("thought"),
+        ((is_item & (sub == "web_search_call")) | (is_event & (sub == "web_search_end"))).alias("web"), F.when(kind == "turn_context", at("payload.model")).alias("model"),
+    )
+    counts = rows.groupBy("session_key").agg(
+        F.count("*").alias("n_records"), F.count_if("tool").alias("n_tool"), F.count_if("thought").alias("n_reasoning"), F.count_if("web").alias("n_web"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.coalesce(F.min_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))), F.lit("")).alias("model"),
+    )
+    messages = rollout_messages(raw).withColumn("key", F.xxhash64(single_spaced(F.col("text"))))
+    keys, by = ["session_key", "role", "key"], ["session_key", "role"]
+    once = multiset_count(messages.where("origin = 'mirror'"), messages.where("origin = 'envelope'"), keys, by)
+    said = once.groupBy("session_key").agg(F.sum(F.when(F.col("role") == "user", F.col("n"))).alias("n_user"), F.sum(F.when(F.col("role") == "assistant", F.col("n"))).alias("n_assistant"))
+    meta = rollout_meta(raw).withColumn("ai_title", F.lit(None).cast("string"))
+    known = overridden(meta, threads, "session_key", [c for c in ("ai_title", "cwd") if c in threads.columns])
+    return counts.join(said, "session_key", "left").join(known, "session_key", "left").na.fill(0, ["n_user", "n_assistant"])
+
+
 def tallies(rows: DataFrame, by: list[str], column: Column, values: list[str]) -> DataFrame:
     """Per group, how many rows have each of some values."""
     return rows.groupBy(*by).agg(F.count("*").alias("n_all"), *(F.count_if(column == v).alias(f"n_{v}") for v in values))

@@ -158,6 +158,19 @@ def explained(pairs: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     return line_diff(old, new, "pair").groupBy("pair").agg(F.count_if(F.col("side") == "missing").alias("n_missing"), F.count_if(F.col("side") == "extra").alias("n_extra"))
 
 
+def edit_delta(edits: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, n_added, n_removed): lines that an edit's two snapshots have beyond each other, by multiset; both 0 without a change."""
+    diff = line_diff(lines_of(edits, key, before), lines_of(edits, key, after), key).groupBy(key).agg(F.count_if(F.col("side") == "extra").alias("n_added"), F.count_if(F.col("side") == "missing").alias("n_removed"))
+    return edits.select(key).join(diff, key, "left").na.fill(0, ["n_added", "n_removed"])
+
+
+def generations(changes: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, generation, at): how often a document's fingerprint has changed, and where last; changes (key, order, fingerprint)."""
+    before = F.lag("fingerprint").over(Window.partitionBy(key).orderBy(order))
+    moved = changes.withColumn("_new", ~before.eqNullSafe(F.col("fingerprint")) | (F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1))
+    return moved.groupBy(key).agg(F.count_if("_new").alias("generation"), F.max(F.when(F.col("_new"), F.col(order))).alias("at"))
+
+
 def alive(status: DataFrame, now: Column, stale: int = 30) -> DataFrame:
     """Status (last_poll) with running: a heartbeat of at most ``stale`` seconds ago."""
     return status.withColumn("running", now.cast("timestamp").cast("double") - F.col("last_poll").cast("timestamp").cast("double") <= stale)

@@ -31,17 +31,24 @@ def transcript(events: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def rollout_records(events: DataFrame, mirrors: bool = True) -> DataFrame:
-    """(session_key, line, record_type, role, text, encrypted) of events (session_key, seq, kind, text).
+    """(session_key, line, record_type, role, text, call_id, encrypted) of events (session_key, seq, block, kind, text[, label, name, call_id, result]).
 
     Every message is a record, instructions being a developer's; mirrors: user and assistant messages come again as events.
+    Reasoning keeps whether it is encrypted; a tool call has its output after it, if there is a result.
     """
-    role = F.when(F.col("kind") == "instructions", "developer").otherwise(F.col("kind"))
-    base = events.select("session_key", "seq", F.lit(0).alias("_sub"), F.lit("message").alias("record_type"), role.alias("role"), "text")
-    if mirrors:
-        copies = events.where(F.col("kind").isin("user", "assistant")).select("session_key", "seq", F.lit(1).alias("_sub"), F.lit("event").alias("record_type"), F.col("kind").alias("role"), "text")
-        base = base.unionByName(copies)
-    line = F.row_number().over(Window.partitionBy("session_key").orderBy("seq", "_sub")) - 1
-    return base.withColumn("line", line).withColumn("encrypted", F.lit(False)).drop("seq", "_sub")
+    has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+    item = lambda sub, record, role, text, call, encrypted=F.lit(False): F.struct(F.lit(sub).alias("sub"), F.lit(record).alias("record_type"), role.alias("role"), text.alias("text"), call.alias("call_id"), encrypted.alias("encrypted"))
+    role = F.when(kind == "instructions", "developer").otherwise(kind)
+    made = F.array(
+        F.when(kind.isin("user", "assistant", "instructions"), item(0, "message", role, F.col("text"), none)), F.when(kind.isin("user", "assistant") & F.lit(mirrors), item(1, "event", kind, F.col("text"), none)),
+        F.when(kind == "reasoning", item(0, "reasoning", none, F.col("text"), none, F.coalesce(has("label") == "encrypted", F.lit(False)))),
+        F.when(kind == "tool", item(0, "function_call", none, has("name"), has("call_id"))), F.when((kind == "tool") & has("result").isNotNull(), item(1, "function_call_output", none, has("result"), has("call_id"))),
+    )
+    block = F.col("block") if "block" in events.columns else F.lit(0)
+    rows = events.select("session_key", "seq", block.alias("_block"), F.explode(F.array_compact(made)).alias("_r")).select("session_key", "seq", "_block", "_r.*")
+    line = F.row_number().over(Window.partitionBy("session_key").orderBy("seq", "_block", "sub")) - 1
+    return rows.withColumn("line", line).drop("seq", "_block", "sub")
 
 
 def write_rollouts(records: DataFrame, path: str) -> None:

@@ -64,14 +64,14 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return counted.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
-def by_relevance(hits: DataFrame) -> DataFrame:
-    """O3: best score first, then the earliest position."""
-    return hits.orderBy(F.col("score").desc(), "position")
+def by_relevance(hits: DataFrame, *keys: str) -> DataFrame:
+    """O3: best score first, then the earliest position, then by keys."""
+    return hits.orderBy(F.col("score").desc(), "position", *keys)
 
 
-def by_relevance_and_age(sessions: DataFrame) -> DataFrame:
-    """Hits by score, those of metadata alone at a half, then the newest."""
-    return sessions.orderBy(F.coalesce("score", F.lit(METADATA_SCORE)).desc(), F.col("mtime").desc())
+def by_relevance_and_age(sessions: DataFrame, *keys: str) -> DataFrame:
+    """Hits by score, those of metadata alone at a half, then the newest, then by keys."""
+    return sessions.orderBy(F.coalesce("score", F.lit(METADATA_SCORE)).desc(), F.col("mtime").desc(), *keys)
 
 
 def work_order(pending: DataFrame, mtime: str, key: str, size: int) -> DataFrame:

@@ -21,10 +21,10 @@ def prefix_key(text: Column, size: int = 300) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, size)
 
 
-def linked_by_prefix(children: DataFrame, calls: DataFrame, child_text: str, call_text: str, order: str, columns: list[str]) -> DataFrame:
+def linked_by_prefix(children: DataFrame, calls: DataFrame, child_text: str, call_text: str, order: str, columns: list[str], size: int = 300) -> DataFrame:
     """Every child with columns of the first call whose prompt begins alike, null without one."""
-    first = calls.withColumn("_key", prefix_key(F.col(call_text))).where("_key != ''").groupBy("_key").agg(F.min_by(F.struct(*columns), order).alias("_first"))
-    joined = children.withColumn("_key", prefix_key(F.col(child_text))).join(first, "_key", "left")
+    first = calls.withColumn("_key", prefix_key(F.col(call_text), size)).where("_key != ''").groupBy("_key").agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    joined = children.withColumn("_key", prefix_key(F.col(child_text), size)).join(first, "_key", "left")
     return joined.select(*children.columns, *(F.col(f"_first.{c}").alias(f"call_{c}") for c in columns))
 
 
@@ -74,9 +74,13 @@ def _words(text: Column) -> Column:
 
 
 def _windows(words: Column, size: int) -> Column:
-    """Hashes of each run of so many words."""
-    spots = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")))
+    """Hashes of each run of so many words. The words are bound once, not made anew for each run."""
+
+    def run(w: Column) -> Column:
+        spots = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, size), " ")))
+
+    return F.element_at(F.transform(F.array(words), run), 1)
 
 
 def containing(texts: DataFrame, wholes: DataFrame, by: list[str], key: str, text: str, whole: str, size: int = ANCHOR) -> DataFrame:

@@ -241,7 +241,7 @@ def export_selection(sessions: DataFrame, ids: list[str], model: str | None, wit
 
 def is_session_log(path: Column, root: str, depth: int) -> Column:
     """Whether a path is a log below a root, so many parts deep."""
-    return F.startswith(path, F.lit(root)) & F.endswith(path, F.lit(".jsonl")) & (F.size(F.split(F.substring(path, len(root) + 1), "/")) == depth)
+    return F.startswith(path, F.lit(root)) & F.endswith(path, F.lit(".jsonl")) & (F.size(F.split(F.substr(path, F.lit(len(root) + 1)), "/")) == depth)
 
 
 def encrypted(metadata: Column) -> Column:
@@ -398,6 +398,14 @@ def rollout_meta(raw: DataFrame) -> DataFrame:
     return meta.withColumns({"is_subagent": F.coalesce(is_sub, F.lit(False)), "agent": agent}).withColumn("subagent_type", F.when(F.col("is_subagent"), own)).withColumn("parent_id", F.when(F.col("is_subagent"), F.coalesce("parent_thread_id", "own_parent"))).drop("parent_thread_id", "own_parent")
 
 
+def forked_from(raw: DataFrame) -> DataFrame:
+    """(session_key, parent_id, message_uuid) of logs that were forked: the last pointer counts."""
+    get = lambda k: at(f"forkedFrom.{k}")
+    rows = raw.where(F.coalesce(get("sessionId"), F.lit("")) != "").select("session_key", "seq", get("sessionId").alias("s"), get("messageUuid").alias("m"))
+    last = rows.groupBy("session_key").agg(F.max_by(F.struct("s", "m"), "seq").alias("r"))
+    return last.select("session_key", F.col("r.s").alias("parent_id"), F.col("r.m").alias("message_uuid"))
+
+
 def rollout_messages(raw: DataFrame) -> DataFrame:
     """(session_key, seq, role, text, origin) of a rollout's conversational messages: mirrors, and envelopes of finished items."""
     sub, item = at("payload.type"), at("payload.item.type")

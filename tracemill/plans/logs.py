@@ -274,7 +274,7 @@ WITH {LOG}, g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k D
 SELECT user_id, event_id, k, nxt AS next_event_id FROM g WHERE n = 1
 """)
 def best_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's largest event, and the event after it."""
+    """Each user's largest event, and the event after it."""
     events = joins.with_next(log(spark, sf_dir), ["user_id"], ["event_id"], "event_id", "next_event_id")
     return windows.best_generation(events, "user_id", "k", "event_id").select("user_id", "event_id", "k", "next_event_id")
 

@@ -15,14 +15,15 @@ _SHORT = "CASE WHEN length({0}) > 100 THEN substr({0}, 1, 100) || '…' ELSE {0}
 WITH {TURNS}, flat AS (SELECT *, {FLAT.format("text")} AS f FROM turns)
 SELECT session_key, count(*)::BIGINT AS n_records, count(*) FILTER (kind = 'user')::BIGINT AS n_user,
        count(*) FILTER (kind = 'assistant')::BIGINT AS n_assistant, count(*) FILTER (kind = 'tool')::BIGINT AS n_tool, 0::BIGINT AS n_web,
-       min(seq)::BIGINT AS first_ts, max(seq)::BIGINT AS last_ts, NULL::VARCHAR AS model, NULL::VARCHAR AS cwd,
+       min(seq)::BIGINT AS first_ts, max(seq)::BIGINT AS last_ts, min('m' || (seq % 3)) FILTER (kind = 'assistant') AS model, arg_max('/w/' || seq, seq) FILTER (seq % 2 = 0) AS cwd,
        coalesce(arg_min({_SHORT.format("f")}, seq) FILTER (kind = 'user' AND text IS NOT NULL), '') AS title
 FROM flat GROUP BY session_key
 """)
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One summary row for each conversation."""
-    none = F.lit(None).cast("string")
-    return aggregates.session_summary(turns(spark, sf_dir).withColumns({"ts": F.col("seq"), "model": none, "cwd": none, "name": none}))
+    seq = F.col("seq")
+    model, cwd = F.when(F.col("kind") == "assistant", F.concat(F.lit("m"), (seq % 3).cast("string"))), F.when(seq % 2 == 0, F.concat(F.lit("/w/"), seq.cast("string")))
+    return aggregates.session_summary(turns(spark, sf_dir).withColumns({"ts": seq, "model": model, "cwd": cwd, "name": F.lit(None).cast("string")}))
 
 
 @query(f"""
@@ -75,17 +76,19 @@ WITH s AS (
   FROM conversations GROUP BY conv_id
 ),
 r AS (
-  SELECT s.id, s.recency, p.id IS NOT NULL AS nested, coalesce(p.recency, s.recency) AS top, coalesce(p.id, s.id) AS top_id
+  SELECT s.id, s.recency, p.id IS NOT NULL AS nested, coalesce(p.recency, s.recency) AS top, coalesce(p.id, s.id) AS top_id, p.recency AS parent_recency
   FROM s LEFT JOIN s p ON s.parent_id = p.id AND NOT p.is_subagent
 )
-SELECT id, nested, row_number() OVER (ORDER BY top DESC, top_id, nested, recency DESC, id)::BIGINT AS place FROM r
+SELECT id, nested, row_number() OVER (ORDER BY top DESC, top_id, nested, recency DESC, id)::BIGINT AS place, parent_recency FROM r
 """)
 def hierarchy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations by recency, children right after their parents."""
     counts = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"))
     child = F.col("id") % 3 != 0
     sessions = counts.select("id", (F.col("n") * 1000 + F.col("id") % 97).alias("recency"), child.alias("is_subagent"), F.when(child, F.col("id") - F.col("id") % 3).alias("parent_id"))
-    return facets.hierarchy(sessions).select("id", "nested", "place")
+    linked = joins.with_parent(sessions, "id", "parent_id", ["recency"])
+    placed = facets.hierarchy(linked.drop("parent_recency")).join(linked.select("id", "parent_recency"), "id")
+    return placed.select("id", "nested", "place", "parent_recency")
 
 
 @query("""
@@ -182,14 +185,16 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TURNS}
+WITH {TURNS}, p AS (SELECT session_key, seq, CASE WHEN seq % 3 = 0 THEN text || chr(10) || '[image attached]' ELSE text END AS text FROM turns WHERE kind = 'user')
 SELECT session_key, count(*)::BIGINT AS n_prompts,
        '## Session ' || session_key || chr(10) || chr(10) || string_agg('> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY seq) AS markdown
-FROM turns WHERE kind = 'user' AND trim(text) <> '' GROUP BY session_key
+FROM p WHERE trim(text) <> '' GROUP BY session_key
 """)
 def prompt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The user's prompts of each conversation as Markdown."""
-    return convert.prompt_digest(turns(spark, sf_dir))
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.when(F.col("seq") % 3 == 0, F.array(block("text", F.col("text")), block("image", F.lit(None).cast("string")))).otherwise(F.array(block("text", F.col("text"))))
+    return convert.prompt_digest(turns(spark, sf_dir).withColumn("text", convert.prompt_text(blocks)))
 
 
 @query(f"""
@@ -211,27 +216,52 @@ def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.transcript(turns(spark, sf_dir), ["user", "assistant"])
 
 
-@query(f"""
-WITH {TURNS}, rec AS (
-  SELECT session_key, seq, 0 AS sub, 'message' AS record_type, CASE kind WHEN 'instructions' THEN 'developer' ELSE kind END AS role, text, false AS encrypted FROM turns
-  UNION ALL SELECT session_key, seq, 1, 'event', 'user', text, false FROM turns WHERE kind = 'user'
-  UNION ALL SELECT session_key, seq, 1, 'event', 'assistant', text, false FROM turns WHERE kind = 'assistant'
+#: Conversations as events with reasoning and tool calls: each reply is thought about first, and calls a tool, at times without a result.
+_WORK = """
+work AS (
+  SELECT session_key, seq, 1 AS block, kind, text, NULL AS label, NULL AS name, NULL AS call_id, NULL AS result FROM turns
+  UNION ALL SELECT session_key, seq, 0, 'reasoning', 'hm', CASE WHEN seq % 2 = 1 THEN 'encrypted' END, NULL, NULL, NULL FROM turns WHERE kind = 'assistant'
+  UNION ALL SELECT session_key, seq, 2, 'tool', NULL, NULL, 'Bash', 'c' || seq, CASE WHEN seq % 4 <> 3 THEN 'out ' || seq END FROM turns WHERE kind = 'assistant'
+),
+rec AS (
+  SELECT session_key, seq, block, 0 AS sub, 'message' AS record_type, CASE kind WHEN 'instructions' THEN 'developer' ELSE kind END AS role, text, NULL AS call_id, false AS encrypted FROM work WHERE kind IN ('user', 'assistant', 'instructions')
+  UNION ALL SELECT session_key, seq, block, 1, 'event', kind, text, NULL, false FROM work WHERE kind IN ('user', 'assistant')
+  UNION ALL SELECT session_key, seq, block, 0, 'reasoning', NULL, text, NULL, label IS NOT NULL FROM work WHERE kind = 'reasoning'
+  UNION ALL SELECT session_key, seq, block, 0, 'function_call', NULL, name, call_id, false FROM work WHERE kind = 'tool'
+  UNION ALL SELECT session_key, seq, block, 1, 'function_call_output', NULL, result, call_id, false FROM work WHERE kind = 'tool' AND result IS NOT NULL
 )
-SELECT session_key, (row_number() OVER (PARTITION BY session_key ORDER BY seq, sub) - 1)::BIGINT AS line, record_type, role, text FROM rec
+"""
+
+
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none, seq = F.lit(None).cast("string"), F.col("seq")
+    event = lambda block, kind, text, label=none, name=none, call=none, result=none: F.struct(F.lit(block).alias("block"), kind.alias("kind"), text.alias("text"), label.alias("label"), name.alias("name"), call.alias("call_id"), result.alias("result"))
+    reply = F.col("kind") == "assistant"
+    number = seq.cast("string")
+    made = F.array(
+        event(1, F.col("kind"), F.col("text")), F.when(reply, event(0, F.lit("reasoning"), F.lit("hm"), F.when(seq % 2 == 1, "encrypted"))),
+        F.when(reply, event(2, F.lit("tool"), none, none, F.lit("Bash"), F.concat(F.lit("c"), number), F.when(seq % 4 != 3, F.concat(F.lit("out "), number)))),
+    )
+    return turns(spark, sf_dir).select("session_key", "seq", F.explode(F.array_compact(made)).alias("e")).select("session_key", "seq", "e.*")
+
+
+@query(f"""
+WITH {TURNS}, {_WORK}
+SELECT session_key, (row_number() OVER (PARTITION BY session_key ORDER BY seq, block, sub) - 1)::BIGINT AS line, record_type, role, text, call_id, encrypted FROM rec
 """)
 def rollout_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as records of another log format, with mirrored event messages."""
-    return convert.rollout_records(turns(spark, sf_dir)).select("session_key", F.col("line").cast("long"), "record_type", "role", "text")
+    """Conversations as records of another log format, with mirrored event messages, reasoning, calls and outputs."""
+    return convert.rollout_records(_work(spark, sf_dir)).select("session_key", F.col("line").cast("long"), "record_type", "role", "text", "call_id", "encrypted")
 
 
 @query(f"""
-WITH {TURNS}
-SELECT session_key, (count(*) + count(*) FILTER (kind IN ('user', 'assistant')))::BIGINT AS n_records, count(*)::BIGINT AS n_messages,
-       0::BIGINT AS n_reasoning, 0::BIGINT AS n_encrypted, 0::BIGINT AS n_unfinished FROM turns GROUP BY session_key
+WITH {TURNS}, {_WORK}
+SELECT session_key, count(*)::BIGINT AS n_records, count(*) FILTER (record_type = 'message')::BIGINT AS n_messages, count(*) FILTER (record_type = 'reasoning')::BIGINT AS n_reasoning, count(*) FILTER (encrypted)::BIGINT AS n_encrypted,
+       (count(*) FILTER (record_type = 'function_call') - count(*) FILTER (record_type = 'function_call_output'))::BIGINT AS n_unfinished FROM rec GROUP BY session_key
 """)
 def rollout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a conversion wrote, by session."""
-    return aggregates.conversion_report(convert.rollout_records(turns(spark, sf_dir)), ["session_key"])
+    """What a conversion wrote, by session, with its reasoning, what of it is encrypted, and calls without an output."""
+    return aggregates.conversion_report(convert.rollout_records(_work(spark, sf_dir)), ["session_key"])
 
 
 @query(f"""
@@ -250,11 +280,14 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, lower(regexp_extract(html, '^\\s*<([a-zA-Z0-9_-]+)', 1)) AS tag, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain FROM pages
+SELECT page_id, lower(regexp_extract(html, '^\\s*<([a-zA-Z0-9_-]+)', 1)) AS tag, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain,
+       CASE page_id % 5 WHEN 0 THEN 'Background task' WHEN 1 THEN 'Slash command' WHEN 2 THEN 'System reminder' WHEN 3 THEN 'Hook' END AS label FROM pages
 """)
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tag that a page begins with, and its text without tags."""
-    return table(spark, sf_dir, "pages").select("page_id", F.lower(records.leading_tag(F.col("html"))).alias("tag"), strip_tags(F.col("html")).alias("plain"))
+    """The tag that a page begins with, its text without tags, and what it would be under an injected tag."""
+    html, tags = F.col("html"), ("task-notification", "command-name", "system-reminder", "user-prompt-submit-hook", "div")
+    tagged = F.concat(F.lit(" <"), F.element_at(F.array(*map(F.lit, tags)), (F.col("page_id") % 5 + 1).cast("int")), F.lit(">"), html)
+    return table(spark, sf_dir, "pages").select("page_id", F.lower(records.leading_tag(html)).alias("tag"), strip_tags(html).alias("plain"), records.notice_label(tagged).alias("label"))
 
 
 @query("""
@@ -299,16 +332,14 @@ def metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, text, source FROM documents WHERE length(trim(text)) > 0),
-k AS (SELECT item_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 40) AS key FROM benchmark),
+WITH c AS (SELECT doc_id, text FROM documents WHERE length(trim(text)) > 0), k AS (SELECT item_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 40) AS key FROM benchmark),
 f AS (SELECT key, min(item_id) AS item_id FROM k WHERE key <> '' GROUP BY key)
 SELECT c.doc_id, f.item_id AS call_item_id FROM c LEFT JOIN f ON substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 40) = f.key
 """)
 def prefix_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that begin like a benchmark passage, by the first 40 characters."""
+    """Documents, as sub-agents' prompts, with the first benchmark passage, as a call's prompt, that begins alike in 40 characters."""
     docs, items = table(spark, sf_dir, "documents").where("length(trim(text)) > 0"), table(spark, sf_dir, "benchmark")
-    first = items.withColumn("_key", joins.prefix_key(F.col("text"), 40)).where("_key != ''").groupBy("_key").agg(F.min("item_id").alias("call_item_id"))
-    return docs.withColumn("_key", joins.prefix_key(F.col("text"), 40)).join(first, "_key", "left").select("doc_id", "call_item_id")
+    return joins.linked_by_prefix(docs, items, "text", "text", "item_id", ["item_id"], 40).select("doc_id", "call_item_id")
 
 
 @query("""

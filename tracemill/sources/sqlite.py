@@ -8,62 +8,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def query_stores(spark: SparkSession, path: str, sql: str, schema: str, glob: str = "*.db") -> DataFrame:
-    """Rows of a SELECT over every store below a path, with the store's path as ``store``; schema is that of the SELECT.
-
-    Filters and projections belong in the statement: they then run inside each store. Stores that lack the table give
-    no rows. One task reads a store; many stores spread over tasks. On a file system that all machines mount, stores are
-    opened where they are, whatever their size; from any other, a store comes as one value, so 2 GB at most.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    where = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    in_place = where.getScheme() == "file"
-
-    def rows_of(store: str, content: bytes | None) -> Iterator[pd.DataFrame]:
-        if content is None:
-            con = sqlite3.connect(f"file:{store.removeprefix('file:')}?mode=ro", uri=True)
-        else:
-            con = sqlite3.connect(":memory:")
-            con.deserialize(content)
-        try:
-            cursor = con.execute(sql)
-            while rows := cursor.fetchmany(5000):
-                yield pd.DataFrame(rows, columns=names).assign(store=store)[["store", *names]]
-        except sqlite3.OperationalError as e:
-            if "no such table" not in str(e):
-                raise
-        finally:
-            con.close()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield from rows_of(row.path, None if in_place else bytes(row.content))
-
-    return files.select("path" if in_place else F.struct("path", "content").alias("f")).select(*(["path"] if in_place else ["f.*"])).mapInPandas(run, f"store string, {schema}")
-
-
-def kv_rows(spark: SparkSession, path: str, prefix: str, glob: str = "*.vscdb", table: str = "cursorDiskKV") -> DataFrame:
+class Stores:
+    """Many stores as one: ``files`` has a row for each, its path and, unless tasks open it in place, its content."""
+
+    def __init__(self, files: DataFrame):
+        self.files, self.spark = files, files.sparkSession
+
+    @classmethod
+    def below(cls, spark: SparkSession, path: str, glob: str = "*.db") -> "Stores":
+        """The stores below a path whose names match.
+
+        On a file system that all machines mount, stores are opened where they are, whatever their size; from any other,
+        a store comes as one value, so 2 GB at most.
+        """
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        return cls(files.select("path") if where.getScheme() == "file" else files.select("path", "content"))
+
+    def rows(self, sql: str, schema: str) -> DataFrame:
+        """Rows of a SELECT over every store, with the store's path as ``store``; schema is that of the SELECT.
+
+        Filters and projections belong in the statement: they then run inside each store. Stores that lack the table
+        give no rows. One task reads a store; many stores spread over tasks.
+        """
+        names = [c.strip().split()[0] for c in schema.split(",")]
+
+        def rows_of(store: str, content: bytes | None) -> Iterator[pd.DataFrame]:
+            if content is None:
+                con = sqlite3.connect(f"file:{store.removeprefix('file:')}?mode=ro", uri=True)
+            else:
+                con = sqlite3.connect(":memory:")
+                con.deserialize(content)
+            try:
+                cursor = con.execute(sql)
+                while rows := cursor.fetchmany(5000):
+                    yield pd.DataFrame(rows, columns=names).assign(store=store)[["store", *names]]
+            except sqlite3.OperationalError as e:
+                if "no such table" not in str(e):
+                    raise
+            finally:
+                con.close()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    yield from rows_of(row.path, bytes(row.content) if "content" in batch.columns else None)
+
+        return self.files.mapInPandas(run, f"store string, {schema}")
+
+
+def kv_rows(stores: Stores, prefix: str, table: str = "cursorDiskKV") -> DataFrame:
     """(store, key, a, b, value VARIANT) of keys with a prefix; a and b are the key's second and third parts."""
     low = prefix.replace("'", "''")
     # a range of keys, which the store's index serves; LIKE would not
-    rows = query_stores(spark, path, f"SELECT key, CAST(value AS TEXT) FROM {table} WHERE key >= '{low}' AND key < '{low[:-1]}{chr(ord(low[-1]) + 1)}'", "key string, text string", glob)
+    rows = stores.rows(f"SELECT key, CAST(value AS TEXT) FROM {table} WHERE key >= '{low}' AND key < '{low[:-1]}{chr(ord(low[-1]) + 1)}'", "key string, text string")
     part = lambda n: F.split_part("key", F.lit(":"), F.lit(n))
     return rows.select("store", "key", part(2).alias("a"), part(3).alias("b"), F.try_parse_json("text").alias("value"), "text")
 
 
-def ide_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def ide_store(stores: Stores) -> tuple[DataFrame, DataFrame]:
     """Headers (session_key, seq, bubble_id) and bubbles (session_key, bubble_id, value) of IDE stores."""
-    composers = kv_rows(spark, path, "composerData:")
+    composers = kv_rows(stores, "composerData:")
     listed = F.try_variant_get("value", "$.fullConversationHeadersOnly", "array<variant>")
     headers = composers.select(F.col("a").alias("session_key"), F.posexplode(listed).alias("seq", "h")).select("session_key", "seq", F.try_variant_get("h", "$.bubbleId", "string").alias("bubble_id"))
-    return headers, kv_rows(spark, path, "bubbleId:").select(F.col("a").alias("session_key"), F.col("b").alias("bubble_id"), "value")
+    return headers, kv_rows(stores, "bubbleId:").select(F.col("a").alias("session_key"), F.col("b").alias("bubble_id"), "value")
 
 
-def three_tables(spark: SparkSession, path: str, glob: str = "*.db") -> tuple[DataFrame, DataFrame, DataFrame]:
+def three_tables(stores: Stores) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions, messages and parts of a three-table store."""
-    get = lambda sql, schema: query_stores(spark, path, sql, schema, glob).drop("store")
+    get = lambda sql, schema: stores.rows(sql, schema).drop("store")
     return (
         get("SELECT id, parent_id, directory, title, version, time_created, time_updated FROM session", "id string, parent_id string, directory string, title string, version string, time_created long, time_updated long"),
         get("SELECT id, session_id, time_created, data FROM message", "id string, session_id string, time_created long, data string"),
@@ -71,17 +84,21 @@ def three_tables(spark: SparkSession, path: str, glob: str = "*.db") -> tuple[Da
     )
 
 
-def thread_rows(spark: SparkSession, path: str, columns: list[str], glob: str = "*.sqlite") -> DataFrame:
-    """Rows of the thread table; a column that a store lacks would fail there, so callers name those they have."""
-    return query_stores(spark, path, f"SELECT {', '.join(columns)} FROM threads", ", ".join(f"{c} string" for c in columns), glob)
+def thread_rows(stores: Stores, columns: list[str]) -> DataFrame:
+    """Rows of the thread table as text; a column that a store lacks is null there."""
+    have = stores.rows("SELECT name FROM pragma_table_info('threads')", "name string").groupBy("store").agg(F.collect_set("name").alias("have"))
+    # SQLite reads an unknown name in double quotes as a text, so the name comes back where there is no such column
+    rows = stores.rows(f"SELECT {', '.join(f'CAST(\"{c}\" AS TEXT)' for c in columns)} FROM threads", ", ".join(f"{c} string" for c in columns))
+    return rows.join(have, "store").select("store", *(F.when(F.array_contains("have", c), F.col(c)).alias(c) for c in columns))
 
 
-def blob_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(session_key, seq, value) of role messages in chat stores: the JSON objects with a role that blobs hold.
+def blob_messages(stores: Stores) -> DataFrame:
+    """(session_key, seq, value) of role messages in chat stores: the JSON objects with a role that blobs hold.
 
-    A blob may frame its JSON with other bytes; what lies from the first ``{"role"`` to the last brace counts.
+    A blob may frame its JSON with other bytes; what lies from the first ``{"role"`` or ``{"id"`` to the last brace counts.
+    The session is the store's folder.
     """
-    rows = query_stores(spark, path, "SELECT rowid - 1, id, CAST(data AS TEXT) FROM blobs ORDER BY rowid", "seq long, id string, text string", "store.db")
+    rows = stores.rows("SELECT rowid - 1, id, CAST(data AS TEXT) FROM blobs ORDER BY rowid", "seq long, id string, text string")
     inner = F.regexp_extract("text", r'(?s)(\{"(?:role|id)".*\})', 1)
     parsed = rows.select(F.regexp_extract("store", r"/([^/]+)/store\.db$", 1).alias("session_key"), "seq", F.try_parse_json(inner).alias("value"))
     return parsed.where(F.try_variant_get("value", "$.role", "string").isNotNull())

@@ -3,13 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators.facets import flagged_capture
+from tracemill.operators.facets import flagged_capture, store_events
 from tracemill.operators.sets import upsert
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """(key, source, parser, path, status, flags, deleted_at, recreated_from) of an index file's map."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    return index_entries(spark.read.option("wholetext", "true").text(path))
+
+
+def index_entries(whole: DataFrame) -> DataFrame:
+    """The entries of index files (value)."""
     entries = F.explode(F.map_entries(F.try_variant_get(F.try_parse_json("value"), "$.files", "map<string,variant>")))
     rows = whole.select(entries.alias("e")).select("e.key", F.col("e.value").alias("v"))
     get = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind).alias(name)
@@ -18,20 +22,27 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
 
 def capture_events(spark: SparkSession, path: str) -> DataFrame:
     """(t, type, key, path, detail) of an event log; broken lines are dropped."""
+    return event_records(spark.read.text(path))
+
+
+def event_records(lines: DataFrame) -> DataFrame:
+    """The records of event log lines (value)."""
     value = F.try_parse_json("value")
     get = lambda name: F.try_variant_get(value, f"$.{name}", "string").alias(name)
-    return spark.read.text(path).where(value.isNotNull()).select(get("t"), get("type"), get("key"), get("path"), F.try_variant_get(value, "$.detail", "variant").alias("detail"))
+    return lines.where(value.isNotNull()).select(get("t"), get("type"), get("key"), get("path"), F.try_variant_get(value, "$.detail", "variant").alias("detail"))
 
 
 def flagged_report(index: DataFrame, events: DataFrame) -> DataFrame:
-    """Flagged captures with their events, one row each, by key and time."""
-    return index.where(flagged_capture()).join(events.select("key", "t", "type"), "key", "left").orderBy("key", "t")
+    """Flagged captures with their events, one row each, and the store-wide events, whose key is null."""
+    own = index.where(flagged_capture()).select("key").join(events.select("key", "t", "type"), "key", "left")
+    return own.unionByName(store_events(events).select("key", "t", "type"))
 
 
 def replace_by_key(path: str, new: DataFrame, key: str) -> DataFrame:
-    """A stored table with new rows in place of those of the same keys, as a new version beside the old.
+    """A small stored table with new rows in place of those of the same keys, as a new version beside the old.
 
-    The result is written to ``<path>/version-<n>``; readers take the highest n, so none sees a half-written table.
+    The result is written to ``<path>/version-<n>``; readers take the highest n, so none sees a half-written table. For a
+    table of many documents see ``operators.index``, which rewrites only the parts that hold a changed key.
     """
     spark = new.sparkSession
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
