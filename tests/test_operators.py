@@ -5,7 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from tracemill.functions.checkpoints import with_checkpoints
+from tracemill.functions.text import normalized
 from tracemill.operators import aggregates, capture, facets, joins, records, search, sets, tree, windows
+from tracemill.operators.index import SearchIndex
 
 
 def test_last_kept(spark):
@@ -75,11 +77,45 @@ def test_chunks_equal_the_whole(spark):
     texts = ["".join(rng.choices(["ab", "É", " ", "\n", "’", "ﬁ", "​"], k=rng.randint(0, 120))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     got = {}
-    for r in search.chunks(df, "i", "t", 16).collect():
-        got.setdefault(r.i, []).append((r.src_start, r.norm_start, r.chunk))
+    for r in search.chunks(df, ["i"], "t", 16).collect():
+        got.setdefault(r.i, []).append((r.src_start, r.norm_start, r.norm_at, r.chunk, r.norm))
     for i, t in enumerate(texts):
         parts = sorted(got.get(i, []))
-        assert "".join(c for _, _, c in parts) == t and all(c.endswith("\n") for _, _, c in parts[:-1])
+        whole = normalized(t)
+        assert "".join(c for *_, c, _ in parts) == t and all(c.endswith("\n") for *_, c, _ in parts[:-1])
+        assert " ".join(n for *_, n in parts if n) == whole
+        assert all(whole[a : a + len(n)] == n and whole.encode()[b : b + len(n.encode())] == n.encode() for _, b, a, _, n in parts)
+
+
+def test_index_is_refreshed_by_fingerprint(spark, tmp_path):
+    rng = random.Random(9)
+    texts = {i: "\n".join(" ".join(rng.choices(["Über", "the", "  ﬁne", "“quote”", "x"], k=9)) for _ in range(rng.randint(0, 6))) for i in range(40)}
+    opened = lambda: SearchIndex(spark, f"file://{tmp_path}/index", buckets=4, chunk=80)
+    asked = []
+
+    def load(some):
+        asked.append(sorted(r.file for r in some.collect()))
+        return spark.createDataFrame([(i, t[:5], t) for i, t in texts.items()], "file long, user_text string, rest_text string").join(some, "file", "left_semi")
+
+    def listed(prints):
+        return spark.createDataFrame(list(prints.items()), "file long, fingerprint string")
+
+    prints = {i: "a" for i in range(40)}
+    assert opened().refresh(listed(prints), load) and not opened().refresh(listed(prints), load)
+    texts[3] += "\nthe the"
+    del prints[7]
+    prints |= {3: "b", 99: "a"}
+    texts[99] = "the end"
+    index = opened()
+    assert index.refresh(listed(prints), load) and asked == [list(range(40)), [3, 99]] and index.generation == 2
+    want = {i: (normalized(texts[i][:5]).count("the"), normalized(texts[i]).count("the")) for i in prints}
+    hits = opened().search("  THE ")
+    assert {r.file: (r.n_user, r.n_rest) for r in hits.collect()} == {i: n for i, n in want.items() if any(n)}
+    for r in index.located(hits, "the").collect():
+        source, base = (texts[r.file][:5], 0) if r.segment == "user" else (texts[r.file], len(texts[r.file][:5]))
+        begin, end = search.found_in(source, "the")
+        assert (r.position, r.snippet) == (base + begin, search.context(source, begin, end))
+    assert index.refresh(listed({}), load) and index.docs().isEmpty() and opened().search("the").isEmpty()
 
 
 def test_located(spark):

@@ -1,15 +1,48 @@
-"""The folder in which checkpoints cut lineage."""
+"""The shared folder in which checkpoints cut lineage and stored tables lie."""
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, in local mode only, a temporary one for this process."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "path" not in _own:
+        _own["path"] = tempfile.mkdtemp(prefix="tracemill-shared-")
+        atexit.register(shutil.rmtree, _own["path"], True)
+    return f"file://{_own['path']}"
+
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """The session, with a checkpoint folder: the cluster's spark.checkpoint.dir, or in local mode one of its own."""
+    """The session, with a checkpoint folder below the shared one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="tracemill-checkpoints-"))
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
     return spark
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The number and the text of the newest manifest of a folder; 0 and None without one."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(x.getPath().getName()[9:]) for x in fs.listStatus(files) if x.getPath().getName().startswith("manifest-")] if fs.exists(files) else []
+    return (max(found), spark.read.text(f"{path}/manifest-{max(found)}").first()[0]) if found else (0, None)
+
+
+def write_manifest(spark: SparkSession, path: str, number: int, text: str) -> None:
+    """Writes a folder's manifest under the next number; readers see the old state until it is there."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/manifest-{number}")
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

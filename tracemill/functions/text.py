@@ -14,6 +14,8 @@ DOUBLE_QUOTES = "“”„‟″‶«»"
 DASHES = "‐‑‒–—―−"
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
+#: Characters that NFKC leaves as they are, whatever stands beside them: ASCII, and letters and signs of Latin without a fold.
+STABLE = "\\x00-\\x7F¡-§©«¬®°±¶·»¿-ÿĀ-ıĴ-ľŁ-ňŊ-ž"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -36,11 +38,19 @@ def single_spaced(text: Column) -> Column:
 def normalize_search_text(text: Column) -> Column:
     """quotes, dashes and invisible signs folded, NFKC, folded again, lower case, single-spaced.
 
-    Only rows with a sign beyond ASCII pass through Python for NFKC; all else is native.
+    Only texts with a sign that NFKC might change are handed to Python; of all others it gets a null.
     """
     folded = _folded(text)
-    composed = F.when(folded.rlike(r"[^\x00-\x7F]"), _folded(_nfkc(folded))).otherwise(folded)
-    return single_spaced(F.lower(composed))
+    composed = _folded(_nfkc(F.when(folded.rlike(f"[^{STABLE}]"), folded)))
+    return single_spaced(F.lower(F.coalesce(composed, folded)))
+
+
+_FOLDS = str.maketrans({**dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), **dict.fromkeys(DASHES, "-"), **dict.fromkeys(INVISIBLE, None)})
+
+
+def normalized(text: str) -> str:
+    """F1 of one text, such as a query."""
+    return " ".join(unicodedata.normalize("NFKC", text.translate(_FOLDS)).translate(_FOLDS).lower().split())
 
 
 def normalize_plain(text: Column) -> Column:

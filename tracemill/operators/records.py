@@ -151,10 +151,10 @@ def review_decision(text: Column) -> Column:
     return F.when(F.try_variant_get(value, "$.outcome", "string").isin("allow", "deny"), value)
 
 
-def image_class(uri: Column) -> Column:
+def image_class(uri: Column, most: int = IMAGE_CHARS) -> Column:
     """How an image is given: inline, omitted for its size, object (a path), or unknown."""
     return (
-        F.when(F.startswith(uri, F.lit("data:image/")), F.when(F.length(uri) > IMAGE_CHARS, "omitted").otherwise("inline"))
+        F.when(F.startswith(uri, F.lit("data:image/")), F.when(F.length(uri) > most, "omitted").otherwise("inline"))
         .when(image_mime(uri).isNotNull(), "object").otherwise("unknown")
     )
 

@@ -1,15 +1,13 @@
-"""Full-text search over sessions (X1-X8): tiers of native counts, weights, snippets, chunks, refresh."""
+"""Full-text search over sessions (X1-X3, X5-X8): tiers of native counts, weights, snippets, chunks. The index is ``index``."""
 
-import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import DASHES, DOUBLE_QUOTES, INVISIBLE, SINGLE_QUOTES, count_occurrences, normalize_search_text
-from tracemill.operators.joins import refresh_plan
-from tracemill.operators.sets import upsert
+from tracemill.functions.text import count_occurrences, normalize_search_text, normalized
 
 #: What an occurrence counts in each tier, best first.
 WEIGHTS = {"custom": 10_000, "native": 5_000, "user": 50, "rest": 1}
@@ -18,8 +16,15 @@ INPUT_KEYS = ("cmd", "command", "file_path", "pattern", "query", "prompt", "desc
 
 
 def tool_input_text(value: Column) -> Column:
-    """The searched inputs of a tool call's VARIANT, line by line; null without any."""
-    return F.nullif(F.array_join(F.array(*(F.try_variant_get(value, f"$.{k}", "string") for k in INPUT_KEYS)), "\n"), F.lit(""))
+    """The searched inputs of a tool call's VARIANT, line by line, with those of its nested calls and edits; null without any.
+
+    A call that is a text is searched itself.
+    """
+    one = lambda v: F.array(*(F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in INPUT_KEYS))
+    calls = F.transform(F.try_variant_get(value, "$.calls", "array<variant>"), lambda c: F.try_variant_get(c, "$.input", "variant"))
+    nested = F.coalesce(F.flatten(F.transform(F.concat(F.coalesce(calls, F.array().cast("array<variant>")), F.coalesce(F.try_variant_get(value, "$.edits", "array<variant>"), F.array().cast("array<variant>"))), one)), F.array().cast("array<string>"))
+    text = F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(value, "$", "string")))
+    return F.nullif(F.array_join(F.array_compact(F.coalesce(text, F.concat(one(value), nested))), "\n"), F.lit(""))
 
 
 def event_text(events: DataFrame) -> DataFrame:
@@ -57,9 +62,13 @@ def scored(counted: DataFrame, tiers: list[str]) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, tiers: list[str], plain: bool = False) -> DataFrame:
-    """Hits of one query; tiers are normalized texts. plain: the query is normalized already. An empty one has none."""
-    needle = F.lit(query) if plain else normalize_search_text(F.lit(query))
-    return scored(tier_counts(docs.where(needle != ""), needle, tiers), tiers)
+    """Hits of one query; tiers are normalized texts. plain: the query is normalized already. An empty one has none.
+
+    Texts without the query are left out before anything is counted.
+    """
+    needle = query if plain else normalized(query)
+    some = reduce(lambda a, b: a | b, (F.contains(F.col(t), F.lit(needle)) for t in tiers))
+    return scored(tier_counts(docs.where(F.lit(needle != "") & some), F.lit(needle), tiers), tiers)
 
 
 def search_many(docs: DataFrame, queries: list[str], tiers: list[str]) -> DataFrame:
@@ -70,50 +79,79 @@ def search_many(docs: DataFrame, queries: list[str], tiers: list[str]) -> DataFr
 
 def metadata_match(sessions: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Sessions with the normalized query in any of some columns, joined by blanks."""
-    return sessions.where(F.contains(normalize_search_text(F.concat_ws(" ", *columns)), normalize_search_text(F.lit(query))))
+    return sessions.where(F.contains(normalize_search_text(F.concat_ws(" ", *columns)), F.lit(normalized(query))))
 
 
-def chunks(docs: DataFrame, key: str, text: str, size: int = 65536) -> DataFrame:
-    """(key, src_start, norm_start, chunk): source texts cut after the first line feed at or beyond each ``size``.
+def chunks(docs: DataFrame, keys: list[str], text: str, size: int = 65536) -> DataFrame:
+    """(keys..., n, src_start, norm_start, norm_at, chunk, norm): source texts cut after the first line feed at or beyond each ``size``.
 
-    norm_start is the chunk's place in the normalized whole, in UTF-8 bytes. A longer line stays whole. The cut is
-    sequential within a text, so it runs in Python, a document at a time.
+    norm is the chunk normalized; norm_start and norm_at are its place in the normalized whole, in UTF-8 bytes and in
+    characters: the chunks' norms that aren't empty, joined by blanks, are the whole's. A longer line stays whole, an
+    empty text has no chunk. A text of one chunk is left in Spark; the cut of a longer one is sequential, so it
+    runs in Python, a document at a time.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, whole in zip(batch[key], batch[text].fillna(""), strict=True):
-                start = 0
+            for *key, whole in batch.itertuples(index=False, name=None):
+                start = n = 0
                 while start < len(whole):
                     at = whole.find("\n", start + size - 1)
                     end = len(whole) if at < 0 else at + 1
-                    rows.append((k, start, whole[start:end]))
-                    start = end
-            yield pd.DataFrame(rows, columns=[key, "src_start", "chunk"])
-
-    kind = dict(docs.dtypes)[key]
-    out = docs.select(key, text).mapInPandas(cut, f"{key} {kind}, src_start long, chunk string")
-    bytes_ = F.octet_length(normalize_search_text(F.col("chunk")))
-    before = Window.partitionBy(key).orderBy("src_start").rowsBetween(Window.unboundedPreceding, -1)
-    # each chunk with a text of its own adds it and the blank that joins it to what came before
-    taken = F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("_n") + 1).otherwise(0)).over(before), F.lit(0))
-    placed = out.withColumn("_n", bytes_).withColumn("_before", taken)
-    start = F.when(F.col("_before") == 0, 0).when(F.col("_n") > 0, F.col("_before")).otherwise(F.col("_before") - 1)
-    return placed.select(key, "src_start", start.cast("long").alias("norm_start"), "chunk")
-
-
-def located(hits: DataFrame, texts: list[str], query: Column, before: int = 50, after: int = 70) -> DataFrame:
-    """Hits with tier, position and snippet of the first match in the best tier; texts are source texts, best tier first.
+                    rows.append((*key, n, start, whole[start:end]))
+                    start, n = end, n + 1
+            yield pd.DataFrame(rows, columns=[*keys, "n", "src_start", "chunk"])
+
+    kinds = dict(docs.dtypes)
+    rows = docs.select(*keys, F.col(text).alias("chunk")).where(F.coalesce(F.col("chunk"), F.lit("")) != "")
+    short = rows.where(F.length("chunk") <= size).select(*keys, F.lit(0).alias("n"), F.lit(0).cast("long").alias("src_start"), "chunk")
+    long = rows.where(F.length("chunk") > size).mapInPandas(cut, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n int, src_start long, chunk string"]))
+    placed = short.unionByName(long).withColumn("norm", normalize_search_text(F.col("chunk")))
+    before = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+
+    def start(size_of) -> Column:
+        # each chunk with a text of its own adds it and the blank that joins it to what came before
+        own = size_of("norm")
+        taken = F.coalesce(F.sum(F.when(own > 0, own + 1).otherwise(0)).over(before), F.lit(0))
+        return F.when(taken == 0, 0).when(own > 0, taken).otherwise(taken - 1).cast("long")
+
+    return placed.select(*keys, "n", "src_start", start(F.octet_length).alias("norm_start"), start(F.length).alias("norm_at"), "chunk", "norm")
+
+
+def found_in(source: str, needle: str) -> tuple[int, int] | None:
+    """Begin and end, in the source, of the first match of a normalized needle; null without one.
 
-    Normalizing moves characters, so a match is mapped back in Python, on hits only: each source character is normalized
-    with what joins it, and the first that reaches the match's place begins it. position adds the lengths of the
-    texts of better tiers.
+    Normalizing moves characters, so both ends are mapped back: the shortest prefix of the source whose normalized text
+    reaches so far.
     """
-    table = str.maketrans({**dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), **dict.fromkeys(DASHES, "-"), **dict.fromkeys(INVISIBLE, None)})
+    whole = normalized(source)
+    place = whole.find(needle) if needle else -1
+    if place < 0:
+        return None
 
-    def plain(x: str) -> str:
-        return " ".join(unicodedata.normalize("NFKC", x.translate(table)).translate(table).lower().split())
+    def reaching(size: int) -> int:
+        low, high = 0, len(source)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if len(normalized(source[:mid])) < size else (low, mid)
+        return low
+
+    return reaching(place + 1) - 1, reaching(place + len(needle))
+
+
+def context(source: str, begin: int, end: int, cut: bool = False, before: int = 50, after: int = 70) -> str:
+    """F17 of one text: the surroundings of a match, single-spaced, with an ellipsis where the start is cut."""
+    first = max(begin - before, 0)
+    return ("…" if first or cut else "") + " ".join(source[first : end + after].split())
+
+
+def located(hits: DataFrame, texts: list[str], query: Column) -> DataFrame:
+    """Hits with tier, position and snippet of the first match in the best tier; texts are source texts, best tier first.
+
+    The way back from normalized to source text runs in Python, on hits only. position adds the lengths of the texts of
+    better tiers.
+    """
 
     @F.pandas_udf("struct<tier:int,position:long,snippet:string>")
     def find(parts: pd.Series, queries: pd.Series) -> pd.DataFrame:
@@ -122,18 +160,8 @@ def located(hits: DataFrame, texts: list[str], query: Column, before: int = 50,
             row, offset = (None, None, None), 0
             for tier, source in enumerate(sources):
                 source = source or ""
-                whole = plain(source)
-                if needle and needle in whole:
-                    place = whole.index(needle)
-                    # the longest source prefix whose normalized text ends before the match
-                    low, high = 0, len(source)
-                    while low < high:
-                        mid = (low + high + 1) // 2
-                        low, high = (mid, high) if len(plain(source[:mid])) <= place else (low, mid - 1)
-                    while low < len(source) and not plain(source[low]):
-                        low += 1
-                    begin = max(low - before, 0)
-                    row = (tier, offset + low, ("…" if begin else "") + " ".join(source[begin : low + len(needle) + after].split()))
+                if spot := found_in(source, needle):
+                    row = (tier, offset + spot[0], context(source, *spot))
                     break
                 offset += len(source)
             rows.append(row)
@@ -141,11 +169,3 @@ def located(hits: DataFrame, texts: list[str], query: Column, before: int = 50,
 
     found = find(F.array(*(F.coalesce(F.col(t), F.lit("")) for t in texts)), query)
     return hits.withColumn("_f", found).select(*hits.columns, "_f.tier", "_f.position", "_f.snippet")
-
-
-def refreshed(stored: DataFrame, listed: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """Stored documents after a refresh: vanished ones gone, changed and new ones as listed, the rest untouched."""
-    plan = refresh_plan(listed, stored, key, fingerprint)
-    kept = stored.join(plan.where("action != 'prune'"), key, "left_semi")
-    new = listed.join(plan.where("action in ('new', 'changed')"), key, "left_semi")
-    return upsert(kept, new, key)

@@ -1,6 +1,6 @@
 """All registered queries and their DuckDB twins."""
 
-from tracemill.plans import layouts, logs, sessions, streams
+from tracemill.plans import columns, layouts, links, logs, sessions, streams
 from tracemill.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "layouts", "logs", "sessions", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "columns", "layouts", "links", "logs", "sessions", "streams"]

@@ -1,11 +1,16 @@
 """Queries over logs: search, pairing, windows, audit, trees."""
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions.checkpoints import with_checkpoints
-from tracemill.functions.text import normalize_search_text, snippet
+from tracemill.functions.checkpoints import shared_folder, with_checkpoints
+from tracemill.functions.text import normalize_plain, normalize_search_text, snippet
 from tracemill.operators import aggregates, capture, joins, search, tree, windows
+from tracemill.operators.index import SearchIndex
 from tracemill.plans.registry import LOG, TURNS, log, query, table, turns
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
@@ -13,20 +18,31 @@ _COUNT = "((length({0}) - length(replace({0}, {1}, ''))) // length({1}))::BIGINT
 QUERIES_ASKED = ["the", "que la", "license", "@", "of the", "and", "in", "token ="]
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search documents: the source as native title, the text as the rest, both normalized."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", normalize_search_text(F.col("source")).alias("native"), normalize_search_text(F.col("text")).alias("rest"))
+def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return f"{shared_folder(spark)}/tracemill-index/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The documents' search index, brought up to date: a document's fingerprint is that of the file that holds it."""
+    path = f"{sf_dir}/documents.parquet"
+    stamp = F.concat_ws(":", F.col("_metadata.file_name"), F.unix_micros("_metadata.file_modification_time").cast("string"), F.col("_metadata.file_size").cast("string"))
+    listed = spark.read.parquet(path).select(F.col("doc_id").alias("file"), stamp.alias("fingerprint"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("").alias("user_text"), F.col("text").alias("rest_text"))
+    index = SearchIndex(spark, _place(spark, sf_dir, "documents"))
+    index.refresh(listed, lambda some: texts.join(some, "file", "left_semi"))
+    return index
 
 
 @query(f"""
 WITH d AS (SELECT doc_id, {_NORM.format("source")} AS native, {_NORM.format("text")} AS rest FROM documents),
-c AS (SELECT doc_id, {_COUNT.format("native", "'que la'")} AS n_native, {_COUNT.format("rest", "'que la'")} AS n_rest FROM d)
+c AS (SELECT doc_id, {_COUNT.format("native", "'que la'")} AS n_native, coalesce({_COUNT.format("rest", "'que la'")}, 0) AS n_rest FROM d)
 SELECT doc_id, n_native, n_rest, (n_native * 5000 + n_rest)::BIGINT AS score FROM c WHERE n_native * 5000 + n_rest > 0
 """)
 def search_docs_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted hits of one query in documents."""
-    return search.search(_docs(spark, sf_dir), "  QUE la ", ["native", "rest"]).select("doc_id", "n_native", "n_rest", "score")
+    """Weighted hits of one query in indexed documents and their sources as titles."""
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), normalize_plain(F.col("source")).alias("native"))
+    hits = documents_index(spark, sf_dir).search("  QUE la ", titles)
+    return hits.select(F.col("file").alias("doc_id"), "n_native", "n_rest", "score")
 
 
 @query(f"""
@@ -39,10 +55,19 @@ c AS (SELECT session_key, {_COUNT.format("u", "'the'")} AS n_user, {_COUNT.forma
 SELECT session_key, n_user, n_rest, (n_user * 50 + n_rest)::BIGINT AS score FROM c WHERE n_user * 50 + n_rest > 0
 """)
 def search_sessions_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits in the user's texts and in the rest of conversations."""
-    found = search.segments(turns(spark, sf_dir).withColumnRenamed("text", "search_text"))
-    docs = found.select("session_key", normalize_search_text(F.col("user_text")).alias("user"), normalize_search_text(F.col("rest_text")).alias("rest"))
-    return search.search(docs, "the", ["user", "rest"]).select("session_key", "n_user", "n_rest", "score")
+    """Hits in the user's texts and in the rest of indexed conversations."""
+    path = f"{sf_dir}/conversations.parquet"
+    stamp = F.concat_ws(":", F.max(F.unix_micros("_metadata.file_modification_time")).cast("string"), F.count("*").cast("string"))
+    listed = spark.read.parquet(path).groupBy(F.col("conv_id").alias("file")).agg(stamp.alias("fingerprint"))
+    events = turns(spark, sf_dir).withColumns({"input": F.lit(None).cast("variant"), "result": F.lit(None).cast("string")})
+
+    def load(some: DataFrame) -> DataFrame:
+        own = events.join(some.withColumnRenamed("file", "session_key"), "session_key", "left_semi")
+        return search.segments(search.event_text(own)).withColumnRenamed("session_key", "file")
+
+    index = SearchIndex(spark, _place(spark, sf_dir, "conversations"))
+    index.refresh(listed, load)
+    return index.search("the").select(F.col("file").alias("session_key"), "n_user", "n_rest", "score")
 
 
 @query(f"""
@@ -51,9 +76,8 @@ c AS (SELECT doc_id, query, {_COUNT.format("rest", "query")} AS n_rest FROM d CR
 SELECT query, count(*)::BIGINT AS n_docs, sum(n_rest)::BIGINT AS n_hits FROM c WHERE n_rest > 0 GROUP BY query
 """)
 def search_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list of queries over all documents at once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", normalize_search_text(F.col("text")).alias("rest"))
-    return search.search_many(docs, QUERIES_ASKED, ["rest"]).groupBy("query").agg(F.count("*").alias("n_docs"), F.sum("n_rest").alias("n_hits"))
+    """A list of queries over all indexed documents at once."""
+    return documents_index(spark, sf_dir).search_many(QUERIES_ASKED).groupBy("query").agg(F.count("*").alias("n_docs"), F.sum("n_rest").alias("n_hits"))
 
 
 @query("""
@@ -67,18 +91,68 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("spot").cast("long"), snippet(F.col("text"), F.col("spot"), F.lit(3)).alias("snippet"))
 
 
-@query()
+_LOCATED = """
+m AS (SELECT doc_id, text, regexp_extract(text, '(?i)que\\s+la') AS found FROM documents), p AS (SELECT doc_id, text, found, instr(text, found) - 1 AS spot FROM m WHERE found <> ''),
+s AS (SELECT doc_id, spot, (CASE WHEN spot > 50 THEN '…' ELSE '' END) || trim(regexp_replace(substr(text, greatest(spot - 50, 0) + 1, spot + length(found) + 70 - greatest(spot - 50, 0)), '\\s+', ' ', 'g')) AS snippet FROM p)
+"""
+
+
+@query(f"""
+WITH {_LOCATED} SELECT s.doc_id, 1 AS tier, (length(d.source) + spot)::BIGINT AS position, snippet FROM s JOIN documents d USING (doc_id)
+""")
 def search_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best tier, place and snippet of each hit, mapped from normalized to source text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", normalize_search_text(F.col("text")).alias("rest"))
     hits = search.search(docs, "que la", ["rest"])
-    return search.located(hits, ["source", "text"], F.lit("que la")).select("doc_id", "score", "tier", "position", "snippet")
+    return search.located(hits, ["source", "text"], F.lit("que la")).select("doc_id", "tier", "position", "snippet")
 
 
-@query()
+@query(f"WITH {_LOCATED} SELECT doc_id, spot::BIGINT AS position, snippet FROM s")
+def search_index_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the index, by the chunks around each match."""
+    index = documents_index(spark, sf_dir)
+    return index.located(index.search("que la"), "que la").select(F.col("file").alias("doc_id"), "position", "snippet")
+
+
+@query(f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS n, 0 AS src_start, CASE WHEN instr(substr(text, 512), chr(10)) = 0 THEN length(text) ELSE 511 + instr(substr(text, 512), chr(10)) END AS src_end FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, n + 1, src_end, CASE WHEN instr(substr(text, src_end + 512), chr(10)) = 0 THEN length(text) ELSE src_end + 511 + instr(substr(text, src_end + 512), chr(10)) END FROM c WHERE src_end < length(text)
+),
+k AS (SELECT doc_id, n, src_start, substr(text, src_start + 1, src_end - src_start) AS chunk FROM c), o AS (SELECT *, strlen({_NORM.format("chunk")}) AS b FROM k),
+t AS (SELECT *, coalesce(sum(CASE WHEN b > 0 THEN b + 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM o)
+SELECT doc_id, src_start::BIGINT AS src_start, (CASE WHEN taken = 0 THEN 0 WHEN b > 0 THEN taken ELSE taken - 1 END)::BIGINT AS norm_start, chunk FROM t
+""")
 def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in chunks that end after a line, with their places in the source and in the normalized text."""
-    return search.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 512)
+    return search.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text", 512).select("doc_id", "src_start", "norm_start", "chunk")
+
+
+#: Documents as first listed, and as listed later: some have gone, some changed, some are new.
+_LISTED = f"""
+a AS (SELECT doc_id, (doc_id % 7)::VARCHAR AS fp, {_NORM.format("text")} AS rest FROM documents WHERE doc_id % 5 <> 0),
+b AS (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE doc_id % 7 END)::VARCHAR AS fp, {_NORM.format("text || ' more'")} AS rest FROM documents WHERE doc_id % 11 <> 0)
+"""
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file")
+    own = F.col("file") % 7
+    first, later = docs.where("file % 5 != 0").withColumn("fp", own), docs.where("file % 11 != 0").withColumn("fp", F.when(F.col("file") % 3 == 0, own + 1).otherwise(own)).withColumn("text", F.concat("text", F.lit(" more")))
+    shown = lambda df: df.select("file", F.col("fp").cast("string").alias("fingerprint"))
+    load = lambda df: lambda some: df.join(some, "file", "left_semi").select("file", F.lit("").alias("user_text"), F.col("text").alias("rest_text"))
+    return [(shown(df), load(df)) for df in (first, later)]
+
+
+@query(f"""
+WITH {_LISTED} SELECT b.doc_id, b.fp AS fingerprint, strlen(CASE WHEN a.fp = b.fp THEN a.rest ELSE b.rest END)::BIGINT AS n_bytes FROM b LEFT JOIN a USING (doc_id)
+""")
+def search_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built and then refreshed: vanished documents are gone, new and changed ones anew, the rest untouched."""
+    index = SearchIndex(spark, f"{shared_folder(spark)}/tracemill-index/refresh-{uuid.uuid4().hex}", buckets=8, chunk=4096)
+    for listed, load in _listings(spark, sf_dir):
+        index.refresh(listed, load)
+    return index.docs().select(F.col("file").alias("doc_id"), "fingerprint", F.octet_length("rest").cast("long").alias("n_bytes"))
 
 
 @query(f"""

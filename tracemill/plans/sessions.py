@@ -140,22 +140,6 @@ def distinct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("user_id", "event_type", "k", "event_id")
 
 
-@query("""
-WITH stored AS (SELECT doc_id, doc_id % 7 AS fp, length(text) AS n FROM documents WHERE doc_id % 5 <> 0),
-listed AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE doc_id % 7 END AS fp, length(text) + 1 AS n FROM documents WHERE doc_id % 11 <> 0)
-SELECT l.doc_id, l.fp, CASE WHEN s.fp = l.fp THEN s.n ELSE l.n END::BIGINT AS n FROM listed l LEFT JOIN stored s USING (doc_id)
-""")
-def search_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index after a refresh."""
-    from tracemill.operators.search import refreshed
-
-    docs = table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 5 != 0").select("doc_id", (F.col("doc_id") % 7).alias("fp"), F.length("text").cast("long").alias("n"))
-    fp = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 + 1).otherwise(F.col("doc_id") % 7)
-    new = docs.where("doc_id % 11 != 0").select("doc_id", fp.alias("fp"), (F.length("text") + 1).cast("long").alias("n"))
-    return refreshed(old, new, "doc_id", "fp")
-
-
 @query("""
 WITH i AS (SELECT doc_id, doc_id % 7 AS fp FROM documents WHERE doc_id % 5 <> 0),
 l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE doc_id % 7 END AS fp FROM documents WHERE doc_id % 11 <> 0),

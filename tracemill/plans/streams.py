@@ -1,22 +1,19 @@
 """Queries that run as streams over all that is there, and return the tables that they leave."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.checkpoints import shared_folder
 from tracemill.plans.registry import ORACLE_SQL, query
 from tracemill.streaming.capture import changes
 from tracemill.streaming.summary import run_available, running_tallies
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; in local mode, a temporary one."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{given.rstrip('/')}/{uuid.uuid4().hex}" if given else tempfile.mkdtemp(prefix="tracemill-stream-")
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
