@@ -199,6 +199,69 @@ def test_private_spans(spark):
     assert pii.private_spans(_docs(spark, texts).limit(0)).isEmpty()
 
 
+def _accepted(edges):
+    """The rounds of ``confident_patterns`` by plain loops; edges: (value, kind or None, pattern)."""
+    kind, beside = {}, {}
+    for value, k, pattern in edges:
+        beside.setdefault(pattern, set()).add(value)
+        if k and (value, pattern) not in kind or k and k < kind[value, pattern]:
+            kind[value, pattern] = k
+    beside = {p: v for p, v in beside.items() if len(v) >= pii.SUPPORT}
+    accepted = {}
+    while True:
+        chance = {}
+        for p, (k, c) in accepted.items():
+            for v in beside[p]:
+                chance.setdefault(v, {}).setdefault(k, []).append(min(c, 1.0))
+        guess = {}
+        for v, kinds in chance.items():
+            guess[v] = max((1 - math.exp(sum(math.log(1.0001 - c) for c in cs)), k) for k, cs in kinds.items())
+        fresh = {}
+        for p, values in beside.items():
+            support, known = Counter(), 0
+            for v in values:
+                if (v, p) in kind:
+                    support[kind[v, p]] += 1
+                elif v in guess:
+                    support[guess[v][1]] += guess[v][0]
+                else:
+                    continue
+                known += 1
+            whole = sum(support.values()) + pii.UNKNOWN * (len(values) - known)
+            for k, n in support.items():
+                if p not in accepted and n >= pii.SUPPORT and n / whole >= pii.CONFIDENCE:
+                    fresh[p] = (k, n / whole)
+        if not fresh:
+            return accepted
+        accepted |= fresh
+
+
+def test_rounds_against_plain_loops(spark):
+    rng = random.Random(16)
+    rows = []
+    for n in range(400):
+        near = rng.choice(["mail", "call", "id", "see"])
+        known = rng.random() < {"mail": 0.95, "call": 0.6, "id": 0.05, "see": 0.3}[near]
+        kind = ("email" if near != "call" else "phone") if known else "other"
+        patterns = [near, f"{rng.choice(['my', 'to'])} {near}"]
+        rows.append((f"v{rng.randrange(220)}{kind[0]}", kind, patterns))
+    # a chain: each link's values are half known only after the one before is accepted
+    rows += [(f"c{i}", "email", ["first"]) for i in range(8)] + [(f"x{i}", "other", ["first", "second"]) for i in range(6)] + [(f"y{i}", "other", ["second", "third"]) for i in range(6)] + [(f"z{i}", "other", ["third"]) for i in range(6)]
+    want = _accepted([(v, None if k == "other" else k, p) for v, k, ps in rows for p in ps])
+    shape = "array<struct<kind:string,value:string,patterns:array<string>>>"
+    df = spark.createDataFrame([([(k, v, ps)] if k != "other" else [], [(k, v, ps)] if k == "other" else []) for v, k, ps in rows], f"spans {shape}, others {shape}")
+    got = {r.pattern: (r.kind, r.confidence) for r in pii.confident_patterns(df).collect()}
+    assert {p: k for p, (k, _) in got.items()} == {p: k for p, (k, _) in want.items()} and "second" in got
+    assert all(got[p][1] == pytest.approx(want[p][1]) for p in want)
+
+
+def test_context_has_no_reach(spark):
+    far = "phone:" + " " * 5000
+    df = _docs(spark, [f"Reach {n} under {far}+1 (377) 555-02{n:02d} or so" for n in range(20)] + [f"Again under {far}555-0271x or so", f"{'w' * 4000}: under {far}555-0272x"])
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got[20] == f"Again under {far}[PHONE] or so" and got[21].endswith(f"under {far}[PHONE]")
+
+
 def test_contexts_find_the_unseen(spark):
     seeds = [f"Reach {n} under phone: +1 (377) 555-02{n:02d} or so" for n in range(20)]
     unseen, clean = ["Again under phone: 555-0271x or so"], ["Nothing 12345678 to see", "phone call at noon"]

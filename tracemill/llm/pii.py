@@ -2,8 +2,9 @@
 
 Regular expressions find seed entities. The words before a seed are lexical patterns that it induces; patterns and the
 values found beside them form a graph. Rounds of joins score it: a pattern by the share of its values that are known
-entities of a kind, unknown ones counting little, a value by the patterns that it stands beside. Patterns of high confidence then name identifiers
-that no expression knows.
+entities of a kind, unknown ones counting little, a value by the accepted patterns that it stands beside. A pattern of high
+confidence is accepted and stays so; the rounds end when one accepts no more. Accepted patterns then name identifiers that
+no expression knows.
 """
 
 from pyspark.sql import DataFrame
@@ -14,9 +15,9 @@ from tracemill.llm.store import dropped, stored
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: A pattern needs so many known values, and such a share of a kind, to name new ones; a value yet unknown counts as
 #: so much of one of another kind, so that a context of countless strangers names none.
-SUPPORT, CONFIDENCE, ROUNDS, UNKNOWN = 5, 0.8, 3, 0.1
-#: Characters before a value that are looked at for its context.
-REACH = 48
+SUPPORT, CONFIDENCE, UNKNOWN = 5, 0.8, 0.1
+#: A pattern has at most so many pieces.
+PIECES = 3
 
 # Expressions that a value is found by, a cheap test that all texts with one pass, and what a value must fulfil. A
 # start is only tried where a run of its characters begins, or where the last match ended, which loses no match.
@@ -52,26 +53,27 @@ def _quoted(pattern: str) -> str:
 
 
 def _spans(kind: str) -> str:
-    """array<struct<kind, start, end, value>> of a kind's matches in _t that fulfil its condition; code points, end exclusive.
+    """array<struct<kind, start, end, value, before>> of a kind's matches in _t that fulfil its condition; code points, end exclusive.
 
-    Places follow from the lengths of the matches and of the texts between them.
+    Places follow from the lengths of the matches and of the texts between them. before: the pieces that stand before a
+    match, PIECES at most; a match, and what lies between matches, is cut into pieces by itself.
     """
     pattern, test, fine = _FOUND[kind]
+    pieces = f"(p -> case when size(p) > {PIECES} then slice(p, -{PIECES}, {PIECES}) else p end)"
+    last = lambda text: f"transform(array(filter(split({text}, '[\\\\s]+'), w -> w != '')), {pieces[1:-1]})[0]"
     walk = f"""aggregate(
-        zip_with(split(_t, {_quoted(pattern)}, -1), regexp_extract_all(_t, {_quoted(pattern)}, 0), (gap, v) -> named_struct('gap', length(gap), 'v', v)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)),
-        (a, x) -> named_struct('at', a.at + x.gap + coalesce(length(x.v), 0),
-            'out', case when x.v is null then a.out else concat(a.out, array(named_struct('kind', '{kind}', 'start', a.at + x.gap, 'end', a.at + x.gap + length(x.v), 'value', x.v))) end),
+        zip_with(split(_t, {_quoted(pattern)}, -1), regexp_extract_all(_t, {_quoted(pattern)}, 0), (gap, v) -> named_struct('gap', length(gap), 'v', v, 'near', {last('gap')}, 'own', {last("coalesce(v, '')")})),
+        named_struct('at', 0, 'tail', cast(array() as array<string>), 'out', cast(array() as array<struct<kind:string,start:int,end:int,value:string,before:array<string>>>)),
+        (a, x) -> named_struct('at', a.at + x.gap + coalesce(length(x.v), 0), 'tail', transform(array(concat(a.tail, x.near, x.own)), {pieces[1:-1]})[0],
+            'out', case when x.v is null then a.out else concat(a.out, array(named_struct('kind', '{kind}', 'start', a.at + x.gap, 'end', a.at + x.gap + length(x.v), 'value', x.v, 'before', transform(array(concat(a.tail, x.near)), {pieces[1:-1]})[0]))) end),
         a -> a.out)"""
     fine = fine.replace("(v,", "(s.value,").replace("(v)", "(s.value)").replace("v rlike", "s.value rlike")
     return f"case when {test} then filter({walk}, s -> {fine}) else array() end"
 
 
 def _context() -> str:
-    """Up to three patterns of a value at s.start: the last one, two and three pieces before it, digits as 0."""
-    before = f"lower(regexp_replace(regexp_replace(substring(_t, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH})), '[0-9]', '0'), '[\\\\s]+', ' '))"
-    pieces = f"filter(split(trim({before}), ' '), p -> p != '')"
-    return f"transform(filter(sequence(1, 3), n -> size({pieces}) >= n), n -> concat_ws(' ', slice({pieces}, -n, n)))"
+    """A value's patterns: the last one, two and three pieces before it, lower-cased, digits as 0."""
+    return f"transform(filter(sequence(1, {PIECES}), n -> size(s.before) >= n), n -> regexp_replace(lower(concat_ws(' ', slice(s.before, -n, n))), '[0-9]', '0'))"
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -90,33 +92,39 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def confident_patterns(seen: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of the graph of ``found``'s values and patterns, after ``ROUNDS`` rounds.
+    """(pattern, kind, confidence) of the accepted patterns in the graph of ``found``'s values and patterns.
 
     A value is one node however often it occurs. Seeds are believed with 1, other values with the chance that
-    not all patterns beside them err; a pattern's confidence in a kind is the belief in it among its values' beliefs,
-    ``UNKNOWN`` being that in other kinds of values with none.
+    not all accepted patterns beside them err; a pattern's confidence in a kind is the belief in it among its values'
+    beliefs, ``UNKNOWN`` being that in other kinds of values with none. Accepted patterns keep their kind and confidence of
+    the round that accepted them, so their number only grows, and the rounds end.
     """
     values = seen.select(F.explode(F.concat("spans", "others")).alias("s")).select(F.col("s.value").alias("value"), F.when(F.col("s.kind") != "other", F.col("s.kind")).alias("kind"), F.explode("s.patterns").alias("pattern"))
     edges = stored(values.groupBy("value", "pattern").agg(F.min("kind").alias("kind")), "pii_edges")
     size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    edges_kept = stored(edges.join(size, "pattern"), "pii_graph")
+    graph = stored(edges.join(size, "pattern"), "pii_graph")
     dropped(edges)
-    belief, last = None, None
-    for _ in range(ROUNDS):
-        held = edges_kept.withColumn("belief", F.when(F.col("kind").isNotNull(), 1.0))
-        if belief is not None:
-            own = belief.select("value", F.col("kind").alias("guess"), F.col("belief").alias("chance"))
-            held = held.join(own, "value", "left").withColumn("belief", F.coalesce("belief", "chance")).withColumn("kind", F.coalesce("kind", "guess"))
+    accepted = None
+    while True:
+        held = graph.withColumn("belief", F.when(F.col("kind").isNotNull(), 1.0))
+        if accepted is not None:
+            chance = graph.where("kind is null").drop("kind").join(accepted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.least("confidence", F.lit(1.0)))))).alias("chance"))
+            guess = chance.groupBy("value").agg(F.max(F.struct("chance", "kind")).alias("b")).select("value", "b.chance", F.col("b.kind").alias("guess"))
+            held = held.join(guess, "value", "left").withColumn("belief", F.coalesce("belief", "chance")).withColumn("kind", F.coalesce("kind", "guess"))
         by_kind = held.where("belief is not null").groupBy("pattern", "kind").agg(F.sum("belief").alias("support"), F.count("*").alias("known"), F.max("n").alias("n"))
         whole = by_kind.groupBy("pattern").agg((F.sum("support") + UNKNOWN * (F.max("n") - F.sum("known"))).alias("whole"))
         scores = by_kind.join(whole, "pattern").select("pattern", "kind", (F.col("support") / F.col("whole")).alias("confidence"), "support")
-        scores = stored(scores.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)), "pii_patterns")
-        chance = edges_kept.where("kind is null").drop("kind").join(scores, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.least("confidence", F.lit(1.0)))))).alias("belief"))
-        best = chance.groupBy("value").agg(F.max(F.struct("belief", "kind")).alias("b"))
-        new = stored(best.select("value", "b.kind", "b.belief"), "pii_values")
-        dropped(*(x for x in (belief, last) if x is not None))
-        belief, last = new, scores
-    return last.select("pattern", "kind", "confidence")
+        fresh = scores.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).drop("support")
+        if accepted is not None:
+            fresh = fresh.join(accepted, "pattern", "left_anti")
+        fresh = stored(fresh, "pii_patterns")
+        if fresh.isEmpty():
+            dropped(graph, *([] if accepted is None else [fresh]))
+            return fresh if accepted is None else accepted
+        new = fresh if accepted is None else stored(accepted.unionByName(fresh), "pii_patterns")
+        if accepted is not None:
+            dropped(accepted, fresh)
+        accepted = new
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
