@@ -293,7 +293,12 @@ def consecutive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.consecutive_dedup(log(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {LOG}, o AS (SELECT user_id, event_id, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM log),
+r AS (SELECT user_id, n, event_id, k, [k] AS kept, true AS fresh FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.n, o.event_id, o.k, CASE WHEN list_contains(r.kept, o.k) THEN r.kept ELSE (r.kept || [o.k])[-8:] END, NOT list_contains(r.kept, o.k) FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT event_id, user_id, k FROM r WHERE fresh
+""")
 def last8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose number is not among the last eight kept ones of the user."""
     return windows.last_kept(log(spark, sf_dir).select("event_id", "user_id", "k"), ["user_id"], ["event_id"], "k")
