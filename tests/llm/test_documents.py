@@ -288,7 +288,32 @@ def test_contexts_find_other_shapes(spark):
 def test_licences(spark):
     rng = random.Random(7)
     lines_ = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit": "This tool: Released under the MIT License.", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0."}
-    texts = _prose(rng, 40) + [f"{_prose(rng, 1)[0]}\n{x}" for x in lines_.values()] + ["a\nLicensed under the house license of Acme.", None, "", "mit\nMIT License released", "\n".join([lines_["mit"], lines_["gpl-3.0"], lines_["mit"]])]
-    got = {r.doc_id: (r.n_paragraphs, r.families) for r in licences.scan(_docs(spark, texts)).collect()}
+    texts = _prose(rng, 40) + [f"{_prose(rng, 1)[0]}\n{x}" for x in lines_.values()] + ["a\nLicensed under the house license of Acme.", None, "", "\n".join([lines_["mit"], lines_["gpl-3.0"], lines_["mit"]])]
+    wrapped = ["the wind and the river stone\nThis work is licensed under the GNU General\nPublic License, version 3. And light.", "of the sea " * 30 + "released under the MIT License and the wind " + "of stone " * 30]
+    siblings = {"This work is licensed under the GNU General Public License, version 2.": "gpl-2.0", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0", "Released under the BSD 2-Clause License.": "bsd-2-clause", "This work is licensed under the GNU General Public License, version 9.": ""}
+    both = [texts[41], texts[41]]
+    got = {}
+    rows = texts + wrapped + list(siblings) + ["light wind " * 40000 + lines_["mit"]]
+    df = _docs(spark, rows).withColumnsRenamed({"kept": "family", "lang": "words", "own": "features"})
+    df = df.union(spark.createDataFrame([(900, both[0], "", "", ""), (900, both[1], "", "", "")], df.schema))
+    for r in licences.scan(df).collect():
+        assert got.setdefault(r.doc_id, (r.n_paragraphs, r.families)) == (r.n_paragraphs, r.families)
     assert all(got[i] == (0, "") for i in range(40)) and [got[40 + i] for i in range(4)] == [(1, f) for f in lines_]
-    assert got[44] == got[45] == got[46] == (0, "") and got[48] == (3, "gpl-3.0,mit")
+    assert got[44] == got[45] == got[46] == (0, "") and got[47] == (3, "gpl-3.0,mit")
+    assert got[48] == (1, "gpl-3.0") and got[49] == (1, "mit")
+    assert [got[50 + i][1] for i in range(4)] == list(siblings.values()) and got[54] == (1, "mit") and got[900] == got[41]
+    assert licences.scan(df.limit(0)).isEmpty()
+
+
+def test_licences_held_out(spark):
+    """Notices in words that no training row has, amid prose of other words: families found, and none in plain prose."""
+    rng = random.Random(17)
+    prose = lambda n: " ".join(rng.choices(["the", "of", "Sea", "wind", "river", "stone", "and", "light", "under", "work", "public", "version"], k=n))
+    texts, want = [], []
+    for family, names in licences.NAMES.items():
+        texts.append(f"{prose(40)}. The code in here may be used under {names[0]} by all. {prose(30)}.")
+        want.append(family)
+    texts += [prose(120) + "." for _ in range(60)]
+    want += [""] * 60
+    got = {r.doc_id: r.families for r in licences.scan(_docs(spark, texts)).collect()}
+    assert sum(got[i] == w for i, w in enumerate(want[: len(licences.NAMES)])) >= 0.9 * len(licences.NAMES) and all(got[i] == "" for i in range(len(licences.NAMES), len(texts)))
