@@ -116,6 +116,54 @@ def test_rules_tell_junk(spark):
     assert rules.quality_rules(docs.limit(0), labels).isEmpty() and {r.llr for r in rules.quality_rules(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def _ratios(texts, trusted):
+    """The log-likelihood ratio of each text by plain counts of hashed n-grams."""
+    import regex
+    import xxhash
+
+    def grams(t):
+        words = regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+", t or "")
+        one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        two = [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, words[1:], strict=False)]
+        return [(h - (1 << 64) * (h >> 63)) % rules.BUCKETS for h in one + two]
+
+    every = [grams(t) for t in texts]
+    corpus, target = Counter(g for x in every for g in x), Counter(g for i, x in enumerate(every) if i in trusted for g in x)
+    n, m = sum(corpus.values()), sum(target.values())
+    weight = lambda g: math.log((target[g] + 0.5) / (m + 0.5 * rules.BUCKETS)) - math.log((corpus[g] + 0.5) / (n + 0.5 * rules.BUCKETS))
+    return [sum(map(weight, x)) / len(x) if x and m else 0.0 for x in every]
+
+
+def test_ratio_against_plain_counts(spark):
+    rng = random.Random(18)
+    texts = _prose(rng, 40) + _junk(rng, 20) + ["déjà vu 日本 — x1", "a", None, "", "same same"] + ["word, " * 3000]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(50)] + [(None, 1), (1, 1), (10_000, 1)], "doc_id long, quality int")
+    want = _ratios(texts, {i for i in range(50) if i % 3 > 0})
+    got = {r.doc_id: r for r in rules.quality_rules(_docs(spark, texts).withColumn("llr", F.lit("clash")), labels).collect()}
+    assert [got[i].llr for i in range(len(texts))] == pytest.approx(want)
+    assert all(got[i].kept == (not got[i].base_failed and want[i] >= rules.THRESHOLD) for i in range(len(texts)))
+
+
+def test_classifier_on_labelled_prose(spark):
+    """Held-out documents that differ in the order of their words only: the pooled products of neighbours tell them."""
+    rng = random.Random(19)
+    nouns, verbs = [f"noun{i}" for i in range(30)], [f"verb{i}" for i in range(30)]
+    good = [" ".join(x for _ in range(60) for x in (rng.choice(nouns), rng.choice(verbs))) for _ in range(250)]
+    mixed = [t.split() for t in good]
+    for words in mixed:
+        rng.shuffle(words)
+    texts = [x for pair in zip(good, map(" ".join, mixed), strict=True) for x in pair]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(500)], "doc_id long, quality int")
+    docs = _docs(spark, texts).withColumnsRenamed({"kept": "features", "lang": "score"})
+    docs = docs.union(docs.where("doc_id < 3"))
+    rows = quality_net.score(docs, labels).collect()
+    got = {}
+    for r in rows:
+        assert got.setdefault(r.doc_id, r.score) == pytest.approx(r.score)
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(rows) == 503 and sum((got[i] >= 0.5) == (i % 2 == 0) for i in held) >= 0.9 * len(held)
+
+
 def test_classifier(spark):
     rng = random.Random(4)
     good, bad = _prose(rng, 150), _junk(rng, 150)
@@ -130,7 +178,7 @@ def test_classifier(spark):
 
 def test_language_model(spark):
     rng = random.Random(5)
-    texts = _prose(rng, 200) + [t for t in ODD if not t or len(t) < 50000] + ["Unseen words only", "the of"]
+    texts = _prose(rng, 200) + ODD + ["Unseen words only", "the of"]
     count, read = Counter(), [(t or "").translate(LOWER) for t in texts]
     tokens = [re.findall("[^\\x20\\x09-\\x0D]+", t) + [None] for t in read]
     for i, t in enumerate(tokens):
@@ -149,13 +197,46 @@ def test_language_model(spark):
     assert interp.score(_docs(spark, texts).limit(0)).isEmpty()
 
 
-def test_mixture_is_a_distribution(spark):
-    """Summed over every word and the end, and an unseen word's share, the probabilities after a context are one."""
-    texts = [f"a {x} b" for x in "bcdab" * 30]
-    words = ["a", "b", "c", "d"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, w) for w in ["", *words, "zzz"]]
-    got = interp.score(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").collect()
-    assert len(got) == 6 and all(r.score <= 0 for r in got)
+def _interpolated(tokens, folds):
+    """The model by plain counts: (score of each text, probability of a word after a context)."""
+    import numpy as np
+
+    kept, held = (Counter(), Counter()), (Counter(), Counter())
+    pairs = lambda t: list(zip([None, *t[:-1]], t, strict=True))
+    for t, fold in zip(tokens, folds, strict=True):
+        if fold:
+            words, two = held if fold == 1 else kept
+            words.update(t)
+            two.update(pairs(t))
+    cells, n = Counter(), sum(kept[0].values())
+    for t, fold in zip(tokens, folds, strict=True):
+        if fold == 1:
+            for c, w in pairs(t):
+                context, p, q = kept[0][c], kept[1][c, w] / max(kept[0][c], 1), kept[0][w] / max(n, 1)
+                cells[int(interp._bucket(np.array([context]))[0]), int(interp._level(np.array([p]))[0]), int(interp._level(np.array([q]))[0])] += 1
+    mix = interp.learn(np.array([(*k, v) for k, v in cells.items()], dtype=np.int64).reshape(-1, 4), 1 / (len(kept[0]) + 1))
+    words, two = kept[0] + held[0], kept[1] + held[1]
+    total, types = sum(words.values()), len(words)
+
+    def chance(c, w):
+        a, b, d = mix[int(interp._bucket(np.array([words[c]]))[0])]
+        p = a * two[c, w] / max(words[c], 1) + b * words[w] / max(total, 1) + d / (types + 1)
+        return p / (1 - a * (words[c] == 0) - b * (total == 0))
+
+    return [sum(math.log10(chance(c, w)) for c, w in pairs(t)) for t in tokens], chance, words
+
+
+def test_language_model_against_plain_counts(spark):
+    rng = random.Random(20)
+    words = [f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(4000)]
+    texts = [" ".join(words[i : i + rng.randint(0, 60)]) for i in range(0, 4000, 40)] + [None, "", "never seen", "W1 w2\tw3", "long " * 30000]
+    tokens = [re.findall("[^\\x20\\x09-\\x0D]+", (t or "").translate(LOWER)) + [None] for t in texts]
+    folds = [min(zlib.crc32(str(i).encode()) % 10, 2) for i in range(len(texts))]
+    want, chance, known = _interpolated(tokens, folds)
+    got = {r.doc_id: r.score for r in interp.score(_docs(spark, texts), block_bytes=4000).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+    for context in (None, "w1", "w3", "never"):  # every known word, and one share for all unknown ones
+        assert sum(chance(context, w) for w in known) + chance(context, "none such") == pytest.approx(1)
 
 
 def test_lm_weights():

@@ -89,8 +89,9 @@ def _windows(words: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(row, twin, pos, words): the words of each paragraph that has any; row and twin hash doc_id and text, pos numbers sentences."""
     text = F.col("text").cast("string")
-    rows = docs.where(text.isNotNull()).select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("twin"), F.posexplode(F.transform(F.split(text, CUT, -1), _words)).alias("pos", "all"))
-    return rows.where("size(all) > 0").select("row", "twin", "pos", F.explode(_windows(F.col("all"))).alias("words"))
+    # explode would first filter on the array's size, and so make the array twice
+    rows = docs.where(text.isNotNull()).select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("twin"), F.posexplode_outer(F.transform(F.split(text, CUT, -1), _words)).alias("pos", "all"))
+    return rows.where("size(all) > 0").select("row", "twin", "pos", F.explode_outer(_windows(F.col("all"))).alias("words"))
 
 
 def _pairs(words: str) -> str:
@@ -168,8 +169,10 @@ def classify(found: DataFrame, docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     families, model, temperature = fit(spark, docs)
     keep = found.columns
-    scored = model.transform(_features(found)).select(*keep, F.transform(vector_to_array("rawPrediction"), lambda x: x / temperature).alias("_z"))
-    # stored, as a filter on what follows would else be pushed below the model and repeat it; most paragraphs end here
+    # the condition is always true; it holds the filter above the model, which it would else repeat
+    logits = F.when(F.monotonically_increasing_id() >= 0, F.transform(vector_to_array("rawPrediction"), lambda x: x / temperature))
+    scored = model.transform(_features(found)).select(*keep, logits.alias("_z"))
+    # stored, as what follows reads it several times; most paragraphs end here
     some = stored(scored.where(F.element_at("_z", -1) < F.array_max("_z")), "licence_paragraphs")
     some = some.withColumn("_e", F.expr("transform(_z, x -> exp(x - array_max(_z)))")).withColumn("_p", F.expr("transform(_e, x -> x / aggregate(_e, 0D, (a, y) -> a + y))"))
     some = some.withColumn("probability", F.array_max("_p")).withColumn("_guess", F.get(F.lit(families), F.array_position("_p", F.col("probability")).cast("int") - 1))
