@@ -131,6 +131,14 @@ def test_numbered_is_a_total_order(spark):
     assert [r.i for r in sorted(got, key=lambda r: r.n)] == [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] and sorted(r.n for r in got) == list(range(1, 2001))
 
 
+def test_numbers_within_large_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("aaaaab"), i, "x" * (i % 7)) for i in rng.sample(range(3000), 3000)]
+    got = windows.numbered_within(spark.createDataFrame(rows, "g string, i int, t string").repartition(7), ["g"], ["i"], "n").collect()
+    for g in "ab":
+        assert [r.i for r in sorted((r for r in got if r.g == g), key=lambda r: r.n)] == sorted(i for x, i, _ in rows if x == g) and {r.n for r in got if r.g == g} == set(range(sum(x == g for x, *_ in rows)))
+
+
 def test_joins_of_small_tables(spark):
     sql = lambda q: spark.sql(q)
     sessions = sql("SELECT 'a' AS agent, '' AS parent, '1' AS id, 'live' AS title UNION ALL SELECT 'a', 'p', '2', NULL")

@@ -127,6 +127,32 @@ def test_replace_by_key(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "B"), (3, "c")]
 
 
+def test_keyed_table(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, v string").schema
+    opened = lambda: store.KeyedTable(spark, f"file://{tmp_path}/keyed", "k", schema, buckets=4)
+    want = {}
+    for n in range(3):
+        rows = {i: f"{n}.{i}" for i in range(n * 5, n * 5 + 12)}
+        opened().upsert(spark.createDataFrame(list(rows.items()), schema))
+        want |= rows
+        assert {r.k: r.v for r in opened().read().collect()} == want and opened().read().count() == len(want)
+    opened().upsert(spark.createDataFrame([], schema))
+    assert opened().version == 3 and opened().read().count() == len(want)
+
+
+def test_late_copies_count_once(spark, tmp_path):
+    from tracemill.streaming import summary
+
+    rows = [(i, i % 3, "view" if i % 2 else "click", f"2025-01-01 00:00:{i:02d}") for i in range(40)]
+    for n, part in enumerate((rows[:25], rows[10:], rows[30:])):
+        spark.createDataFrame(part, "event_id int, user int, kind string, t string").selectExpr("*", "cast(t as timestamp) AS ts").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema("event_id int, user int, kind string, t string, ts timestamp").parquet(f"file://{tmp_path}/in")
+        counted = summary.running_tallies(stream, ["user"], "kind", ["view"], "event_id", "ts")
+        got = summary.run_available(counted, f"file://{tmp_path}/table", f"file://{tmp_path}/at", "user").collect()
+        seen = {r[0]: r for r in (*rows[:25], *(rows if n else []))}.values()
+        assert {(r.user, r.n_all, r.n_view) for r in got} == {(u, sum(r[1] == u for r in seen), sum(r[1] == u and r[2] == "view" for r in seen)) for u in range(3)}
+
+
 def test_write_rollouts(spark, tmp_path):
     rows = spark.createDataFrame([("s", "2025-01-01", i, "t", "message", json.dumps({"n": i})) for i in range(3)], "session_key string, day string, line int, ts string, record_type string, p string")
     convert.write_rollouts(rows.select("session_key", "day", "line", "ts", "record_type", F.parse_json("p").alias("payload")), str(tmp_path / "out"))

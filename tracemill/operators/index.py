@@ -32,7 +32,7 @@ class SearchIndex:
         self.buckets = state["buckets"] if fine else buckets
         #: Folder of each bucket that has documents.
         self.folders: dict[int, str] = {int(b): f for b, f in state["folders"].items()} if fine else {}
-        self.kind = state.get("kind") if fine else None
+        self.kind, self.listing = (state.get("kind"), state.get("listing")) if fine else (None, None)
 
     def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         some = [f"{self.path}/{table}/{self.folders[b]}/bucket={b}" for b in sorted(self.folders) if buckets is None or b in buckets]
@@ -58,11 +58,16 @@ class SearchIndex:
         """
         kind = dict(listed.dtypes)["file"]
         if kind != self.kind:
-            self.kind, self.folders = kind, {}
+            self.kind, self.folders, self.listing = kind, {}, None
+        # a listing that is the last one has nothing new, and a few sums tell
+        listing = [str(x) for x in listed.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(i), "file", "fingerprint").cast("decimal(38,0)")) for i in range(2))).first()]
+        if listing == self.listing:
+            return False
         bucket = F.pmod(F.xxhash64("file"), F.lit(self.buckets)).cast("int")
         plan = self.status(listed).where("action != 'same'").withColumn("bucket", bucket).persist()
         try:
             touched = sorted(r[0] for r in plan.select("bucket").distinct().collect())
+            self.listing = listing
             if not touched:
                 return False
             folder = f"gen-{self.generation + 1}"
@@ -95,7 +100,7 @@ class SearchIndex:
         old = {b: self.folders[b] for b in touched if b in self.folders}
         self.folders = {b: f for b, f in self.folders.items() if b not in touched} | dict.fromkeys(left, folder)
         self.generation += 1
-        write_manifest(self.spark, self.path, self.generation, json.dumps({"version": VERSION, "chunk": self.chunk, "buckets": self.buckets, "kind": self.kind, "folders": self.folders}))
+        write_manifest(self.spark, self.path, self.generation, json.dumps({"version": VERSION, "chunk": self.chunk, "buckets": self.buckets, "kind": self.kind, "listing": self.listing, "folders": self.folders}))
         delete(self.spark, *(f"{self.path}/{t}/{f}/bucket={b}" for b, f in old.items() for t in ("docs", "chunks")), f"{self.path}/manifest-{self.generation - 1}")
 
     def search(self, query: str, titles: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.checkpoints import with_checkpoints
+
 
 def _over(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -93,8 +95,10 @@ def run_groups(df: DataFrame, by: list[str], order: list[str], kind: str, alone:
 
 
 def keep_earliest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group of equal ``by``."""
-    return df.withColumn("_n", F.row_number().over(_over(by, order))).where("_n = 1").drop("_n")
+    """The first row of each group of equal ``by``; long texts in ``by`` are grouped by a hash of 128 bits, and rows tied in ``order`` by all columns."""
+    hashes = [F.xxhash64(*by).alias("_h"), F.xxhash64(F.lit(1), *by).alias("_g")]
+    first = F.min_by(F.struct(*df.columns), F.struct(*order, *(c for c in df.columns if c not in order and c not in by)))
+    return df.groupBy(*hashes).agg(first.alias("_row")).select("_row.*")
 
 
 def occurrences(df: DataFrame, by: list[str], order: list[str], name: str = "occurrence") -> DataFrame:
@@ -102,6 +106,22 @@ def occurrences(df: DataFrame, by: list[str], order: list[str], name: str = "occ
     return df.withColumn(name, F.row_number().over(_over(by, order)))
 
 
+def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the row's number, from 0, among those of equal ``by``, where a group may be too large for one task.
+
+    Keys alone are dealt by ranges and written once; a range numbers its own rows and adds what the ranges before it hold
+    of the group. The number then meets the row by its keys, which must tell rows apart.
+    """
+    with_checkpoints(df.sparkSession)
+    keys = [*by, *order]
+    dealt = df.select(*keys).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).checkpoint()
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1)
+    sizes = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = local.join(sizes.select("_part", *by, before.alias("_before")), ["_part", *by]).select(*keys, (F.col("_before") + F.col("_local")).alias(name))
+    return df.join(placed, keys)
+
+
 def beyond_mirrors(rows: DataFrame, mirrors: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows in excess of the number of mirrors with the same ``by``."""
     counts = mirrors.groupBy(*by).agg(F.count("*").alias("_mirrors"))

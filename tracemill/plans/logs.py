@@ -382,7 +382,7 @@ l AS (SELECT pair, side, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = windows.occurrences(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n").withColumn("n", F.col("n") - 1)
+    docs = windows.numbered_within(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n")
     pair = F.concat("source", F.lit("/"), F.floor(F.col("n") / 2).cast("string"))
     lines = lambda side: capture.lines_of(docs.where(F.col("n") % 2 == side).select(pair.alias("pair"), "text"), "pair", "text")
     return lines(0), lines(1)
@@ -429,7 +429,7 @@ SELECT pair, CASE WHEN c IS NULL THEN 'untracked' WHEN v IS NULL THEN 'deleted'
 """)
 def compare_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live texts against captured ones, some changed, some gone."""
-    docs = windows.occurrences(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n").withColumn("n", F.col("n") - 1)
+    docs = windows.numbered_within(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n")
     pair = F.concat("source", F.lit("/"), F.floor(F.col("n") / 2).cast("string"))
     side = lambda x, fine: F.max(F.when((F.col("n") % 2 == x) & fine, F.col("text")))
     rows = docs.groupBy(pair.alias("pair")).agg(side(0, F.length("text") % 4 != 0).alias("c"), side(1, F.length("text") % 5 != 0).alias("v"), side(0, F.lit(True)).alias("o"))
