@@ -112,7 +112,7 @@ class Words:
     collide, the pre-token is encoded by itself. encode: token ids of each of a list of pre-tokens.
     """
 
-    def __init__(self, encode, most: int = 400_000, characters: int = 8_000_000):
+    def __init__(self, encode, most: int = 250_000, characters: int = 4_000_000):
         self.encode, self.most, self.characters = encode, most, characters
         self._clear()
 
@@ -163,7 +163,7 @@ class Words:
         return ids[_gathered(begin, size)], np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begins, bounds)]
 
 
-def portions(texts: list[str], most: int = 1_000_000):
+def portions(texts: list[str], most: int = 400_000):
     """Texts in order, in lists of about ``most`` characters at most; a longer text stands alone."""
     part, size = [], 0
     for text in texts:

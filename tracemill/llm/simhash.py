@@ -29,6 +29,8 @@ BLOCK = 4096
 #: One in so many fingerprints is looked at for hot keys; the hottest so many are salted. Others may be hot and still
 #: give whole results: their blocks are then cut by one task.
 SAMPLED, HOT = 64, 10_000
+#: Keys take so many bits at most; a salt stands above them.
+KEY_BITS = 40
 _HEX = 16
 
 
@@ -194,7 +196,7 @@ def _as_batch(u: np.ndarray, v: np.ndarray, block: tuple | None = None) -> pa.Re
 
 
 def _meet(halves: int, width: int, columns: int, radius: int, walk):
-    """Over rows (key, salt, values) in order: what ``walk`` links of those that meet under a key, or blocks of the key.
+    """Over rows (key with salt, values) in order: what ``walk`` links of those that meet under a key, or blocks of the key.
 
     A key that is salted (its salt is above 0) or has more than ``BLOCK`` rows gives blocks, numbered within the key.
     """
@@ -237,16 +239,16 @@ def _meet(halves: int, width: int, columns: int, radius: int, walk):
         for batch in batches:
             if not len(batch):
                 continue
-            keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            prints = np.stack([batch.column(2 + i).to_numpy().view(np.uint64) for i in range(columns)], axis=1)
-            begins = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]))[0] + 1])
+            keys = batch.column(0).to_numpy()
+            prints = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(columns)], axis=1)
+            begins = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
             ends = np.append(begins[1:], len(keys))
             whole = np.ones(len(begins), dtype=bool)  # unsalted keys that lie within this batch
             whole[[0, -1]] = False
-            whole &= (salts[begins] == 0) & (ends - begins <= BLOCK)
+            whole &= (keys[begins] >> KEY_BITS == 0) & (ends - begins <= BLOCK)
             yield _as_batch(*small(prints, begins[whole], ends[whole]))
             for b, e in zip(begins[~whole], ends[~whole], strict=True):
-                own = (int(keys[b]), int(salts[b]))
+                own = (int(keys[b]) & ((1 << KEY_BITS) - 1), int(keys[b]) >> KEY_BITS)
                 if own != now:
                     if now is not None:
                         yield from closed()
@@ -260,7 +262,7 @@ def _meet(halves: int, width: int, columns: int, radius: int, walk):
 
 
 def _deal(own: list[str], width: int, keys, salts: dict[int, int] | None = None):
-    """Rows (key, salt, values) of values in hex digits, a row for each of their keys."""
+    """Rows (key with salt, values) of values in hex digits, a row for each of their keys."""
     hot = np.array(sorted(salts or {}), dtype=np.int64)
     shares = np.array([(salts or {})[k] for k in hot.tolist()], dtype=np.uint64)
 
@@ -272,21 +274,21 @@ def _deal(own: list[str], width: int, keys, salts: dict[int, int] | None = None)
                     part = [int(x, 16) for x in batch.column(c).slice(at, 2000).to_pylist()]
                     parts_ += [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(width)]
                 row, key = keys(parts_[0])
-                key, salt = key.view(np.int64), np.zeros(len(key), dtype=np.int64)
+                key = key.view(np.int64)
                 if len(hot):
                     place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                     found = np.nonzero(hot[place] == key)[0]
                     with np.errstate(over="ignore"):
                         mixed = sum(p * np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i, p in enumerate(parts_))[row[found]]
-                    salt[found] = ((mixed >> np.uint64(33)) % shares[place[found]]).astype(np.int64) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), *(pa.array(c[row].view(np.int64)) for c in parts_)], ["key", "salt", *(f"p{i}" for i in range(len(parts_)))])
+                    key[found] += (((mixed >> np.uint64(33)) % shares[place[found]]).astype(np.int64) + 1) << KEY_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row].view(np.int64)) for c in parts_)], ["key", *(f"p{i}" for i in range(len(parts_)))])
 
     return run
 
 
 def hot_keys(prints: DataFrame, own: list[str], width: int, keys) -> dict[int, int]:
     """How many salts each of the hottest keys gets: about one for every four blocks of values that a sample lets expect."""
-    schema = ", ".join(f"{c} long" for c in ("key", "salt", *(f"p{i}" for i in range(width * len(own)))))
+    schema = ", ".join(f"{c} long" for c in ("key", *(f"p{i}" for i in range(width * len(own)))))
     some = prints.where(F.pmod(F.xxhash64("fingerprint"), F.lit(SAMPLED)) == 0).mapInArrow(_deal(own, width, keys), schema)
     most = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > 4 * BLOCK).orderBy(F.desc("n"), "key").limit(HOT)
     return {r["key"]: -(-r["n"] * SAMPLED // (4 * BLOCK)) for r in most.collect()}
@@ -321,10 +323,9 @@ def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=fo
                     yield _as_batch(u, v)
 
     values = prints.select(*own).distinct()
-    dealt = values.mapInArrow(_deal(own, width, keys, hot_keys(values, own, width, keys)), ", ".join(f"{c} long" for c in ("key", "salt", *names)))
+    dealt = values.mapInArrow(_deal(own, width, keys, hot_keys(values, own, width, keys)), ", ".join(f"{c} long" for c in ("key", *names)))
     n = parts(prints.sparkSession)
-    order = ["key", "salt"]
-    met = stored(dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_meet(halves, width, columns, radius, walk), _edge_rows(width)), "met")
+    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, width, columns, radius, walk), _edge_rows(width)), "met")
     blocks = met.where("block is not null").select("key", "number", "block")
     numbers = blocks.select("key", "number")
     pairs = numbers.join(numbers.withColumnRenamed("number", "other"), "key").where("number <= other")
