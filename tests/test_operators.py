@@ -215,3 +215,17 @@ def test_chains_are_reconciled(spark):
     recorded = spark.createDataFrame([*links[:2], (2, 1, 5, "other")], "g int, link int, end long, head string")
     got = sorted((r.g, r.link, r.added) for r in capture.reconciled(recorded, actual, "g").collect())
     assert got == [(1, 1, False), (1, 2, False), (1, 3, True), (1, 4, True), (2, 1, False)]
+
+
+def test_binary_records():
+    from tracemill.operators import binary
+
+    assert binary.fields(bytes.fromhex("0a0161" + "100c" + "1d01020304")) == [(1, b"a"), (2, 12), (3, b"\x01\x02\x03\x04")]
+    assert binary.fields(b"\x0a\x05a") is None and binary.fields(b"\x0a") is None and binary.fields(b"\x07") is None and binary.fields(b"") == []
+    frame = lambda tag, data: bytes([tag, len(data)]) + data
+    many = b"".join(frame(0x0A, f"row {i}".encode()) for i in range(9))
+    record = frame(0x2A, frame(0x0A, b"asked") + frame(0x12, many + frame(0x12, frame(0x0A, "é ü".encode())) + frame(0x0A, b"\xff\xfe")))
+    import base64
+
+    assert binary.result_of(base64.b64encode(record).decode()) == "\n".join([*(f"row {i}" for i in range(9)), "é ü"])
+    assert binary.result_of(None) == binary.result_of("no base64!") == ""

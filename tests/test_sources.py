@@ -52,6 +52,17 @@ def test_tree_logs(spark, tree):
     assert found.user_text == "Please list the files" and found.rest_text.startswith("/workspace/example-project") and "ls" in found.rest_text
 
 
+def test_layouts_at_once(spark, tree, tmp_path):
+    from tracemill.sources import registry
+
+    def keep(df, name):
+        df.write.parquet(f"file://{tmp_path}/kept/{name}")
+        return spark.read.parquet(f"file://{tmp_path}/kept/{name}")
+
+    events, broken = registry.all_events(spark, {"tree": tree, "exports": str(tmp_path / "none"), "chats": tree}, keep)
+    assert sorted(broken) == ["exports"] and {r.origin for r in events.select("origin").distinct().collect()} == {"tree"}
+
+
 def test_rollout_logs(spark, tmp_path):
     name = "rollout-2025-01-01T00-00-00-01234567-89ab-cdef-0123-456789abcdef.jsonl"
     line = lambda kind, **payload: {"timestamp": "2025-01-01T00:00:00Z", "type": kind, "payload": payload}

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.checkpoints import with_checkpoints
-from tracemill.operators import capture, facets, joins, records, sets, tree, windows
+from tracemill.operators import binary, capture, facets, joins, records, sets, tree, windows
 from tracemill.plans.registry import LOG, log, query, table
 
 
@@ -280,3 +280,40 @@ def export_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n_records"))
     sessions = rows.withColumns({"id": F.col("conv_id").cast("string"), "model": F.when(F.col("conv_id") % 3 == 0, "gpt-x").otherwise("other"), "n_encrypted": F.when(F.col("conv_id") % 2 == 0, 1).otherwise(0)})
     return records.export_selection(sessions, [], "^gpt", True).select("conv_id")
+
+
+def _framed(tag: str, data):
+    """A field of up to 127 bytes in a binary message."""
+    return F.concat(F.unhex(F.lit(tag)), F.unhex(F.lpad(F.hex(F.octet_length(data)), 2, "0")), data)
+
+
+@query("""
+SELECT conv_id, count(*) FILTER (turn % 4 <> 3)::BIGINT AS n_found, count(*) FILTER (turn % 4 = 3)::BIGINT AS missing, coalesce(string_agg(conv_id || '.' || turn, ',' ORDER BY turn) FILTER (turn % 4 <> 3), '') AS found FROM conversations GROUP BY conv_id
+""")
+def state_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that a conversation's binary state names by their hashes, and how many are missing."""
+    rows = table(spark, sf_dir, "conversations")
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    digest = F.sha2(name.cast("binary"), 256)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", digest.alias("h")))), lambda x: F.concat(F.lit("0A20"), x["h"]))
+    states = rows.groupBy("conv_id").agg(F.concat(F.lit("~"), F.base64(F.unhex(F.concat(F.array_join(listed, ""), F.lit("1005"))))).alias("state"))
+    blobs = rows.where("turn % 4 != 3").select(digest.alias("id"), name.alias("data"))
+    found = joins.dereferenced(states.select("conv_id", binary.state_hashes("state").alias("hashes")), blobs, "conv_id", "hashes")
+    return found.select("conv_id", F.size("found").cast("long").alias("n_found"), "missing", F.array_join("found", ",").alias("found"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'known' WHEN turn % 4 = 1 THEN 'out ' || conv_id || chr(10) || 'line ' || turn END AS result, 1000 + turn AS began, CASE WHEN turn % 4 <> 2 THEN 2000 + turn END AS ended FROM conversations
+""")
+def recovered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: results and times of calls whose text is only in a binary record."""
+    turn, conv = F.col("turn"), F.col("conv_id").cast("string")
+    text = lambda t: F.encode(t, "UTF-8")
+    result = F.concat(_framed("0A", text(F.concat(F.lit("out "), conv))), _framed("1A", text(F.concat(F.lit("line "), turn.cast("string")))))
+    call = F.concat(_framed("0A", text(F.lit("asked"))), _framed("12", result))
+    # numbers of two bytes: seven bits each, the low ones first
+    stamp = lambda tag, n: F.concat(F.unhex(F.lit(tag)), F.unhex(F.lpad(F.hex(n % 128 + 128), 2, "0")), F.unhex(F.lpad(F.hex(F.floor(n / 128)), 2, "0")))
+    record = F.base64(F.concat(_framed("2A", call), stamp("D803", turn + 1000), F.when(turn % 4 != 2, stamp("E003", turn + 2000)).otherwise(F.unhex(F.lit("")))))
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(turn % 4 == 0, "known").alias("result"), record.alias("record"))
+    times = binary.call_times("record")
+    return binary.recovered(calls, "result", "record", turn % 4 == 1).select("conv_id", "turn", "result", times["began"].alias("began"), times["ended"].alias("ended"))
