@@ -220,3 +220,18 @@ def test_captures_are_ordered_over_frames(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("path", "event_id", "change", "generation").collect()} == wanted
+
+
+def test_deletions_by_timer(spark, tmp_path):
+    from tracemill.streaming import capture
+
+    polls = [(0, "ab"), (10, "ab"), (20, "a"), (30, "a"), (40, "a"), (50, "ab"), (60, "ab"), (70, "ab")]
+    events = []
+    for t, seen in polls:
+        rows = [(x, t) for x in seen]
+        spark.createDataFrame(rows, "path string, t int").selectExpr("path", "timestamp_seconds(t) AS seen").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema("path string, seen timestamp").parquet(f"file://{tmp_path}/in")
+        out = capture.deletions(stream, 20)
+        out.writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+        events = sorted((r.last_seen // 1000, r.path, r.event) for r in spark.read.schema(out.schema).parquet(f"file://{tmp_path}/out").collect())
+    assert events == [(10, "b", "deleted"), (50, "b", "found")]

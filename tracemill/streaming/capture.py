@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "identity long, size long, generation long"
@@ -49,3 +50,41 @@ def changes(snapshots: DataFrame) -> DataFrame:
     A path's snapshots of one batch are held in memory by the task that steps through them.
     """
     return snapshots.groupBy("path").applyInPandasWithState(_step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _watched(grace: int):
+    """One file's sightings: an event when none has come for ``grace`` milliseconds of event time, and one when it is found again."""
+
+    def event(path: str, last: int, kind: str) -> pd.DataFrame:
+        return pd.DataFrame([(path, last, kind)], columns=["path", "last_seen", "event"])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, gone = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.update((last, True))
+            yield event(key[0], last, "deleted")
+            return
+        seen = [int(t) for batch in batches for t in batch["seen_ms"]]
+        now = max([*seen, *([last] if last is not None else [])])
+        if gone and now > last:
+            yield event(key[0], now, "found")
+            gone = False
+        if now + grace > state.getCurrentWatermarkMs():
+            state.update((now, gone))
+            if not gone:
+                state.setTimeoutTimestamp(now + grace)
+        elif not gone:
+            state.update((now, True))
+            yield event(key[0], now, "deleted")
+
+    return step
+
+
+def deletions(sightings: DataFrame, grace: int, late: str = "0 seconds") -> DataFrame:
+    """T4: (path, last_seen ms, event) of a stream of sightings (path string, seen timestamp): ``deleted`` when a timer of
+    ``grace`` seconds, a whole poll after the first that missed the file, runs out by event time; ``found`` when it is back.
+
+    A file's state is its last sighting and whether it is gone.
+    """
+    rows = sightings.withWatermark("seen", late).select("path", "seen", F.unix_millis("seen").alias("seen_ms"))
+    return rows.groupBy("path").applyInPandasWithState(_watched(grace * 1000), "path string, last_seen long, event string", "last long, gone boolean", "append", GroupStateTimeout.EventTimeTimeout)
