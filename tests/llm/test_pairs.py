@@ -159,9 +159,9 @@ def test_one_key_over_many_blocks(spark, monkeypatch):
         prints = [rng.getrandbits(64) for _ in range(n)]
         prints += [x ^ (1 << rng.randrange(64)) for x in prints[:50]]
         df = spark.createDataFrame([(f"{x:016x}",) for x in set(prints)], "fingerprint string")
-        salts = simhash.hot_keys(df, ["fingerprint"], 1, one_key)
+        salts = simhash.hot_keys(df, 1, one_key)
         assert salts and max(salts.values()) <= -(-len(prints) // 16)
-        held = df.mapInArrow(simhash._deal(["fingerprint"], 1, one_key, salts), "key long, p0 long").groupBy("key").count()
+        held = df.mapInArrow(simhash._deal(1, one_key, salts), "key long, p0 long").groupBy("key").count()
         most[n] = held.agg(F.max("count")).first()[0]
         got = {(int(r.u, 16), int(r.v, 16)) for r in simhash.links(df, 64, 1, one_key).collect()}
         assert all((a, b) in got or (b, a) in got for a, b in zip(prints[:50], prints[n:], strict=True) if a != b)
@@ -225,17 +225,43 @@ def test_every_candidate_is_compared(spark, monkeypatch):
     # one-word shingles; all meet under one key, so that recall is that of the comparison alone
     one_key = lambda low: (np.arange(len(low)), np.zeros(len(low), dtype=np.uint64))
     texts = _clusters(random.Random(21), 3, 40, 200)
-    prints = [simhash.fingerprint(t, 1, 128) for t in texts]
-    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True))
-    edges = [(i, j) for i, j in _jaccard_edges(texts, 1, 0.8) if far(i, j) <= 30]
+    edges = _jaccard_edges(texts, 1, 0.8)
     assert len(edges) > 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for block in (4096, 16):
         monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "SKETCH_BLOCK", block)
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 1, 128, 30, one_key, 0.8).collect()}
         assert [got[i] for i in range(len(texts))] == _roots(len(texts), edges)
 
 
+def test_a_group_of_unlike_texts_makes_no_pairs(spark):
+    """Near copies of one text that are too unlike each other: connected by candidates, compared, and not written as pairs."""
+    rng = random.Random(22)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(f"c{n}_{i}" if i in set(rng.sample(range(200), 44)) else w for i, w in enumerate(base)) for n in range(120)]
+    hashes = [sorted(set(simhash.shingle_hashes(t, 1, 42).astype("<u8").view("<i8").tolist())) for t in texts]
+    left = spark.createDataFrame([(f"{i:048x}", "w", f"{i:048x}") for i in range(120)], "node string, whole string, root string")
+    sets = spark.createDataFrame([(f"{i:048x}", h) for i, h in enumerate(hashes)], "fingerprint string, hashes array<long>")
+    alike = lambda i, j: len(set(hashes[i]) & set(hashes[j])) / len(set(hashes[i]) | set(hashes[j]))
+    assert max(alike(i, j) for i in range(120) for j in range(i)) < 0.8
+    assert simhash.sketched_pairs(left, sets, 0.8).count() < 120 * 119 / 2 / 10
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(23)
+    radius = simhash.sketch_radius(0.8)
+    for size in (20, 60, 300):
+        far = []
+        for _ in range(400):
+            a = rng.integers(0, 1 << 62, size)
+            b = a.copy()
+            b[: size // 9] = rng.integers(0, 1 << 62, size // 9)  # eight of nine in common: a similarity of 0.8
+            x, y = (np.frombuffer(simhash.sketch(v), dtype=np.uint64) for v in (a, b))
+            far.append(int(np.bitwise_count(x ^ y).sum()))
+        assert max(far) <= radius and np.mean(far) > 0.6 * radius
+
+
 def test_similarity_is_over_sets(spark):
     line = " ".join(f"z{i}" for i in range(12))
     copies = [x for n in range(20) for x in [" ".join(f"q{n}_{i}" for i in range(196)) + f"\n{line}"] for x in (x, x + f"\n{line}" * 9)]

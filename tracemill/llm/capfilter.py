@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
-from tracemill.llm.store import parts, stored
+from tracemill.llm.simhash import block_pairs
+from tracemill.llm.store import parts, small_batches, stored
 
 BLOCK = 1024
 #: Codes, codewords in a block of 32 dimensions or more at least, and the filters that a vector exceeds on average.
@@ -271,11 +272,9 @@ def _meetings(classes: DataFrame, cosine: float) -> DataFrame:
     order = ["label", "filter", "salt"]
     met = stored(dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_meet(cosine), _RESULT), "cap_met")
     blocks = met.where("block is not null").select("label", "filter", "number", "block")
-    numbers = blocks.select("label", "filter", "number")
-    pairs = numbers.join(numbers.withColumnRenamed("number", "other"), ["label", "filter"]).where("number <= other")
-    first = pairs.join(blocks.withColumnRenamed("block", "block_a"), ["label", "filter", "number"])
-    second = blocks.select("label", "filter", F.col("number").alias("other"), F.col("block").alias("block_b"))
-    key = ["label", "filter", "number", "other"]
-    both = first.where("number = other").select(*key, "block_a", F.lit(None).cast("binary").alias("block_b")).unionByName(first.where("number < other").join(second, ["label", "filter", "other"]).select(*key, "block_a", "block_b"))
-    more = both.repartition(n, *key).mapInArrow(solve, _RESULT)
-    return met.where("block is null").unionByName(more).groupBy("id", "u", "v").agg(F.sum("links").alias("links"))
+    found = met.where("block is null").select("id", "links", "u", "v")
+    if not blocks.isEmpty():
+        with small_batches(classes.sparkSession, 4):
+            pairs = block_pairs(blocks, ["label", "filter"]).repartition(n, "label", "filter", "number", "other")
+            found = found.unionByName(stored(pairs.mapInArrow(solve, _RESULT), "cap_met").select("id", "links", "u", "v"))
+    return found.groupBy("id", "u", "v").agg(F.sum("links").alias("links"))

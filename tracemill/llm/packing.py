@@ -19,7 +19,7 @@ from tracemill.llm.store import stored
 
 _TOKENIZERS: dict = {}
 #: Pieces of one length are ranked in groups of about so many, so that a common length isn't one task's.
-GROUP = 100_000
+GROUP = 10_000
 
 
 def _tokenizer(path: str):

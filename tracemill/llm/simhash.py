@@ -14,6 +14,7 @@ with the blocks, are walked by tasks of their own. Keys that a sample shows to b
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, pi
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import golay
 from tracemill.llm.components import components
-from tracemill.llm.store import parts, stored
+from tracemill.llm.store import parts, small_batches, stored
 
 BLOCK = 4096
 #: One in so many fingerprints is looked at for hot keys; the hottest so many are salted. Others may be hot and still
@@ -166,21 +167,6 @@ def nearest_forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
     return np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
 
 
-def apart(a: np.ndarray, b: np.ndarray | None, halves: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of ``a`` and ``b`` (without ``b``, within ``a``) at ``radius`` or fewer bits that differ in their second half, the label.
-
-    A piece is at most 500,000 comparisons, so that no piece's pairs are many.
-    """
-    other, width = a if b is None else b, a.shape[1] // 2
-    take = max(1, 500_000 // max(1, len(other)))
-    for at in range(0, len(a), take):
-        part = a[at : at + take]
-        near = np.bitwise_count(part[:, None, :halves] ^ other[None, :, :halves]).sum(axis=2, dtype=np.int16) <= radius
-        i, j = np.nonzero(near & (part[:, None, width:] != other[None, :, width:]).any(axis=2))
-        some = slice(None) if b is not None else i + at < j
-        yield part[i[some], :width], other[j[some], :width]
-
-
 def _edge_rows(halves: int) -> str:
     return ", ".join(f"{x}{i} long" for x in "uv" for i in range(halves)) + ", key long, number long, block binary"
 
@@ -206,8 +192,6 @@ def _meet(halves: int, width: int, columns: int, radius: int, walk):
     def small(prints: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = begins[ends - begins == 2]
         two = two[np.bitwise_count(prints[two, :halves] ^ prints[two + 1, :halves]).sum(axis=1) <= radius]
-        if columns > width:
-            two = two[(prints[two, width:] != prints[two + 1, width:]).any(axis=1)]
         u, v = [prints[two, :width]], [prints[two + 1, :width]]
         for b, e in zip(begins[ends - begins > 2], ends[ends - begins > 2], strict=True):
             # most keys bring strangers together: a look at all pairs of a few is cheaper than a walk
@@ -261,7 +245,7 @@ def _meet(halves: int, width: int, columns: int, radius: int, walk):
     return run
 
 
-def _deal(own: list[str], width: int, keys, salts: dict[int, int] | None = None):
+def _deal(width: int, keys, salts: dict[int, int] | None = None):
     """Rows (key with salt, values) of values in hex digits, a row for each of their keys."""
     hot = np.array(sorted(salts or {}), dtype=np.int64)
     shares = np.array([(salts or {})[k] for k in hot.tolist()], dtype=np.uint64)
@@ -269,10 +253,8 @@ def _deal(own: list[str], width: int, keys, salts: dict[int, int] | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
-                parts_ = []
-                for c in range(len(own)):
-                    part = [int(x, 16) for x in batch.column(c).slice(at, 2000).to_pylist()]
-                    parts_ += [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(width)]
+                part = [int(x, 16) for x in batch.column(0).slice(at, 2000).to_pylist()]
+                parts_ = [np.array([(x >> 64 * i) & 0xFFFF_FFFF_FFFF_FFFF for x in part], dtype=np.uint64) for i in range(width)]
                 row, key = keys(parts_[0])
                 key = key.view(np.int64)
                 if len(hot):
@@ -286,56 +268,59 @@ def _deal(own: list[str], width: int, keys, salts: dict[int, int] | None = None)
     return run
 
 
-def hot_keys(prints: DataFrame, own: list[str], width: int, keys) -> dict[int, int]:
+def hot_keys(prints: DataFrame, width: int, keys) -> dict[int, int]:
     """How many salts each of the hottest keys gets: about one for every four blocks of values that a sample lets expect."""
-    schema = ", ".join(f"{c} long" for c in ("key", *(f"p{i}" for i in range(width * len(own)))))
-    some = prints.where(F.pmod(F.xxhash64("fingerprint"), F.lit(SAMPLED)) == 0).mapInArrow(_deal(own, width, keys), schema)
+    schema = ", ".join(f"{c} long" for c in ("key", *(f"p{i}" for i in range(width))))
+    some = prints.where(F.pmod(F.xxhash64("fingerprint"), F.lit(SAMPLED)) == 0).mapInArrow(_deal(width, keys), schema)
     most = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > 4 * BLOCK).orderBy(F.desc("n"), "key").limit(HOT)
     return {r["key"]: -(-r["n"] * SAMPLED // (4 * BLOCK)) for r in most.collect()}
 
 
+def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., number, other, block_a, block_b) of every two numbers of blocks (by..., number, block) with the same ``by``.
+
+    Numbers are paired first, and the pairs meet the blocks by them. A block's pair with itself has no block_b.
+    """
+    numbers = blocks.select(*by, "number")
+    pairs = numbers.join(numbers.withColumnRenamed("number", "other"), by).where("number <= other")
+    first = pairs.join(blocks.withColumnRenamed("block", "block_a"), [*by, "number"])
+    second = blocks.select(*by, F.col("number").alias("other"), F.col("block").alias("block_b"))
+    own = first.where("number = other").select(*by, "number", "other", "block_a", F.lit(None).cast("binary").alias("block_b"))
+    return own.unionByName(first.where("number < other").join(second, [*by, "other"]).select(*by, "number", "other", "block_a", "block_b"))
+
+
 def links(prints: DataFrame, bits: int, radius: int, keys=one_flip_keys, tree=forest, more: int = 0) -> DataFrame:
-    """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint).
+    """(u, v): a spanning forest, for each key, of the distinct values in ``prints`` (fingerprint); stored.
 
-    With a column root in ``prints``, instead all pairs under a key whose roots differ. ``more`` halves before
-    the ``bits`` tell values apart, but count for no distance.
+    ``more`` halves before the ``bits`` tell values apart, but count for no distance.
     """
-    halves = bits // 64
+    spark, halves = prints.sparkSession, bits // 64
     width = halves + more
-
-    own = [c for c in ("fingerprint", "root") if c in prints.columns]
-    columns = width * len(own)
-    names = [f"p{i}" for i in range(columns)]
+    names = [f"p{i}" for i in range(width)]
 
     def walk(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(own) > 1:
-            yield from apart(a, b, halves, radius)
-        else:
-            both = a if b is None else np.concatenate([a, b])
-            i, j = tree(both[:, :halves], radius)
-            yield both[i, :width], both[j, :width]
+        both = a if b is None else np.concatenate([a, b])
+        i, j = tree(both[:, :halves], radius)
+        yield both[i], both[j]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column("block_a"), batch.column("block_b"), strict=True):
-                left, right = (np.frombuffer(x.as_py(), dtype=np.uint64).reshape(-1, columns) if x.is_valid else None for x in (a, b))
+                left, right = (np.frombuffer(x.as_py(), dtype=np.uint64).reshape(-1, width) if x.is_valid else None for x in (a, b))
                 for u, v in walk(left, right):
                     yield _as_batch(u, v)
 
-    values = prints.select(*own).distinct()
-    dealt = values.mapInArrow(_deal(own, width, keys, hot_keys(values, own, width, keys)), ", ".join(f"{c} long" for c in ("key", *names)))
-    n = parts(prints.sparkSession)
-    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, width, columns, radius, walk), _edge_rows(width)), "met")
+    values = prints.select("fingerprint").distinct()
+    dealt = values.mapInArrow(_deal(width, keys, hot_keys(values, width, keys)), ", ".join(f"{c} long" for c in ("key", *names)))
+    n = parts(spark)
+    met = stored(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(halves, width, width, radius, walk), _edge_rows(width)), "met")
     blocks = met.where("block is not null").select("key", "number", "block")
-    numbers = blocks.select("key", "number")
-    pairs = numbers.join(numbers.withColumnRenamed("number", "other"), "key").where("number <= other")
-    first = pairs.join(blocks.withColumnRenamed("block", "block_a"), ["key", "number"])
-    # a block's pair with itself needs it once
-    second = blocks.select("key", F.col("number").alias("other"), F.col("block").alias("block_b"))
-    both = first.where("number = other").select("key", "number", "other", "block_a", F.lit(None).cast("binary").alias("block_b")).unionByName(first.where("number < other").join(second, ["key", "other"]).select("key", "number", "other", "block_a", "block_b"))
-    rest = both.repartition(n, "key", "number", "other").mapInArrow(solve, _edge_rows(width))
     text = lambda side: F.concat(*(F.lpad(F.lower(F.hex(f"{side}{i}")), _HEX, "0") for i in reversed(range(width))))
-    return met.where("block is null").unionByName(rest).select(text("u").alias("u"), text("v").alias("v")).distinct()
+    found = met.where("block is null")
+    if not blocks.isEmpty():
+        with small_batches(spark, 8):
+            found = found.unionByName(stored(block_pairs(blocks, ["key"]).repartition(n, "key", "number", "other").mapInArrow(solve, _edge_rows(width)), "met"))
+    return found.select(text("u").alias("u"), text("v").alias("v")).distinct()
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -373,11 +358,81 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+#: Bits of the sketches that tell whether two sets of shingles can be as similar as wanted; values of a block of them.
+SKETCH, SKETCH_BLOCK = 1024, 1024
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A SimHash of ``SKETCH`` bits of a set of 64-bit hashes, whose further hashes are mixed from the first."""
+    out = []
+    with np.errstate(over="ignore"):
+        for i in range(SKETCH // 64):
+            h = hashes.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9 + 2 * i) + np.uint64(i)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            count = np.zeros(64, dtype=np.int64)
+            for at in range(0, len(h), 65536):
+                count += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(np.packbits(2 * count > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def sketch_radius(similarity: float) -> int:
+    """Bits that sketches of sets of such a Jaccard similarity differ in at most, but for one pair in 100,000 or so.
+
+    The cosine of such sets is at least 2s / (1 + s), and each bit differs with the angle's share of a half turn; 4.5 deviations are added.
+    """
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return min(SKETCH, ceil(SKETCH * p + 4.5 * (SKETCH * p * (1 - p)) ** 0.5))
+
+
+def sketched_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of values in ``left`` (node, whole, root) of one whole, but different roots, whose sketches are near enough; stored.
+
+    All values of a whole are compared with each other, by blocks of about ``SKETCH_BLOCK`` in tasks, and only near ones are
+    written: a whole of values that are not alike costs comparisons, but no rows.
+    """
+    spark, radius, width = left.sparkSession, sketch_radius(similarity), SKETCH // 8
+    digits = len(left.first()["node"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [sketch(np.array(h.values.to_numpy())) if h.is_valid else bytes(width) for h in batch.column(3)]
+            rows = [n.encode() + r.encode() + d for n, r, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), drawn, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["whole", "node", "row"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("block_a"), batch.column("block_b"), strict=True):
+                one, two = (np.frombuffer(x.as_py(), dtype=np.uint8).reshape(-1, 2 * digits + width) if x.is_valid else None for x in (a, b))
+                other = one if two is None else two
+                bits = [np.ascontiguousarray(x[:, 2 * digits :]).view(np.uint64) for x in (one, other)]
+                names = [[bytes(x[i]).decode() for i in range(len(x))] for x in (one[:, :digits], other[:, :digits])]
+                roots = [np.ascontiguousarray(x[:, digits : 2 * digits]).view(f"S{digits}").ravel() for x in (one, other)]
+                u, v = [], []
+                for at in range(0, len(one), 32):
+                    near = np.bitwise_count(bits[0][at : at + 32, None, :] ^ bits[1][None, :, :]).sum(axis=2, dtype=np.int32) <= radius
+                    i, j = np.nonzero(near & (roots[0][at : at + 32, None] != roots[1][None, :]))
+                    i += at
+                    if two is None:
+                        i, j = i[i < j], j[i < j]
+                    u += [names[0][x] for x in i]
+                    v += [names[1][x] for x in j]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+
+    rows = left.join(sets.withColumnRenamed("fingerprint", "node"), "node").select("whole", "node", "root", "hashes").mapInArrow(draw, "whole string, node string, row binary")
+    sizes = left.groupBy("whole").agg(F.ceil(F.count("*") / SKETCH_BLOCK).alias("n"))
+    dealt = rows.join(sizes, "whole").select("whole", F.pmod(F.xxhash64("node"), "n").alias("number"), "row")
+    blocks = stored(dealt.groupBy("whole", "number").agg(F.array_join(F.transform(F.collect_list("row"), F.hex), "").alias("rows")).select("whole", "number", F.unhex("rows").alias("block")), "sketches")
+    with small_batches(spark, 16):
+        return stored(block_pairs(blocks, ["whole"]).repartition(parts(spark), "whole", "number", "other").mapInArrow(solve, "u string, v string"), "near")
+
+
 def similar_roots(prints: DataFrame, docs: DataFrame, words: int, bits: int, radius: int, keys, similarity: float) -> DataFrame:
-    """(node, root) of sets of shingles, by ``fingerprints`` with ``distinct``, linked by pairs that meet under a key, are within ``radius`` and as similar.
+    """(node, root) of sets of shingles, by ``fingerprints`` with ``distinct``, linked by pairs that candidates connect and that are as similar.
 
-    A forest per key is verified first and joins most. What it leaves apart, though candidates connect it, is paired
-    fully: two values under a key stay apart only if their own pair has been compared, or lies beyond the radius.
+    A forest per key is verified first and joins most. What it leaves apart, though candidates connect it, is compared fully,
+    by sketches (``sketched_pairs``), and what is near is verified.
     """
     edges = stored(links(prints, bits, radius, keys, nearest_forest, 1), "candidates")
     sets = stored(sets_of(edges, prints, docs, words), "shingles")
@@ -386,11 +441,10 @@ def similar_roots(prints: DataFrame, docs: DataFrame, words: int, bits: int, rad
     known = components(edges).withColumnRenamed("root", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stored(known, "wholes")
     torn = known.groupBy("whole").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("whole")
-    left = stored(known.join(torn, "whole", "left_semi").select(F.col("node").alias("fingerprint"), "root"), "apart")
+    left = stored(known.join(torn, "whole", "left_semi").select("node", "whole", "root"), "apart")
     if left.isEmpty():
         return roots
-    pairs = links(left, bits, radius, keys, more=1)
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = sketched_pairs(left, sets, similarity).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     tried = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     more = stored(similar(pairs.join(tried, ["u", "v"], "left_anti"), sets, similarity), "similar")
     return roots if more.isEmpty() else components(sure.unionByName(more))
@@ -400,8 +454,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
     """(doc_id, fingerprint, component_id) per row of ``docs``: documents linked at ``radius`` or fewer bits, transitively.
 
     ``one_flip_keys`` find every pair up to 3 bits apart; ``two_segment_keys`` every pair up to 8 in the first
-    64 bits, and most above. With a ``similarity``, the radius is that of candidates: of the pairs that meet under
-    a key, those link whose shingle sets are as similar (``similar_roots``); fingerprints are then
+    64 bits, and most above. With a ``similarity``, the radius is that of candidates: of the values that candidates
+    connect, those link whose shingle sets are as similar (``similar_roots``); fingerprints are then
     over distinct shingles, and texts of one fingerprint are compared like others. component_id is the smallest doc_id of the
     component, null if all in it are null. Null, empty and blank texts have fingerprint zero and link like any other;
     an empty table gives no rows; repeated rows stay, each with its component.

@@ -76,6 +76,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within it, jobs hand Python so many rows at a time at most: rows that hold a block each are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:
