@@ -359,7 +359,7 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 #: Bits of the sketches that tell whether two sets of shingles can be as similar as wanted; values of a block of them.
-SKETCH, SKETCH_BLOCK = 1024, 1024
+SKETCH, SKETCH_BLOCK = 4096, 1024
 
 
 def sketch(hashes: np.ndarray) -> bytes:
