@@ -123,3 +123,12 @@ def test_pack(spark):
     made = packing.sequences(rows).collect()
     assert len(made) == len(places) and sum(len(r.ids) for r in made) == sum(r.length for r in got)
     assert packing.pack(df.limit(0), P.path("byte_bpe_50k.json")).isEmpty()
+
+
+def test_long_pretokens(exact):
+    """Rows by themselves: random letters, repeats that overlap, and a million letters."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "".join(rng.choices("etaoin", k=50_000)), "a" * 10_001, "aab" * 5000, "日本" * 3000, THUE]
+    for word, ids in zip(words, bpe.encoder(RANKS).encode(words), strict=True):
+        assert ids.tolist() == exact.encode_ordinary(word)
+    assert len(bpe.encoder(RANKS).encode(["".join(rng.choices("abcdefgh", k=1_000_000))])[0]) > 100_000

@@ -17,19 +17,15 @@ from pyspark.sql import functions as F
 from tracemill.llm.pretoken import Words, portions
 
 _NONE = np.int32(1 << 30)
+#: Rows of more bytes are merged by themselves, all pairs of one rank in a round.
+LONG = 2048
 _ENCODERS: dict[str, "Bpe"] = {}
 
 
-class Bpe:
-    """Ranks of tokens, and merged ranks of adjacent pairs in an open-addressed hash table."""
+class Pairs:
+    """Merged ranks of adjacent pairs of ranks in an open-addressed hash table, and rows merged by it."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes[rank] = token
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+    def __init__(self, ranks: dict):
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -71,6 +67,35 @@ class Bpe:
             todo, slot = todo[on], (slot[on] + 1) & (len(self.keys) - 1)
         return result.reshape(pair.shape)
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """One long row, merged till nothing merges.
+
+        All pairs of minimum rank are merged in one round, from the left. That is what merging them one by one gives, unless a
+        pair that a merge makes has a smaller rank still: then the leftmost is merged alone.
+        """
+        ranks = self.lookup(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != _NONE:
+            at = np.nonzero(ranks == best)[0]
+            if len(at) > 1:
+                # of pairs that overlap in a run, every other one
+                first = np.concatenate([[True], np.diff(at) > 1])
+                at = at[(np.arange(len(at)) - np.nonzero(first)[0][np.cumsum(first) - 1]) % 2 == 0]
+            while True:
+                keep = np.ones(len(ids), dtype=bool)
+                keep[at + 1] = False
+                new = ids.copy()
+                new[at] = best
+                new, kept = new[keep], ranks[keep[1:]]
+                place = at - np.arange(len(at))
+                before, after = place[place > 0] - 1, place[place < len(new) - 1]
+                left, right = self.lookup(new[before], new[before + 1]), self.lookup(new[after], new[after + 1])
+                if len(at) == 1 or min(left.min(initial=_NONE), right.min(initial=_NONE)) > best:
+                    break
+                at = at[:1]
+            kept[before], kept[after] = left, right
+            ids, ranks = new, kept
+        return ids
+
     def _merge(self, ids: np.ndarray, out: list, rows: np.ndarray) -> None:
         """Ids of rows (padded by -1 at the right), merged till nothing merges, into out by rows."""
         ranks = self.lookup(ids[:, :-1], ids[:, 1:])
@@ -99,23 +124,45 @@ class Bpe:
             after = np.nonzero(at < width - 2)[0]
             ranks[after, at[after]] = self.lookup(ids[after, at[after]], ids[after, at[after] + 1])
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        size, out = np.array([len(x) for x in raw]), [None] * len(raw)
-        # buckets: up to 4, 8, 16 and so on bytes
+    def merge(self, flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Merged rows, given their ranks on end and how many each has."""
+        out, begin = [None] * len(size), np.cumsum(size) - size
+        # buckets: up to 4, 8, 16 and so on
         bucket = np.maximum(np.ceil(np.log2(np.maximum(size, 1))).astype(int), 2)
         for b in np.unique(bucket):
             rows = np.nonzero(bucket == b)[0]
+            if 1 << int(b) > LONG:
+                for i in rows:
+                    out[i] = self.merge_long(flat[begin[i] : begin[i] + size[i]])
+                continue
             step = max(1, (1 << 20) >> int(b))
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
-                width = int(size[part].max())
-                ids = np.full((len(part), width), -1, dtype=np.int32)
-                ids[np.arange(width) < size[part][:, None]] = self.byte[np.frombuffer(b"".join([raw[j] for j in part]), dtype=np.uint8)]
+                column = np.arange(int(size[part].max()))
+                there = column < size[part][:, None]
+                ids = np.full(there.shape, -1, dtype=np.int32)
+                ids[there] = flat[(begin[part][:, None] + column)[there]]
                 self._merge(ids, out, part)
         return out
 
+
+class Bpe(Pairs):
+    """Ranks of byte tokens, of a rank file."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes[rank] = token
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        super().__init__(ranks)
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each pre-token."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        return self.merge(self.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.array([len(x) for x in raw], dtype=np.int64))
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 

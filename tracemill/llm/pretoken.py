@@ -88,7 +88,7 @@ def keys(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
         return out * _MIX + (ends - begins).astype(np.uint64)
 
 
-def _gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places of all items of spans, one span after the other."""
     stop = np.cumsum(size)
     return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)
@@ -98,7 +98,7 @@ def same_spans(a: np.ndarray, a_begin: np.ndarray, a_size: np.ndarray, b: np.nda
     """Of spans of ``a`` and ``b`` in pairs, which are alike in length and in every code point."""
     same = a_size == b_size
     begin, size = a_begin[same], a_size[same]
-    differ = a[_gathered(begin, size)] != b[_gathered(b_begin[same], size)]
+    differ = a[gathered(begin, size)] != b[gathered(b_begin[same], size)]
     count = np.concatenate([[0], np.cumsum(differ)])
     stop = np.cumsum(size)
     same[same] = count[stop] == count[stop - size]
@@ -160,7 +160,7 @@ class Words:
             size[other], begin[other] = sizes, len(ids) + np.cumsum(sizes) - sizes
             ids = np.concatenate([ids, more])
         # the number of pre-tokens before each text gives its place among the ids
-        return ids[_gathered(begin, size)], np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begins, bounds)]
+        return ids[gathered(begin, size)], np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begins, bounds)]
 
 
 def portions(texts: list[str], most: int = 1_000_000):

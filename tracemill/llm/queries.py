@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, capfilter, interp, licences, lines, packing, pii, quality_net, rules, simhash
+from tracemill.llm import bpe, capfilter, interp, licences, lines, negatives, packing, pieces, pii, quality_net, rules, runs, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,7 +63,22 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_quality_classifier, op5_line_dedup, op6_quality_rules, op7_lm_scoring, op8_private_data, op9_best_fit_packing, op10_licence_scan)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, those that the contract plants among them."""
+    return runs.digests(runs.periodic_runs(runs.with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids by the public 32k model, of what they decode to, and of their byte spans."""
+    return pieces.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives within the window of each of five positives of every fiftieth vector."""
+    return negatives.hard_negatives(negatives.prepared(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_quality_classifier, op5_line_dedup, op6_quality_rules, op7_lm_scoring, op8_private_data, op9_best_fit_packing, op10_licence_scan, op11_periodic_runs, op12_sentence_pieces, op13_hard_negatives)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": """
@@ -78,5 +93,21 @@ frequent AS (SELECT key AS hot FROM keyed WHERE length(key) >= 1 GROUP BY key HA
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent ON key = hot GROUP BY doc_id
+""",
+    "op13_hard_negatives": """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
 """,
 }
