@@ -347,7 +347,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     some = first.where("positive_score >= 0").groupBy("anchor_id").agg(F.collect_list(window(F.col("positive_id"), F.col("positive_score") * low / 100, F.col("positive_score") * high / 100)).alias("windows"))
     found = forest.best(asks.join(some, "anchor_id"), negatives, False)
     out = found.withColumnRenamed("window", "positive_id").join(first, ["anchor_id", "positive_id"])
-    return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("positive_score").cast("long"), F.col("score").cast("long").alias("negative_score"))
+    whole = lambda score: F.least(F.greatest(F.col(score), F.lit(-9.223372036854775e18)), F.lit(9.223372036854774e18)).cast("long")
+    return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), whole("positive_score").alias("positive_score"), whole("score").alias("negative_score"))
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
