@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracemill.llm.components import components
 from tracemill.llm.simhash import block_pairs
@@ -34,7 +35,7 @@ CODES, WORDS, EXPECTED = 6, 80, 25
 #: One in so many vectors is looked at for hot filters; the hottest so many are salted. Others may be hot and still give
 #: whole results: their blocks are then cut by one task.
 SAMPLED, HOT = 16, 10_000
-_ROW = "label int, filter int, salt int, id long, size long, filters binary, vector binary"
+_ROW = "label long, filter int, salt int, id long, size long, filters binary, vector binary"
 
 
 def words_for(largest: int) -> int:
@@ -113,12 +114,12 @@ def _result(ids=(), links=(), u=(), v=(), block=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
         "id": column(ids, no(m), no(k), pa.int64()), "links": column(links, no(m), no(k), pa.int64()),
         "u": column(no(n), u, no(k), pa.int64()), "v": column(no(n), v, no(k), pa.int64()),
-        "label": column(no(n), no(m), last(0), pa.int32()), "filter": column(no(n), no(m), last(1), pa.int32()),
+        "label": column(no(n), no(m), last(0), pa.int64()), "filter": column(no(n), no(m), last(1), pa.int32()),
         "number": column(no(n), no(m), last(2), pa.int64()), "block": column(no(n), no(m), last(3), pa.binary()),
     })
 
 
-_RESULT = "id long, links long, u long, v long, label int, filter int, number long, block binary"
+_RESULT = "id long, links long, u long, v long, label long, filter int, number long, block binary"
 
 
 def _solve(filter_: int, a: pa.Table, b: pa.Table | None, cosine: float) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     names = ("vec_id", "embedding", "label")
     embedding = F.col("embedding").cast("array<double>")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long"), embedding.alias("embedding"), F.col("label").cast("int")).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    # whole numbers stand for themselves, other labels are known by a hash
+    label = F.col("label").cast("long") if isinstance(vectors.schema["label"].dataType, IntegralType) else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select(F.col("vec_id").cast("long"), embedding.alias("embedding"), label.alias("label")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     same = F.transform("embedding", lambda x: x + F.lit(0.0))
     rows = rows.withColumn("a", F.when(F.col("fine"), F.xxhash64("label", same))).withColumn("b", F.when(F.col("fine"), F.xxhash64(F.lit(1), same, "label")))
     classes = rows.where("fine").groupBy("a", "b").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))

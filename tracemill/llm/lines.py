@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.checkpoints import manifest, write_manifest
 from tracemill.llm.store import deleted, new_folder, parts, stored
 
 #: What is stripped from a line's ends and what separates words.
@@ -40,14 +41,11 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, path: str, min_docs: int, fanout: int = 2):
         self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
-        self.buckets, self.levels, self.version, self._tables = parts(spark), [[]], 0, {}
-        files = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = [int(x.getPath().getName()[9:]) for x in fs.listStatus(files) if x.getPath().getName().startswith("manifest-")] if fs.exists(files) else []
-        if found:
-            self.version = max(found)
-            state = json.loads(spark.read.text(f"{path}/manifest-{self.version}").first()[0])
-            self.buckets, self.levels = state["buckets"], state["levels"]
+        self.buckets, self.levels, self.merged, self._tables = parts(spark), [[]], [], {}
+        self.version, text = manifest(spark, path)
+        if text:
+            state = json.loads(text)
+            self.buckets, self.levels, self.merged = state["buckets"], state["levels"], state["merged"]
             if state["min_docs"] != min_docs:
                 raise ValueError(f"the runs at {path} are of min_docs={state['min_docs']}")
 
@@ -80,12 +78,12 @@ class LineRuns:
             deleted(self.spark, f"{self.path}/{name}")
 
     def _commit(self, old: list[str]) -> None:
-        """Writes which runs count; only then do merged ones go, so that a driver lost between leaves a whole state."""
+        """Writes which runs count; merged ones go when the next state is written, so that readers of this one can end."""
+        gone, self.merged = self.merged, old
         self.version += 1
-        state = json.dumps({"buckets": self.buckets, "min_docs": self.min_docs, "levels": self.levels})
-        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
-        self._forget(old)
-        deleted(self.spark, f"{self.path}/manifest-{self.version - 1}")
+        write_manifest(self.spark, self.path, self.version, json.dumps({"buckets": self.buckets, "min_docs": self.min_docs, "levels": self.levels, "merged": old}))
+        self._forget(gone)
+        deleted(self.spark, f"{self.path}/manifest-{self.version - 2}")
 
     def add(self, counts: DataFrame) -> None:
         """Takes the counts (h, g, n) of a batch of documents, each key once."""

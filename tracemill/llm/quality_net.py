@@ -10,7 +10,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -178,12 +177,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     share = float(y.mean()) if len(y) else 0.5
     network = Network(np.stack(rows["features"].to_list()), y) if len(set(y)) > 1 else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            p = network(np.stack(batch["features"].to_list())) if network else np.full(len(batch), share)
-            held = [fold_of(None if x is None or x != x else int(x)) == 0 for x in batch["doc_id"].astype(object)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": held, "score": p, "predicted": (p >= threshold).astype(np.int32)})
+            p = network(np.array(batch.column("features").to_pylist(), dtype=np.float64)) if network else np.full(len(batch), share)
+            held = [fold_of(x) == 0 for x in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return features.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return features.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
