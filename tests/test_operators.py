@@ -107,7 +107,7 @@ def test_index_is_refreshed_by_fingerprint(spark, tmp_path):
     prints |= {3: "b", 99: "a"}
     texts[99] = "the end"
     index = opened()
-    assert index.refresh(listed(prints), load) and asked == [list(range(40)), [3, 99]] and index.generation == 2
+    assert index.refresh(listed(prints), load) and asked == [list(range(40)), [3, 99]] and index.buckets.version == 2
     want = {i: (normalized(texts[i][:5]).count("the"), normalized(texts[i]).count("the")) for i in prints}
     hits = opened().search("  THE ")
     assert {r.file: (r.n_user, r.n_rest) for r in hits.collect()} == {i: n for i, n in want.items() if any(n)}

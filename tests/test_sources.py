@@ -148,7 +148,7 @@ def test_keyed_table(spark, tmp_path):
         want |= rows
         assert {r.k: r.v for r in opened().read().collect()} == want and opened().read().count() == len(want)
     opened().upsert(spark.createDataFrame([], schema))
-    assert opened().version == 3 and opened().read().count() == len(want)
+    assert opened().buckets.version == 3 and opened().read().count() == len(want)
 
 
 def test_late_copies_count_once(spark, tmp_path):
@@ -172,28 +172,63 @@ def test_write_rollouts(spark, tmp_path):
 
 
 def test_tail(spark, tmp_path):
-    file = tmp_path / "log.jsonl"
+    file, rows = tmp_path / "log.jsonl", []
     file.write_text("one\ntwo\nhal")
-    os.utime(file, ns=(1, 1))
-    reader = tail.TailReader(str(tmp_path / "*.jsonl"))
-    first = reader.latestOffset()
-    lines = lambda a, b: [x[2:] for p in reader.partitions(a, b) for x in reader.read(p)]
-    assert lines(reader.initialOffset(), first) == [("one", False), ("two", False)]
+    reader = lambda: tail.TailReader(str(tmp_path / "*.jsonl"), str(tmp_path / "state"))
+    lines = lambda r, a, b: [x[1:] for p in r.partitions(a, b) for x in r.read(p)]
+    own = reader()
+    first = own.latestOffset()
+    assert lines(own, own.initialOffset(), first) == [(0, "one", 0), (4, "two", 0)]
+    # a half-written line waits, and nothing new is no new offset
+    assert own.latestOffset() == first
     with file.open("a") as more:
         more.write("f\nnew\n")
-    second = reader.latestOffset()
-    assert lines(first, second) == [("half", False), ("new", False)]
+    second = own.latestOffset()
+    assert lines(own, first, second) == [(8, "half", 0), (13, "new", 0)]
+    # a restart knows what was read, and reads a batch again as it was
+    again = reader()
+    assert again.latestOffset() == second and lines(again, first, second) == [(8, "half", 0), (13, "new", 0)]
+    # the bytes before the stop changed while the file grew
+    file.write_text("one\ntwo\nhalf\nNEW\nmore\n")
+    third = again.latestOffset()
+    assert lines(again, second, third) == [(-1, None, 1), (0, "one", 1), (4, "two", 1), (8, "half", 1), (13, "NEW", 1), (17, "more", 1)]
+    file.write_text("")
+    fourth = again.latestOffset()
+    assert lines(again, third, fourth) == [(-1, None, 2)]
     file.write_text("gone\n")
-    assert lines(second, reader.latestOffset()) == [("gone", True)]
+    assert lines(again, fourth, again.latestOffset()) == [(0, "gone", 2)]
     spark.dataSource.register(tail.TailSource)
     out = tmp_path / "out"
-    stream = spark.readStream.format("tail").option("path", str(tmp_path / "*.jsonl")).load()
+    stream = spark.readStream.format("tail").option("path", str(tmp_path / "*.jsonl")).option("state", str(tmp_path / "other")).load()
     query = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     try:
         query.processAllAvailable()
+        rows = [r.value for r in spark.read.parquet(str(out)).collect()]
     finally:
         query.stop()
-    assert [r.value for r in spark.read.parquet(str(out)).collect()] == ["gone"]
+    assert rows == ["gone"]
+
+
+def test_tail_pieces_and_records(tmp_path, monkeypatch):
+    """A large file is read by several tasks, each line once; records of change are gathered."""
+    monkeypatch.setattr(tail, "PIECE", 50)
+    monkeypatch.setattr(tail, "TRIGGERS", 3)
+    rng, file, want = random.Random(6), tmp_path / "a.jsonl", []
+    reader = tail.TailReader(str(tmp_path / "*.jsonl"), str(tmp_path / "state"))
+    at = reader.initialOffset()
+    for n in range(12):
+        new = ["é" * rng.randint(0, 90) + str(n) for _ in range(20)]
+        with file.open("a") as more:
+            more.writelines(x + "\n" for x in new)
+        want += new
+        now = reader.latestOffset()
+        spans = reader.partitions(at, now)
+        assert len(spans) > 1 and [v for p in spans for _, _, v, _ in reader.read(p)] == new
+        at = now
+        reader.commit(at)
+        if n % 4 == 3:
+            reader = tail.TailReader(str(tmp_path / "*.jsonl"), str(tmp_path / "state"))
+    assert len(list((tmp_path / "state").glob("*"))) <= 6
 
 
 def test_captures_are_ordered_over_frames(spark, tmp_path):

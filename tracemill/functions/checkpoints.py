@@ -3,6 +3,7 @@
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,17 +30,27 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def manifest(spark: SparkSession, path: str) -> tuple[int, str | None]:
-    """The number and the text of the newest manifest of a folder; 0 and None without one."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [int(x.getPath().getName()[9:]) for x in fs.listStatus(files) if x.getPath().getName().startswith("manifest-")] if fs.exists(files) else []
+    """The number and the text of the newest whole manifest of a folder; 0 and None without one."""
+    fs, where = file_system(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [x.getPath().getName() for x in fs.listStatus(where) if x.isFile()] if fs.exists(where) else []
+    found = [int(n[9:]) for n in names if n.startswith("manifest-") and n[9:].isdigit()]
     return (max(found), spark.read.text(f"{path}/manifest-{max(found)}").first()[0]) if found else (0, None)
 
 
 def write_manifest(spark: SparkSession, path: str, number: int, text: str) -> None:
-    """Writes a folder's manifest under the next number; readers see the old state until it is there."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/manifest-{number}")
+    """Writes a folder's manifest, a file of one line: under another name first, so that it is there whole or not at all."""
+    fs, Path = file_system(spark, path), spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    part = Path(f"{path}/_writing-{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(Path(f"{path}/manifest-{number}")) or not fs.rename(part, Path(f"{path}/manifest-{number}")):
+        raise FileExistsError(f"manifest {number} of {path} was written by another")
 
 
 def delete(spark: SparkSession, *paths: str) -> None:

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import short_title, single_spaced
+from tracemill.operators.accumulate import Rules
 from tracemill.operators.joins import overridden
-from tracemill.operators.records import at, content_text, effective_title, notice_label, rollout_messages, rollout_meta
+from tracemill.operators.records import META, at, content_text, effective_title, message_columns, notice_label, rollout_identity
 
 #: Kinds of web tools.
 WEB_TOOLS = ("web_search", "web_fetch", "webfetch", "websearch")
@@ -27,11 +28,20 @@ def session_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def tree_summary(raw: DataFrame) -> DataFrame:
-    """One row for each project-tree log of raw records (session_key, seq, value, is_subagent): counts, the latest place and titles.
+#: How a project-tree log's records, as ``tree_fields`` gives them, make its summary.
+TREE = Rules("session_key", "seq", {
+    "n_records": ("sum", "one"), "n_user": ("sum", "user"), "n_assistant": ("sum", "reply"), "n_tool": ("sum", "calls"), "first_ts": ("min", "ts"), "last_ts": ("max", "ts"), "model": ("min", "model"),
+    "cwd": ("last", "cwd"), "git_branch": ("last", "git_branch"), "version": ("last", "version"), "ai_title": ("last", "ai_title"), "claude_title": ("last", "claude_title"), "agent_name": ("last", "agent_name"), "first_prompt": ("first", "first"),
+})
+#: The same of rollouts, by ``rollout_fields``; a log's own description is that of its first session records.
+ROLLOUT = Rules("session_key", "seq", {
+    "n_records": ("sum", "one"), "n_tool": ("sum", "tool"), "n_reasoning": ("sum", "thought"), "n_web": ("sum", "web"), "first_ts": ("min", "ts"), "last_ts": ("max", "ts"), "model": ("first", "model"),
+    **{n: ("first", n) for n in META.values()},
+}, {"n_user": "user", "n_assistant": "assistant"})
 
-    Users' own texts and queued prompts count, notices don't; a side chain's count in a sub-agent's log only.
-    """
+
+def tree_fields(raw: DataFrame, *more: str) -> DataFrame:
+    """What a summary reads of project-tree records (session_key, seq, value, is_subagent, more...): a narrow row for each, without its content."""
     kind, text = at("type"), content_text(F.try_variant_get("value", "$.message.content", "variant"))
     side, meta = (F.coalesce(at(c, "boolean"), F.lit(False)) for c in ("isSidechain", "isMeta"))
     own = F.coalesce(text, F.lit("")) != ""
@@ -40,20 +50,47 @@ def tree_summary(raw: DataFrame) -> DataFrame:
     queued = (kind == "attachment") & (at("attachment.type") == "queued_command") & (F.coalesce(prompt, F.lit("")) != "") & notice_label(prompt).isNull() & ~side
     calls = F.size(F.filter(F.try_variant_get("value", "$.message.content", "array<variant>"), lambda b: F.try_variant_get(b, "$.type", "string") == "tool_use"))
     shown = short_title(F.regexp_replace(text, "<[^>]+>", " "))
-    first = F.when((kind == "user") & ~meta & ~side & own & notice_label(text).isNull() & (shown != ""), shown)
-    # cheap columns first, so that a record's content does not travel
-    rows = raw.select(
-        "session_key", "seq", at("timestamp").alias("ts"), F.coalesce(asked | queued, F.lit(False)).alias("user"), (kind == "assistant").alias("reply"), F.when(kind == "assistant", F.coalesce(calls, F.lit(0))).alias("calls"),
-        F.when(kind == "assistant", at("message.model")).alias("model"), at("cwd").alias("cwd"), at("gitBranch").alias("git_branch"), at("version").alias("version"), first.alias("first"),
-        F.when(kind == "ai-title", at("aiTitle")).alias("ai_title"), F.when(kind == "custom-title", at("customTitle")).alias("claude_title"), F.when(kind == "agent-name", at("agentName")).alias("agent_name"),
+    first = F.when((kind == "user") & ~meta & ~side & own & notice_label(text).isNull(), shown)
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    given = lambda c: F.nullif(c, F.lit(""))
+    return raw.select(
+        "session_key", "seq", F.lit(1).cast("long").alias("one"), at("timestamp").alias("ts"), count(asked | queued).alias("user"), count(kind == "assistant").alias("reply"), F.when(kind == "assistant", F.coalesce(calls, F.lit(0))).cast("long").alias("calls"),
+        F.when(kind == "assistant", at("message.model")).alias("model"), given(at("cwd")).alias("cwd"), given(at("gitBranch")).alias("git_branch"), given(at("version")).alias("version"), given(first).alias("first"),
+        F.when(kind == "ai-title", given(at("aiTitle"))).alias("ai_title"), F.when(kind == "custom-title", given(at("customTitle"))).alias("claude_title"), F.when(kind == "agent-name", given(at("agentName"))).alias("agent_name"), *more,
     )
-    when = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("seq"))
-    last = lambda c: F.coalesce(F.max_by(c, when(c)), F.lit("")).alias(c)
-    out = rows.groupBy("session_key").agg(
-        F.count("*").alias("n_records"), F.count_if("user").alias("n_user"), F.count_if("reply").alias("n_assistant"), F.coalesce(F.sum("calls"), F.lit(0)).alias("n_tool"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.min("model"), F.lit("")).alias("model"), *map(last, ("cwd", "git_branch", "version", "ai_title", "claude_title", "agent_name")), F.min_by("first", when("first")).alias("_first"),
+
+
+def tree_finish(sums: DataFrame) -> DataFrame:
+    """Summaries of what ``TREE`` gathers: texts are never null, the title is the best there is."""
+    out = sums.na.fill("", ["model", "cwd", "git_branch", "version", "ai_title", "claude_title", "agent_name"])
+    return out.withColumn("title", effective_title(F.col("claude_title"), F.col("first_prompt"), F.col("ai_title"), F.lit("(untitled session)"))).drop("first_prompt")
+
+
+def tree_summary(raw: DataFrame) -> DataFrame:
+    """One row for each project-tree log of raw records (session_key, seq, value, is_subagent): counts, the latest place and titles.
+
+    Users' own texts and queued prompts count, notices don't; a side chain's count in a sub-agent's log only.
+    """
+    return tree_finish(TREE.aggregate(tree_fields(raw)))
+
+
+def rollout_fields(raw: DataFrame) -> DataFrame:
+    """What a summary reads of rollout records (session_key, seq, value): a narrow row for each, messages by a hash of their text."""
+    kind, sub = at("type"), at("payload.type")
+    is_item, is_event = kind == "response_item", kind == "event_msg"
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    role, text, mirror = message_columns()
+    return raw.select(
+        "session_key", "seq", F.lit(1).cast("long").alias("one"), at("timestamp").alias("ts"), count(is_item & sub.isin("function_call", "custom_tool_call")).alias("tool"), count((is_item & (sub == "reasoning")) | (is_event & (sub == "agent_reasoning"))).alias("thought"),
+        count((is_item & (sub == "web_search_call")) | (is_event & (sub == "web_search_end"))).alias("web"), F.when(kind == "turn_context", at("payload.model")).alias("model"), *(F.when(kind == "session_meta", at(f"payload.{k}")).alias(n) for k, n in META.items()),
+        role.alias("role"), F.when(role.isNotNull(), F.xxhash64(single_spaced(text))).alias("message"), mirror.alias("mirror"),
     )
-    return out.withColumn("title", effective_title(F.col("claude_title"), F.col("_first"), F.col("ai_title"), F.lit("(untitled session)"))).drop("_first")
+
+
+def rollout_finish(sums: DataFrame, threads: DataFrame) -> DataFrame:
+    """Summaries of what ``ROLLOUT`` gathers, with the fields of the threads' rows over their own."""
+    known = rollout_identity(sums).na.fill("", ["model"]).withColumn("ai_title", F.lit(None).cast("string"))
+    return overridden(known, threads, "session_key", [c for c in ("ai_title", "cwd") if c in threads.columns])
 
 
 def rollout_summary(raw: DataFrame, threads: DataFrame) -> DataFrame:
@@ -62,23 +99,7 @@ def rollout_summary(raw: DataFrame, threads: DataFrame) -> DataFrame:
     A message that is there both as a mirror and as an envelope counts once (``multiset_count``). threads: session_key and any
     of ai_title, cwd.
     """
-    kind, sub = at("type"), at("payload.type")
-    is_item, is_event = kind == "response_item", kind == "event_msg"
-    rows = raw.select(
-        "session_key", "seq", at("timestamp").alias("ts"), (is_item & sub.isin("function_call", "custom_tool_call")).alias("tool"), ((is_item & (sub == "reasoning")) | (is_event & (sub == "agent_reasoning"))).alias("thought"),
-        ((is_item & (sub == "web_search_call")) | (is_event & (sub == "web_search_end"))).alias("web"), F.when(kind == "turn_context", at("payload.model")).alias("model"),
-    )
-    counts = rows.groupBy("session_key").agg(
-        F.count("*").alias("n_records"), F.count_if("tool").alias("n_tool"), F.count_if("thought").alias("n_reasoning"), F.count_if("web").alias("n_web"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.coalesce(F.min_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))), F.lit("")).alias("model"),
-    )
-    messages = rollout_messages(raw).withColumn("key", F.xxhash64(single_spaced(F.col("text"))))
-    keys, by = ["session_key", "role", "key"], ["session_key", "role"]
-    once = multiset_count(messages.where("origin = 'mirror'"), messages.where("origin = 'envelope'"), keys, by)
-    said = once.groupBy("session_key").agg(F.sum(F.when(F.col("role") == "user", F.col("n"))).alias("n_user"), F.sum(F.when(F.col("role") == "assistant", F.col("n"))).alias("n_assistant"))
-    meta = rollout_meta(raw).withColumn("ai_title", F.lit(None).cast("string"))
-    known = overridden(meta, threads, "session_key", [c for c in ("ai_title", "cwd") if c in threads.columns])
-    return counts.join(said, "session_key", "left").join(known, "session_key", "left").na.fill(0, ["n_user", "n_assistant"])
+    return rollout_finish(ROLLOUT.aggregate(rollout_fields(raw)), threads)
 
 
 def tallies(rows: DataFrame, by: list[str], column: Column, values: list[str]) -> DataFrame:

@@ -1,20 +1,20 @@
 """A stored search index (X4, S14, J6, T11, T15): normalized tiers and source chunks of sessions, refreshed by fingerprint.
 
-Sessions are dealt into buckets. A refresh normalizes only what is new or changed, and writes anew only the buckets that
-hold it; a manifest says which folder counts for each bucket, so a reader sees one state or the next.
+Sessions are dealt into buckets whose number follows the bytes. A refresh normalizes only what is new or changed, and writes
+anew only the buckets that hold it; a manifest says which folder counts for each bucket, so a reader sees one state or the next.
 """
 
-import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions.checkpoints import delete, manifest, write_manifest
+from tracemill.functions.checkpoints import delete, file_system
 from tracemill.functions.text import normalized
 from tracemill.operators.joins import hits_of_titles, refresh_plan
 from tracemill.operators.search import chunks, context, found_in, scored, tier_counts
+from tracemill.sources.buckets import TARGET, Buckets, bucket_of
 
 SEGMENTS = ("user", "rest")
 #: A change of what is stored for a session needs a new version; other versions are built anew.
@@ -24,18 +24,21 @@ VERSION = 1
 class SearchIndex:
     """Documents (file, fingerprint, user_chars, user, rest) and chunks (file, segment, n, src_start, norm_start, norm_at, chunk)."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, chunk: int = 65536):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1, chunk: int = 65536, target: int = TARGET):
         self.spark, self.path, self.chunk = spark, path, chunk
-        self.generation, text = manifest(spark, path)
-        state = json.loads(text) if text else {}
-        fine = state.get("version") == VERSION and state.get("chunk") == chunk
-        self.buckets = state["buckets"] if fine else buckets
-        #: Folder of each bucket that has documents.
-        self.folders: dict[int, str] = {int(b): f for b, f in state["folders"].items()} if fine else {}
-        self.kind, self.listing = (state.get("kind"), state.get("listing")) if fine else (None, None)
-
-    def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        some = [f"{self.path}/{table}/{self.folders[b]}/bucket={b}" for b in sorted(self.folders) if buckets is None or b in buckets]
+        self.buckets = Buckets(spark, path, ("docs", "chunks"), target, buckets)
+        self.forget = set()
+        if self.buckets.extra and (self.buckets.extra["version"], self.buckets.extra["chunk"]) != (VERSION, chunk):
+            self._empty()
+        self.kind, self.listing = (self.buckets.extra.get(n) for n in ("kind", "listing"))
+
+    def _empty(self) -> None:
+        """What is stored no longer counts; it goes with the next state."""
+        self.forget = set(self.buckets.folders)
+        self.buckets.extra = {}
+
+    def _read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
+        some = self.buckets.paths(table, set(self.buckets.folders if buckets is None else buckets) - self.forget)
         text = {"docs": f"file {self.kind}, fingerprint string, user_chars long, user string, rest string", "chunks": f"file {self.kind}, segment string, n int, src_start long, norm_start long, norm_at long, chunk string"}[table]
         if not some:
             return self.spark.createDataFrame([], text)
@@ -58,51 +61,43 @@ class SearchIndex:
         """
         kind = dict(listed.dtypes)["file"]
         if kind != self.kind:
-            self.kind, self.folders, self.listing = kind, {}, None
+            self._empty()
+            self.kind, self.listing = kind, None
         # a listing that is the last one has nothing new, and a few sums tell
         listing = [str(x) for x in listed.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(i), "file", "fingerprint").cast("decimal(38,0)")) for i in range(2))).first()]
         if listing == self.listing:
             return False
-        bucket = F.pmod(F.xxhash64("file"), F.lit(self.buckets)).cast("int")
-        plan = self.status(listed).where("action != 'same'").withColumn("bucket", bucket).persist()
+        plan = self.status(listed).where("action != 'same'").withColumn("bucket", bucket_of("file", self.buckets.count)).persist()
         try:
-            touched = sorted(r[0] for r in plan.select("bucket").distinct().collect())
+            own = {r[0] for r in plan.select("bucket").distinct().collect()}
             self.listing = listing
-            if not touched:
+            if not own:
                 return False
-            folder = f"gen-{self.generation + 1}"
             work = listed.join(plan.where("action in ('new', 'changed')").select("file"), "file", "left_semi")
             texts = load(work.select("file"))
             segments = texts.select("file", F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), F.coalesce(F.col(f"{s}_text"), F.lit("")).alias("text")) for s in SEGMENTS))).alias("s")).select("file", "s.segment", "s.text")
             gone = plan.select("file")
-            held = lambda table: self._read(table, touched).join(gone, "file", "left_anti")
-            scratch = f"{self.path}/scratch/{folder}"
+            scratch = f"{self.path}/scratch/{self.buckets.next_folder()}"
             chunks(segments, ["file", "segment"], "text", self.chunk).write.mode("overwrite").parquet(scratch)
             made = self.spark.read.parquet(scratch)
             joined = lambda s: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("segment") == s) & (F.col("norm") != ""), F.struct("n", "norm")))), lambda x: x["norm"]), " ")
             folded = made.groupBy("file").agg(joined("user").alias("user"), joined("rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("segment") == "user", F.length("chunk"))), F.lit(0)).alias("user_chars"))
             new = work.join(folded, "file", "left").select("file", "fingerprint", F.coalesce("user_chars", F.lit(0)).cast("long").alias("user_chars"), F.coalesce("user", F.lit("")).alias("user"), F.coalesce("rest", F.lit("")).alias("rest"))
+            # the texts lie in both tables; those that documents had before are counted twice until they are gone
+            size = 2 * file_system(self.spark, scratch).getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(scratch)).getLength()
+            count = self.buckets.wanted(size)
+            touched = own | self.buckets.splitting(count)
+            held = lambda table: self._read(table, touched).join(gone, "file", "left_anti")
             for table, rows in (("docs", held("docs").unionByName(new)), ("chunks", held("chunks").unionByName(made.drop("norm")))):
-                rows.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{folder}")
-            left = {r[0] for r in self.spark.read.parquet(f"{self.path}/docs/{folder}").select("bucket").distinct().collect()} if self._has(f"{self.path}/docs/{folder}") else set()
-            self._commit(folder, touched, left)
+                self.buckets.write(table, rows, "file", count, len(touched) + count - self.buckets.count)
+            self.buckets.extra = {"version": VERSION, "chunk": self.chunk, "kind": self.kind, "listing": self.listing}
+            self.buckets.commit(touched | self.forget, count)
+            self.forget = set()
             delete(self.spark, f"{self.path}/scratch")
             return True
         finally:
             plan.unpersist()
 
-    def _has(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return any(x.getPath().getName().startswith("bucket=") for x in fs.listStatus(where))
-
-    def _commit(self, folder: str, touched: list[int], left: set[int]) -> None:
-        old = {b: self.folders[b] for b in touched if b in self.folders}
-        self.folders = {b: f for b, f in self.folders.items() if b not in touched} | dict.fromkeys(left, folder)
-        self.generation += 1
-        write_manifest(self.spark, self.path, self.generation, json.dumps({"version": VERSION, "chunk": self.chunk, "buckets": self.buckets, "kind": self.kind, "listing": self.listing, "folders": self.folders}))
-        delete(self.spark, *(f"{self.path}/{t}/{f}/bucket={b}" for b, f in old.items() for t in ("docs", "chunks")), f"{self.path}/manifest-{self.generation - 1}")
-
     def search(self, query: str, titles: DataFrame | None = None) -> DataFrame:
         """(file, n_<tier>..., score) of the sessions with a hit; titles: (file, custom, native), normalized, any of them null.
 

@@ -375,7 +375,7 @@ def tree_events(raw: DataFrame) -> DataFrame:
 
 
 #: What a log's first session record tells of it, by column.
-_META = {
+META = {
     "id": "id", "cwd": "cwd", "cli_version": "version", "source": "source", "originator": "originator", "thread_source": "thread_source", "model_provider": "model_provider",
     "parent_thread_id": "parent_thread_id", "parent_id": "own_parent",
 }
@@ -386,10 +386,14 @@ def rollout_meta(raw: DataFrame) -> DataFrame:
 
     A later session record, as a forked log replays its parent's, fills only what the first lacks.
     """
-    get = {n: at(f"payload.{k}") for k, n in _META.items()}
+    get = {n: at(f"payload.{k}") for k, n in META.items()}
     rows = raw.where(at("type") == "session_meta").select("session_key", "seq", *(c.alias(n) for n, c in get.items()))
     meta = first_and_last(rows, ["session_key"], "seq", list(get), [])
-    meta = meta.select("session_key", *(F.col(f"first_{n}").alias(n) for n in get))
+    return rollout_identity(meta.select("session_key", *(F.col(f"first_{n}").alias(n) for n in get)))
+
+
+def rollout_identity(meta: DataFrame) -> DataFrame:
+    """Rows with the columns of META, and with is_subagent, subagent_type, parent_id and agent instead of those that tell them."""
     source = F.try_parse_json("source")
     sub = F.try_variant_get(source, "$.subagent", "variant")
     own = F.coalesce(F.when(F.schema_of_variant(sub) == "STRING", F.try_variant_get(sub, "$", "string")), *(F.nullif(F.try_variant_get(sub, f"$.{k}", "string"), F.lit("")) for k in ("other", "type", "name")), F.lit("subagent"))
@@ -406,13 +410,19 @@ def forked_from(raw: DataFrame) -> DataFrame:
     return last.select("session_key", F.col("r.s").alias("parent_id"), F.col("r.m").alias("message_uuid"))
 
 
-def rollout_messages(raw: DataFrame) -> DataFrame:
-    """(session_key, seq, role, text, origin) of a rollout's conversational messages: mirrors, and envelopes of finished items."""
+def message_columns() -> tuple[Column, Column, Column]:
+    """Role and text of a rollout's record, and whether it is a mirror, else an envelope; the role is null where it is no message."""
     sub, item = at("payload.type"), at("payload.item.type")
     texts = F.array_compact(F.transform(F.try_variant_get("value", "$.payload.item.content", "array<variant>"), lambda b: F.nullif(F.try_variant_get(b, "$.text", "string"), F.lit(""))))
     role = F.when(sub == "user_message", "user").when(sub == "agent_message", "assistant").when((sub == "item_completed") & (item == "UserMessage"), "user").when((sub == "item_completed") & (item == "AgentMessage"), "assistant")
     text = F.when(sub == "item_completed", F.array_join(texts, "\n")).otherwise(at("payload.message"))
-    return raw.where((at("type") == "event_msg") & role.isNotNull()).select("session_key", "seq", role.alias("role"), F.coalesce(text, F.lit("")).alias("text"), F.when(sub == "item_completed", "envelope").otherwise("mirror").alias("origin"))
+    return F.when(at("type") == "event_msg", role), F.coalesce(text, F.lit("")), ~F.coalesce(sub == "item_completed", F.lit(False))
+
+
+def rollout_messages(raw: DataFrame) -> DataFrame:
+    """(session_key, seq, role, text, origin) of a rollout's conversational messages: mirrors, and envelopes of finished items."""
+    role, text, mirror = message_columns()
+    return raw.where(role.isNotNull()).select("session_key", "seq", role.alias("role"), text.alias("text"), F.when(mirror, "mirror").otherwise("envelope").alias("origin"))
 
 
 def mirrored_thoughts(raw: DataFrame) -> DataFrame:

@@ -186,6 +186,12 @@ def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(_turns(spark, sf_dir), file, made)
 
 
+def thread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a thread table for every third conversation."""
+    convs = _turns(spark, sf_dir).select("conv_id").distinct().where("conv_id % 3 = 0")
+    return convs.select(_thread(F.col("conv_id")).alias("session_key"), F.concat(F.lit("T "), F.col("conv_id").cast("string")).alias("ai_title"), F.concat(F.lit("/row/"), F.col("conv_id").cast("string")).alias("cwd"))
+
+
 def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.raw_records(rollout_lines(spark, sf_dir)).withColumn("session_key", jsonl.rollout_key(F.col("file")))
 
@@ -259,9 +265,7 @@ FROM rec LEFT JOIN c USING (session_key) GROUP BY session_key, n_user, n_assista
 """)
 def rollout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary row for each rollout, its messages counted once, its thread's row before its own fields."""
-    convs = _turns(spark, sf_dir).select("conv_id").distinct().where("conv_id % 3 = 0")
-    threads = convs.select(_thread(F.col("conv_id")).alias("session_key"), F.concat(F.lit("T "), F.col("conv_id").cast("string")).alias("ai_title"), F.concat(F.lit("/row/"), F.col("conv_id").cast("string")).alias("cwd"))
-    out = aggregates.rollout_summary(_rollouts(spark, sf_dir), threads)
+    out = aggregates.rollout_summary(_rollouts(spark, sf_dir), thread_rows(spark, sf_dir))
     return out.select("session_key", "n_user", "n_assistant", "n_tool", "n_reasoning", "n_web", "n_records", "model", "ai_title", "cwd")
 
 

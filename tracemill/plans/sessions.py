@@ -340,3 +340,78 @@ SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY l
 def largest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty longest documents of each language."""
     return aggregates.ranked(table(spark, sf_dir, "documents"), ["lang"], [F.col("n_chars").desc(), F.col("doc_id")], 20).select("doc_id", "source", "n_chars")
+
+
+#: What a session list tells of each conversation, in both languages.
+_LISTED = """
+listed AS (
+  SELECT DISTINCT conv_id AS session_key, CASE WHEN conv_id % 3 = 0 THEN 'claude' WHEN conv_id % 3 = 1 THEN 'codex' ELSE 'other' END AS agent, CASE WHEN conv_id % 4 <> 0 THEN 'T ' || conv_id END AS title,
+         '/w/' || conv_id % 5 AS cwd, CASE WHEN conv_id % 2 = 0 THEN 'main' END AS git_branch, '2025-02-0' || (1 + conv_id % 9) || ' 10:30' AS last_minute, conv_id % 7 = 6 AS is_subagent FROM conversations
+)
+"""
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    agent = F.when(conv % 3 == 0, "claude").when(conv % 3 == 1, "codex").otherwise("other")
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        conv.alias("session_key"), agent.alias("agent"), F.when(conv % 4 != 0, F.concat(F.lit("T "), conv.cast("string"))).alias("title"), F.concat(F.lit("/w/"), (conv % 5).cast("string")).alias("cwd"),
+        F.when(conv % 2 == 0, "main").alias("git_branch"), F.concat(F.lit("2025-02-0"), (1 + conv % 9).cast("string"), F.lit("T10:30:00Z")).alias("last_ts"), (conv % 7 == 6).alias("is_subagent"), F.lit("m-one").alias("model"),
+    )
+
+
+@query(f"""
+WITH {TURNS}, {_LISTED},
+p AS (SELECT session_key, seq, trim(text) AS text, CASE WHEN seq % 4 = 0 THEN '2025-01-0' || (1 + seq % 9) || ' 08:05' ELSE 'undated' END AS moment, (session_key + seq) % 5 = 2 AS abandoned FROM turns WHERE kind = 'user' AND trim(text) <> ''),
+body AS (SELECT session_key, count(*) AS n, string_agg('### ' || moment || CASE WHEN abandoned THEN ' (abandoned branch)' ELSE '' END || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY seq) AS body FROM p GROUP BY session_key)
+SELECT session_key, n::BIGINT AS n_prompts, '## [' || CASE agent WHEN 'claude' THEN 'Claude' WHEN 'codex' THEN 'Codex' ELSE agent END || '] ' || coalesce(title, '(untitled session)') || chr(10) || '- Project: ' || cwd || chr(10)
+       || CASE WHEN git_branch IS NULL THEN '' ELSE '- Branch: ' || git_branch || chr(10) END || '- Last active: ' || last_minute || chr(10) || '- Session: ' || session_key || chr(10) || '- Prompts: ' || n || chr(10) || chr(10) || body AS markdown
+FROM listed JOIN body USING (session_key) WHERE NOT is_subagent
+""")
+def digest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of each listed session in the digest of prompts."""
+    ts = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("2025-01-0"), (1 + F.col("seq") % 9).cast("string"), F.lit("T08:05:00Z")))
+    prompts = turns(spark, sf_dir).where("kind = 'user'").select("session_key", "seq", "text", ts.alias("ts"), ((F.col("session_key") + F.col("seq")) % 5 == 2).alias("abandoned"))
+    return convert.prompt_sections(prompts, _listed(spark, sf_dir))
+
+
+@query(f"""
+WITH {TURNS}, {_LISTED}, p AS (SELECT session_key, count(*) AS n FROM turns WHERE kind = 'user' AND trim(text) <> '' AND seq % 4 = 0 AND 1 + seq % 9 >= 5 GROUP BY session_key)
+SELECT count(*)::BIGINT AS n_sessions, coalesce(sum(n), 0)::BIGINT AS n_prompts,
+       '# My prompts, since 2025-01-05' || chr(10) || chr(10) || coalesce(sum(n), 0)::BIGINT || ' prompts across ' || count(*) || ' sessions. Each `##` is one session; each `###` is one prompt with its local date and time.' || chr(10) AS markdown
+FROM p JOIN listed USING (session_key) WHERE NOT is_subagent
+""")
+def digest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of the digest of prompts since a day."""
+    ts = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("2025-01-0"), (1 + F.col("seq") % 9).cast("string"), F.lit("T08:05:00Z")))
+    prompts = turns(spark, sf_dir).where("kind = 'user'").select("session_key", "seq", "text", ts.alias("ts"), F.lit(False).alias("abandoned"))
+    return convert.digest_head(convert.prompt_sections(prompts, _listed(spark, sf_dir), "2025-01-05"), "2025-01-05")
+
+
+@query(f"""
+WITH {TURNS}, {_LISTED}, {_WORK},
+shown AS (
+  SELECT *, CASE WHEN seq IN (2, 3) AND session_key % 3 = 1 THEN 1 WHEN seq = 4 AND session_key % 3 = 1 THEN 2 END AS branch FROM work WHERE kind IN ('user', 'assistant', 'reasoning', 'tool')
+),
+line AS (
+  SELECT session_key, CASE WHEN branch IS NOT NULL THEN 1 ELSE seq END AS spot, coalesce(branch, 0) AS branch, seq, block,
+         '## ' || CASE kind WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'reasoning' THEN 'Reasoning' ELSE 'Tool' END || CASE WHEN kind = 'assistant' AND seq % 4 = 1 THEN ' · m-two' ELSE '' END
+         || CASE WHEN kind = 'tool' AND seq % 4 = 3 THEN ' · failed' ELSE '' END || CASE WHEN branch IS NOT NULL THEN ' · abandoned branch' ELSE '' END
+         || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || text ELSE '' END || CASE WHEN kind = 'tool' THEN chr(10) || 'Tool: Bash' || chr(10) || 'command: run ' || seq || chr(10) || 'timeout: ' || seq ELSE '' END
+         || CASE WHEN kind = 'user' AND seq % 4 = 0 THEN chr(10) || '[image]' ELSE '' END || chr(10) AS l FROM shown
+  UNION ALL SELECT DISTINCT session_key, 1, branch, -1, 0, '## Abandoned branch ' || branch FROM shown WHERE branch IS NOT NULL
+),
+body AS (SELECT session_key, string_agg(l, chr(10) ORDER BY spot, branch, seq, block) AS body FROM line GROUP BY session_key)
+SELECT session_key, regexp_replace('# ' || coalesce(title, '(untitled session)') || chr(10) || 'Project: ' || cwd || chr(10) || 'Model: m-one' || chr(10) || 'Session: ' || session_key || chr(10) || chr(10) || body, '\\s+$', '') || chr(10) AS transcript
+FROM listed JOIN body USING (session_key)
+""")
+def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as plain texts, with headers, models, failed calls, their arguments, images and abandoned branches."""
+    kind, seq = F.col("kind"), F.col("seq")
+    odd = F.col("session_key") % 3 == 1
+    events = _work(spark, sf_dir).withColumns({
+        "model": F.when((kind == "assistant") & (seq % 4 == 1), "m-two").when(kind == "assistant", convert.NO_MODEL), "status": F.when((kind == "tool") & (seq % 4 == 3), "failed"),
+        "input": F.when(kind == "tool", F.to_variant_object(F.struct(seq.alias("timeout"), F.concat(F.lit("run "), seq.cast("string")).alias("command")))), "n_images": F.when((kind == "user") & (seq % 4 == 0), 1),
+        "branch": F.when(odd & seq.isin(2, 3), 1).when(odd & (seq == 4), 2), "fork": F.lit(1).cast("long"),
+    })
+    return convert.transcript_documents(events, _listed(spark, sf_dir))

@@ -30,6 +30,16 @@ def raw_records(lines: DataFrame) -> DataFrame:
     return file_sequence(parsed).select("file", "seq", "value")
 
 
+def placed_records(lines: DataFrame, place: str) -> DataFrame:
+    """(file, seq, value VARIANT, ...) of a stream of lines, whose place in the file stands for its number; the same lines don't count.
+
+    A line at a place below 0, as the tail source marks a file that is begun anew, stays though it has no value.
+    """
+    mark = F.col(place) < 0
+    parsed = lines.where(mark | not_bulky()).withColumn("value", F.try_parse_json("value")).where(mark | F.col("value").isNotNull())
+    return parsed.withColumn("seq", F.col(place).cast("long"))
+
+
 def tree_logs(spark: SparkSession, root: str) -> DataFrame:
     """Raw records of ``<root>/<project>/<session>.jsonl`` and of its ``subagents``, with session_key, project and parent_id."""
     return tree_records(raw_records(read_lines(spark, root)))

@@ -1,14 +1,13 @@
 """Capture stores (S13, S19) and stored tables that are replaced by key."""
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracemill.functions.checkpoints import delete, manifest, write_manifest
+from tracemill.functions.checkpoints import delete, file_system
 from tracemill.operators.facets import flagged_capture, store_events
 from tracemill.operators.sets import upsert
+from tracemill.sources.buckets import TARGET, Buckets, bucket_of
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
@@ -45,35 +44,29 @@ def flagged_report(index: DataFrame, events: DataFrame) -> DataFrame:
 class KeyedTable:
     """A stored table of one row a key, in buckets of the key; an upsert writes anew only the buckets of its keys.
 
-    A manifest says which folder counts for each bucket, so that readers see the state before an upsert or after it.
+    Readers see the state before an upsert or after it; a read that is planned before two more is still good.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = 1, target: int = TARGET):
         self.spark, self.path, self.key, self.schema = spark, path, key, schema
-        self.version, text = manifest(spark, path)
-        state = json.loads(text) if text else {"buckets": buckets, "folders": {}}
-        self.buckets, self.folders = state["buckets"], {int(b): f for b, f in state["folders"].items()}
+        self.buckets = Buckets(spark, path, target=target, least=buckets)
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        some = [f"{self.path}/{self.folders[b]}/bucket={b}" for b in sorted(self.folders) if buckets is None or b in buckets]
+    def read(self, buckets: set[int] | None = None) -> DataFrame:
+        some = self.buckets.paths(some=buckets)
         return self.spark.read.schema(self.schema).parquet(*some) if some else self.spark.createDataFrame([], self.schema)
 
     def upsert(self, new: DataFrame) -> None:
         """Puts rows, one a key, in place of those of the same keys."""
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        folder = f"version-{self.version + 1}"
-        scratch = f"{self.path}/new-{folder}"
-        new.select(*self.schema.names).withColumn("bucket", bucket).write.mode("overwrite").parquet(scratch)
-        given = self.spark.read.parquet(scratch)
-        touched = sorted(r[0] for r in given.select("bucket").distinct().collect())
-        if touched:
-            merged = upsert(self.read(touched), given.drop("bucket"), self.key)
-            merged.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
-            old = {b: self.folders[b] for b in touched if b in self.folders}
-            self.folders |= dict.fromkeys(touched, folder)
-            self.version += 1
-            write_manifest(self.spark, self.path, self.version, json.dumps({"buckets": self.buckets, "folders": self.folders}))
-            delete(self.spark, *(f"{self.path}/{f}/bucket={b}" for b, f in old.items()), f"{self.path}/manifest-{self.version - 1}")
+        scratch = f"{self.path}/new-{self.buckets.next_folder()}"
+        new.select(*self.schema.names).write.mode("overwrite").parquet(scratch)
+        given = self.spark.read.schema(self.schema).parquet(scratch)
+        own = {r[0] for r in given.select(bucket_of(self.key, self.buckets.count).alias("b")).distinct().collect()}
+        if own:
+            size = file_system(self.spark, scratch).getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(scratch)).getLength()
+            count = self.buckets.wanted(size)
+            touched = own | self.buckets.splitting(count)
+            self.buckets.write("", upsert(self.read(touched), given, self.key), self.key, count, len(touched) + count - self.buckets.count)
+            self.buckets.commit(touched, count)
         delete(self.spark, scratch)
 
 

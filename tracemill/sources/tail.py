@@ -4,38 +4,57 @@ import glob
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-HEAD = 4096
+#: Bytes at a file's begin, and before the place where reading stopped, that must be as they were for reading to go on.
+ENDS = 4096
+#: Bytes that one task reads at most, but for the end of its last line; triggers whose records are gathered into one.
+PIECE, TRIGGERS = 64 << 20, 64
 
 
-def _state(path: str) -> dict:
-    """End of the last whole line, and a hash of the file's first bytes with how many they are."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as file:
-        head = file.read(min(HEAD, size))
-        end, at = 0, size
-        while at > 0 and not end:
-            begin = max(0, at - 65536)
-            file.seek(begin)
-            found = file.read(at - begin).rfind(b"\n")
-            end, at = (begin + found + 1, 0) if found >= 0 else (0, begin)
-    return {"end": end, "head": hashlib.sha256(head).hexdigest(), "n": len(head), "stamp": _stamp(path)}
-
-
-def _stamp(path: str) -> list[int]:
+def stamp_of(path: str) -> list[int]:
     """What changes when a file does (F25): its size, time and identity."""
     now = os.stat(path)
     return [now.st_size, now.st_mtime_ns, now.st_ino]
 
 
-def _same_head(path: str, before: dict) -> bool:
+def _hash(file, begin: int, end: int) -> str:
+    file.seek(begin)
+    return hashlib.sha256(file.read(end - begin)).hexdigest()
+
+
+def last_line_end(file, size: int) -> int:
+    """The end of the last whole line among the first ``size`` bytes."""
+    at = size
+    while at > 0:
+        begin = max(0, at - 65536)
+        file.seek(begin)
+        found = file.read(at - begin).rfind(b"\n")
+        if found >= 0:
+            return begin + found + 1
+        at = begin
+    return 0
+
+
+def step(path: str, old: dict | None) -> tuple[dict, dict | None]:
+    """A file's new state, and the span to read: begin, end and version, or none.
+
+    The version is how often the file was begun anew: when it has shrunk, or either end of what was read is no longer as it was.
+    """
+    stamp = stamp_of(path)
     with open(path, "rb") as file:
-        return hashlib.sha256(file.read(before["n"])).hexdigest() == before["head"]
+        fresh = old is not None and (stamp[0] < old["end"] or _hash(file, 0, old["n"]) != old["head"] or _hash(file, max(0, old["end"] - ENDS), old["end"]) != old["tail"])
+        begin = old["end"] if old is not None and not fresh else 0
+        version = old["version"] + fresh if old is not None else 0
+        end = last_line_end(file, stamp[0])
+        n = min(ENDS, end)
+        state = {"end": end, "n": n, "head": _hash(file, 0, n), "tail": _hash(file, max(0, end - ENDS), end), "stamp": stamp, "version": version}
+    return state, {"begin": begin, "end": end, "version": version, "fresh": fresh} if fresh or end > begin else None
 
 
 @dataclass
@@ -43,53 +62,116 @@ class Span(InputPartition):
     path: str
     begin: int
     end: int
-    reset: bool
+    #: Where the bytes that this task reads begin and end: it takes the lines that begin among them.
+    low: int
+    high: int
+    version: int
+    fresh: bool
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are, by path, the end of what is read. A file that has shrunk or begins otherwise is read anew, marked as reset."""
+    """Offsets are numbers of records of change in a folder: what each trigger found new, by file, with the files' states.
+
+    So the checkpoint holds one number however many files there are, a batch that is run again reads the same spans, and a
+    restart gathers the states from the records. Records of many triggers are gathered into one once they are done.
+    """
 
-    def __init__(self, pattern: str):
-        self.pattern, self.known = pattern, {}
+    def __init__(self, pattern: str, folder: str):
+        self.pattern, self.folder = pattern, folder
+        self.known, self.at = None, 0
+
+    def _records(self, kind: str) -> list[int]:
+        names = os.listdir(self.folder) if os.path.isdir(self.folder) else []
+        return sorted(int(n[len(kind) : -6]) for n in names if n.startswith(kind) and n.endswith(".jsonl"))
+
+    def _read(self, name: str) -> Iterator[dict]:
+        with open(f"{self.folder}/{name}.jsonl", encoding="utf-8") as file:
+            yield from map(json.loads, file)
+
+    def _write(self, name: str, rows: Iterator[dict]) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        part = f"{self.folder}/_writing-{uuid.uuid4().hex}"
+        with open(part, "w", encoding="utf-8") as file:
+            file.writelines(json.dumps(row) + "\n" for row in rows)
+        os.replace(part, f"{self.folder}/{name}.jsonl")
+
+    def _restore(self) -> None:
+        if self.known is None:
+            bases, changes = self._records("base-"), self._records("change-")
+            self.at = bases[-1] if bases else 0
+            self.known = {row["path"]: row["state"] for row in self._read(f"base-{self.at}")} if bases else {}
+            for n in (n for n in changes if n > self.at):
+                self.known |= {row["path"]: row["state"] for row in self._read(f"change-{n}")}
+                self.at = n
 
     def initialOffset(self) -> dict:
-        return {"files": "{}"}
+        return {"change": 0}
 
     def latestOffset(self) -> dict:
         """Files are listed each time; only those whose stamp has changed are opened."""
-        paths = [p for p in sorted(glob.glob(self.pattern, recursive=True)) if os.path.isfile(p)]
-        self.known = {p: self.known[p] if p in self.known and self.known[p]["stamp"] == _stamp(p) else _state(p) for p in paths}
-        return {"files": json.dumps(self.known)}
+        self._restore()
+        found = []
+        for path in sorted(glob.glob(self.pattern, recursive=True)):
+            old = self.known.get(path)
+            if os.path.isfile(path) and (old is None or old["stamp"] != stamp_of(path)):
+                state, span = step(path, old)
+                if span or old is None or state != old:
+                    found.append({"path": path, "state": state, "span": span})
+        if found:
+            self._write(f"change-{self.at + 1}", iter(found))
+            self.at += 1
+            self.known |= {row["path"]: row["state"] for row in found}
+        return {"change": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        before, now, spans = json.loads(start["files"]), json.loads(end["files"]), []
-        for path, state in now.items():
-            old = before.get(path)
-            if old and old.get("stamp") == state["stamp"]:
-                continue
-            reset = bool(old) and (state["end"] < old["end"] or not _same_head(path, old))
-            begin = 0 if reset or not old else old["end"]
-            if state["end"] > begin:
-                spans.append(Span(path, begin, state["end"], reset))
-        return spans
+        out = []
+        for n in range(start["change"] + 1, end["change"] + 1):
+            for row in self._read(f"change-{n}"):
+                if row["span"]:
+                    s = row["span"]
+                    lows = range(s["begin"], max(s["end"], s["begin"] + 1), PIECE)
+                    out += [Span(row["path"], s["begin"], s["end"], low, min(low + PIECE, s["end"]), s["version"], s["fresh"] and low == s["begin"]) for low in lows]
+        return out
 
     def read(self, partition: Span) -> Iterator[tuple]:
+        if partition.fresh:
+            yield (partition.path, -1, None, partition.version)
         with open(partition.path, "rb") as file:
-            file.seek(partition.begin)
-            at = partition.begin
-            while at < partition.end:
-                line = file.readline()
-                yield (partition.path, at, line.decode("utf-8", "replace").rstrip("\n"), partition.reset)
+            at = partition.low
+            if at > partition.begin:
+                # the line that holds the byte before is another task's
+                file.seek(at - 1)
+                at += len(file.readline()) - 1
+            else:
+                file.seek(at)
+            while at < partition.high:
+                line = file.readline(partition.end - at)
+                if not line.endswith(b"\n"):
+                    # the file was cut meanwhile: the next trigger begins it anew
+                    break
+                yield (partition.path, at, line[:-1].decode("utf-8", "replace"), partition.version)
                 at += len(line)
 
     def commit(self, end: dict) -> None:
-        pass
+        """Gathers the states of what is done, every so many triggers; the records before go."""
+        bases = self._records("base-")
+        if end["change"] - (bases[-1] if bases else 0) < TRIGGERS:
+            return
+        known = {row["path"]: row["state"] for row in self._read(f"base-{bases[-1]}")} if bases else {}
+        for n in (n for n in self._records("change-") if n <= end["change"]):
+            known |= {row["path"]: row["state"] for row in self._read(f"change-{n}")}
+        self._write(f"base-{end['change']}", ({"path": p, "state": s} for p, s in known.items()))
+        # the last batch's records stay: it may be run again
+        for name in [*(f"base-{n}" for n in bases), *(f"change-{n}" for n in self._records("change-") if n < end["change"])]:
+            os.remove(f"{self.folder}/{name}.jsonl")
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("tail").option("path", glob)``: (file, at, value, reset) for each whole line appended.
+    """``spark.readStream.format("tail").option("path", glob).option("state", folder)``: (file, at, value, version) for each whole line appended.
 
-    Paths must be visible to the driver and to all executors. A half-written last line waits for its end.
+    A half-written last line waits for its end. A file that has shrunk, or whose first bytes or whose last ones before the stop
+    are no longer those that were read, is read anew: a row without a value at -1, with the next version, says that lines of
+    smaller versions no longer count. Paths must be visible to the driver and to all executors; the state's folder, to the driver.
     """
 
     @classmethod
@@ -97,7 +179,7 @@ class TailSource(DataSource):
         return "tail"
 
     def schema(self) -> str:
-        return "file string, at long, value string, reset boolean"
+        return "file string, at long, value string, version long"
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return TailReader(self.options["path"])
+        return TailReader(self.options["path"], self.options["state"])

@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,3 +88,18 @@ def deletions(sightings: DataFrame, grace: int, late: str = "0 seconds") -> Data
     """
     rows = sightings.withWatermark("seen", late).select("path", "seen", F.unix_millis("seen").alias("seen_ms"))
     return rows.groupBy("path").applyInPandasWithState(_watched(grace * 1000), "path string, last_seen long, event string", "last long, gone boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def uptimes(beats: DataFrame, by: list[str], t: str, most: str, late: str = "0 seconds") -> DataFrame:
+    """T5: (by..., up_from, up_to) of a stream of heartbeats (by..., t timestamp): spells without a gap of more than ``most``.
+
+    A spell is given once the watermark says that no heartbeat can prolong it; to be written in append mode.
+    """
+    spell = F.session_window(t, most).alias("_spell")
+    return beats.withWatermark(t, late).groupBy(*by, spell).agg(F.min(t).alias("up_from"), F.max(t).alias("up_to")).drop("_spell")
+
+
+def gaps_between(spells: DataFrame, by: list[str]) -> DataFrame:
+    """T5: (by..., gap_start, gap_end) between a key's spells, as ``operators.capture.downtime_gaps`` gives them of single heartbeats."""
+    before = F.lag("up_to").over(Window.partitionBy(*by).orderBy("up_from"))
+    return spells.select(*by, before.alias("gap_start"), F.col("up_from").alias("gap_end")).where("gap_start is not null")
