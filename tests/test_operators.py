@@ -111,7 +111,7 @@ def test_index_is_refreshed_by_fingerprint(spark, tmp_path):
     want = {i: (normalized(texts[i][:5]).count("the"), normalized(texts[i]).count("the")) for i in prints}
     hits = opened().search("  THE ")
     assert {r.file: (r.n_user, r.n_rest) for r in hits.collect()} == {i: n for i, n in want.items() if any(n)}
-    for r in index.located(hits, "the").collect():
+    for r in index.located("the", hits).collect():
         source, base = (texts[r.file][:5], 0) if r.segment == "user" else (texts[r.file], len(texts[r.file][:5]))
         begin, end = search.found_in(source, "the")
         assert (r.position, r.snippet) == (base + begin, search.context(source, begin, end))

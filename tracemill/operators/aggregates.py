@@ -167,6 +167,12 @@ def capture_status(captures: DataFrame) -> DataFrame:
     return captures.groupBy("source").agg(F.count("*").alias("n_files"), F.count_if(F.size("flags") > 0).alias("n_flagged"), F.count_if(F.col("status") == "deleted").alias("n_deleted"))
 
 
+def open_failures(changes: DataFrame, source: str, key: str, order: str) -> DataFrame:
+    """(source, n_open, since) of access changes (source, key, order, change): files whose last change is a loss, and the first such loss."""
+    last = changes.groupBy(source, key).agg(F.max_by("change", order).alias("_c"), F.max(order).alias("_at"))
+    return last.where("_c = 'access_lost'").groupBy(source).agg(F.count("*").alias("n_open"), F.min("_at").alias("since"))
+
+
 def digest_totals(prompts: DataFrame) -> DataFrame:
     """Sessions and prompts of a digest."""
     return prompts.agg(F.countDistinct("session_key").alias("n_sessions"), F.count("*").alias("n_prompts"))

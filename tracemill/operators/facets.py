@@ -64,14 +64,24 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return counted.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
+def relevance(*keys: str) -> list[Column]:
+    """O3's order: best score first, then the earliest position, then keys."""
+    return [F.col("score").desc(), F.col("position"), *map(F.col, keys)]
+
+
+def relevance_and_age(*keys: str) -> list[Column]:
+    """O4's order: by score, hits of metadata alone at a half, then the newest, then keys."""
+    return [F.coalesce("score", F.lit(METADATA_SCORE)).desc(), F.col("mtime").desc(), *map(F.col, keys)]
+
+
 def by_relevance(hits: DataFrame, *keys: str) -> DataFrame:
     """O3: best score first, then the earliest position, then by keys."""
-    return hits.orderBy(F.col("score").desc(), "position", *keys)
+    return hits.orderBy(*relevance(*keys))
 
 
 def by_relevance_and_age(sessions: DataFrame, *keys: str) -> DataFrame:
     """Hits by score, those of metadata alone at a half, then the newest, then by keys."""
-    return sessions.orderBy(F.coalesce("score", F.lit(METADATA_SCORE)).desc(), F.col("mtime").desc(), *keys)
+    return sessions.orderBy(*relevance_and_age(*keys))
 
 
 def work_order(pending: DataFrame, mtime: str, key: str, size: int) -> DataFrame:

@@ -119,19 +119,20 @@ class SearchIndex:
         rows = self.docs().select("file", *SEGMENTS, F.explode(F.filter(asked, lambda q: F.contains("user", q) | F.contains("rest", q))).alias("query"))
         return scored(tier_counts(rows, F.col("query"), list(SEGMENTS)).drop(*SEGMENTS), list(SEGMENTS))
 
-    def located(self, hits: DataFrame, query: str) -> DataFrame:
-        """(file, segment, position, snippet) of the first match of ``hits`` (file) in their content, the user's texts first.
+    def located(self, query: str, hits: DataFrame | None = None) -> DataFrame:
+        """(file, segment, position, snippet) of the first match in the content of each session, or of those in ``hits`` (file), the user's texts first.
 
-        Only the chunks around a match are read: the one that holds it, those up to its end, and one on each side.
-        position counts from the begin of the user's texts.
+        The stored texts are read once, the chunks' places without their texts, and then only the chunks around a match: the one
+        that holds it, those up to its end, and one on each side. position counts from the begin of the user's texts.
         """
         needle = normalized(query)
         spot = lambda s: F.instr(F.col(s), needle)
-        docs = self.docs().join(hits.select("file"), "file", "left_semi").select("file", "user_chars", spot("user").alias("u"), spot("rest").alias("r"))
-        first = docs.where("u > 0 or r > 0").select("file", F.when(F.col("u") > 0, "user").otherwise("rest").alias("segment"), F.when(F.col("u") > 0, F.col("u")).otherwise(F.col("r")).alias("at"), F.when(F.col("u") > 0, 0).otherwise(F.col("user_chars")).alias("base"))
-        spots = self.chunks().join(first, ["file", "segment"])
-        head = spots.groupBy("file", "segment").agg(F.max(F.when(F.col("norm_at") < F.col("at"), F.col("n"))).alias("head"), F.max(F.when(F.col("norm_at") < F.col("at") + len(needle), F.col("n"))).alias("tail"))
-        near = spots.join(head, ["file", "segment"]).where("n between head - 1 and tail + 1")
+        docs = self.docs() if hits is None else self.docs().join(hits.select("file"), "file", "left_semi")
+        docs = docs.where(F.lit(needle != "") & (F.contains("user", F.lit(needle)) | F.contains("rest", F.lit(needle)))).select("file", "user_chars", spot("user").alias("u"), spot("rest").alias("r"))
+        first = docs.select("file", F.when(F.col("u") > 0, "user").otherwise("rest").alias("segment"), F.when(F.col("u") > 0, F.col("u")).otherwise(F.col("r")).alias("at"), F.when(F.col("u") > 0, 0).otherwise(F.col("user_chars")).alias("base"))
+        places = self.chunks().select("file", "segment", "n", "norm_at").join(first, ["file", "segment"])
+        head = places.groupBy("file", "segment", "base").agg(F.max(F.when(F.col("norm_at") < F.col("at"), F.col("n"))).alias("head"), F.max(F.when(F.col("norm_at") < F.col("at") + len(needle), F.col("n"))).alias("tail"))
+        near = self.chunks().join(head, ["file", "segment"]).where("n between head - 1 and tail + 1")
         parts = near.groupBy("file", "segment", "base").agg(
             F.max(F.when(F.col("n") < F.col("head"), F.col("chunk"))).alias("before"), F.min(F.when(F.col("n") >= F.col("head"), F.col("src_start"))).alias("start"),
             F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("n") >= F.col("head"), F.struct("n", "chunk")))), lambda x: x["chunk"]), "").alias("text"),

@@ -244,6 +244,31 @@ def is_session_log(path: Column, root: str, depth: int) -> Column:
     return F.startswith(path, F.lit(root)) & F.endswith(path, F.lit(".jsonl")) & (F.size(F.split(F.substr(path, F.lit(len(root) + 1)), "/")) == depth)
 
 
+def encrypted_items(parts: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, id, format, data) of the opaque reasoning items that providers left on the reasoning parts (key, order, data VARIANT).
+
+    Of a part the first such detail counts, in whichever provider's metadata it lies; the same metadata on parts of other kinds
+    of a step are not looked at, and an item that comes again counts where it came first.
+    """
+    providers = F.map_values(F.try_variant_get("data", "$.metadata", "map<string,variant>"))
+    details = F.flatten(F.transform(providers, lambda p: F.coalesce(F.try_variant_get(p, "$.reasoning_details", "array<variant>"), F.array().cast("array<variant>"))))
+    first = F.get(F.filter(details, lambda d: F.try_variant_get(d, "$.type", "string") == "reasoning.encrypted"), F.lit(0))
+    found = parts.where(F.try_variant_get("data", "$.type", "string") == "reasoning").select(key, order, first.alias("_d")).where("_d is not null")
+    get = lambda name: F.try_variant_get("_d", f"$.{name}", "string").alias(name)
+    items = found.select(key, order, get("id"), get("format"), get("data"))
+    again = F.row_number().over(Window.partitionBy(key, F.coalesce("id", F.concat(F.lit("\0"), F.col(order).cast("string")))).orderBy(order))
+    return items.withColumn("_n", again).where("_n = 1").drop("_n")
+
+
+def store_identity(meta: DataFrame) -> DataFrame:
+    """Rows (value VARIANT, ...) of a chat store's metadata with whose sub-agent they are: is_subagent, subagent_type, parent_id, root_parent_id."""
+    info = lambda name: F.nullif(F.try_variant_get("value", f"$.subagentInfo.{name}", "string"), F.lit(""))
+    sub = info("parentAgentId").isNotNull()
+    return meta.withColumns({
+        "is_subagent": sub, "subagent_type": F.when(sub, F.coalesce(info("typeName"), F.lit("cursor-cli"))), "parent_id": F.when(sub, info("parentAgentId")), "root_parent_id": F.when(sub, F.coalesce(info("rootParentAgentId"), info("parentAgentId"))),
+    })
+
+
 def encrypted(metadata: Column) -> Column:
     """Whether a message's metadata (VARIANT array of parts) hold encrypted reasoning."""
     parts = F.try_variant_get(metadata, "$", "array<variant>")

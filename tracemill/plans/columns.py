@@ -22,8 +22,8 @@ SELECT event_id, CASE WHEN ms = 0 THEN '' ELSE strftime(make_timestamp(ms * 1000
        strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M') AS minute,
        CASE WHEN age < 60 THEN 'now' WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' ELSE (age // 86400) || 'd ago' END AS age,
        CASE WHEN dur < 1000 THEN dur || 'ms' WHEN dur < 60000 THEN printf('%.1f', dur / 1000.0) || 's' ELSE (dur // 60000) || 'm ' || (dur // 1000 % 60) || 's' END AS duration,
-       CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0) || ' KB' ELSE NULL END AS size
-FROM e WHERE size < 1048576
+       CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0) || ' KB' WHEN size < 1073741824 THEN printf('%.1f', size / 1048576.0) || ' MB' ELSE printf('%.1f', size / 1073741824.0) || ' GB' END AS size
+FROM e
 """)
 def time_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epoch numbers to ISO texts and back, local days and minutes, ages, durations and sizes."""
@@ -31,7 +31,7 @@ def time_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.when(k % 7 == 0, 0).otherwise(F.unix_millis("ts"))
     given = F.when(k % 5 == 0, "no time").when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSX")).otherwise((event * 1000).cast("string"))
     size = event * 512 * F.when(k % 2 == 0, 1).otherwise(3000)
-    events = log(spark, sf_dir).where(size < 1 << 20).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     return events.select("event_id", times.millis_to_iso(ms).alias("iso"), times.to_millis(given).alias("ms"), times.local_day(F.col("ts")).alias("day"), times.local_minute(F.col("ts")).alias("minute"), times.relative_age(event * 37 % 200000).alias("age"), times.duration(event * 100 % 900000).alias("duration"), times.byte_size(size).alias("size"))
 
 

@@ -301,6 +301,11 @@ UNION ALL SELECT conv_id::VARCHAR, seq, 1, 'tool', NULL, 'Read', 'f-' || id FROM
 """)
 def export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lossy exports as events."""
+    path = F.try_variant_get("input", "$.file_path", "string")
+    return _exports(spark, sf_dir).select("session_key", "seq", F.col("block").cast("long").alias("block"), "kind", "text", "name", path.alias("path"))
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit, role = F.lit, F.col("role")
     file = F.concat(lit("/proj/agent-transcripts/"), F.col("conv_id").cast("string"), lit("/"), F.col("conv_id").cast("string"), lit(".jsonl"))
     asked = F.concat(lit("<timestamp>now</timestamp>\n<user_query>\n"), F.col("text"), lit("\n</user_query>"))
@@ -312,8 +317,7 @@ def export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     raw = jsonl.raw_records(_lines(_turns(spark, sf_dir), file, made))
     keyed = raw.where(F.col("file").contains("/agent-transcripts/")).withColumn("session_key", F.regexp_extract("file", r"/([^/]+)\.jsonl$", 1))
-    path = F.try_variant_get("input", "$.file_path", "string")
-    return records.export_events(keyed).select("session_key", "seq", F.col("block").cast("long").alias("block"), "kind", "text", "name", path.alias("path"))
+    return records.export_events(keyed)
 
 
 def _stores(rows: DataFrame, statements: list[str]) -> sqlite.Stores:
@@ -463,6 +467,10 @@ UNION ALL SELECT 'chat-' || conv_id, seq, 2, 'tool', NULL, 'Grep', 'p ' || id, '
 """)
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of chat stores as events; copies of a message in a row come once."""
+    return _chats(spark, sf_dir).select("session_key", "seq", F.col("block").cast("long").alias("block"), "kind", "text", "name", F.try_variant_get("input", "$.pattern", "string").alias("pattern"), "result", "is_error")
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, lit, role, turn = _turns(spark, sf_dir), F.lit, F.col("role"), F.col("turn")
     path = F.concat(lit("/chats/chat-"), F.col("conv_id").cast("string"), lit("/store.db"))
     block = lambda kind, **more: F.to_variant_object(F.struct(lit(kind).alias("type"), *(c.alias(n) for n, c in more.items())))
@@ -474,8 +482,7 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(role == "assistant", F.struct(_named("c-").alias("id"), _json(role=lit("tool"), content=answer).alias("data"))), F.when(turn == 0, F.struct(_named("d-").alias("id"), lit("\x00\x01 no json").alias("data"))),
     )
     rows = turns.select(path.alias("path"), turn, F.posexplode(made).alias("k", "x")).where("x is not null").select("path", F.lit(0).alias("n"), (turn * 10 + F.col("k")).alias("o"), F.array("x.id", "x.data").alias("cells"))
-    events = records.blob_events(sqlite.blob_messages(_stores(rows, ["CREATE TABLE blobs (id TEXT, data BLOB)"])))
-    return events.select("session_key", "seq", F.col("block").cast("long").alias("block"), "kind", "text", "name", F.try_variant_get("input", "$.pattern", "string").alias("pattern"), "result", "is_error")
+    return records.blob_events(sqlite.blob_messages(_stores(rows, ["CREATE TABLE blobs (id TEXT, data BLOB)"])))
 
 
 @query("""
@@ -536,3 +543,55 @@ def capture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of each source, how many are flagged or deleted."""
     return aggregates.capture_status(_captures(spark, sf_dir)[0])
 
+
+@query("""
+SELECT conv_id, turn, 'rs-' || conv_id || '-' || (turn - turn % 2) AS id, CASE WHEN turn % 4 < 2 THEN 'f-one' ELSE 'f-two' END AS format, 'zz' || turn AS data FROM conversations
+WHERE turn % 3 <> 2 AND (turn % 2 = 0 OR (turn - 1) % 3 = 2 OR NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = conversations.conv_id AND c.turn = conversations.turn - 1))
+""")
+def encrypted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as parts whose provider left an opaque reasoning item, every other turn the one before's again; every third part is a tool's."""
+    turn = F.col("turn")
+    name = F.concat(F.lit("rs-"), F.col("conv_id").cast("string"), F.lit("-"), (turn - turn % 2).cast("string"))
+    detail = lambda kind: F.struct(F.lit(kind).alias("type"), name.alias("id"), F.when(turn % 4 < 2, "f-one").otherwise("f-two").alias("format"), F.concat(F.lit("zz"), turn.cast("string")).alias("data"))
+    metadata = F.struct(F.struct(F.lit(1).alias("x")).alias("other"), F.struct(F.array(detail("reasoning.summary"), detail("reasoning.encrypted")).alias("reasoning_details")).alias("provider"))
+    parts = _turns(spark, sf_dir).select("conv_id", "turn", F.to_variant_object(F.struct(F.when(turn % 3 == 2, "tool").otherwise("reasoning").alias("type"), metadata.alias("metadata"))).alias("data"))
+    return records.encrypted_items(parts, "conv_id", "turn")
+
+
+@query("""
+SELECT DISTINCT conv_id, conv_id % 3 = 1 AS is_subagent, CASE WHEN conv_id % 3 = 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'explore' ELSE 'cursor-cli' END END AS subagent_type,
+       CASE WHEN conv_id % 3 = 1 THEN 'p' || conv_id END AS parent_id, CASE WHEN conv_id % 3 = 1 THEN CASE WHEN conv_id % 4 = 0 THEN 'root' ELSE 'p' || conv_id END END AS root_parent_id FROM conversations
+""")
+def store_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat stores' metadata, of which every third tells whose sub-agent it is, and every third but one tells nothing that counts."""
+    conv = F.col("conv_id")
+    info = F.struct(F.when(conv % 3 == 1, F.concat(F.lit("p"), conv.cast("string"))).otherwise("").alias("parentAgentId"), F.when(conv % 2 == 0, "explore").alias("typeName"), F.when(conv % 4 == 0, "root").alias("rootParentAgentId"))
+    meta = _turns(spark, sf_dir).select("conv_id").distinct().select("conv_id", F.parse_json(F.to_json(F.struct(F.when(conv % 3 != 2, info).alias("subagentInfo"), F.lit("x").alias("name")))).alias("value"))
+    return records.store_identity(meta).drop("value")
+
+
+#: The title of a conversation in SQL: its first prompt, single-spaced and cut.
+_ASKED = """
+asked AS (SELECT conv_id, arg_min(trim(regexp_replace(text, '\\s+', ' ', 'g')), turn) AS f FROM conversations WHERE role = 'user' GROUP BY conv_id),
+n AS (
+  SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, any_value(CASE WHEN length(f) > 100 THEN substr(f, 1, 100) || '…' ELSE f END) AS title
+  FROM conversations LEFT JOIN asked USING (conv_id) GROUP BY conv_id HAVING u + a > 0
+)
+"""
+_SUMMED = ["session_key", "n_records", "n_user", "n_assistant", "n_tool", "n_web", "title"]
+
+
+@query(f"""
+WITH {_ASKED} SELECT conv_id::VARCHAR AS session_key, (u + 2 * a)::BIGINT AS n_records, u::BIGINT AS n_user, a::BIGINT AS n_assistant, a::BIGINT AS n_tool, 0::BIGINT AS n_web, coalesce(title, '') AS title FROM n
+""")
+def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: a summary row for each lossy export."""
+    return aggregates.session_summary(_exports(spark, sf_dir)).select(*_SUMMED)
+
+
+@query(f"""
+WITH {_ASKED} SELECT 'chat-' || conv_id AS session_key, (u + 3 * a)::BIGINT AS n_records, u::BIGINT AS n_user, a::BIGINT AS n_assistant, a::BIGINT AS n_tool, 0::BIGINT AS n_web, coalesce(title, '') AS title FROM n
+""")
+def chat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: a summary row for each chat store."""
+    return aggregates.session_summary(_chats(spark, sf_dir)).select(*_SUMMED)

@@ -110,27 +110,22 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 7 % 11)::DOUBLE END AS score, doc_id * 13 % 101 AS mtime FROM documents)
-SELECT doc_id, row_number() OVER (ORDER BY score DESC, mtime DESC, doc_id)::BIGINT AS place FROM (SELECT doc_id, mtime, coalesce(score, 0.5) AS score FROM s) QUALIFY place <= 60
+SELECT doc_id, row_number() OVER (ORDER BY score DESC, mtime DESC, doc_id)::BIGINT AS place FROM (SELECT doc_id, mtime, coalesce(score, 0.5) AS score FROM s)
 """)
 def ranked_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sixty hits by score, those of metadata alone at a half, then by age."""
+    """The place of every hit by score, those of metadata alone at a half, then by age."""
     n = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(n % 3 != 0, (n * 7 % 11).cast("double")).alias("score"), (n * 13 % 101).alias("mtime"))
-    return _placed(facets.by_relevance_and_age(docs, "doc_id").limit(60))
+    return facets.numbered(docs, facets.relevance_and_age("doc_id"), "place").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query("""
-SELECT doc_id, row_number() OVER (ORDER BY doc_id * 7 % 11 DESC, doc_id * 13 % 101, doc_id)::BIGINT AS place FROM documents QUALIFY place <= 60
+SELECT doc_id, row_number() OVER (ORDER BY doc_id * 7 % 11 DESC, doc_id * 13 % 101, doc_id)::BIGINT AS place FROM documents
 """)
 def ranked_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: the first sixty hits by score, then by position."""
+    """O3: the place of every hit by score, then by position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 11).alias("score"), (F.col("doc_id") * 13 % 101).alias("position"))
-    return _placed(facets.by_relevance(docs, "doc_id").limit(60))
-
-
-def _placed(top: DataFrame) -> DataFrame:
-    """The few rows of a top list with their place."""
-    return top.agg(F.collect_list("doc_id").alias("ids")).select(F.posexplode("ids").alias("at", "doc_id")).select("doc_id", (F.col("at") + 1).cast("long").alias("place"))
+    return facets.numbered(docs, facets.relevance("doc_id"), "place").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.checkpoints import shared_folder, with_checkpoints
 from tracemill.functions.text import normalize_plain, normalize_search_text, snippet
-from tracemill.operators import aggregates, capture, joins, search, tree, windows
+from tracemill.operators import aggregates, capture, compare, joins, search, tree, windows
 from tracemill.operators.index import SearchIndex
 from tracemill.plans.registry import LOG, TURNS, log, query, table, turns
 
@@ -111,7 +111,7 @@ def search_located(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_index_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the index, by the chunks around each match."""
     index = documents_index(spark, sf_dir)
-    return index.located(index.search("que la"), "que la").select(F.col("file").alias("doc_id"), "position", "snippet")
+    return index.located("que la").select(F.col("file").alias("doc_id"), "position", "snippet")
 
 
 @query(f"""
@@ -519,3 +519,34 @@ def branch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), turn.alias("node"), parent.cast("long").alias("parent"), turn.alias("first_idx"))
     tips = edges.groupBy("session").agg(F.max("node").alias("tip"))
     return tree.fold(edges, tips).select("session", "node", "is_active", "branch_id", F.col("branch_group").cast("long"))
+
+
+@query("""
+WITH t AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 <> 6 THEN text END AS a,
+         CASE WHEN doc_id % 7 = 5 THEN NULL WHEN doc_id % 7 = 1 THEN text || ' more' WHEN doc_id % 7 = 2 THEN substr(text, 1, length(text) // 2) || chr(127) || substr(text, length(text) // 2 + 2) WHEN doc_id % 7 = 3 THEN substr(text, 1, length(text) // 3) ELSE text END AS b
+  FROM documents WHERE text IS NOT NULL AND length(text) > 1
+)
+SELECT doc_id, CASE WHEN a IS NULL THEN 'untracked' WHEN b IS NULL THEN 'deleted' WHEN doc_id % 7 = 1 THEN 'ahead' WHEN doc_id % 7 IN (2, 3) THEN 'modified' ELSE 'verified' END AS state, strlen(a)::BIGINT AS captured_bytes, strlen(b)::BIGINT AS live_bytes,
+       CASE doc_id % 7 WHEN 1 THEN strlen(a) WHEN 2 THEN strlen(substr(a, 1, length(a) // 2)) WHEN 3 THEN strlen(b) END::BIGINT AS first_difference
+FROM t
+""")
+def byte_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as captures and live files, some of them ahead, edited in the middle, cut, gone or new, compared in blocks of 256 bytes."""
+    docs, n, text = table(spark, sf_dir, "documents").where("text is not null and length(text) > 1"), F.col("doc_id") % 7, F.col("text")
+    part = lambda d: F.expr(f"substring(text, 1, length(text) div {d})")
+    edited = F.concat(part(2), F.lit("\x7f"), F.expr("substring(text, length(text) div 2 + 2)"))
+    live = F.when(n == 5, None).when(n == 1, F.concat(text, F.lit(" more"))).when(n == 2, edited).when(n == 3, part(3)).otherwise(text)
+    sides = (compare.blocks_of(docs.select("doc_id", c.alias("t")), "doc_id", "t", 256) for c in (F.when(n != 6, text), live))
+    return compare.compare_bytes(*sides, "doc_id", 256)
+
+
+@query(f"""
+WITH {LOG}, b AS (SELECT user_id, event_id, event_type <> 'error' AS ok, lag(event_type <> 'error', 1, true) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM log),
+l AS (SELECT user_id, arg_max(ok, event_id) AS ok, max(event_id) AS at_event FROM b WHERE ok <> was GROUP BY user_id)
+SELECT user_id % 5 AS source, count(*)::BIGINT AS n_open, min(at_event) AS since FROM l WHERE NOT ok GROUP BY user_id % 5
+""")
+def open_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, the files to which access is still lost, and since when."""
+    changes = access_changes(spark, sf_dir).withColumn("source", F.col("user_id") % 5)
+    return aggregates.open_failures(changes, "source", "user_id", "event_id")

@@ -415,3 +415,40 @@ def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "branch": F.when(odd & seq.isin(2, 3), 1).when(odd & (seq == 4), 2), "fork": F.lit(1).cast("long"),
     })
     return convert.transcript_documents(events, _listed(spark, sf_dir))
+
+
+@query(f"""
+WITH {TURNS}, e AS (SELECT session_key, seq % 6 AS c, 'events[' || (row_number() OVER (PARTITION BY session_key ORDER BY seq) - 1) || ']' AS path FROM turns)
+SELECT session_key, path || p AS path, problem FROM e JOIN (VALUES
+  (1, '.blocks[1]', 'text must be a text'), (1, '.blocks[2]', 'block type is unknown'), (1, '.blocks[3]', 'text of the result is missing'), (2, '', 'kind is unknown'), (3, '', 'input is missing'), (3, '', 'result is missing'),
+  (4, '.groups[0][0]', 'text must be a text'), (4, '.groups[1]', 'group is no list'), (4, '.groups[0][1].groups[0][0].blocks[0]', 'block is no object'), (5, '', 'status is unknown')) AS v(k, p, problem) ON c = k
+UNION ALL SELECT DISTINCT session_key, 'session', 'agent is unknown' FROM turns WHERE session_key % 3 = 1
+UNION ALL SELECT DISTINCT session_key, 'session', 'title must be a text' FROM turns WHERE session_key % 4 = 2
+""")
+def session_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as whole sessions in JSON, with faults in events, blocks, results, and branches within branches."""
+    code, text = F.col("seq") % 6, F.to_json(F.struct(F.col("text").alias("text")))
+    fine = F.concat(F.lit('{"kind":"user",'), F.substring(text, 2, 1 << 30))
+    event = (
+        F.when(code == 0, fine).when(code == 1, F.lit('{"kind":"assistant","blocks":[{"type":"text","text":"a"},{"type":"thinking"},{"type":"odd"},{"type":"tool_use","name":"n","input":null,"result":{"images":[]}}]}'))
+        .when(code == 2, F.lit('{"kind":"bogus"}')).when(code == 3, F.lit('{"kind":"tool","name":"n"}'))
+        .when(code == 4, F.lit('{"kind":"branch","count":2,"groups":[[{"kind":"user","text":1},{"kind":"branch","count":1,"groups":[[{"kind":"user","blocks":[7]}]]}],"x"]}')).otherwise(F.lit('{"kind":"status","status":"odd"}'))
+    )
+    events = turns(spark, sf_dir).groupBy("session_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", event.alias("e")))), lambda x: x["e"]), ",").alias("events"))
+    key = F.col("session_key")
+    head = F.concat(F.lit('{"agent":"'), F.when(key % 3 == 1, "nobody").otherwise("codex"), F.lit('","id":"'), key.cast("string"), F.lit('","title":'), F.when(key % 4 == 2, "null").otherwise('"t"'), F.lit(',"meta":{},"events":['))
+    return quality.session_violations(events.select("session_key", F.parse_json(F.concat(head, "events", F.lit("]}"))).alias("value")), "session_key")
+
+
+@query(f"""
+WITH {TURNS}, s AS (SELECT DISTINCT session_key FROM turns)
+SELECT session_key, 'summary' AS path, 'cwd is missing' AS problem FROM s WHERE session_key % 5 = 1
+UNION ALL SELECT session_key, 'summary', 'agent is unknown' FROM s WHERE session_key % 7 = 3
+""")
+def summary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries in JSON with a field left out, or of an agent that isn't known."""
+    key = F.col("session_key")
+    given = [F.when((key % 5 == 1), None).otherwise("/w").alias(f) if f == "cwd" else F.when(key % 7 == 3, "x").otherwise("claude").alias(f) if f == "agent" else F.lit(0).alias(f) if f.startswith("n_") else F.lit("v").alias(f) for f in quality.SUMMARY_FIELDS]
+    # to_json leaves nulls out
+    rows = turns(spark, sf_dir).select("session_key").distinct().select("session_key", F.parse_json(F.to_json(F.struct(*given))).alias("value"))
+    return quality.listed_violations(rows, "session_key")
