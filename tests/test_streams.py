@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.accumulate import Rules
 from tracemill.streaming.accumulate import Accumulator, keyed_state, summaries
-from tracemill.streaming.chain import chains
+from tracemill.streaming.chain import Chain, chains
 from tracemill.streaming.summary import run_available
 
 RULES = Rules("k", "n", {"all": ("sum", "one"), "low": ("min", "a"), "high": ("max", "a"), "first": ("first", "b"), "last": ("last", "b")}, {"users": "user", "others": "other"})
@@ -128,3 +128,50 @@ def test_chains_of_growing_files(spark, tmp_path, few_rows):
         assert [(r.link, r.end, r["head"]) for r in got if (r.path, r.generation) == (p, g)] == links
     assert sorted((r.path, r.generation, r.link) for r in got if r.change == "rewritten") == [("b", 1, 11), ("c", 1, 1)] and len(got) == sum(map(len, want.values()))
     assert spark.createDataFrame([], schema).select(F.count("*")).first()[0] == 0
+
+
+class _Map:
+    """A map state that counts the calls it gets."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        own = self.held
+        return {"containsKey": own.__contains__, "getValue": own.get, "updateValue": own.__setitem__, "removeKey": lambda k: own.pop(k, None), "keys": lambda: list(own)}[name]
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.states.setdefault(name, _Map())
+
+    def calls(self):
+        return sum(m.calls for m in self.states.values())
+
+
+def test_chains_ask_the_state_by_blocks():
+    """1,000 spans in three mixed frames: far fewer calls than spans, the links of a plain loop, and a rewrite many blocks back."""
+    rng, seed, path = random.Random(9), hashlib.sha256(b"s").hexdigest(), 7
+    parts = [rng.randbytes(rng.choice([0, 1, 30, 400])) for _ in range(1000)]
+    spans, at = [], 0
+    for n, data in enumerate(parts):
+        spans.append((path, n, at, data, seed))
+        at += len(data)
+    mixed, handle = rng.sample(spans, len(spans)), _Handle()
+    frames = [pd.DataFrame(x, columns=["path", "n", "at", "data", "seed"]) for x in (mixed[:400], mixed[400:700], mixed[700:] + mixed[:50])]
+    own = Chain("long")
+    own.init(handle)
+    got = [tuple(r) for f in frames for out in own.handleInputRows((0,), iter([f]), None) for r in out.itertuples(index=False)]
+    assert [(link, end, head) for _, _, link, end, head, _ in got] == _chain(seed, parts) and handle.calls() < 300
+    assert not handle.states["early"].held
+    # a copy of a span, then other bytes from there on, so that later links count no more
+    k = next(n for n in range(100, 1000) if parts[n])
+    begin = sum(map(len, parts[:k]))
+    more = pd.DataFrame([(path, 1000, begin, parts[k], seed), (path, 1001, begin, b"new", seed), (path, 1002, begin + 3, b"end", seed)], columns=frames[0].columns)
+    got = [tuple(r) for out in own.handleInputRows((0,), iter([more]), None) for r in out.itertuples(index=False)]
+    assert [(g, link, end, head) for _, g, link, end, head, _ in got] == [(1, *x) for x in _chain(seed, [*parts[:k], b"new", b"end"])[k:]]
+    assert max(b for _, b in handle.states["links"].held) == begin >> 14
