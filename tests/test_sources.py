@@ -270,3 +270,12 @@ def test_deletions_by_timer(spark, tmp_path):
         out.writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
         events = sorted((r.last_seen // 1000, r.path, r.event) for r in spark.read.schema(out.schema).parquet(f"file://{tmp_path}/out").collect())
     assert events == [(10, "b", "deleted"), (50, "b", "found")]
+
+
+def test_tail_deals_many_small_files_to_few_tasks(tmp_path):
+    """Tasks follow the bytes: a thousand small files are read by fewer than a hundred tasks, each line once."""
+    for n in range(1000):
+        (tmp_path / f"{n:04}.jsonl").write_text(f"a{n}\nb{n}\n")
+    reader = tail.TailReader(str(tmp_path / "*.jsonl"), str(tmp_path / "state"))
+    tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(tasks) < 100 and sorted(v for t in tasks for _, _, v, _ in reader.read(t)) == sorted(x for n in range(1000) for x in (f"a{n}", f"b{n}"))

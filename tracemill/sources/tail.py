@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 ENDS = 4096
 #: Bytes that one task reads at most, but for the end of its last line; triggers whose records are gathered into one.
 PIECE, TRIGGERS = 64 << 20, 64
+#: What opening a file counts as, in bytes, and so many tasks at least, if there are files for them, that a trigger's spans are dealt to.
+OPEN, TASKS = 64 << 10, 64
 
 
 def stamp_of(path: str) -> list[int]:
@@ -58,7 +60,7 @@ def step(path: str, old: dict | None) -> tuple[dict, dict | None]:
 
 
 @dataclass
-class Span(InputPartition):
+class Span:
     path: str
     begin: int
     end: int
@@ -69,6 +71,26 @@ class Span(InputPartition):
     fresh: bool
 
 
+@dataclass
+class Spans(InputPartition):
+    """What one task reads: many small files' spans, or a piece of a large one."""
+
+    spans: list[Span]
+
+
+def dealt(spans: list[Span]) -> list[Spans]:
+    """Spans in order, so many to a task that tasks have about the same bytes, ``PIECE`` at most unless one alone has more."""
+    sizes = [s.high - s.low + OPEN for s in spans]
+    most, out, held = min(PIECE, max(1, sum(sizes) // TASKS)), [], 0
+    for span, size in zip(spans, sizes, strict=True):
+        if not out or held + size > most:
+            out.append(Spans([]))
+            held = 0
+        out[-1].spans.append(span)
+        held += size
+    return out
+
+
 class TailReader(DataSourceStreamReader):
     """Offsets are numbers of records of change in a folder: what each trigger found new, by file, with the files' states.
 
@@ -124,6 +146,7 @@ class TailReader(DataSourceStreamReader):
         return {"change": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Tasks follow the bytes, not the number of files."""
         out = []
         for n in range(start["change"] + 1, end["change"] + 1):
             for row in self._read(f"change-{n}"):
@@ -131,9 +154,13 @@ class TailReader(DataSourceStreamReader):
                     s = row["span"]
                     lows = range(s["begin"], max(s["end"], s["begin"] + 1), PIECE)
                     out += [Span(row["path"], s["begin"], s["end"], low, min(low + PIECE, s["end"]), s["version"], s["fresh"] and low == s["begin"]) for low in lows]
-        return out
+        return dealt(out)
+
+    def read(self, partition: Spans) -> Iterator[tuple]:
+        for span in partition.spans:
+            yield from self._lines(span)
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def _lines(self, partition: Span) -> Iterator[tuple]:
         if partition.fresh:
             yield (partition.path, -1, None, partition.version)
         with open(partition.path, "rb") as file:
