@@ -62,3 +62,19 @@ def test_normalize_random(spark):
 )
 def test_scalars(spark, make, want):
     assert spark.range(1).select(make()).first()[0] == want
+
+
+def test_sizes_round_halves_up_as_their_sql_does(spark):
+    """Halves of a tenth go up, in the query's SQL too: 0.25 MB is 0.3 MB."""
+    import duckdb
+
+    from tracemill.functions.times import byte_size
+    from tracemill.plans.columns import _TENTHS
+
+    want = {1023: "1023 B", 1024: "1.0 KB", 1280: "1.3 KB", 1792: "1.8 KB", 1279: "1.2 KB", (1 << 20) - 1: "1024.0 KB", 512 * 2560: "1.3 MB", 9 << 18: "2.3 MB", 5 << 28: "1.3 GB", (1 << 62) + (1 << 28): "4294967296.3 GB"}
+    rows = spark.createDataFrame([(n,) for n in want], "n long").select("n", byte_size(F.col("n")).alias("s")).collect()
+    assert dict(map(tuple, rows)) == want
+    for n, text in want.items():
+        unit = {"KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}.get(text.split()[1])
+        if unit:
+            assert duckdb.connect().execute(f"SELECT {_TENTHS.format(unit)} FROM (SELECT {n}::BIGINT AS size)").fetchone()[0] == text.split()[0]

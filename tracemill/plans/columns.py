@@ -9,6 +9,8 @@ from tracemill.plans.registry import LOG, log, query, table
 
 MODELS = ("anthropic/claude-sonnet-4-20250101", "gpt-5-codex", "o3", "openai/gpt-4", "mistral", "claude-x[1m]")
 IMAGES = ("a.png", "b.JPG", "c.webp", "d.txt", "e.svg")
+#: A size in units of so many bytes to the nearest tenth, upwards from halves; printf would take halves to even tenths.
+_TENTHS = "(size // {0} + (size % {0} * 20 + {0}) // (2::BIGINT * {0}) // 10) || '.' || ((size % {0} * 20 + {0}) // (2::BIGINT * {0}) % 10)"
 BYTES = ("FFD8FF00", "89504E470D", "474946380a", "52494646", "00")
 
 
@@ -22,7 +24,7 @@ SELECT event_id, CASE WHEN ms = 0 THEN '' ELSE strftime(make_timestamp(ms * 1000
        strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M') AS minute,
        CASE WHEN age < 60 THEN 'now' WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' ELSE (age // 86400) || 'd ago' END AS age,
        CASE WHEN dur < 1000 THEN dur || 'ms' WHEN dur < 60000 THEN printf('%.1f', dur / 1000.0) || 's' ELSE (dur // 60000) || 'm ' || (dur // 1000 % 60) || 's' END AS duration,
-       CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0) || ' KB' WHEN size < 1073741824 THEN printf('%.1f', size / 1048576.0) || ' MB' ELSE printf('%.1f', size / 1073741824.0) || ' GB' END AS size
+       CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN {_TENTHS.format(1 << 10)} || ' KB' WHEN size < 1073741824 THEN {_TENTHS.format(1 << 20)} || ' MB' ELSE {_TENTHS.format(1 << 30)} || ' GB' END AS size
 FROM e
 """)
 def time_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
