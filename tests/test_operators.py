@@ -229,3 +229,56 @@ def test_binary_records():
 
     assert binary.result_of(base64.b64encode(record).decode()) == "\n".join([*(f"row {i}" for i in range(9)), "é ü"])
     assert binary.result_of(None) == binary.result_of("no base64!") == ""
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_are_cut_in_their_rows(spark):
+    """No shuffle, and no Python but for what NFKC might change; sums hold beyond a block of them."""
+    texts = ["", "x" * 40, "".join(f"line {i} É\n\n" for i in range(900)), "a\n" * 700 + "b", "\n" * 20 + "\U0001f600" * 5 + " ﬁ\n" + " " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(2).cache()
+    made = search.chunks(df, ["i"], "t", 6)
+    assert "Exchange" not in _plan(made).split("InMemoryTableScan")[0] and "MapInPandas" not in _plan(made)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.i, []).append((r.n, r.src_start, r.norm_start, r.norm_at, r.chunk, r.norm))
+    assert len(got[2]) > 600 and 0 not in got
+    for i, t in enumerate(texts):
+        start, norms, n = 0, [], 0
+        for n, (k, src, low, at, chunk, norm) in enumerate(sorted(got.get(i, []))):
+            stop = t.find("\n", start + 5)
+            want = t[start : stop + 1 if stop >= 0 else len(t)]
+            whole = " ".join(norms)
+            taken = (len(whole.encode()) + bool(norms and norm), len(whole) + bool(norms and norm))
+            assert (k, src, chunk, norm, low, at) == (n, start, want, normalized(want), *taken)
+            start += len(want)
+            norms += [norm] if norm else []
+        assert start == len(t)
+
+
+def test_located_in_the_index_shuffles_nothing(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "the user", f"words of {i}\n" * 9 + "que  la") for i in range(30)], "file long, user_text string, rest_text string")
+    index = SearchIndex(spark, f"file://{tmp_path}/index", buckets=2, chunk=40)
+    listed = texts.select("file", F.lit("a").alias("fingerprint"))
+    assert index.refresh(listed, lambda some: texts.join(some, "file", "left_semi"), texts.withColumn("fingerprint", F.lit("a")))
+    found = index.located("que la")
+    assert "Exchange" not in _plan(found) and {r.position - 8 for r in found.where("file < 10").collect()} == {99}
+    assert index.chunks().where("segment = 'rest'").groupBy("file").count().where("count < 3").isEmpty()
+
+
+def test_matches_in_plain_texts_are_found_by_one_walk(monkeypatch):
+    """A plain text is normalized once, not for each step of a search; the ends are those of the search."""
+    rng, calls = random.Random(12), []
+    monkeypatch.setattr(search, "normalized", lambda x: calls.append(x) or normalized(x))
+    for _ in range(300):
+        source = "".join(rng.choices(["ab", "Éa", " ", "\n\t", "\x1c", "B"], k=rng.randint(0, 40)))
+        needle = normalized("".join(rng.choices(["ab", "éa", " ", "b"], k=3)))
+        calls.clear()
+        got = search.found_in(source, needle)
+        assert len(calls) == 1
+        place = normalized(source).find(needle) if needle else -1
+        reach = lambda size: next(n for n in range(len(source) + 1) if len(normalized(source[:n])) >= size)  # noqa: B023, E731
+        assert got == (None if place < 0 else (reach(place + 1) - 1, reach(place + len(needle))))
+    assert search.found_in("aİ the", "the") == (3, 6)

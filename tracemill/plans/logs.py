@@ -29,7 +29,9 @@ def documents_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     listed = spark.read.parquet(path).select(F.col("doc_id").alias("file"), stamp.alias("fingerprint"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("").alias("user_text"), F.col("text").alias("rest_text"))
     index = SearchIndex(spark, _place(spark, sf_dir, "documents"))
-    index.refresh(listed, lambda some: texts.join(some, "file", "left_semi"))
+    every = spark.read.parquet(path).select(F.col("doc_id").alias("file"), stamp.alias("fingerprint"), F.lit("").alias("user_text"), F.col("text").alias("rest_text"))
+    # the narrow side is hashed, so that the texts aren't sorted
+    index.refresh(listed, lambda some: texts.join(some.hint("shuffle_hash"), "file", "left_semi"), every)
     return index
 
 
@@ -135,13 +137,14 @@ b AS (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE doc_id %
 """
 
 
-def _listings(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+def _listings(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]]:
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file")
     own = F.col("file") % 7
     first, later = docs.where("file % 5 != 0").withColumn("fp", own), docs.where("file % 11 != 0").withColumn("fp", F.when(F.col("file") % 3 == 0, own + 1).otherwise(own)).withColumn("text", F.concat("text", F.lit(" more")))
     shown = lambda df: df.select("file", F.col("fp").cast("string").alias("fingerprint"))
-    load = lambda df: lambda some: df.join(some, "file", "left_semi").select("file", F.lit("").alias("user_text"), F.col("text").alias("rest_text"))
-    return [(shown(df), load(df)) for df in (first, later)]
+    texts = (F.lit("").alias("user_text"), F.col("text").alias("rest_text"))
+    load = lambda df: lambda some: df.join(some.hint("shuffle_hash"), "file", "left_semi").select("file", *texts)
+    return [(shown(df), load(df), df.select("file", F.col("fp").cast("string").alias("fingerprint"), *texts)) for df in (first, later)]
 
 
 @query(f"""
@@ -150,8 +153,8 @@ WITH {_LISTED} SELECT b.doc_id, b.fp AS fingerprint, strlen(CASE WHEN a.fp = b.f
 def search_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index built and then refreshed: vanished documents are gone, new and changed ones anew, the rest untouched."""
     index = SearchIndex(spark, f"{shared_folder(spark)}/tracemill-index/refresh-{uuid.uuid4().hex}", buckets=8, chunk=4096)
-    for listed, load in _listings(spark, sf_dir):
-        index.refresh(listed, load)
+    for listed, load, every in _listings(spark, sf_dir):
+        index.refresh(listed, load, every)
     return index.docs().select(F.col("file").alias("doc_id"), "fingerprint", F.octet_length("rest").cast("long").alias("n_bytes"))
 
 
