@@ -279,3 +279,18 @@ def test_tail_deals_many_small_files_to_few_tasks(tmp_path):
     reader = tail.TailReader(str(tmp_path / "*.jsonl"), str(tmp_path / "state"))
     tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
     assert len(tasks) < 100 and sorted(v for t in tasks for _, _, v, _ in reader.read(t)) == sorted(x for n in range(1000) for x in (f"a{n}", f"b{n}"))
+
+
+def test_stores_are_not_gathered_into_arrow_batches(spark, tmp_path):
+    """Each store is a large value: 200 of them of 200 KB go through Python a few at a time, with their rows."""
+    import sqlite3
+
+    from tracemill.sources import sqlite
+
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t (a TEXT)")
+    con.executemany("INSERT INTO t VALUES (?)", [("x" * 1000,)] * 200)
+    files = spark.createDataFrame([(f"s{n}",) for n in range(200)], "path string").coalesce(1).withColumn("content", F.lit(bytearray(con.serialize())))
+    rows = sqlite.Stores(files).rows("SELECT a, length(a) FROM t", "a string, n long")
+    assert "InPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.agg(F.count("*"), F.countDistinct("store"), F.sum("n")).first()[:] == (40_000, 200, 40_000_000)

@@ -3,8 +3,7 @@
 import sqlite3
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,30 +30,28 @@ class Stores:
         Filters and projections belong in the statement: they then run inside each store. Stores that lack the table
         give no rows. One task reads a store; many stores spread over tasks.
         """
-        names = [c.strip().split()[0] for c in schema.split(",")]
 
-        def rows_of(store: str, content: bytes | None) -> Iterator[pd.DataFrame]:
+        def rows_of(store: str, content: bytes | None) -> Iterator[tuple]:
             if content is None:
                 con = sqlite3.connect(f"file:{store.removeprefix('file:')}?mode=ro", uri=True)
             else:
                 con = sqlite3.connect(":memory:")
                 con.deserialize(content)
             try:
-                cursor = con.execute(sql)
-                while rows := cursor.fetchmany(5000):
-                    yield pd.DataFrame(rows, columns=names).assign(store=store)[["store", *names]]
+                for row in con.execute(sql):
+                    yield (store, *row)
             except sqlite3.OperationalError as e:
                 if "no such table" not in str(e):
                     raise
             finally:
                 con.close()
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    yield from rows_of(row.path, bytes(row.content) if "content" in batch.columns else None)
+        def run(files: Iterator[Row]) -> Iterator[tuple]:
+            for file in files:
+                yield from rows_of(file["path"], bytes(file["content"]) if "content" in file else None)
 
-        return self.files.mapInPandas(run, f"store string, {schema}")
+        # rows of an RDD are handed over by their bytes; an Arrow batch holds 10,000 rows, and a row is a whole store
+        return self.spark.createDataFrame(self.files.rdd.mapPartitions(run), f"store string, {schema}", verifySchema=False)
 
 
 def kv_rows(stores: Stores, prefix: str, table: str = "cursorDiskKV") -> DataFrame:
